@@ -117,3 +117,14 @@ HTML_POST = _struct(
     ("videos", _URLS, True),
     ("gifs", _URLS, True),
 )
+
+# Health of a feed, folded batch by batch.
+HEALTH = _struct(
+    ("feed", _S, True),
+    ("n_attempts", _L, True),
+    ("success_rate", _D, True),
+    ("avg_response_time", _D, True),
+    ("last_success", _TS, True),
+    ("last_failure", _TS, True),
+    ("consecutive_failures", _L, True),
+)

@@ -7,39 +7,37 @@ Decoding of links, media, counts and dates is done by column functions.
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from chirpline.functions import text as tx
 from chirpline.sources.markup import Node, parse
 
 MIN_PAGE_BYTES = 2000
 
-_AUTHOR = "name string, username string, avatar string"
-_MEDIA = "pictures array<string>, videos array<struct<data_url string, src string>>, gifs array<string>"
-_POST = f"href string, title string, text string, author struct<{_AUTHOR.replace(' string', ': string')}>, {_MEDIA}"
+_S, _B, _N = T.StringType(), T.BooleanType(), T.IntegerType()
+_STRINGS = T.ArrayType(_S)
 
 
-def _ddl(fields: str) -> str:
-    """``a string, b array<struct<c string>>`` in the form struct types want."""
-    return StructType.fromDDL(fields).simpleString()
+def _fields(**types) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name, kind in types.items()]
 
 
-_ITEM = (
-    f"pos int, classes array<string>, {_POST}, is_retweet boolean, is_pinned boolean, external_link string, "
-    f"card_link string, replying_to array<string>, stats array<string>, quote_classes array<string>, "
-    f"quote {_ddl(_POST)}"
-)
-_PAGE = (
-    f"page_id string, url string, error_text string, has_error_panel boolean, is_protected boolean, "
-    f"n_items int, n_plain_items int, is_encoded boolean, next_href string, items array<{_ddl(_ITEM)}>"
-)
-_PROFILE = (
-    "page_id string, url string, avatar_src string, banner_src string, is_encoded boolean, name string, "
-    "username string, bio string, location string, website string, joined string, stats array<string>, media string"
-)
-_FOLLOW = "page_id string, url string, usernames array<string>, next_href string"
+_POST = _fields(
+    href=_S, title=_S, text=_S, author=T.StructType(_fields(name=_S, username=_S, avatar=_S)), pictures=_STRINGS,
+    videos=T.ArrayType(T.StructType(_fields(data_url=_S, src=_S))), gifs=_STRINGS)
+_ITEM = T.StructType([
+    *_fields(pos=_N, classes=_STRINGS), *_POST,
+    *_fields(is_retweet=_B, is_pinned=_B, external_link=_S, card_link=_S, replying_to=_STRINGS, stats=_STRINGS,
+             quote_classes=_STRINGS, quote=T.StructType(_POST))])
+_KEYS = _fields(page_id=_S, url=_S)
+_PAGE = T.StructType([*_KEYS, *_fields(
+    error_text=_S, has_error_panel=_B, is_protected=_B, n_items=_N, n_plain_items=_N, is_encoded=_B, next_href=_S,
+    items=T.ArrayType(_ITEM))])
+_PROFILE = T.StructType([*_KEYS, *_fields(
+    avatar_src=_S, banner_src=_S, is_encoded=_B, name=_S, username=_S, bio=_S, location=_S, website=_S, joined=_S,
+    stats=_STRINGS, media=_S)])
+_FOLLOW = T.StructType([*_KEYS, *_fields(usernames=_STRINGS, next_href=_S)])
 
 
 def _attr(node: Node | None, name: str):
@@ -115,7 +113,6 @@ def _page(page_id, url, html) -> dict:
     found = page.all("div", "timeline-item")
     panel = page.first("div", "error-panel")
     encoded = _encoded(page)
-    # nested items would be reached twice: an item's own links are rewritten in place, so read in order
     return {
         "page_id": page_id, "url": url, "error_text": _text(panel.first("span")) if panel is not None else None,
         "has_error_panel": panel is not None,
@@ -167,9 +164,8 @@ def _follow(page_id, url, html) -> dict:
             "next_href": _attr(more.first("a"), "href") if more is not None else None}
 
 
-def _extract(pages: DataFrame, read, fields: str) -> DataFrame:
+def _extract(pages: DataFrame, read, out: T.StructType) -> DataFrame:
     """Run one reader over ``(page_id, url, html)``; pages leave in small batches."""
-    out = StructType.fromDDL(fields)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

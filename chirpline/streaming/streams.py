@@ -4,19 +4,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.operators import health
 from chirpline.operators.aggregate import rolling_cells, windows_of_cells
 from chirpline.operators.skew import first_n
 from chirpline.operators.validate import valid_posts
+from chirpline.schema import HEALTH
 from chirpline.session import run_dir
 from chirpline.sources.store import PostTable
 
 EVERY = "30 seconds"
 
 
+def _numbered(fields: StructType, name: str) -> StructType:
+    return StructType([*fields.fields, StructField(name, LongType())])
+
+
 def read_landed(spark: SparkSession, path: str, fields: StructType, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Files landing under a path, as a stream."""
     reader = spark.readStream.schema(fields).format(fmt)
@@ -73,15 +78,10 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str, once: bool = Fa
 def rolling_from_cells(spark: SparkSession, path: str, fields: StructType, window: str = "15 minutes",
                        slide: str = "5 minutes", by: list[str] = ()) -> DataFrame:
     """Rolling windows from the last state of each cell."""
-    cells = spark.read.schema(fields.add("batch", "long")).parquet(path)
+    cells = spark.read.schema(_numbered(fields, "batch")).parquet(path)
     return windows_of_cells(first_n(cells, ["cell", *by], [F.desc("batch")], 1), window, slide, by)
 
 
-HEALTH = StructType.fromDDL(
-    "feed string, n_attempts long, success_rate double, avg_response_time double, last_success timestamp, "
-    "last_failure timestamp, consecutive_failures long")
-
-
 def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
     """Health per feed after a further batch of attempts.
 
@@ -138,7 +138,7 @@ def health_stream(attempts: DataFrame, path: str, checkpoint: str, order: list[s
 
 def latest_health(spark: SparkSession, path: str) -> DataFrame:
     """The health table after the last batch."""
-    versions = spark.read.schema(HEALTH.add("v", "long")).parquet(path)
+    versions = spark.read.schema(_numbered(HEALTH, "v")).parquet(path)
     return first_n(versions, ["feed"], [F.desc("v")], 1).drop("v")
 
 
