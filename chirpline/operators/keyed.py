@@ -77,7 +77,11 @@ def winner_rows(rows: DataFrame, winners: DataFrame, keys: list[str] = ("target"
 def first_n_per_target(rows: DataFrame, n: int = 100, keys: list[str] = ("target",),
                        order: list[str] = ("page_no", "pos")) -> DataFrame:
     """The first ``n`` rows of each target in feed order; -1 keeps all."""
-    return rows if n == -1 else first_n(rows, list(keys), [F.asc(c) for c in order], n)
+    if n == -1:
+        return rows
+    if n < 1:
+        raise ValueError("n must be -1 or at least 1")
+    return first_n(rows, list(keys), [F.asc(c) for c in order], n)
 
 
 def retained(posts: DataFrame, cutoff: Column) -> DataFrame:

@@ -3,9 +3,11 @@
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SALTS = 16
+SLICES = 1024
+SLICE_FROM = 50
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str],
@@ -28,14 +30,13 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
     """The first ``n`` rows of each group, by ``order``.
 
     Spark cuts each map task's share to ``n`` rows per group before the
-    shuffle as long as ``n`` is below its threshold. For a larger ``n`` the
-    same cut is made here, over slices of the group.
+    shuffle, which is enough for a small ``n``. For a larger one the shares of
+    all map tasks would still be too much for one task, so slices of the group
+    are cut to ``n`` rows first, and only their survivors meet.
     """
-    if n <= 0:
-        return df if rank is None else df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        slices = Window.partitionBy(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS * 64))).orderBy(*order)
+    if n >= SLICE_FROM:
+        mixed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        slices = Window.partitionBy(*keys, F.pmod(F.xxhash64(*mixed), F.lit(SLICES))).orderBy(*order)
         df = df.withColumn("__slice", F.row_number().over(slices)).filter(F.col("__slice") <= n).drop("__slice")
     name = rank or "__rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)

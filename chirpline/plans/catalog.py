@@ -58,7 +58,18 @@ def as_of_events(spark, sf):
 
 
 def scored(spark, sf) -> DataFrame:
-    return scoring_run(wh.posts(spark, sf))
+    """All posts with their scores."""
+    return wh.scored_posts(spark, sf, scoring_run_all)
+
+
+def scoring_run_all(posts: DataFrame) -> DataFrame:
+    return scoring.score_posts(posts, scoring.make_scorer())
+
+
+def recent_scored(spark, sf, hours: float) -> DataFrame:
+    """Posts of the last hours with their scores: here the time filter comes first."""
+    recent = filters.get_posts(wh.posts(spark, sf), start_time=minus_seconds(as_of_posts(spark, sf), hours * 3600))
+    return scoring_run(recent)
 
 
 def raw_posts(spark, sf) -> DataFrame:
@@ -303,12 +314,12 @@ def summary_with_run(spark, sf):
 
 @query(f"WITH {o.SCORED} SELECT {o.MEASURES} FROM scored WHERE {o.RECENT}")
 def sentiment_summary(spark, sf):
-    return rounded(aggregate.sentiment_summary(scored(spark, sf), as_of_posts(spark, sf)), "avg_sentiment")
+    return rounded(aggregate.sentiment_summary(recent_scored(spark, sf, 24), as_of_posts(spark, sf)), "avg_sentiment")
 
 
 @query(f"WITH {o.SCORED} SELECT username, {o.MEASURES} FROM scored WHERE timestamp >= (SELECT max(timestamp) FROM posts) - INTERVAL 48 HOUR GROUP BY username")
 def sentiment_summary_by_user(spark, sf):
-    return rounded(aggregate.sentiment_summary(scored(spark, sf), as_of_posts(spark, sf), 48, by=["username"]), "avg_sentiment")
+    return rounded(aggregate.sentiment_summary(recent_scored(spark, sf, 48), as_of_posts(spark, sf), 48, by=["username"]), "avg_sentiment")
 
 
 @query(f"""WITH {o.SCORED} SELECT count(*) AS total_tweets, count_if(sentiment_score > 0.1) AS positive_tweets,
@@ -316,7 +327,7 @@ def sentiment_summary_by_user(spark, sf):
  round(avg(sentiment_score), 6) AS average_sentiment, (SELECT max(timestamp) FROM posts) AS last_updated FROM scored WHERE {o.RECENT}""")
 def summary_record(spark, sf):
     now = as_of_posts(spark, sf)
-    return rounded(aggregate.summary_record(aggregate.sentiment_summary(scored(spark, sf), now), now), "average_sentiment")
+    return rounded(aggregate.summary_record(aggregate.sentiment_summary(recent_scored(spark, sf, 24), now), now), "average_sentiment")
 
 
 @query(f"WITH {o.POSTS} SELECT count(*) AS total_tweets FROM posts WHERE timestamp >= (SELECT max(timestamp) FROM posts) - INTERVAL 12 HOUR")
@@ -464,7 +475,7 @@ def export_ledger(spark, sf):
 @query()
 def file_sizes(spark, sf):
     names = ("documents", "events", "pages")
-    parts = [store.file_sizes(wh.table(spark, sf, n)).select(F.lit(n).alias("table"), "size_mb") for n in names]
+    parts = [store.file_sizes(spark, f"{sf}/{n}.parquet").select(F.lit(n).alias("table"), "size_mb") for n in names]
     return keyed.union_feeds(*parts)
 
 

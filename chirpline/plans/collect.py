@@ -1,6 +1,6 @@
 """A collection run over landed feeds: convert, check, choose feeds, store, score."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.operators import keyed, validate
@@ -8,10 +8,16 @@ from chirpline.sources import feeds, pages
 from chirpline.sources.store import PostTable
 
 
-def html_posts(saved: DataFrame, mirror: Column, default_username: Column | None = None, now: Column | None = None) -> DataFrame:
-    """Saved pages of one crawl to posts, each link once, the first in page order."""
-    items = pages.timeline_items(pages.parse_pages(saved), keep=["page_id", "url"])
-    single = keyed.first_by_key(items.filter("kind = 'post'"), ["link"], ["page_id", "pos"])
+def html_posts(saved: DataFrame, mirror: Column, default_username: Column | None = None, now: Column | None = None,
+               crawl: list[str] = (), page_order: str = "page_id") -> DataFrame:
+    """Saved pages to posts, each link once per crawl, the first in page order.
+
+    ``crawl`` and ``page_order`` are columns of the pages.
+    """
+    keys = saved.select(F.col("page_id").cast("string").alias("page_id"), *[c for c in (*crawl, page_order) if c != "page_id"])
+    items = pages.timeline_items(pages.parse_pages(saved)).filter("kind = 'post'")
+    placed = items.join(keys, "page_id") if len(keys.columns) > 1 else items
+    single = keyed.first_by_key(placed, [*crawl, "link"], [page_order, "pos"])
     return feeds.posts_from_html(single, mirror, default_username, now)
 
 

@@ -144,14 +144,15 @@ class PostTable:
         cutoff = self.spark.range(1).select(minus_seconds(now, days * 86_400).alias("c")).select(
             F.unix_micros("c").alias("us"), utc_date(F.col("c")).alias("d")).first()
         at, edge = F.timestamp_micros(F.lit(cutoff["us"])), cutoff["d"]
-        table = self._days().filter(F.col(PARTITION) <= F.lit(edge))
-        per_day = table.groupBy(PARTITION).agg(
-            F.count_if(F.col("timestamp") < at).alias("old"), F.count("*").alias("n")).collect()
-        gone = [r[PARTITION] for r in per_day if r["old"] == r["n"]]
-        if any(0 < r["old"] < r["n"] for r in per_day):
-            self._swap(keyed.retained(table.filter(F.col(PARTITION) == F.lit(edge)), at))
-        self._drop_days(gone)
-        return sum(r["old"] for r in per_day)
+        day = F.col(PARTITION)
+        # counting whole days takes no column at all
+        before = {r[0]: r[1] for r in self._days().filter(day < F.lit(edge)).groupBy(PARTITION).count().collect()}
+        last = self._days().filter(day == F.lit(edge))
+        old, n = last.agg(F.count_if(F.col("timestamp") < at), F.count("*")).first()
+        if 0 < old < n:
+            self._swap(keyed.retained(last, at))
+        self._drop_days([*before, *([edge] if 0 < old == n else [])])
+        return sum(before.values()) + old
 
     def clear(self, confirm: bool = False) -> int:
         """Empty the table; returns how many posts went. Does nothing unless confirmed."""
@@ -185,7 +186,7 @@ class PostTable:
         return aggregate.table_stats(self.read())
 
     def size_mb(self) -> DataFrame:
-        return file_sizes(self._days())
+        return file_sizes(self.spark, self.posts_path)
 
 
 def ledger_row(spark: SparkSession, export_type: str, target: str, n: int, checksum: str | None = None) -> DataFrame:
@@ -195,8 +196,7 @@ def ledger_row(spark: SparkSession, export_type: str, target: str, n: int, check
         F.lit(checksum).cast("string").alias("checksum"))
 
 
-def file_sizes(df: DataFrame) -> DataFrame:
-    """Megabytes of the files a table is read from."""
-    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    return files.groupBy("path").agg(F.max("size").alias("size")).agg(
-        (F.coalesce(F.sum("size"), F.lit(0)) / (1024.0 * 1024.0)).alias("size_mb"))
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Megabytes of the Parquet files under a path: one row per file is looked at, and no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg((F.coalesce(F.sum("length"), F.lit(0)) / (1024.0 * 1024.0)).alias("size_mb"))

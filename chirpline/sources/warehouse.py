@@ -26,11 +26,12 @@ def posts_of(documents: DataFrame, events: DataFrame, also: list[str] = ()) -> D
     """Each document as the post of the event with its number; not scored yet."""
     at = F.col("ts").cast("timestamp")
     joined = documents.join(events, F.col("doc_id") == F.col("event_id"))
+    have = documents.columns
     return joined.select(
         F.col("doc_id").cast("string").alias("tweet_id"),
         F.col("user_id").cast("string").alias("user_id"),
         _name(F.col("user_id")).alias("username"),
-        tx.strip(F.col("text")).alias("content"),
+        (F.col("content") if "content" in have else tx.strip(F.col("text"))).alias("content"),
         at.alias("timestamp"),
         (at + F.make_dt_interval(secs=F.lit(30))).alias("scraped_at"),
         F.floor("value").cast("int").alias("likes"),
@@ -40,7 +41,7 @@ def posts_of(documents: DataFrame, events: DataFrame, also: list[str] = ()) -> D
         (F.col("event_type") == "click").alias("is_retweet"),
         F.lit(None).cast("string").alias("reply_to"),
         F.col("source").alias("source_instance"),
-        *[F.lit(None).cast(schema.POSTS[c].dataType).alias(c) for c in schema.SENTIMENT],
+        *[F.col(c) if c in have else F.lit(None).cast(schema.POSTS[c].dataType).alias(c) for c in schema.SENTIMENT],
         "lang", *also)
 
 
@@ -48,6 +49,16 @@ def posts(spark: SparkSession, sf_dir: str, also: list[str] = ()) -> DataFrame:
     return posts_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "events"), also)
 
 
+def scored_posts(spark: SparkSession, sf_dir: str, score) -> DataFrame:
+    """Posts scored by ``score(df) -> df`` before they meet their events.
+
+    The texts are read, scored and left behind: only scores go through the
+    join's shuffle, unless a query wants the texts too.
+    """
+    documents = table(spark, sf_dir, "documents").withColumn("content", tx.strip(F.col("text"))).drop("text")
+    return posts_of(score(documents), table(spark, sf_dir, "events"))
+
+
 def rated_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of which all but the replies already carry some score."""
     found = posts(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.operators import health
 from chirpline.operators.aggregate import rolling_cells, windows_of_cells
-from chirpline.operators.skew import first_n
+from chirpline.operators.skew import SALTS, first_n
 from chirpline.operators.validate import valid_posts
 from chirpline.schema import HEALTH
 from chirpline.session import run_dir
@@ -48,8 +48,13 @@ def upsert_stream(stream: DataFrame, table: PostTable, checkpoint: str, once: bo
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour", key: str = "tweet_id", at: str = "timestamp") -> DataFrame:
-    """Each id once within the delay. Opt-in: rows later than the watermark are dropped."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    """Each id once within the delay. Opt-in: rows later than the watermark are dropped.
+
+    Copies of one id are thinned out where they arrive in the first step, so
+    that few of them meet in the second, which decides.
+    """
+    marked = stream.withWatermark(at, delay).withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return marked.dropDuplicatesWithinWatermark([key, "__part"]).drop("__part").dropDuplicatesWithinWatermark([key])
 
 
 def scored(stream: DataFrame, scorer: Scorer | None = None) -> DataFrame:
