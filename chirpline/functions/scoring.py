@@ -56,6 +56,10 @@ class ScoreConfig:
     remove_hashtags: bool = False
     lowercase: bool = True
 
+    def __post_init__(self):
+        if not all([*self.positive, *self.negative]):
+            raise ValueError("a keyword must not be empty")
+
     @classmethod
     def from_dict(cls, options: dict | None) -> "ScoreConfig":
         unknown = set(options or {}) - {f.name for f in fields(cls)}
@@ -104,14 +108,25 @@ def _cores(keywords: Sequence[str]) -> list[str]:
     return [k for k in single if not any(o != k and o in k for o in single)]
 
 
+def _any_of(words: Sequence[str]) -> str:
+    """Regex for any of some words, grouped by first letter behind a test for one of these letters."""
+    def literal(text):
+        return "".join(c if c.isalnum() else "\\" + c for c in text)
+
+    tails: dict = {}
+    for w in words:
+        tails.setdefault(w[0], []).append(literal(w[1:]))
+    groups = "|".join(f"{literal(c)}(?:{'|'.join(t)})" for c, t in sorted(tails.items()))
+    return f"(?=[{''.join(literal(c) for c in sorted(tails))}])(?:{groups})"
+
+
 def hits(keywords: Sequence[str]):
     """Test of one word: it holds a keyword, or a keyword holds it (so ``a`` and ``is`` hit too)."""
     parts, cores = _parts(keywords), _cores(keywords)
-    escaped = "|".join("".join("\\" + c if not c.isalnum() else c for c in k) for k in cores)
 
     def test(word: Column) -> Column:
         found = word.isin(parts)
-        return found | F.rlike(word, F.lit(escaped)) if cores else found
+        return found | F.rlike(word, F.lit(_any_of(cores))) if cores else found
 
     return test
 
@@ -122,21 +137,42 @@ class KeywordScorer:
     with_matches: bool = False
     name: str = "keyword"
 
+    def _counted(self, df: DataFrame, text: str) -> DataFrame:
+        """Add ``__up``, ``__down`` and ``__n``: words that hit, and all words.
+
+        A word hits because it holds a core keyword or because it is a part of
+        one. The first kind is found by one regex pass over the whole text,
+        which gives each such word from its first core on; the rest of it still
+        holds every core of either list. The second is a set lookup per word,
+        among the parts that hold no core, so no word counts twice.
+        """
+        lists = {"__up": self.config.positive, "__down": self.config.negative}
+        cores = {k: _cores(v) for k, v in lists.items()}
+        parts = {k: [p for p in _parts(v) if not any(c in p for c in cores[k])] for k, v in lists.items()}
+        some_core, some_part = sorted({*cores["__up"], *cores["__down"]}), sorted({*parts["__up"], *parts["__down"]})
+        none = F.array().cast("array<string>")
+        cut = df.withColumn("__spaced", tx.spaced(F.col(text), **self.config.switches)).withColumns({
+            "__words": tx.words_of(F.col("__spaced")),
+            "__tails": F.regexp_extract_all("__spaced", F.lit(_any_of(some_core) + "[^ ]*+"), F.lit(0)) if some_core else none,
+        }).withColumn("__small", F.filter("__words", lambda w: w.isin(some_part)))
+
+        def count(key):
+            small = F.size(F.filter("__small", lambda w: w.isin(parts[key])))
+            if not cores[key]:
+                return small
+            return small + F.size(F.filter("__tails", lambda t: F.rlike(t, F.lit(_any_of(cores[key])))))
+
+        return cut.withColumns({"__up": count("__up"), "__down": count("__down"), "__n": F.size("__words")}).drop(
+            "__spaced", "__tails", "__small")
+
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         cfg = self.config
-        up, down = hits(cfg.positive), hits(cfg.negative)
-        words = F.col("__words")
-        counted = df.withColumn("__words", tx.tokens(F.col(text), **cfg.switches)).withColumns({
-            "__up": F.size(F.filter(words, up)),
-            "__down": F.size(F.filter(words, down)),
-            "__n": F.size(words),
-            "__hits": self._matches(words, up, down) if self.with_matches else F.lit(None).cast("array<string>"),
-        })
+        matched = self._matches(F.col("__words")) if self.with_matches else F.lit(None).cast("array<string>")
+        counted = self._counted(df, text).withColumn("__hits", matched)
         p, n, size = F.col("__up"), F.col("__down"), F.greatest(F.col("__n"), F.lit(1))
         none = (p + n) == 0
         value = F.when(none, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (p - n) / size * 2)))
         confidence = F.when(none, 0.0).otherwise(F.least((p + n) / size + 0.1, F.lit(1.0)))
-        # size() of a null text is null or -1 by setting, so ask the text itself
         scored = counted.withColumns({"__value": value, "__conf": confidence})
         result = F.struct(
             F.col("__value").alias("score"),
@@ -148,7 +184,7 @@ class KeywordScorer:
         return scored.withColumn(out, F.when(F.col(text).isNotNull(), result)).drop(
             "__words", "__up", "__down", "__n", "__hits", "__value", "__conf")
 
-    def _matches(self, words: Column, up, down) -> Column:
+    def _matches(self, words: Column) -> Column:
         """Hits in word order, per word positive before negative, first keyword in list order."""
         def first(keywords, sign, word):
             listed = F.array(*[F.lit(k) for k in keywords])
@@ -156,6 +192,7 @@ class KeywordScorer:
             return F.concat(F.lit(sign), F.get(found, F.lit(0)))
 
         cfg = self.config
+        up, down = hits(cfg.positive), hits(cfg.negative)
         return F.flatten(F.transform(
             F.filter(words, lambda w: up(w) | down(w)),
             lambda w: F.array_compact(F.array(first(cfg.positive, "+", w), first(cfg.negative, "-", w)))))

@@ -41,9 +41,19 @@ def clean_text(text: Column, **switches) -> Column:
     return F.btrim(F.regexp_replace(normalise(text, **switches), WHITESPACE, " "))
 
 
+def spaced(text: Column, **switches) -> Column:
+    """Cleaned text with a plain space for every whitespace character."""
+    return F.translate(normalise(text, **switches), WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+
+
+def words_of(spaced_text: Column) -> Column:
+    # splitting at one plain character needs no regex
+    return F.array_remove(F.split(spaced_text, " "), "")
+
+
 def tokens(text: Column, **switches) -> Column:
     """Words of the cleaned text; no words for an empty text."""
-    return F.array_remove(F.split(normalise(text, **switches), WHITESPACE), "")
+    return words_of(spaced(text, **switches))
 
 
 def hashtags(text: Column) -> Column:

@@ -8,7 +8,7 @@ from chirpline.functions.times import latest, minus_seconds
 from chirpline.operators import aggregate, backlog, filters, health, keyed, threads, validate
 from chirpline.plans import collect, oracle as o, rendered
 from chirpline.plans.scoring import live_signal, scoring_run
-from chirpline.session import run_dir
+from chirpline.session import run_dir, spread
 from chirpline.sources import feeds, pages, store, warehouse as wh
 from chirpline.streaming import streams
 
@@ -68,7 +68,7 @@ def scoring_run_all(posts: DataFrame) -> DataFrame:
 
 def recent_scored(spark, sf, hours: float) -> DataFrame:
     """Posts of the last hours with their scores: here the time filter comes first."""
-    recent = filters.get_posts(wh.posts(spark, sf), start_time=minus_seconds(as_of_posts(spark, sf), hours * 3600))
+    recent = filters.get_posts(wh.posts(spark, sf, heavy=True), start_time=minus_seconds(as_of_posts(spark, sf), hours * 3600))
     return scoring_run(recent)
 
 
@@ -138,7 +138,7 @@ def latest_scored(spark, sf):
 @query(f"""WITH {o.POSTS} SELECT tweet_id, t.term FROM posts, (VALUES ('the'), ('eau'), ('ung')) AS t(term)
  WHERE contains(lower(content), t.term)""")
 def search_term(spark, sf):
-    return filters.search_posts(wh.posts(spark, sf), ["the", "eau", "ung "]).select("tweet_id", "term")
+    return filters.search_posts(wh.posts(spark, sf, heavy=True), ["the", "eau", "ung "]).select("tweet_id", "term")
 
 
 @query(f"WITH {o.POSTS} SELECT tweet_id, username, is_reply FROM posts WHERE username = 'user7' AND NOT is_reply")
@@ -183,7 +183,7 @@ def search_dates_valid(spark, sf):
 def linked_text(spark, sf) -> DataFrame:
     """Whole pages with a link, a mention and a tag put before them."""
     text = F.concat(F.lit("  Read "), "url", F.lit("?x=1&y=%20 @José_1 #Tag2\t"), "html")
-    return wh.table(spark, sf, "pages").select("page_id", text.alias("text"))
+    return spread(wh.table(spark, sf, "pages")).select("page_id", text.alias("text"))
 
 
 @query(f"""WITH t AS (SELECT page_id, concat('  Read ', url, '?x=1&y=%20 @José_1', chr(160), '#Tag2', chr(9), html) AS text FROM pages)
@@ -199,7 +199,7 @@ def text_clean(spark, sf):
 
 @query(f"WITH {o.POSTS}, {o.WORDS} SELECT tweet_id, len(ws) AS n_words, array_to_string(ws, '|') AS words FROM words")
 def tokens(spark, sf):
-    return wh.posts(spark, sf).select("tweet_id", tx.tokens(F.col("content")).alias("w")).select(
+    return wh.posts(spark, sf, heavy=True).select("tweet_id", tx.tokens(F.col("content")).alias("w")).select(
         "tweet_id", F.size("w").alias("n_words"), joined("w", "words"))
 
 
@@ -238,7 +238,7 @@ def text_fields(spark, sf):
 @query(f"WITH {o.POSTS}, {o.WORDS}, {o.HITS}, {o.KEYWORD} SELECT tweet_id, p AS positive, n AS negative, n_words AS words, "
        "round(score, 6) AS score, round(confidence, 6) AS confidence, label FROM keyword")
 def keyword_score(spark, sf):
-    out = scoring.KeywordScorer().score(wh.posts(spark, sf), "content", "s")
+    out = scoring.KeywordScorer().score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", "s.details.positive", "s.details.negative", "s.details.words", r6("s.score", "score"),
                       r6("s.confidence", "confidence"), "s.label")
 
@@ -248,7 +248,7 @@ def keyword_score(spark, sf):
  '+' || list_filter({o.POS}, lambda k: contains(x, k) OR contains(k, x))[1], '-' || list_filter({o.NEG}, lambda k: contains(x, k) OR contains(k, x))[1]],
  lambda y: y IS NOT NULL))), '|') AS matched FROM hit""")
 def keyword_matches(spark, sf):
-    out = scoring.KeywordScorer(with_matches=True).score(wh.posts(spark, sf), "content", "s")
+    out = scoring.KeywordScorer(with_matches=True).score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", joined("s.details.matched", "matched"))
 
 
@@ -263,7 +263,7 @@ def lexicon(spark, sf) -> DataFrame:
 @query(f"WITH {o.POSTS}, {o.LEXICON} SELECT tweet_id, round(compound, 6) AS score, round(least(abs(compound) + 0.1, 1.0), 6) AS confidence, "
        "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM lexed")
 def lexicon_score(spark, sf):
-    out = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain()).score(wh.posts(spark, sf), "content", "s")
+    out = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain()).score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
@@ -271,13 +271,13 @@ def lexicon_score(spark, sf):
 def lexicon_score_joined(spark, sf):
     """The same over the join a large lexicon takes."""
     scorer = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain(), max_broadcast=0)
-    out = scorer.score(wh.posts(spark, sf), "content", "s")
+    out = scorer.score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
 @query()
 def lexicon_rules(spark, sf):
-    out = scoring.LexiconScorer(lexicon(spark, sf)).score(wh.posts(spark, sf), "content", "s")
+    out = scoring.LexiconScorer(lexicon(spark, sf)).score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label",
                       *[r6(f"s.details.{n}", n) for n in ("pos", "neg", "neu")])
 
@@ -288,7 +288,7 @@ def lexicon_rules(spark, sf):
  CASE WHEN abs(s) < 0.1 OR c < 0.3 THEN 'neutral' WHEN s > 0 THEN 'positive' ELSE 'negative' END AS label FROM both_scores""")
 def ensemble_score(spark, sf):
     scorer = scoring.make_scorer(lexicon=lexicon(spark, sf), rules=scoring.LexiconRules.plain())
-    out = scorer.score(wh.posts(spark, sf), "content", "s")
+    out = scorer.score(wh.posts(spark, sf, heavy=True), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
@@ -358,13 +358,13 @@ def system_stats(spark, sf):
 
 @query(f"WITH {o.SCORED}, s AS (SELECT {o.MEASURES_RAW} FROM scored WHERE {o.RECENT}) SELECT {o.SIGNAL}, (SELECT max(timestamp) FROM posts) AS timestamp FROM s")
 def trading_signal(spark, sf):
-    return rounded(live_signal(wh.posts(spark, sf), as_of_posts(spark, sf)).drop("reasoning"), "confidence", "sentiment_score")
+    return rounded(live_signal(wh.posts(spark, sf, heavy=True), as_of_posts(spark, sf)).drop("reasoning"), "confidence", "sentiment_score")
 
 
 @query()
 def trading_signal_reasons(spark, sf):
     """With the reason text, per user."""
-    out = live_signal(wh.posts(spark, sf), as_of_posts(spark, sf), 48, by=["username"])
+    out = live_signal(wh.posts(spark, sf, heavy=True), as_of_posts(spark, sf), 48, by=["username"])
     return rounded(out, "confidence", "sentiment_score")
 
 
@@ -509,7 +509,7 @@ def first_n_per_target(spark, sf):
 
 
 def saved_pages(spark, sf) -> DataFrame:
-    return rendered.timeline_pages(wh.posts(spark, sf, also=["event_type"]))
+    return rendered.timeline_pages(wh.posts(spark, sf, also=["event_type"], heavy=True))
 
 
 def items(spark, sf) -> DataFrame:
@@ -559,7 +559,7 @@ def thread_assembly(spark, sf):
 @query("""SELECT CAST(page_id AS VARCHAR) AS page_id, CASE WHEN strlen(html) < 2000 THEN 'Response too small' WHEN url NOT LIKE '%/search?%' THEN 'No timeline content' END AS reason,
  strlen(html) >= 2000 AND url LIKE '%/search?%' AS valid, 'Empty page' AS content_reason, CAST(strlen(html) AS INTEGER) AS n_bytes FROM pages""")
 def page_status(spark, sf):
-    return pages.page_status(wh.table(spark, sf, "pages")).select("page_id", "reason", "valid", "content_reason", "n_bytes")
+    return pages.page_status(spread(wh.table(spark, sf, "pages"))).select("page_id", "reason", "valid", "content_reason", "n_bytes")
 
 
 @query(f"""WITH {o.POSTS} SELECT DISTINCT CAST(tweet_id::BIGINT // 20 AS VARCHAR) AS page_id, '/search?cursor=' || tweet_id::BIGINT // 20 AS search_next,
@@ -794,7 +794,7 @@ def collection_run_summary(spark, sf):
 # ---- streams, run over what is there now ----
 
 def post_stream(spark, sf, also=()) -> DataFrame:
-    return wh.posts_of(wh.table(spark, sf, "documents"), wh.event_stream(spark, sf), also)
+    return wh.posts_of(spread(wh.table(spark, sf, "documents")), wh.event_stream(spark, sf), also)
 
 
 @query(ORACLE["posts_scored"])

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings worth having on a cluster. None of them is needed for right results.
 RECOMMENDED_CONF = {
@@ -33,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table in at least as many pieces as there are cores.
+
+    For tables of a few large row groups that are about to be scored or
+    parsed. A table with pieces enough, as any large one has, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder name of the shared folder for one run."""
     return f"{shared_dir(spark)}/chirpline/{purpose}-{uuid.uuid4().hex}"
