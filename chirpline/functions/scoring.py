@@ -87,6 +87,11 @@ def label(score: Column, threshold: float) -> Column:
     )
 
 
+def _clipped(value: Column, low: float, high: float) -> Column:
+    # least() and greatest() would turn a missing value into a bound
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
+
+
 class Scorer(Protocol):
     """Anything that can score a text column."""
 
@@ -369,8 +374,8 @@ class EnsembleScorer:
         blank = tx.strip(F.col(text)) == ""
         df = df.withColumns({
             "__blank": F.col(text).isNull() | blank,
-            "__value": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean("score"))),
-            "__conf": F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean("confidence"))),
+            "__value": _clipped(mean("score"), -1.0, 1.0),
+            "__conf": _clipped(mean("confidence"), 0.0, 1.0),
         })
         empty, value, conf = F.col("__blank"), F.col("__value"), F.col("__conf")
         unscored = empty | value.isNull()
@@ -407,8 +412,10 @@ def score_posts(posts: DataFrame, scorer: Scorer, text: str = "content", strict:
     value, conf = F.col("__s.score"), F.col("__s.confidence")
     missing = F.col(text).isNull() | (F.col(text) == "")
     wrong = ~(value.between(-1.0, 1.0) & conf.between(0.0, 1.0))
-    problem = F.when(missing, "Empty content").when(value.isNull(), "Scorer failed").when(wrong, "Score out of range")
-    if strict:
+    problem = F.when(missing, "Empty content").when(value.isNull(), "Scorer failed")
+    if not strict:
+        problem = problem.when(wrong, "Score out of range")
+    else:
         value = F.when(wrong, F.raise_error(F.lit("score or confidence out of range"))).otherwise(value)
     usable = problem.isNull()
     return df.withColumns({

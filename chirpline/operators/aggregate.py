@@ -106,7 +106,7 @@ def signal(summary: DataFrame) -> DataFrame:
         return F.least(F.lit(MAX_CONFIDENCE), F.abs(avg) + share * SHARE_WEIGHT)
 
     def reason(name, share):
-        return F.format_string(f"Strong {name} sentiment (%.2f) with %.1f%%%% {name} tweets",
+        return F.format_string(f"Strong {name} sentiment (%.2f) with %.1f%% {name} tweets",
                                avg.cast("double"), (share * 100).cast("double"))
 
     return df.select(

@@ -47,7 +47,8 @@ def request_load(attempts: DataFrame, windows: dict | None = None) -> DataFrame:
     start = F.unix_micros("ts")
     took = F.round(F.coalesce(F.col("response_time"), F.lit(0.0)) * MICROS).cast("long")
     starts = attempts.groupBy("feed", start.alias("at")).agg(F.count("*").alias("n"))
-    ends = attempts.groupBy("feed", (start + took - 1).alias("at")).agg(F.count("*").alias("n"))
+    # one microsecond early, as "ended by now" is to be found by "strictly before now"
+    ends = attempts.groupBy("feed", (start + F.greatest(took - 1, F.lit(0))).alias("at")).agg(F.count("*").alias("n"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
 
     def probe(kind, shift, started):
@@ -58,7 +59,6 @@ def request_load(attempts: DataFrame, windows: dict | None = None) -> DataFrame:
     shifts = [sec * MICROS - (0 if inclusive else 1) for sec, inclusive in windows.values()]
     marks = starts.select("feed", F.inline(F.array(
         probe(0, 0, F.col("n")), *[probe(i + 1, s, zero) for i, s in enumerate(shifts)])))
-    # an end counts from its own moment on: "at or before now" is "strictly before" one microsecond later
     done = ends.select("feed", F.lit(-1).alias("kind"), "at", zero.alias("started"), F.col("n").alias("ended"),
                        none.alias("origin"))
     totals = running_totals(marks.unionByName(done), ["feed"], "at", ["started", "ended"], next_of="started")
