@@ -117,21 +117,31 @@ def seeded_average(rows: DataFrame, keys: list[str], order: list[str], value: st
     return tail.join(seed, keys).groupBy(*keys).agg(F.sum(F.col("__v") * weight * share).alias(out))
 
 
-def success_average(rows: DataFrame, keys: list[str], order: list[str], decay: float = SUCCESS_DECAY) -> DataFrame:
-    """Moving success rate per key, from 1.0 before the first row."""
-    used = rows.select(*keys, F.struct(*order).alias("__o"), F.col("success").cast("double").alias("__v"))
-    sizes = used.groupBy(*keys).agg(F.count("*").alias("__n"))
-    tail = first_n(used, keys, [F.desc("__o")], TAIL, rank="__r")
-    gained = F.sum((1.0 - decay) * F.pow(F.lit(decay), F.col("__r") - 1) * F.col("__v"))
-    return tail.groupBy(*keys).agg(gained.alias("__g")).join(sizes, keys).select(
-        *keys, (F.pow(F.lit(decay), F.col("__n")) + F.col("__g")).alias("success_rate"))
+def averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
+    """Both moving averages of each feed, from one cut of its last rows.
+
+    ``avg_response_time`` is seeded by the first value that is not zero;
+    ``unseeded`` is what the same rows add to an average that has a past. A
+    missing response time counts as zero.
+    """
+    used = attempts.select("feed", F.struct(*order).alias("__o"), F.coalesce("response_time", F.lit(0.0)).alias("__v"),
+                           F.col("success").cast("double").alias("__s"))
+    whole = used.groupBy("feed").agg(F.count("*").alias("__n"), F.min(F.when(F.col("__v") != 0, F.col("__o"))).alias("__seed"))
+    tail = first_n(used, ["feed"], [F.desc("__o")], TAIL, rank="__r").join(whole, "feed")
+    age = F.col("__r") - 1
+    faded = F.col("__v") * F.pow(F.lit(RESPONSE_DECAY), age)
+    share = F.when(F.col("__o") == F.col("__seed"), 1.0).otherwise(1.0 - RESPONSE_DECAY)
+    gained = F.sum((1.0 - SUCCESS_DECAY) * F.pow(F.lit(SUCCESS_DECAY), age) * F.col("__s"))
+    return tail.groupBy("feed").agg(
+        F.max("__n").alias("n_attempts"),
+        (F.pow(F.lit(SUCCESS_DECAY), F.max("__n")) + gained).alias("success_rate"),
+        F.sum(faded * share).alias("avg_response_time"),
+        F.sum(faded * (1.0 - RESPONSE_DECAY)).alias("unseeded"))
 
 
 def feed_averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
     """Moving response time and success rate of each feed."""
-    response = seeded_average(attempts, ["feed"], list(order), "response_time", RESPONSE_DECAY, "avg_response_time")
-    return success_average(attempts, ["feed"], list(order)).join(response, "feed", "left").withColumn(
-        "avg_response_time", F.coalesce("avg_response_time", F.lit(0.0)))
+    return averages(attempts, order).drop("n_attempts", "unseeded")
 
 
 def failure_streaks(attempts: DataFrame, keys: list[str] = ("feed",), ok: Column | None = None) -> DataFrame:

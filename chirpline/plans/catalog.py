@@ -816,7 +816,7 @@ def stream_dedup(spark, sf):
 @query(ORACLE["rolling_summary"])
 def stream_rolling_summary(spark, sf):
     out = streams.rolling_stream(streams.scored(post_stream(spark, sf)))
-    path = streams.stream_into(out, streams.write_updates, "rolling")
+    path = streams.stream_into(out, streams.write_cells, "rolling")
     return rounded(streams.rolling_from_cells(spark, path, out.schema), "avg_sentiment")
 
 

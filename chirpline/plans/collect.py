@@ -1,6 +1,6 @@
 """A collection run over landed feeds: convert, check, choose feeds, store, score."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.operators import keyed, validate
@@ -14,10 +14,9 @@ def html_posts(saved: DataFrame, mirror: Column, default_username: Column | None
 
     ``crawl`` and ``page_order`` are columns of the pages.
     """
-    keys = saved.select(F.col("page_id").cast("string").alias("page_id"), *[c for c in (*crawl, page_order) if c != "page_id"])
-    items = pages.timeline_items(pages.parse_pages(saved)).filter("kind = 'post'")
-    placed = items.join(keys, "page_id") if len(keys.columns) > 1 else items
-    single = keyed.first_by_key(placed, [*crawl, "link"], [page_order, "pos"])
+    carry = [c for c in (*crawl, page_order) if c != "page_id"]
+    items = pages.timeline_items(pages.parse_pages(saved, carry), keep=["page_id", *carry]).filter("kind = 'post'")
+    single = keyed.first_by_key(items, [*crawl, "link"], [page_order, "pos"])
     return feeds.posts_from_html(single, mirror, default_username, now)
 
 

@@ -31,9 +31,9 @@ _ITEM = T.StructType([
     *_fields(is_retweet=_B, is_pinned=_B, external_link=_S, card_link=_S, replying_to=_STRINGS, stats=_STRINGS,
              quote_classes=_STRINGS, quote=T.StructType(_POST))])
 _KEYS = _fields(page_id=_S, url=_S)
-_PAGE = T.StructType([*_KEYS, *_fields(
-    error_text=_S, has_error_panel=_B, is_protected=_B, n_items=_N, n_plain_items=_N, is_encoded=_B, next_href=_S,
-    items=T.ArrayType(_ITEM))])
+_PAGE_SIGNS = T.StructType([*_KEYS, *_fields(
+    error_text=_S, has_error_panel=_B, is_protected=_B, n_items=_N, n_plain_items=_N, is_encoded=_B, next_href=_S)])
+_PAGE = T.StructType([*_PAGE_SIGNS.fields, *_fields(items=T.ArrayType(_ITEM))])
 _PROFILE = T.StructType([*_KEYS, *_fields(
     avatar_src=_S, banner_src=_S, is_encoded=_B, name=_S, username=_S, bio=_S, location=_S, website=_S, joined=_S,
     stats=_STRINGS, media=_S)])
@@ -108,22 +108,30 @@ def _encoded(page: Node) -> bool:
     return any("/enc/" in (_attr(i, "src") or "") for i in [*avatars, *page.all("img", "avatar")])
 
 
-def _page(page_id, url, html) -> dict:
-    page = parse(html or "")
-    found = page.all("div", "timeline-item")
+def _signs(page_id, url, page: Node, found: list[Node]) -> dict:
     panel = page.first("div", "error-panel")
-    encoded = _encoded(page)
     return {
         "page_id": page_id, "url": url, "error_text": _text(panel.first("span")) if panel is not None else None,
         "has_error_panel": panel is not None,
         "is_protected": page.first("div", "timeline-header timeline-protected") is not None,
         "n_items": len(found),
         "n_plain_items": sum(n.classes in (["timeline-item"], ["timeline-item", "thread"]) for n in found),
-        "is_encoded": encoded, "next_href": _last_more(page),
-        "items": [_item(i, n) for i, n in enumerate(found)],
+        "is_encoded": _encoded(page), "next_href": _last_more(page),
     }
 
 
+def _page_signs(page_id, url, html) -> dict:
+    page = parse(html or "")
+    return _signs(page_id, url, page, page.all("div", "timeline-item"))
+
+
+def _page(page_id, url, html) -> dict:
+    page = parse(html or "")
+    found = page.all("div", "timeline-item")
+    # reading an item replaces its links, so the page's own signs come first
+    return {**_signs(page_id, url, page, found), "items": [_item(i, n) for i, n in enumerate(found)]}
+
+
 def _profile(page_id, url, html) -> dict | None:
     page = parse(html or "")
     name = page.first("a", "profile-card-fullname")
@@ -164,24 +172,32 @@ def _follow(page_id, url, html) -> dict:
             "next_href": _attr(more.first("a"), "href") if more is not None else None}
 
 
-def _extract(pages: DataFrame, read, out: T.StructType) -> DataFrame:
-    """Run one reader over ``(page_id, url, html)``; pages leave in small batches."""
+def _extract(pages: DataFrame, read, fields: T.StructType, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Run one reader over ``(page_id, url, html)``; pages leave in small batches.
+
+    ``carry`` names further columns that go through with their page, so that
+    the result need not be joined back to its pages.
+    """
+    carry = carry or {}
+    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", *[c.alias(n) for n, c in carry.items()])
+    names = list(carry)
+    out = T.StructType([*fields.fields, *[slim.schema[n] for n in names]])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64).to_pylist()
-                rows = [r for r in (read(p["page_id"], p["url"], p["html"]) for p in part) if r is not None]
+                found = ((read(p["page_id"], p["url"], p["html"]), p) for p in part)
+                rows = [{**r, **{n: p[n] for n in names}} for r, p in found if r is not None]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
     return slim.mapInArrow(run, out)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: its error signs, paging link and raw items."""
-    return _extract(pages, _page, _PAGE)
+def parse_pages(pages: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """One row per page: its error signs, paging link and raw items, and the columns to ``carry``."""
+    return _extract(pages, _page, _PAGE, {n: F.col(n) for n in carry})
 
 
 def page_status(pages: DataFrame, min_bytes: int = MIN_PAGE_BYTES) -> DataFrame:
@@ -190,9 +206,8 @@ def page_status(pages: DataFrame, min_bytes: int = MIN_PAGE_BYTES) -> DataFrame:
     ``http_ok`` may be a column of ``pages``. ``valid`` is the request check,
     ``has_content`` the extractor's own; each comes with its reason.
     """
-    keys = pages.select(F.col("page_id").cast("string").alias("page_id"), F.octet_length("html").alias("n_bytes"),
-                        (F.col("http_ok") if "http_ok" in pages.columns else F.lit(True)).alias("http_ok"))
-    found = parse_pages(pages).drop("items").join(keys, "page_id")
+    found = _extract(pages, _page_signs, _PAGE_SIGNS, {
+        "n_bytes": F.octet_length("html"), "http_ok": F.col("http_ok") if "http_ok" in pages.columns else F.lit(True)})
     search = F.contains(F.col("url"), F.lit("/search?"))
     reason = (F.when(~F.col("http_ok"), "HTTP error").when(F.col("n_bytes") < min_bytes, "Response too small")
               .when(F.col("has_error_panel"), F.concat(F.lit("Error: "), F.coalesce(tx.strip(F.col("error_text")), F.lit(""))))
@@ -318,8 +333,7 @@ def follow_edges(pages: DataFrame) -> DataFrame:
     ``pages`` names the owner (``username``), the list (``direction``) and the
     page's place in it (``page_no``).
     """
-    keys = pages.select(F.col("page_id").cast("string").alias("page_id"), "username", "direction", "page_no")
-    found = _extract(pages, _follow, _FOLLOW).select("page_id", F.posexplode("usernames").alias("pos", "other"))
-    return found.join(keys, "page_id").select(
-        tx.sanitise_username(F.col("username")).alias("username"), "direction", "page_no", "pos",
-        tx.strip(F.col("other")).alias("other"))
+    found = _extract(pages, _follow, _FOLLOW, {n: F.col(n) for n in ("username", "direction", "page_no")})
+    return found.select(
+        tx.sanitise_username(F.col("username")).alias("username"), "direction", "page_no",
+        F.posexplode("usernames").alias("pos", "other")).withColumn("other", tx.strip(F.col("other")))

@@ -1,5 +1,7 @@
 """The posts table as date-partitioned Parquet, and its export ledger."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from chirpline import schema
@@ -72,15 +74,23 @@ class PostTable:
         """The distinct days of a frame: one value per day, whatever its number of rows."""
         return [r[0] for r in dates.distinct().collect()]
 
-    def _staged(self, rows: DataFrame, purpose: str) -> DataFrame:
-        """Rows written to the shared folder: a change reads them several times and must see the same ones."""
+    @contextmanager
+    def _staged(self, rows: DataFrame, purpose: str):
+        """Rows written to the shared folder for the time of a change, which reads them several times and must see the same ones."""
         folder = run_dir(self.spark, purpose)
         rows.write.parquet(folder)
-        return self.spark.read.schema(rows.schema).parquet(folder)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(folder)
+        finally:
+            fs, target = self._fs(folder)
+            fs.delete(target, True)
 
     def upsert(self, batch: DataFrame, order: list[str] = ("scraped_at",), mode: str = "replace") -> int:
         """Insert or replace valid posts by id; returns the number submitted."""
-        checked = self._staged(validate.valid_posts(batch), "batch")
+        with self._staged(validate.valid_posts(batch), "batch") as checked:
+            return self._upsert(checked, order, mode)
+
+    def _upsert(self, checked: DataFrame, order: list[str], mode: str) -> int:
         submitted = checked.count()
         if not submitted:
             return 0
@@ -104,13 +114,13 @@ class PostTable:
 
     def apply_scores(self, scores: DataFrame, order: list[str] = ()) -> None:
         """Write scores ``(tweet_id, score, label, confidence)`` by id."""
-        fixed = self._staged(scores, "scores")
-        days = self._days()
-        touched = self._day_list(days.select("tweet_id", PARTITION).join(
-            fixed.select("tweet_id").distinct(), "tweet_id", "left_semi").select(PARTITION))
-        if touched:
-            part = days.filter(F.col(PARTITION).isin(touched)).select(*schema.POSTS.names)
-            self._swap(keyed.apply_scores(part, fixed, order))
+        with self._staged(scores, "scores") as fixed:
+            days = self._days()
+            touched = self._day_list(days.select("tweet_id", PARTITION).join(
+                fixed.select("tweet_id").distinct(), "tweet_id", "left_semi").select(PARTITION))
+            if touched:
+                part = days.filter(F.col(PARTITION).isin(touched)).select(*schema.POSTS.names)
+                self._swap(keyed.apply_scores(part, fixed, order))
 
     def rescore(self, score, only_missing: bool = True) -> dict:
         """Score posts with ``score(df) -> df`` in place; returns the run's counters.

@@ -4,9 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
+from chirpline.functions.times import utc_date
 from chirpline.operators import health
 from chirpline.operators.aggregate import rolling_cells, windows_of_cells
 from chirpline.operators.skew import SALTS, first_n
@@ -18,10 +19,6 @@ from chirpline.sources.store import PostTable
 EVERY = "30 seconds"
 
 
-def _numbered(fields: StructType, name: str) -> StructType:
-    return StructType([*fields.fields, StructField(name, LongType())])
-
-
 def read_landed(spark: SparkSession, path: str, fields: StructType, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Files landing under a path, as a stream."""
     reader = spark.readStream.schema(fields).format(fmt)
@@ -72,19 +69,33 @@ def rolling_stream(stream: DataFrame, slide: str = "5 minutes", by: list[str] =
     return rolling_cells(stream.withWatermark("timestamp", delay) if delay else stream, slide, by)
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the changed rows of every batch in a folder of its own; a batch run again replaces its folder."""
+def write_cells(cells: DataFrame, path: str, checkpoint: str, by: list[str] = (), once: bool = False) -> StreamingQuery:
+    """Keep the last state of every cell, in one folder per UTC day.
+
+    A batch rewrites the days of its cells. Run again, it writes the same.
+    """
+    spark = cells.sparkSession
+    fields = StructType([*cells.schema.fields, StructField("day", DateType())])
+    on = ["cell", *by]
+
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        changed = batch.withColumn("day", utc_date(F.col("cell.start"))).persist()
+        days = [r[0] for r in changed.select("day").distinct().collect()]
+        if number:
+            old = spark.read.schema(fields).parquet(path).filter(F.col("day").isin(days))
+            kept = old.join(changed.select(*on), on, "left_anti").select(*fields.names).unionByName(changed)
+        else:
+            kept = changed
+        kept.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        changed.unpersist()
 
-    return _start(stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint), once)
+    return _start(cells.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint), once)
 
 
 def rolling_from_cells(spark: SparkSession, path: str, fields: StructType, window: str = "15 minutes",
                        slide: str = "5 minutes", by: list[str] = ()) -> DataFrame:
     """Rolling windows from the last state of each cell."""
-    cells = spark.read.schema(_numbered(fields, "batch")).parquet(path)
-    return windows_of_cells(first_n(cells, ["cell", *by], [F.desc("batch")], 1), window, slide, by)
+    return windows_of_cells(spark.read.schema(fields).parquet(path), window, slide, by)
 
 
 def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
@@ -95,12 +106,12 @@ def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",))
     batch is reduced like any aggregation, and no feed's attempts have to pass
     through one task in order.
     """
-    keys = ["feed"]
-    grown = (health.success_average(batch, keys, list(order)).withColumnRenamed("success_rate", "rate")
-             .join(_response_parts(batch, order), "feed")
-             .join(health.failure_streaks(batch).select("feed", F.col("last_success").alias("ok"),
-                                                        F.col("last_failure").alias("bad"), F.col("consecutive_failures").alias("streak")), "feed")
-             .join(batch.groupBy("feed").agg(F.count("*").alias("m")), "feed"))
+    streaks = health.failure_streaks(batch).select(
+        "feed", F.col("last_success").alias("ok"), F.col("last_failure").alias("bad"), F.col("consecutive_failures").alias("streak"))
+    own = health.averages(batch, list(order)).select(
+        "feed", F.col("n_attempts").alias("m"), F.col("success_rate").alias("rate"), F.col("avg_response_time").alias("seeded"),
+        F.col("unseeded").alias("added"))
+    grown = own.join(streaks, "feed")
     both = state.join(grown, "feed", "full_outer")
     n, m = F.coalesce("n_attempts", F.lit(0).cast("long")), F.coalesce("m", F.lit(0).cast("long"))
     old_rate, old_time = F.coalesce("success_rate", F.lit(1.0)), F.coalesce("avg_response_time", F.lit(0.0))
@@ -119,32 +130,27 @@ def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",))
         .alias("consecutive_failures"))
 
 
-def _response_parts(batch: DataFrame, order) -> DataFrame:
-    """The batch's average of response times, once seeded by itself and once as an addition to a state."""
-    own = batch.withColumn("response_time", F.coalesce("response_time", F.lit(0.0)))
-    seeded = health.seeded_average(own, ["feed"], list(order), "response_time", health.RESPONSE_DECAY, "seeded")
-    used = own.select("feed", F.struct(*order).alias("__o"), "response_time")
-    tail = first_n(used, ["feed"], [F.desc("__o")], health.TAIL, rank="__r")
-    share = (1.0 - health.RESPONSE_DECAY) * F.pow(F.lit(health.RESPONSE_DECAY), F.col("__r") - 1)
-    return tail.groupBy("feed").agg(F.sum(F.col("response_time") * share).alias("added")).join(seeded, "feed")
-
-
 def health_stream(attempts: DataFrame, path: str, checkpoint: str, order: list[str] = ("ts",), once: bool = False) -> StreamingQuery:
-    """Fold every batch of attempts into the health table; ``path/v=<n>`` holds it after batch n."""
+    """Fold every batch of attempts into the health table.
+
+    Two folders take turns: a batch reads the one its predecessor wrote and
+    writes the other, so it can be run again.
+    """
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(HEALTH).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], HEALTH)
-        staged = run_dir(spark, "attempts")
-        batch.write.parquet(staged)
-        fold_health(before, spark.read.schema(batch.schema).parquet(staged), order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        spark, turn = batch.sparkSession, number % 2
+        staged = f"{path}/attempts"
+        batch.write.mode("overwrite").parquet(staged)
+        before = spark.read.schema(HEALTH).parquet(f"{path}/health/turn={1 - turn}") if number else spark.createDataFrame([], HEALTH)
+        after = fold_health(before, spark.read.schema(batch.schema).parquet(staged), order)
+        after.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/health/turn={turn}")
 
     return _start(attempts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), once)
 
 
 def latest_health(spark: SparkSession, path: str) -> DataFrame:
     """The health table after the last batch."""
-    versions = spark.read.schema(_numbered(HEALTH, "v")).parquet(path)
-    return first_n(versions, ["feed"], [F.desc("v")], 1).drop("v")
+    both = spark.read.schema(StructType([*HEALTH.fields, StructField("batch", LongType())])).parquet(f"{path}/health")
+    return first_n(both, ["feed"], [F.desc("batch")], 1).select(*HEALTH.names)
 
 
 def run_to_end(query: StreamingQuery) -> None:

@@ -130,7 +130,7 @@ def test_streams_in_several_batches(spark, table, posts, tmp_path):
         stream = lambda: streams.read_landed(spark, f"{source}/*", schema.POSTS)
         streams.run_to_end(streams.upsert_stream(stream(), table, str(tmp_path / "c1"), once=True))
         cells = streams.rolling_stream(streams.scored(stream()))
-        streams.run_to_end(streams.write_updates(cells, str(tmp_path / "cells"), str(tmp_path / "c2"), once=True))
+        streams.run_to_end(streams.write_cells(cells, str(tmp_path / "cells"), str(tmp_path / "c2"), once=True))
         streams.run_to_end(streams.to_table(streams.deduplicated(stream()), str(tmp_path / "dedup"), str(tmp_path / "c3"), once=True))
     assert content(table) == {"1": "good again", "2": "bad", "4": "good"}
     rows = {naive(r["window_start"]): r["total_tweets"] for r in streams.rolling_from_cells(spark, str(tmp_path / "cells"), cells.schema).collect()}
