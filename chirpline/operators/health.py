@@ -61,7 +61,8 @@ def request_load(attempts: DataFrame, windows: dict | None = None) -> DataFrame:
         probe(0, 0, F.col("n")), *[probe(i + 1, s, zero) for i, s in enumerate(shifts)])))
     done = ends.select("feed", F.lit(-1).alias("kind"), "at", zero.alias("started"), F.col("n").alias("ended"),
                        none.alias("origin"))
-    totals = running_totals(marks.unionByName(done), ["feed"], "at", ["started", "ended"], next_of="started")
+    totals = running_totals(marks.unionByName(done), ["feed"], "at", ["started", "ended"],
+                            next_of="started" if names else None)
 
     def of(kind, column):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
@@ -102,19 +103,37 @@ def mirror_wait(attempts: DataFrame, per_minute: int = MIRROR_PER_MINUTE) -> Dat
     return load.withColumn("wait_time", F.when(F.col("mirror_count") >= per_minute, left).otherwise(0.0))
 
 
+def _tail(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last rows of each key with their ``__age``: 0 for the last one."""
+    last = first_n(rows, keys, [F.desc(c) for c in order], TAIL, rank="__r")
+    return last.withColumn("__age", F.col("__r") - 1)
+
+
+def _weighted(value: Column, decay: float) -> tuple[Column, Column, Column]:
+    """Aggregates of a tail: what its values add to an average, the weight missing from the earliest
+    value that is not zero, and how many values are not zero."""
+    faded = value * F.pow(F.lit(decay), F.col("__age"))
+    some = value != 0
+    return (F.sum(faded * (1.0 - decay)),
+            F.coalesce(F.max_by(F.when(some, faded * decay), F.when(some, F.col("__age"))), F.lit(0.0)),
+            F.count_if(some))
+
+
 def seeded_average(rows: DataFrame, keys: list[str], order: list[str], value: str, decay: float,
                    out: str = "average") -> DataFrame:
     """Exponential moving average per key, seeded by the first value that is not zero.
 
     The average is a weighted sum of the values, and the weight follows from a
     row's rank from the end. Only the last ``TAIL`` rows of a key carry weight.
+    The seed, which weighs more, is among them if they hold all values that
+    are not zero.
     """
-    used = rows.filter(F.col(value).isNotNull()).select(*keys, F.struct(*order).alias("__o"), F.col(value).alias("__v"))
-    seed = used.groupBy(*keys).agg(F.min(F.when(F.col("__v") != 0, F.col("__o"))).alias("__seed"))
-    tail = first_n(used, keys, [F.desc("__o")], TAIL, rank="__r")
-    share = F.when(F.col("__o") == F.col("__seed"), 1.0).otherwise(1.0 - decay)
-    weight = F.pow(F.lit(decay), F.col("__r") - 1)
-    return tail.join(seed, keys).groupBy(*keys).agg(F.sum(F.col("__v") * weight * share).alias(out))
+    used = rows.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("__v"))
+    whole = used.groupBy(*keys).agg(F.count_if(F.col("__v") != 0).alias("__all"))
+    added, seed, some = _weighted(F.col("__v"), decay)
+    tail = _tail(used, keys, order).groupBy(*keys).agg(added.alias("__added"), seed.alias("__seed"), some.alias("__some"))
+    return tail.join(whole, keys).select(
+        *keys, (F.col("__added") + F.when(F.col("__some") == F.col("__all"), F.col("__seed")).otherwise(0.0)).alias(out))
 
 
 def averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
@@ -124,19 +143,16 @@ def averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
     ``unseeded`` is what the same rows add to an average that has a past. A
     missing response time counts as zero.
     """
-    used = attempts.select("feed", F.struct(*order).alias("__o"), F.coalesce("response_time", F.lit(0.0)).alias("__v"),
-                           F.col("success").cast("double").alias("__s"))
-    whole = used.groupBy("feed").agg(F.count("*").alias("__n"), F.min(F.when(F.col("__v") != 0, F.col("__o"))).alias("__seed"))
-    tail = first_n(used, ["feed"], [F.desc("__o")], TAIL, rank="__r").join(whole, "feed")
-    age = F.col("__r") - 1
-    faded = F.col("__v") * F.pow(F.lit(RESPONSE_DECAY), age)
-    share = F.when(F.col("__o") == F.col("__seed"), 1.0).otherwise(1.0 - RESPONSE_DECAY)
-    gained = F.sum((1.0 - SUCCESS_DECAY) * F.pow(F.lit(SUCCESS_DECAY), age) * F.col("__s"))
-    return tail.groupBy("feed").agg(
-        F.max("__n").alias("n_attempts"),
-        (F.pow(F.lit(SUCCESS_DECAY), F.max("__n")) + gained).alias("success_rate"),
-        F.sum(faded * share).alias("avg_response_time"),
-        F.sum(faded * (1.0 - RESPONSE_DECAY)).alias("unseeded"))
+    used = attempts.select("feed", *order, F.coalesce("response_time", F.lit(0.0)).alias("__v"), "success")
+    whole = used.groupBy("feed").agg(F.count("*").alias("n_attempts"), F.count_if(F.col("__v") != 0).alias("__all"))
+    added, seed, some = _weighted(F.col("__v"), RESPONSE_DECAY)
+    gained = F.sum(F.when(F.col("success"), (1.0 - SUCCESS_DECAY) * F.pow(F.lit(SUCCESS_DECAY), F.col("__age"))).otherwise(0.0))
+    tail = _tail(used, ["feed"], list(order)).groupBy("feed").agg(
+        added.alias("unseeded"), seed.alias("__seed"), some.alias("__some"), gained.alias("__gained"))
+    return tail.join(whole, "feed").select(
+        "feed", "n_attempts", (F.pow(F.lit(SUCCESS_DECAY), F.col("n_attempts")) + F.col("__gained")).alias("success_rate"),
+        (F.col("unseeded") + F.when(F.col("__some") == F.col("__all"), F.col("__seed")).otherwise(0.0)).alias("avg_response_time"),
+        "unseeded")
 
 
 def feed_averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:

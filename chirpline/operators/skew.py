@@ -3,11 +3,11 @@
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
-SLICES = 1024
-SLICE_FROM = 50
+ROUND = 1024
+TWO_ROUNDS_FROM = 50
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str],
@@ -31,13 +31,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
 
     Spark cuts each map task's share to ``n`` rows per group before the
     shuffle, which is enough for a small ``n``. For a larger one the shares of
-    all map tasks would still be too much for one task, so slices of the group
-    are cut to ``n`` rows first, and only their survivors meet.
+    all map tasks could still be too much for one task. There the shares meet
+    in two rounds: those of some map tasks each, then the survivors.
     """
-    if n >= SLICE_FROM:
-        mixed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-        slices = Window.partitionBy(*keys, F.pmod(F.xxhash64(*mixed), F.lit(SLICES))).orderBy(*order)
-        df = df.withColumn("__slice", F.row_number().over(slices)).filter(F.col("__slice") <= n).drop("__slice")
+    if n >= TWO_ROUNDS_FROM:
+        # rows of a map task stay together, or its share could not be cut before the shuffle
+        some = df.withColumn("__round", F.pmod(F.spark_partition_id(), F.lit(ROUND)))
+        first = Window.partitionBy(*keys, "__round").orderBy(*order)
+        df = some.withColumn("__rank1", F.row_number().over(first)).filter(F.col("__rank1") <= n).drop("__rank1", "__round")
     name = rank or "__rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
     return out if rank else out.drop(name)

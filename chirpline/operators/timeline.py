@@ -1,16 +1,18 @@
 """Ordered totals over a log without putting a whole group into one task.
 
 A window over all rows of a feed would make one task per feed. Here the time
-line is cut into days and seconds: totals run over days within a feed, over
-seconds within a day (at most 86,400 of them) and over the moments within one
-second (at most a million once equal moments are merged). Each level is reduced
-by map-side aggregation before it is shuffled.
+line is cut into days and minutes: totals run over days within a feed, over
+minutes within a day (1,440 of them) and over the moments within one minute.
+Callers merge equal moments first, so a minute holds at most its 60 million
+microseconds however long the log is. The upper levels are reduced by map-side
+aggregation before they are shuffled.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chirpline.functions.times import DAY_SECONDS, MICROS
 
+MINUTE_SECONDS = 60
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -22,13 +24,13 @@ def running_totals(points: DataFrame, keys: list[str], at: str, measures: list[s
     moment at or after the row's where that measure is above zero.
     """
     cells = points.withColumns({
-        "__sec": F.floor(F.col(at) / F.lit(MICROS)),
+        "__min": F.floor(F.col(at) / F.lit(MICROS * MINUTE_SECONDS)),
         "__day": F.floor(F.col(at) / F.lit(MICROS * DAY_SECONDS)),
     })
     hit = F.when(F.col(next_of) > 0, F.col(at)) if next_of else F.lit(None).cast("long")
-    seconds = cells.groupBy(*keys, "__day", "__sec").agg(
+    minutes = cells.groupBy(*keys, "__day", "__min").agg(
         *[F.sum(m).alias(m) for m in measures], F.min(hit).alias("__hit"))
-    days = seconds.groupBy(*keys, "__day").agg(*[F.sum(m).alias(m) for m in measures], F.min("__hit").alias("__hit"))
+    days = minutes.groupBy(*keys, "__day").agg(*[F.sum(m).alias(m) for m in measures], F.min("__hit").alias("__hit"))
 
     def sums(frame, window, tag):
         return {f"__{m}_{tag}": F.coalesce(F.sum(m).over(window.rowsBetween(*BEFORE)), F.lit(0)) for m in measures}
@@ -37,21 +39,21 @@ def running_totals(points: DataFrame, keys: list[str], at: str, measures: list[s
         # the later rows, as the preceding ones of the reversed order
         return F.min("__hit").over(Window.partitionBy(*frame_keys).orderBy(F.desc(column)).rowsBetween(*BEFORE))
 
-    by_feed, by_day = Window.partitionBy(*keys).orderBy("__day"), Window.partitionBy(*keys, "__day").orderBy("__sec")
+    by_feed, by_day = Window.partitionBy(*keys).orderBy("__day"), Window.partitionBy(*keys, "__day").orderBy("__min")
     day_base = days.withColumns({**sums(days, by_feed, "day"), "__next_day": following(keys, "__day")}).drop(
         *measures, "__hit")
-    base = seconds.withColumns({**sums(seconds, by_day, "sec"), "__next_sec": following([*keys, "__day"], "__sec")}) \
+    base = minutes.withColumns({**sums(minutes, by_day, "min"), "__next_min": following([*keys, "__day"], "__min")}) \
         .drop(*measures, "__hit").join(day_base, [*keys, "__day"]).drop("__day")
 
-    inside = Window.partitionBy(*keys, "__sec").orderBy(at)
-    back = Window.partitionBy(*keys, "__sec").orderBy(F.desc(at))
+    inside = Window.partitionBy(*keys, "__min").orderBy(at)
+    back = Window.partitionBy(*keys, "__min").orderBy(F.desc(at))
     rows = cells.drop("__day").withColumns({
         f"__{m}_row": F.coalesce(F.sum(m).over(inside.rangeBetween(*BEFORE)), F.lit(0)) for m in measures})
     if next_of:
         rows = rows.withColumn("__next_row", F.min(hit).over(
             back.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = rows.join(base, [*keys, "__sec"])
-    added = {f"{m}_before": F.col(f"__{m}_row") + F.col(f"__{m}_sec") + F.col(f"__{m}_day") for m in measures}
+    out = rows.join(base, [*keys, "__min"])
+    added = {f"{m}_before": F.col(f"__{m}_row") + F.col(f"__{m}_min") + F.col(f"__{m}_day") for m in measures}
     if next_of:
-        added["next_at"] = F.coalesce("__next_row", "__next_sec", "__next_day")
+        added["next_at"] = F.coalesce("__next_row", "__next_min", "__next_day")
     return out.select(*points.columns, *[c.alias(n) for n, c in added.items()])
