@@ -239,53 +239,68 @@ class LexiconRules:
 _RATING = T.StructType([T.StructField(n, T.DoubleType()) for n in ("compound", "pos", "neg", "neu")])
 
 
-def rate_words(text: str, valence: dict, rules: LexiconRules) -> tuple[float, float, float, float]:
-    """Compound, positive, negative and neutral share of one text."""
-    words = [w if len(s := w.strip("!?.,;:'\"()[]{}<>*_~#@&%$-")) < 2 else s for w in text.split()]
-    lowered = [w.lower() for w in words]
-    plain = [w.replace("'", "").replace("’", "") for w in lowered]
-    shouting = any(w.isupper() for w in words) and not all(w.isupper() for w in words)
-    scores = []
-    for i, word in enumerate(lowered):
+EDGES = "!?.,;:'\"()[]{}<>*_~#@&%$-"
+
+
+def _spoken(raw: str) -> tuple[str, str, bool]:
+    """A word without the marks around it: lowered, the same without apostrophes, and whether it is in capitals."""
+    bare = raw.strip(EDGES)
+    word = bare if len(bare) > 1 else raw
+    low = word.lower()
+    return low, low.replace("'", "").replace("\u2019", ""), word.isupper()
+
+
+def rate_words(text: str, valence: dict, rules: LexiconRules, known: dict | None = None) -> tuple[float, float, float, float]:
+    """Compound, positive, negative and neutral share of one text. ``known`` keeps words already taken apart."""
+    known = {} if known is None else known
+    words = []
+    for raw in text.split():
+        word = known.get(raw)
+        if word is None:
+            word = known[raw] = _spoken(raw)
+        words.append(word)
+    capitals = sum(w[2] for w in words)
+    shouting = 0 < capitals < len(words)
+
+    def denies(word):
+        return word[1] in rules.negations or bool(rules.negations) and word[0].endswith(("n't", "n\u2019t"))
+
+    scores = {}
+    for i, (word, _, upper) in enumerate(words):
         v = valence.get(word, 0.0)
-        if word in rules.boosters or word in rules.dampers:
-            v = 0.0
-        if v:
-            sign = math.copysign(1.0, v)
-            if shouting and words[i].isupper():
-                v += sign * rules.caps
-            for back in range(1, min(3, i) + 1):
-                j = i - back
-                if lowered[j] in valence and lowered[j] not in rules.boosters:
-                    continue
-                step = rules.boost if lowered[j] in rules.boosters else -rules.boost if lowered[j] in rules.dampers else 0.0
-                if step:
-                    if shouting and words[j].isupper():
-                        step += math.copysign(rules.caps, step)
-                    v += sign * step * rules.fade[back - 1]
-            if any(p in rules.negations or (w.endswith("n't") or w.endswith("n’t")) and rules.negations
-                   for w, p in zip(lowered[max(0, i - 3):i], plain[max(0, i - 3):i])):
-                v *= rules.negation
-        scores.append(v)
-    if "but" in lowered and (rules.before_but, rules.after_but) != (1, 1):
-        turn = lowered.index("but")
-        scores = [s * (rules.before_but if i < turn else rules.after_but if i > turn else 1.0)
-                  for i, s in enumerate(scores)]
+        if not v or word in rules.boosters or word in rules.dampers:
+            continue
+        sign = math.copysign(1.0, v)
+        if shouting and upper:
+            v += sign * rules.caps
+        before = words[max(0, i - 3):i]
+        for fade, (near, _, loud) in zip(rules.fade, reversed(before)):
+            step = rules.boost if near in rules.boosters else -rules.boost if near in rules.dampers else 0.0
+            if step and shouting and loud:
+                step += math.copysign(rules.caps, step)
+            v += sign * step * fade
+        if any(denies(w) for w in before):
+            v *= rules.negation
+        scores[i] = v
+    turn = next((i for i, w in enumerate(words) if w[0] == "but"), None)
+    if turn is not None:
+        scores = {i: v * (rules.before_but if i < turn else rules.after_but if i > turn else 1.0) for i, v in scores.items()}
     marks = text.count("?")
     emphasis = min(text.count("!"), 4) * rules.exclamation
-    emphasis += (marks * rules.question if marks <= 3 else rules.many_questions) if marks > 1 else 0.0
-    total = sum(scores)
+    if marks > 1:
+        emphasis += marks * rules.question if marks <= 3 else rules.many_questions
+    total = sum(scores.values())
     total += math.copysign(emphasis, total) if total else 0.0
     compound = max(-1.0, min(1.0, total / math.sqrt(total * total + rules.alpha)))
-    up = sum(s + 1 for s in scores if s > 0)
-    down = sum(s - 1 for s in scores if s < 0)
-    flat = sum(1 for s in scores if s == 0)
+    up = sum(s + 1 for s in scores.values() if s > 0)
+    down = sum(s - 1 for s in scores.values() if s < 0)
+    flat = len(words) - sum(1 for s in scores.values() if s)
     if up > -down:
         up += emphasis
     elif up < -down:
         down -= emphasis
     whole = (up - down + flat) or 1.0
-    return compound, abs(up / whole), abs(down / whole), abs(flat / whole)
+    return compound, up / whole, -down / whole, flat / whole
 
 
 @dataclass(frozen=True)
@@ -314,8 +329,8 @@ class LexiconScorer:
 
             @F.pandas_udf(_RATING)
             def rate(texts: pd.Series) -> pd.DataFrame:
-                lookup = table.value
-                rows = [(None,) * 4 if t is None else rate_words(t, lookup, rules) for t in texts]
+                lookup, known = table.value, {}
+                rows = [(None,) * 4 if t is None else rate_words(t, lookup, rules, known) for t in texts]
                 return pd.DataFrame(rows, columns=_RATING.names)
 
             rated = df.withColumn("__rate", rate(F.col(text)))
@@ -328,8 +343,7 @@ class LexiconScorer:
 
             words = F.array_distinct(F.transform(
                 tx.tokens(F.col(text), remove_urls=False),
-                lambda w: F.when(F.length(F.btrim(w, F.lit("!?.,;:'\"()[]{}<>*_~#@&%$-"))) < 2, w).otherwise(
-                    F.btrim(w, F.lit("!?.,;:'\"()[]{}<>*_~#@&%$-")))))
+                lambda w: F.when(F.length(F.btrim(w, F.lit(EDGES))) < 2, w).otherwise(F.btrim(w, F.lit(EDGES)))))
             used = df.select(self.key, F.explode(words).alias("token"))
             found = salted_join(used, known, ["token"], "inner", salt_by=[self.key]).groupBy(self.key).agg(
                 F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__found"))
