@@ -146,12 +146,17 @@ DATE_FORMATS = [
     "MMM d, yyyy · h:mm a z",
     "MMM d, yyyy h:mm a z",
     "MMM d, yyyy",
+    "d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss xx",
     "d MMM yyyy HH:mm:ss",
+    "d MMM yyyy",
+    "MMM d HH:mm:ss xx yyyy",
 ]
+WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
 
 
 def parse_date(text: Column) -> Column:
     """The site's own format, then a few common ones, then ISO; null if none fits."""
-    trimmed = strip(text)
+    trimmed = F.regexp_replace(strip(text), WEEKDAY, "")
     iso = F.when(F.rlike(trimmed, F.lit(r"^\d{4}-\d{2}")), trimmed.try_cast("timestamp"))
     return F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(f)) for f in DATE_FORMATS])

@@ -12,22 +12,28 @@ EXPIRY_SECONDS = 300
 CAPACITY = 1000
 
 
+def _target_keys(attempts: DataFrame) -> list[str]:
+    return [c for c in ("target_type", "target") if c in attempts.columns]
+
+
 def target_state(attempts: DataFrame) -> DataFrame:
     """Per target: when it last brought rows, and the failures since.
 
     An attempt that stored no rows counts as a failure when the log says how
-    many rows there were.
+    many rows there were. A log that names the ``target_type`` keeps a user and
+    a search of the same name apart.
     """
     ok = F.col("success") & (F.coalesce(F.col("n_rows"), F.lit(1)) > 0) if "n_rows" in attempts.columns else F.col("success")
-    return failure_streaks(attempts, ["target"], ok).select(
-        "target", F.col("last_success").alias("last_scraped"), F.col("consecutive_failures").alias("error_count"))
+    keys = _target_keys(attempts)
+    return failure_streaks(attempts, keys, ok).select(
+        *keys, F.col("last_success").alias("last_scraped"), F.col("consecutive_failures").alias("error_count"))
 
 
 def due_targets(targets: DataFrame, attempts: DataFrame, as_of, min_age_seconds: float = MAX_AGE_HOURS * 3600) -> DataFrame:
     """Targets never collected or last collected at least that long ago."""
     state = target_state(attempts).withColumnRenamed("target", "value")
     age = age_seconds(F.col("last_scraped"), moment(as_of))
-    return targets.join(state, "value", "left").withColumn("error_count", F.coalesce("error_count", F.lit(0).cast("long"))) \
+    return targets.join(state, ["value", *_target_keys(attempts)[:-1]], "left").withColumn("error_count", F.coalesce("error_count", F.lit(0).cast("long"))) \
         .filter(F.col("last_scraped").isNull() | (age >= min_age_seconds))
 
 

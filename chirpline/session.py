@@ -18,6 +18,9 @@ RECOMMENDED_CONF = {
 }
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
@@ -27,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="chirpline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="chirpline-")
+        return _LOCAL[app]
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 

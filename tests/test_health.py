@@ -140,6 +140,8 @@ def test_targets(spark):
     due = {r["value"]: r for r in backlog.due_targets(targets, tries, at()).collect()}
     assert sorted(due) == ["empty", "never", "old"]
     assert (due["old"]["error_count"], due["empty"]["error_count"], due["never"]["error_count"]) == (1, 1, 0)
+    typed = tries.filter("target = 'fresh'").withColumn("target_type", F.lit("search"))
+    assert {r["value"] for r in backlog.due_targets(targets, typed, at()).collect()} == {"fresh", "old", "never", "empty"}
     edge = backlog.due_targets(targets, tries, at(-60, seconds=30), 30)
     assert {r["value"] for r in edge.collect()} >= {"fresh"}
     r = backlog.collection_summary(tries, targets.count(), seconds=2).first()
