@@ -166,10 +166,11 @@ def failure_streaks(attempts: DataFrame, keys: list[str] = ("feed",), ok: Column
     log = attempts.select(*keys, "ts", good.alias("__ok"))
     last = log.groupBy(*keys).agg(F.max(F.when(F.col("__ok"), F.col("ts"))).alias("last_success"),
                                   F.max(F.when(~F.col("__ok"), F.col("ts"))).alias("last_failure"))
-    # a key may hold most of the log: its rows are spread, and reduced before they meet
-    since = salted_join(log.filter(~F.col("__ok")), last.select(*keys, "last_success"), list(keys), "inner", ["ts"]) \
+    # a key may hold most of the log: equal failures are merged and the rest is spread over tasks
+    failures = log.filter(~F.col("__ok")).groupBy(*keys, "ts").agg(F.count("*").alias("__n"))
+    since = salted_join(failures, last.select(*keys, "last_success"), list(keys), "inner", ["ts"]) \
         .filter(F.col("last_success").isNull() | (F.col("ts") > F.col("last_success"))) \
-        .groupBy(*keys).agg(F.count("*").alias("consecutive_failures"))
+        .groupBy(*keys).agg(F.sum("__n").alias("consecutive_failures"))
     return last.join(since, list(keys), "left").withColumn(
         "consecutive_failures", F.coalesce("consecutive_failures", F.lit(0).cast("long")))
 

@@ -67,11 +67,10 @@ def feed_winners(attempts: DataFrame, keys: list[str] = ("target",), feed: str =
     })
 
 
-def winner_rows(rows: DataFrame, winners: DataFrame, keys: list[str] = ("target",), feed: str = "feed",
-                salt_by: list[str] = ("tweet_id",)) -> DataFrame:
+def winner_rows(rows: DataFrame, winners: DataFrame, keys: list[str] = ("target",), feed: str = "feed") -> DataFrame:
     """Rows of the feed that won for their target; a target with many rows is spread over tasks."""
     on = [*keys, feed]
-    return salted_join(rows, winners.filter("success").select(*on), on, "inner", list(salt_by))
+    return salted_join(rows, winners.filter("success").select(*on), on, "inner")
 
 
 def first_n_per_target(rows: DataFrame, n: int = 100, keys: list[str] = ("target",),

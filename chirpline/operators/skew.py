@@ -10,18 +10,21 @@ ROUND = 1024
 TWO_ROUNDS_FROM = 50
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str],
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str] | None = None,
                 salts: int = SALTS) -> DataFrame:
     """Join ``big`` to ``small``, spreading each key of ``big`` over ``salts`` tasks.
 
     ``small`` has one row per key (it is the result of an aggregation, or a
-    list of settings), so repeating it costs little. The salt is a hash of row
-    values, so a retried task computes it again. When ``small`` turns out to
-    be below the broadcast limit, adaptive execution broadcasts it instead.
+    list of settings), so repeating it costs little. The salt is a hash of the
+    ``salt_by`` values, or without them the number of the task a row comes
+    from, which spreads equal rows too. A retried task computes the same salt
+    either way. When ``small`` turns out to be below the broadcast limit,
+    adaptive execution broadcasts it instead.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
+    mark = F.xxhash64(*salt_by) if salt_by else F.spark_partition_id().cast("long")
+    left = big.withColumn("__salt", F.pmod(mark, F.lit(salts).cast("long")))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
