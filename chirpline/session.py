@@ -1,6 +1,5 @@
 """Session helpers: the shared folder and the settings the jobs are tuned for."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +17,10 @@ RECOMMENDED_CONF = {
 }
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder of this machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="chirpline-")
-        return _LOCAL[app]
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder of the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_chirpline"
+    return path.rstrip("/")
 
 
 def spread(scan: DataFrame) -> DataFrame:
