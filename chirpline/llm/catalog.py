@@ -1,8 +1,12 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from chirpline.llm.decontaminate import op2_decontaminate
+from chirpline.llm.licenses import op9_licenses
+from chirpline.llm.tokencount import op6_token_counts
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op6_token_counts": op6_token_counts,
+    "op9_licenses": op9_licenses,
 }
 ORACLE = {}
