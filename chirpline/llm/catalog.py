@@ -2,11 +2,17 @@
 
 from chirpline.llm.decontaminate import op2_decontaminate
 from chirpline.llm.licenses import op9_licenses
+from chirpline.llm.pack import op1_pack
+from chirpline.llm.pii import op8_pii
+from chirpline.llm.quality import op10_quality
 from chirpline.llm.tokencount import op6_token_counts
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_decontaminate": op2_decontaminate,
     "op6_token_counts": op6_token_counts,
+    "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
+    "op10_quality": op10_quality,
 }
 ORACLE = {}
