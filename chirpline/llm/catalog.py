@@ -2,6 +2,7 @@
 
 from chirpline.llm.decontaminate import op2_decontaminate
 from chirpline.llm.licenses import op9_licenses
+from chirpline.llm.linededup import op3_line_dedup
 from chirpline.llm.ngramjoin import op4_ngram_join
 from chirpline.llm.pack import op1_pack
 from chirpline.llm.pii import op8_pii
@@ -11,6 +12,7 @@ from chirpline.llm.tokencount import op6_token_counts
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_token_counts": op6_token_counts,
     "op8_pii": op8_pii,
