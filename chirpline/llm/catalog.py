@@ -7,6 +7,7 @@ from chirpline.llm.ngramjoin import op4_ngram_join
 from chirpline.llm.pack import op1_pack
 from chirpline.llm.pii import op8_pii
 from chirpline.llm.quality import op10_quality
+from chirpline.llm.substrings import op7_substring_dedup
 from chirpline.llm.tokencount import op6_token_counts
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
