@@ -9,12 +9,14 @@ from chirpline.llm.pii import op8_pii
 from chirpline.llm.quality import op10_quality
 from chirpline.llm.substrings import op7_substring_dedup
 from chirpline.llm.tokencount import op6_token_counts
+from chirpline.llm.vectors import op5_vectors
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op5_vectors": op5_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
