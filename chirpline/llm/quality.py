@@ -17,6 +17,7 @@ score is 0.5; rows that repeat are scored each; other columns are not looked at.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +171,25 @@ def quality_scores(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_
     return arrow_map(texts_of(docs, id_col, text_col), make, schema)
 
 
+def keep_good(docs: DataFrame, net: ByteConvNet | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents with a score of at least the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(None if net is None else (net.filters, net.weights, net.bias))
+
+    def run(batches):
+        own = None if sent.value is None else ByteConvNet()
+        if own is not None:
+            own.filters, own.weights, own.bias = sent.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            data, offsets = raw(texts)
+            if own is not None and batch.num_rows:
+                score = np.concatenate([own.probabilities(data, offsets[lo:hi + 1]) for lo, hi in text_slices(texts, 1 << 18)])
+                batch = batch.filter(pa.array(score >= threshold))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
