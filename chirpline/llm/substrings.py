@@ -120,7 +120,7 @@ def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, T.StructType.fromDDL("key long, sid long"))
 
 
-PASSAGES = T.StructType.fromDDL("key long, doc_id long, tid long, start long, words binary")
+PASSAGES = "key long, doc_id long, tid long, start long, words binary"
 
 
 def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
@@ -128,6 +128,8 @@ def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
 
     ``known`` is a broadcast sorted array of anchors, or None if the rows bring their own in ``keys``. Of equal texts a task gives those with a smaller id than before.
     """
+    schema = T.StructType.fromDDL(PASSAGES)
+
     def run(batches):
         own, had = Anchored(window, anchor), {}
         for batch in batches:
@@ -163,9 +165,9 @@ def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
                 words = [bytes(view[8 * a:8 * b]) for a, b in zip(at[lead].tolist(), (at[last] + window).tolist())]
                 rows = pa.array(row[lead] + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(signed[lead]), batch.column("doc_id").take(rows), batch.column("tid").take(rows),
-                                                  pa.array(at[lead] - first[row[lead]]), pa.array(words, pa.binary())], names=PASSAGES.names)
+                                                  pa.array(at[lead] - first[row[lead]]), pa.array(words, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, PASSAGES)
+    return docs.mapInArrow(run, schema)
 
 
 def shard_hits(rows: DataFrame, window: int) -> DataFrame:
