@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of
-from chirpline.llm.units import SPACES, UNIT, Memory, tokenizer_path
+from chirpline.llm.units import SPACES, UNIT, Memory, kept_in_process, tokenizer_path
 from chirpline.llm.words import raw
 
 LIMIT = 1024
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 # The split pattern of the vocabulary, and its matches of which a shorter prefix splits otherwise.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NEVER = 1 << 40
+NEVER, HEAD = 1 << 40, 4
 LATE = ("'re", "'ve", "'ll")
 
 
@@ -58,7 +58,7 @@ class PrefixCounter:
         self.ranks = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(pairs)}
         self.starts = dict.fromkeys((b[:k] for b in self.tokens for k in range(1, len(b))), -1) | self.tokens
         self.split, self.library = regex.compile(SPLIT), Tokenizer.from_file(path).pre_tokenizer
-        self.apart, self.whole, self.steps, self.runs, self.remembered = {}, {}, {}, {}, Memory(remembered)
+        self.apart, self.whole, self.steps, self.runs, self.heads, self.remembered = {}, {}, {}, {}, {}, Memory(remembered)
 
     def merged(self, data):
         """Tokens of a run of bytes by applying the merges in their order."""
@@ -121,6 +121,31 @@ class PrefixCounter:
             known = self.whole[token] = self.merged(data) == [data]
         return known
 
+    def tokens_of(self, head):
+        """Sizes and tokens that start a few bytes; a size of 0 at the end if longer ones may."""
+        found, starts = [], self.starts
+        for k in range(1, len(head) + 1):
+            t = starts.get(head[:k])
+            if t is None:
+                break
+            if t >= 0:
+                found.append((k, t))
+        else:
+            if len(head) == HEAD:
+                found.append((0, -1))
+        if len(self.heads) > self.remembered.most:
+            self.heads.clear()
+        self.heads[head] = found
+        return found
+
+    def longer(self, data, i):
+        for j in range(i + HEAD + 1, len(data) + 1):
+            t = self.starts.get(data[i:j])
+            if t is None:
+                return
+            if t >= 0:
+                yield j - i, t
+
     def run_counts(self, text):
         """Counts of the prefixes of a run that the split pattern leaves in one piece."""
         known = self.runs.get(text)
@@ -132,23 +157,26 @@ class PrefixCounter:
 
     def _run_counts(self, text):
         data = text.encode()
-        n, starts, apart = len(data), self.starts, self.apart
+        n, apart, known = len(data), self.apart, self.heads
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             before = last[i] << 20
-            for j in range(i + 1, n + 1):
-                t = starts.get(data[i:j])
-                if t is None:
-                    break
-                if t >= 0 and last[j] < 0:
+            head = data[i:i + HEAD]
+            found = known.get(head)
+            if found is None:
+                found = self.tokens_of(head)
+            if found and found[-1][0] == 0:
+                found = [*found[:-1], *self.longer(data, i)]
+            for size, t in found:
+                if last[i + size] < 0:
                     if i:
                         fits = apart.get(before | t)
                         if fits is None:
                             fits = self.stays_apart(last[i], t)
                     else:
-                        fits = self.is_whole(t, data[:j])
+                        fits = self.is_whole(t, data[:size])
                     if fits:
-                        last[j], count[j] = t, count[i] + 1
+                        last[i + size], count[i + size] = t, count[i] + 1
         if n == len(text):
             return count[1:]
         return [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
@@ -160,6 +188,12 @@ class PrefixCounter:
 
     def unit_counts(self, unit):
         """Counts of the prefixes of a unit, by characters."""
+        body = unit[1:] if unit[0] == " " else unit
+        if body.isalpha():
+            return self.run_counts(unit)
+        if body[:-1].isalpha() and body[-1] in ",.!?:;":
+            counts = self.run_counts(unit[:-1])
+            return [*counts, counts[-1] + 1]
         for special in self.special:
             if (at := unit.find(special)) >= 0:
                 end = at + len(special)
@@ -206,7 +240,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     schema = doc_schema(("prefix_tokens", "array<int>"), id_type=docs.schema[id_col].dataType)
 
     def make():
-        counter = PrefixCounter(path)
+        counter = kept_in_process(("prefix counter", path), lambda: PrefixCounter(path))
 
         def step(batch):
             for i, text in enumerate(batch.column("text")):
@@ -223,7 +257,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, i
     schema = doc_schema(("n_bytes", "long"), ("n_tokens", "long"), ("fit_chars", "long"), id_type=docs.schema[id_col].dataType)
 
     def make():
-        counter = PrefixCounter(path)
+        counter = kept_in_process(("prefix counter", path), lambda: PrefixCounter(path))
 
         def step(batch):
             texts = batch.column("text")

@@ -8,6 +8,8 @@ characters behind it.
 """
 
 import re
+import sys
+from types import ModuleType
 
 # The characters of the White_Space property.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -23,6 +25,17 @@ def tokenizer_path(path=None):
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+def kept_in_process(key, build):
+    """What ``build()`` gives, kept for all later tasks of this worker process.
+
+    Functions reach the workers by value, so a global of this module would be a new one in each task.
+    """
+    store = sys.modules.setdefault("_chirpline_kept", ModuleType("_chirpline_kept")).__dict__
+    if key not in store:
+        store[key] = build()
+    return store[key]
+
+
 class Memory:
     """A dictionary that forgets: at ``most`` new entries the older half goes."""
 
