@@ -239,6 +239,7 @@ class LexiconRules:
 _RATING = T.StructType([T.StructField(n, T.DoubleType()) for n in ("compound", "pos", "neg", "neu")])
 
 
+ENTRY_BYTES = 200  # of a word and its valence in a dictionary, besides the letters
 EDGES = "!?.,;:'\"()[]{}<>*_~#@&%$-"
 
 
@@ -307,25 +308,24 @@ def rate_words(text: str, valence: dict, rules: LexiconRules, known: dict | None
 class LexiconScorer:
     """Valence scorer over a lexicon table ``(token string, valence double)``.
 
-    A lexicon of at most ``max_broadcast`` tokens goes to the tasks as one
+    A lexicon of at most ``max_broadcast`` bytes goes to the tasks as one
     broadcast dictionary. A larger one is joined to the distinct words of the
-    posts instead, for which ``key`` must name a unique column.
+    distinct texts instead. A rating depends on nothing but the text, so both
+    give every row the same, whatever its ids.
     """
 
     lexicon: DataFrame
     rules: LexiconRules = LexiconRules()
-    key: str = "tweet_id"
-    max_broadcast: int = 200_000
+    max_broadcast: int = 16 << 20
     name: str = "lexicon"
 
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         known = self.lexicon.filter("token is not null and valence is not null").groupBy("token").agg(
             F.max("valence").alias("valence"))
-        # reads at most one row more than the limit, so the check itself is bounded
-        head = known.limit(self.max_broadcast + 1).collect()
+        size = known.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0
         rules = self.rules
-        if len(head) <= self.max_broadcast:
-            table = df.sparkSession.sparkContext.broadcast({r["token"]: float(r["valence"]) for r in head})
+        if size <= self.max_broadcast:
+            table = df.sparkSession.sparkContext.broadcast({r["token"]: float(r["valence"]) for r in known.toLocalIterator()})
 
             @F.pandas_udf(_RATING)
             def rate(texts: pd.Series) -> pd.DataFrame:
@@ -344,11 +344,12 @@ class LexiconScorer:
             words = F.array_distinct(F.transform(
                 tx.tokens(F.col(text), remove_urls=False),
                 lambda w: F.when(F.length(F.btrim(w, F.lit(EDGES))) < 2, w).otherwise(F.btrim(w, F.lit(EDGES)))))
-            used = df.select(self.key, F.explode(words).alias("token"))
-            found = salted_join(used, known, ["token"], "inner", salt_by=[self.key]).groupBy(self.key).agg(
+            used = df.select(F.md5(F.col(text)).alias("__key"), words.alias("__words")).filter("__key is not null").dropDuplicates(["__key"])
+            used = used.select("__key", F.explode("__words").alias("token"))
+            found = salted_join(used, known, ["token"], "inner", salt_by=["__key"]).groupBy("__key").agg(
                 F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__found"))
-            rated = df.join(found, self.key, "left").withColumn(
-                "__rate", rate_found(F.col(text), F.col("__found"))).drop("__found")
+            rated = df.withColumn("__key", F.md5(F.col(text))).join(found, "__key", "left").withColumn(
+                "__rate", rate_found(F.col(text), F.col("__found"))).drop("__found", "__key")
         value = F.col("__rate.compound")
         result = F.struct(
             value.alias("score"),
@@ -407,12 +408,12 @@ class EnsembleScorer:
 
 
 def make_scorer(options: dict | ScoreConfig | None = None, lexicon: DataFrame | None = None,
-                key: str = "tweet_id", rules: LexiconRules = LexiconRules()) -> EnsembleScorer:
+                rules: LexiconRules = LexiconRules()) -> EnsembleScorer:
     """The configured ensemble. Without a lexicon only keywords count."""
     cfg = options if isinstance(options, ScoreConfig) else ScoreConfig.from_dict(options)
     members = [(KeywordScorer(cfg), cfg.keyword_weight)]
     if lexicon is not None:
-        members.insert(0, (LexiconScorer(lexicon, rules, key), cfg.lexicon_weight))
+        members.insert(0, (LexiconScorer(lexicon, rules), cfg.lexicon_weight))
     return EnsembleScorer(tuple(members), cfg)
 
 

@@ -1,9 +1,9 @@
 """Load, averages, status and ranking of feeds, computed from their attempt log."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chirpline.functions.times import MICROS, age_seconds, minus_seconds, moment
-from chirpline.operators.skew import first_n, salted_join
+from chirpline.operators.skew import salted_join
 from chirpline.operators.timeline import running_totals
 
 # Limits per feed (per minute, per hour, at once), and of any other feed.
@@ -17,9 +17,6 @@ LIMITS = ("requests_per_minute", "requests_per_hour", "concurrent_requests")
 RESPONSE_DECAY, SUCCESS_DECAY = 0.8, 0.9
 FAILED_STREAK, DEGRADED_SUCCESS, DEGRADED_SECONDS = 5, 0.7, 30.0
 
-# Rows this far back weigh at most 0.9 ** 1000 < 2e-46, far below the rounding of a double.
-TAIL = 1000
-
 
 def quota_table(spark, overrides: dict | None = None) -> DataFrame:
     """Limits by feed: the defaults, with overrides whose missing limits get their own defaults."""
@@ -103,56 +100,65 @@ def mirror_wait(attempts: DataFrame, per_minute: int = MIRROR_PER_MINUTE) -> Dat
     return load.withColumn("wait_time", F.when(F.col("mirror_count") >= per_minute, left).otherwise(0.0))
 
 
-def _tail(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last rows of each key with their ``__age``: 0 for the last one."""
-    last = first_n(rows, keys, [F.desc(c) for c in order], TAIL, rank="__r")
-    return last.withColumn("__age", F.col("__r") - 1)
-
+def _folded(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, float]]) -> DataFrame:
+    """What the values of each key add to moving averages, over all rows: ``n`` and, for each name, ``<name>_added`` and ``<name>_seed``.
 
-def _weighted(value: Column, decay: float) -> tuple[Column, Column, Column]:
-    """Aggregates of a tail: what its values add to an average, the weight missing from the earliest
-    value that is not zero, and how many values are not zero."""
-    faded = value * F.pow(F.lit(decay), F.col("__age"))
-    some = value != 0
-    return (F.sum(faded * (1.0 - decay)),
-            F.coalesce(F.max_by(F.when(some, faded * decay), F.when(some, F.col("__age"))), F.lit(0.0)),
-            F.count_if(some))
+    ``values`` maps a name to a column and its decay. A row weighs its decay to
+    the power of the rows after it. These are counted within the minute, within
+    the day and within the key, so that no task holds more than a minute's
+    rows, a day's minutes or a key's days. ``<name>_seed`` is the weight that
+    the first value that is not zero has beyond that of other rows.
+    """
+    by_time = isinstance(rows.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
+    cell = F.date_trunc("minute", order[0]) if by_time else F.lit(0)
+    day = F.date_trunc("day", order[0]) if by_time else F.lit(0)
+    last_first = [F.desc(c) for c in order]
+    aged = rows.withColumns({"__day": day, "__cell": cell}).withColumn(
+        "__age", F.row_number().over(Window.partitionBy(*keys, "__day", "__cell").orderBy(*last_first)) - 1)
+    parts = []
+    for name, (column, decay) in values.items():
+        faded = F.col(column) * F.pow(F.lit(decay), F.col("__age"))
+        some = F.col(column) != 0
+        parts += [F.sum(faded).alias(f"__{name}"), F.max_by(F.when(some, faded), F.when(some, F.col("__age"))).alias(f"__{name}_first")]
+    cells = aged.groupBy(*keys, "__day", "__cell").agg(F.count("*").alias("__n"), *parts)
+    for level in (["__day"], []):
+        key, at = [*keys, *level], "__cell" if level else "__day"
+        later = Window.partitionBy(*key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+        parts = []
+        for name, (_, decay) in values.items():
+            fade = F.pow(F.lit(decay), F.col("__after"))
+            first = F.col(f"__{name}_first")
+            parts += [F.sum(F.col(f"__{name}") * fade).alias(f"__{name}"),
+                      F.min_by(first * fade, F.when(first.isNotNull(), F.col(at))).alias(f"__{name}_first")]
+        cells = cells.groupBy(*key).agg(F.sum("__n").alias("__n"), *parts)
+    out = [F.col("__n").alias("n")]
+    for name, (_, decay) in values.items():
+        out += [(F.col(f"__{name}") * (1.0 - decay)).alias(f"{name}_added"),
+                (F.coalesce(f"__{name}_first", F.lit(0.0)) * decay).alias(f"{name}_seed")]
+    return cells.select(*keys, *out)
 
 
 def seeded_average(rows: DataFrame, keys: list[str], order: list[str], value: str, decay: float,
                    out: str = "average") -> DataFrame:
-    """Exponential moving average per key, seeded by the first value that is not zero.
-
-    The average is a weighted sum of the values, and the weight follows from a
-    row's rank from the end. Only the last ``TAIL`` rows of a key carry weight.
-    The seed, which weighs more, is among them if they hold all values that
-    are not zero.
-    """
-    used = rows.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("__v"))
-    whole = used.groupBy(*keys).agg(F.count_if(F.col("__v") != 0).alias("__all"))
-    added, seed, some = _weighted(F.col("__v"), decay)
-    tail = _tail(used, keys, order).groupBy(*keys).agg(added.alias("__added"), seed.alias("__seed"), some.alias("__some"))
-    return tail.join(whole, keys).select(
-        *keys, (F.col("__added") + F.when(F.col("__some") == F.col("__all"), F.col("__seed")).otherwise(0.0)).alias(out))
+    """Exponential moving average per key over all its rows, seeded by the first value that is not zero."""
+    used = rows.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("__v"))
+    return _folded(used, keys, order, {"v": ("__v", decay)}).select(*keys, (F.col("v_added") + F.col("v_seed")).alias(out))
 
 
 def averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
-    """Both moving averages of each feed, from one cut of its last rows.
+    """Both moving averages of each feed.
 
     ``avg_response_time`` is seeded by the first value that is not zero;
     ``unseeded`` is what the same rows add to an average that has a past. A
     missing response time counts as zero.
     """
-    used = attempts.select("feed", *order, F.coalesce("response_time", F.lit(0.0)).alias("__v"), "success")
-    whole = used.groupBy("feed").agg(F.count("*").alias("n_attempts"), F.count_if(F.col("__v") != 0).alias("__all"))
-    added, seed, some = _weighted(F.col("__v"), RESPONSE_DECAY)
-    gained = F.sum(F.when(F.col("success"), (1.0 - SUCCESS_DECAY) * F.pow(F.lit(SUCCESS_DECAY), F.col("__age"))).otherwise(0.0))
-    tail = _tail(used, ["feed"], list(order)).groupBy("feed").agg(
-        added.alias("unseeded"), seed.alias("__seed"), some.alias("__some"), gained.alias("__gained"))
-    return tail.join(whole, "feed").select(
-        "feed", "n_attempts", (F.pow(F.lit(SUCCESS_DECAY), F.col("n_attempts")) + F.col("__gained")).alias("success_rate"),
-        (F.col("unseeded") + F.when(F.col("__some") == F.col("__all"), F.col("__seed")).otherwise(0.0)).alias("avg_response_time"),
-        "unseeded")
+    used = attempts.select("feed", *order, F.coalesce("response_time", F.lit(0.0)).alias("__v"),
+                           F.when(F.col("success"), 1.0).otherwise(0.0).alias("__ok"))
+    folded = _folded(used, ["feed"], list(order), {"v": ("__v", RESPONSE_DECAY), "ok": ("__ok", SUCCESS_DECAY)})
+    return folded.select(
+        "feed", F.col("n").alias("n_attempts"), (F.pow(F.lit(SUCCESS_DECAY), F.col("n")) + F.col("ok_added")).alias("success_rate"),
+        (F.col("v_added") + F.col("v_seed")).alias("avg_response_time"), F.col("v_added").alias("unseeded"))
 
 
 def feed_averages(attempts: DataFrame, order: list[str] = ("ts",)) -> DataFrame:

@@ -8,7 +8,7 @@ from chirpline.functions.times import latest, minus_seconds
 from chirpline.operators import aggregate, backlog, filters, health, keyed, threads, validate
 from chirpline.plans import collect, oracle as o, rendered
 from chirpline.plans.scoring import live_signal, scoring_run
-from chirpline.session import run_dir, spread
+from chirpline.session import run_dir
 from chirpline.sources import feeds, pages, store, warehouse as wh
 from chirpline.streaming import streams
 
@@ -68,7 +68,7 @@ def scoring_run_all(posts: DataFrame) -> DataFrame:
 
 def recent_scored(spark, sf, hours: float) -> DataFrame:
     """Posts of the last hours with their scores: here the time filter comes first."""
-    recent = filters.get_posts(wh.posts(spark, sf, heavy=True), start_time=minus_seconds(as_of_posts(spark, sf), hours * 3600))
+    recent = filters.get_posts(wh.posts(spark, sf), start_time=minus_seconds(as_of_posts(spark, sf), hours * 3600))
     return scoring_run(recent)
 
 
@@ -99,6 +99,18 @@ def posts_quarantine(spark, sf):
     return validate.quarantined_posts(raw_posts(spark, sf)).select("tweet_id", joined("violations", "violations"))
 
 
+@query(f"""WITH {o.POSTS}, odd AS (SELECT tweet_id, CAST(tweet_id AS BIGINT) % 5 AS k FROM posts) SELECT p.tweet_id,
+ CASE k WHEN 1 THEN 'likes malformed' WHEN 2 THEN 'timestamp malformed|timestamp missing' ELSE '' END AS violations,
+ CASE WHEN k = 1 THEN 0 ELSE likes END AS likes FROM posts p JOIN odd USING (tweet_id) WHERE content <> ''""")
+def posts_malformed(spark, sf):
+    """Counters and dates that come as text, some of which cannot be read: all rows are judged and none stops the job."""
+    k = F.pmod(F.col("tweet_id").cast("long"), F.lit(5))
+    text = wh.posts(spark, sf).filter("content <> ''").withColumns({
+        "likes": F.when(k == 1, "many").otherwise(F.col("likes").cast("string")),
+        "timestamp": F.when(k == 2, "yesterday").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))})
+    return validate.check_posts(text).select("tweet_id", joined("violations", "violations"), "likes")
+
+
 @query(f"WITH {o.POSTS} SELECT {o.COLS} FROM posts WHERE username = 'user7'")
 def posts_filter_user(spark, sf):
     return filters.get_posts(wh.posts(spark, sf), username="user7").select(*COLUMNS)
@@ -138,7 +150,7 @@ def latest_scored(spark, sf):
 @query(f"""WITH {o.POSTS} SELECT tweet_id, t.term FROM posts, (VALUES ('the'), ('eau'), ('ung')) AS t(term)
  WHERE contains(lower(content), t.term)""")
 def search_term(spark, sf):
-    return filters.search_posts(wh.posts(spark, sf, heavy=True), ["the", "eau", "ung "]).select("tweet_id", "term")
+    return filters.search_posts(wh.posts(spark, sf), ["the", "eau", "ung "]).select("tweet_id", "term")
 
 
 @query(f"WITH {o.POSTS} SELECT tweet_id, username, is_reply FROM posts WHERE username = 'user7' AND NOT is_reply")
@@ -183,7 +195,7 @@ def search_dates_valid(spark, sf):
 def linked_text(spark, sf) -> DataFrame:
     """Whole pages with a link, a mention and a tag put before them."""
     text = F.concat(F.lit("  Read "), "url", F.lit("?x=1&y=%20 @José_1 #Tag2\t"), "html")
-    return spread(wh.table(spark, sf, "pages")).select("page_id", text.alias("text"))
+    return wh.table(spark, sf, "pages").select("page_id", text.alias("text"))
 
 
 @query(f"""WITH t AS (SELECT page_id, concat('  Read ', url, '?x=1&y=%20 @José_1', chr(160), '#Tag2', chr(9), html) AS text FROM pages)
@@ -199,7 +211,7 @@ def text_clean(spark, sf):
 
 @query(f"WITH {o.POSTS}, {o.WORDS} SELECT tweet_id, len(ws) AS n_words, array_to_string(ws, '|') AS words FROM words")
 def tokens(spark, sf):
-    return wh.posts(spark, sf, heavy=True).select("tweet_id", tx.tokens(F.col("content")).alias("w")).select(
+    return wh.posts(spark, sf).select("tweet_id", tx.tokens(F.col("content")).alias("w")).select(
         "tweet_id", F.size("w").alias("n_words"), joined("w", "words"))
 
 
@@ -210,7 +222,7 @@ def media_links(spark, sf):
     url = F.col("url")
     coded = F.replace(F.replace(F.replace(url, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F")), F.lit("?"), F.lit("%3F"))
     based = F.concat(F.lit("/pic/enc/"), F.translate(F.base64(F.substring_index(url, "?", 1).cast("binary")), "\r\n", ""))
-    data_url = F.concat(F.lit("/video/AB/https"), F.substring(F.replace(coded, F.lit("https"), F.lit("http")), 5, 1 << 20))
+    data_url = F.concat(F.lit("/video/AB/https"), F.substring(F.replace(coded, F.lit("https"), F.lit("http")), F.lit(5), F.length(coded)))
     plain, enc = F.lit(False), F.lit(True)
     return wh.table(spark, sf, "pages").select(
         "page_id",
@@ -238,7 +250,7 @@ def text_fields(spark, sf):
 @query(f"WITH {o.POSTS}, {o.WORDS}, {o.HITS}, {o.KEYWORD} SELECT tweet_id, p AS positive, n AS negative, n_words AS words, "
        "round(score, 6) AS score, round(confidence, 6) AS confidence, label FROM keyword")
 def keyword_score(spark, sf):
-    out = scoring.KeywordScorer().score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scoring.KeywordScorer().score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", "s.details.positive", "s.details.negative", "s.details.words", r6("s.score", "score"),
                       r6("s.confidence", "confidence"), "s.label")
 
@@ -248,7 +260,7 @@ def keyword_score(spark, sf):
  '+' || list_filter({o.POS}, lambda k: contains(x, k) OR contains(k, x))[1], '-' || list_filter({o.NEG}, lambda k: contains(x, k) OR contains(k, x))[1]],
  lambda y: y IS NOT NULL))), '|') AS matched FROM hit""")
 def keyword_matches(spark, sf):
-    out = scoring.KeywordScorer(with_matches=True).score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scoring.KeywordScorer(with_matches=True).score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", joined("s.details.matched", "matched"))
 
 
@@ -263,7 +275,7 @@ def lexicon(spark, sf) -> DataFrame:
 @query(f"WITH {o.POSTS}, {o.LEXICON} SELECT tweet_id, round(compound, 6) AS score, round(least(abs(compound) + 0.1, 1.0), 6) AS confidence, "
        "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM lexed")
 def lexicon_score(spark, sf):
-    out = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain()).score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain()).score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
@@ -271,13 +283,23 @@ def lexicon_score(spark, sf):
 def lexicon_score_joined(spark, sf):
     """The same over the join a large lexicon takes."""
     scorer = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain(), max_broadcast=0)
-    out = scorer.score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scorer.score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
+@query(f"WITH {o.POSTS}, {o.LEXICON}, rated AS (SELECT tweet_id, round(compound, 6) AS score FROM lexed) "
+       "SELECT tweet_id, score FROM rated UNION ALL SELECT tweet_id, score FROM rated UNION ALL SELECT NULL, score FROM rated")
+def lexicon_duplicates(spark, sf):
+    """Repeated and missing ids over the join path: a rating follows from the text alone."""
+    posts = wh.posts(spark, sf).select("tweet_id", "content")
+    rows = posts.unionByName(posts).unionByName(posts.withColumn("tweet_id", F.lit(None).cast("string")))
+    scorer = scoring.LexiconScorer(lexicon(spark, sf), scoring.LexiconRules.plain(), max_broadcast=0)
+    return scorer.score(rows, "content", "s").select("tweet_id", r6("s.score", "score"))
+
+
 @query()
 def lexicon_rules(spark, sf):
-    out = scoring.LexiconScorer(lexicon(spark, sf)).score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scoring.LexiconScorer(lexicon(spark, sf)).score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label",
                       *[r6(f"s.details.{n}", n) for n in ("pos", "neg", "neu")])
 
@@ -288,7 +310,7 @@ def lexicon_rules(spark, sf):
  CASE WHEN abs(s) < 0.1 OR c < 0.3 THEN 'neutral' WHEN s > 0 THEN 'positive' ELSE 'negative' END AS label FROM both_scores""")
 def ensemble_score(spark, sf):
     scorer = scoring.make_scorer(lexicon=lexicon(spark, sf), rules=scoring.LexiconRules.plain())
-    out = scorer.score(wh.posts(spark, sf, heavy=True), "content", "s")
+    out = scorer.score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
@@ -358,13 +380,13 @@ def system_stats(spark, sf):
 
 @query(f"WITH {o.SCORED}, s AS (SELECT {o.MEASURES_RAW} FROM scored WHERE {o.RECENT}) SELECT {o.SIGNAL}, (SELECT max(timestamp) FROM posts) AS timestamp FROM s")
 def trading_signal(spark, sf):
-    return rounded(live_signal(wh.posts(spark, sf, heavy=True), as_of_posts(spark, sf)).drop("reasoning"), "confidence", "sentiment_score")
+    return rounded(live_signal(wh.posts(spark, sf), as_of_posts(spark, sf)).drop("reasoning"), "confidence", "sentiment_score")
 
 
 @query()
 def trading_signal_reasons(spark, sf):
     """With the reason text, per user."""
-    out = live_signal(wh.posts(spark, sf, heavy=True), as_of_posts(spark, sf), 48, by=["username"])
+    out = live_signal(wh.posts(spark, sf), as_of_posts(spark, sf), 48, by=["username"])
     return rounded(out, "confidence", "sentiment_score")
 
 
@@ -438,6 +460,16 @@ def new_table(spark, sf) -> store.PostTable:
     return table
 
 
+@query(f"WITH {o.POSTS} SELECT {o.swap(likes='CASE WHEN is_retweet THEN likes + 2 ELSE likes END', scraped_at='timestamp')} FROM posts")
+def store_upsert_ties(spark, sf):
+    """One batch with repeats collected at one time: the last of each id in the feed counts, whatever the order of the rows."""
+    table = store.PostTable(spark, run_dir(spark, "table"))
+    first = wh.posts(spark, sf).withColumn("feed_pos", F.lit(0))
+    batch = seen_again(spark, sf).withColumnRenamed("seq", "feed_pos").unionByName(first).withColumn("scraped_at", F.col("timestamp"))
+    table.upsert(batch.repartition(3, F.rand(1)))
+    return table.read()
+
+
 @query(f"""WITH {o.POSTS}, {o.RATED} SELECT {o.swap(likes='CASE WHEN is_retweet THEN likes + 2 ELSE likes END',
     timestamp="CASE WHEN is_retweet THEN timestamp + INTERVAL 1 DAY ELSE timestamp END",
     **{c: f'CASE WHEN NOT is_retweet THEN {c} END' for c in schema.SENTIMENT})} FROM rated""")
@@ -509,7 +541,7 @@ def first_n_per_target(spark, sf):
 
 
 def saved_pages(spark, sf) -> DataFrame:
-    return rendered.timeline_pages(wh.posts(spark, sf, also=["event_type"], heavy=True))
+    return rendered.timeline_pages(wh.posts(spark, sf, also=["event_type"]))
 
 
 def items(spark, sf) -> DataFrame:
@@ -559,7 +591,7 @@ def thread_assembly(spark, sf):
 @query("""SELECT CAST(page_id AS VARCHAR) AS page_id, CASE WHEN strlen(html) < 2000 THEN 'Response too small' WHEN url NOT LIKE '%/search?%' THEN 'No timeline content' END AS reason,
  strlen(html) >= 2000 AND url LIKE '%/search?%' AS valid, 'Empty page' AS content_reason, CAST(strlen(html) AS INTEGER) AS n_bytes FROM pages""")
 def page_status(spark, sf):
-    return pages.page_status(spread(wh.table(spark, sf, "pages"))).select("page_id", "reason", "valid", "content_reason", "n_bytes")
+    return pages.page_status(wh.table(spark, sf, "pages")).select("page_id", "reason", "valid", "content_reason", "n_bytes")
 
 
 @query(f"""WITH {o.POSTS} SELECT DISTINCT CAST(tweet_id::BIGINT // 20 AS VARCHAR) AS page_id, '/search?cursor=' || tweet_id::BIGINT // 20 AS search_next,
@@ -672,6 +704,13 @@ def feed_ema(spark, sf):
     return rounded(health.feed_averages(wh.attempts(spark, sf), ["ts", "event_id"]), "success_rate", "avg_response_time")
 
 
+@query(f"""WITH {o.ATTEMPTS}, timed AS (SELECT feed, list(response_time ORDER BY ts, event_id) FILTER (WHERE response_time IS NOT NULL) AS v FROM attempts GROUP BY feed)
+ SELECT feed, round(list_reduce(v, lambda a, b: CASE WHEN a = 0 THEN b ELSE 0.999::DOUBLE * a + 0.001::DOUBLE * b END), 6) AS slow FROM timed WHERE len(v) > 0""")
+def feed_ema_slow(spark, sf):
+    """A slow decay, in which the whole log has weight."""
+    return rounded(health.seeded_average(wh.attempts(spark, sf), ["feed"], ["ts", "event_id"], "response_time", 0.999, "slow"), "slow")
+
+
 @query(f"WITH {o.ATTEMPTS}, {o.STREAK} SELECT * FROM streak")
 def failure_streak(spark, sf):
     return health.failure_streaks(wh.attempts(spark, sf))
@@ -794,7 +833,7 @@ def collection_run_summary(spark, sf):
 # ---- streams, run over what is there now ----
 
 def post_stream(spark, sf, also=()) -> DataFrame:
-    return wh.posts_of(spread(wh.table(spark, sf, "documents")), wh.event_stream(spark, sf), also)
+    return wh.posts_of(wh.table(spark, sf, "documents"), wh.event_stream(spark, sf), also)
 
 
 @query(ORACLE["posts_scored"])

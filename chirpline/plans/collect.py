@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
-from chirpline.operators import keyed, validate
+from chirpline.operators import keyed
 from chirpline.sources import feeds, pages
 from chirpline.sources.store import PostTable
 
@@ -15,16 +15,17 @@ def html_posts(saved: DataFrame, mirror: Column, default_username: Column | None
     ``crawl`` and ``page_order`` are columns of the pages.
     """
     carry = [c for c in (*crawl, page_order) if c != "page_id"]
-    items = pages.timeline_items(pages.parse_pages(saved, carry), keep=["page_id", *carry]).filter("kind = 'post'")
-    single = keyed.first_by_key(items, [*crawl, "link"], [page_order, "pos"])
-    return feeds.posts_from_html(single, mirror, default_username, now)
+    items = pages.timeline_items(pages.parse_pages(saved, carry), keep=["page_id", *carry])
+    # posts and threads share what has been seen
+    single = keyed.first_by_key(items, [*crawl, "link"], [page_order, "pos"]).filter("kind = 'post'")
+    return feeds.posts_from_html(single, mirror, default_username, now, [page_order, "pos"])
 
 
 def collect(table: PostTable, batches: list[DataFrame], scorer: Scorer | None = None, analyze: bool = True) -> dict:
     """Store converted feed batches and, if asked, score what has no score yet."""
     stored = 0
     for batch in batches:
-        stored += table.upsert(validate.valid_posts(batch), order=["scraped_at"])
+        stored += table.upsert(batch)
     out = {"tweets_scraped": stored}
     if analyze:
         used = scorer or make_scorer()

@@ -27,6 +27,12 @@ def first_records(records: DataFrame, max_rows: int = 100) -> DataFrame:
     return first_n(records, ["target"], [F.asc("feed_pos")], max_rows)
 
 
+def feed_place(rows: DataFrame, place: list[str] = ("feed_pos",)) -> list[Column]:
+    """``feed_pos``, which orders the rows of a feed, if the rows have what makes it."""
+    known = [c for c in place if c in rows.columns]
+    return [(F.col(known[0]) if len(known) == 1 else F.struct(*known)).alias("feed_pos")] if known and len(known) == len(place) else []
+
+
 def _filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -50,11 +56,12 @@ def posts_from_records(records: DataFrame, default_username: Column | None = Non
         F.lit(False).alias("is_reply"), F.lit(False).alias("is_retweet"), F.lit(None).cast("string").alias("reply_to"),
         F.lit(RECORD_TAG).alias("source_instance"),
         *[F.lit(None).cast(schema.POSTS[c].dataType).alias(c) for c in schema.SENTIMENT],
-        F.col("date").isNull().alias("timestamp_imputed"))
+        F.col("date").isNull().alias("timestamp_imputed"), *feed_place(records))
 
 
-def posts_from_html(items: DataFrame, mirror: Column, default_username: Column | None = None, now: Column | None = None) -> DataFrame:
-    """Extracted HTML posts to posts.
+def posts_from_html(items: DataFrame, mirror: Column, default_username: Column | None = None, now: Column | None = None,
+                    place: list[str] = ()) -> DataFrame:
+    """Extracted HTML posts to posts. ``place`` names the columns that order the items of a feed.
 
     A date that cannot be read becomes the collection time, and
     ``timestamp_imputed`` says so.
@@ -75,7 +82,7 @@ def posts_from_html(items: DataFrame, mirror: Column, default_username: Column |
         F.get("replying_to", F.lit(0)).alias("reply_to"),
         tx.feed_tag(HTML_TAG, mirror).alias("source_instance"),
         *[F.lit(None).cast(schema.POSTS[c].dataType).alias(c) for c in schema.SENTIMENT],
-        at.isNull().alias("timestamp_imputed"))
+        at.isNull().alias("timestamp_imputed"), *feed_place(items, place))
 
 
 def targets_from(spark: SparkSession, accounts: dict) -> DataFrame:

@@ -85,11 +85,25 @@ class PostTable:
             fs, target = self._fs(folder)
             fs.delete(target, True)
 
-    def upsert(self, batch: DataFrame, order: list[str] = ("scraped_at",), mode: str = "replace") -> int:
-        """Insert or replace valid posts by id; returns the number submitted."""
+    def upsert(self, batch: DataFrame, order: list[str] | None = None, mode: str = "replace") -> int:
+        """Insert or replace valid posts by id, the last one of each id; returns the number submitted.
+
+        Without ``order`` the collection time decides, then the place in the
+        feed (``feed_pos``) if the batch carries it. An order that does not
+        decide between different rows of one id is refused.
+        """
+        order = list(order) if order else ["scraped_at", *(["feed_pos"] if "feed_pos" in batch.columns else [])]
         with self._staged(validate.valid_posts(batch), "batch") as checked:
+            self._decided(checked, ["tweet_id"], order)
             return self._upsert(checked, order, mode)
 
+    @staticmethod
+    def _decided(rows: DataFrame, keys: list[str], order: list[str]) -> None:
+        values = F.struct(*[c for c in rows.columns if c not in keys])
+        places = rows.groupBy(*keys, *order).agg(F.min(values).alias("a"), F.max(values).alias("b"))
+        if not places.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+            raise ValueError(f"the order ({', '.join(order) or 'none'}) does not decide between rows of one id; add a column that does")
+
     def _upsert(self, checked: DataFrame, order: list[str], mode: str) -> int:
         submitted = checked.count()
         if not submitted:
@@ -115,6 +129,7 @@ class PostTable:
     def apply_scores(self, scores: DataFrame, order: list[str] = ()) -> None:
         """Write scores ``(tweet_id, score, label, confidence)`` by id."""
         with self._staged(scores, "scores") as fixed:
+            self._decided(fixed, ["tweet_id"], list(order))
             days = self._days()
             touched = self._day_list(days.select("tweet_id", PARTITION).join(
                 fixed.select("tweet_id").distinct(), "tweet_id", "left_semi").select(PARTITION))

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chirpline import schema
 from chirpline.functions import text as tx
-from chirpline.session import spread
 
 N_FEEDS = 3
 
@@ -46,10 +45,10 @@ def posts_of(documents: DataFrame, events: DataFrame, also: list[str] = ()) -> D
         "lang", *also)
 
 
-def posts(spark: SparkSession, sf_dir: str, also: list[str] = (), heavy: bool = False) -> DataFrame:
-    """All posts; ``heavy`` says that their texts are about to be scored or parsed."""
+def posts(spark: SparkSession, sf_dir: str, also: list[str] = ()) -> DataFrame:
+    """All posts."""
     documents = table(spark, sf_dir, "documents")
-    return posts_of(spread(documents) if heavy else documents, table(spark, sf_dir, "events"), also)
+    return posts_of(documents, table(spark, sf_dir, "events"), also)
 
 
 def scored_posts(spark: SparkSession, sf_dir: str, score) -> DataFrame:
@@ -58,7 +57,7 @@ def scored_posts(spark: SparkSession, sf_dir: str, score) -> DataFrame:
     The texts are read, scored and left behind: only scores go through the
     join's shuffle, unless a query wants the texts too.
     """
-    documents = spread(table(spark, sf_dir, "documents")).withColumn("content", tx.strip(F.col("text"))).drop("text")
+    documents = table(spark, sf_dir, "documents").withColumn("content", tx.strip(F.col("text"))).drop("text")
     return posts_of(score(documents), table(spark, sf_dir, "events"))
 
 

@@ -39,7 +39,7 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = False)
 def upsert_stream(stream: DataFrame, table: PostTable, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Upsert every batch; late and repeated posts replace. A batch that is run again changes nothing."""
     def store(batch: DataFrame, _: int) -> None:
-        table.upsert(batch, order=["scraped_at"])
+        table.upsert(batch)
 
     return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), once)
 
