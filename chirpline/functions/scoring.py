@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirpline.functions import text as tx
-from chirpline.operators.skew import salted_join
 
 # Default keyword lists.
 POSITIVE = (
@@ -346,7 +345,7 @@ class LexiconScorer:
                 lambda w: F.when(F.length(F.btrim(w, F.lit(EDGES))) < 2, w).otherwise(F.btrim(w, F.lit(EDGES)))))
             used = df.select(F.md5(F.col(text)).alias("__key"), words.alias("__words")).filter("__key is not null").dropDuplicates(["__key"])
             used = used.select("__key", F.explode("__words").alias("token"))
-            found = salted_join(used, known, ["token"], "inner", salt_by=["__key"]).groupBy("__key").agg(
+            found = used.join(known, "token").groupBy("__key").agg(
                 F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__found"))
             rated = df.withColumn("__key", F.md5(F.col(text))).join(found, "__key", "left").withColumn(
                 "__rate", rate_found(F.col(text), F.col("__found"))).drop("__found", "__key")

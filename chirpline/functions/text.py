@@ -76,7 +76,7 @@ def count_from_text(text: Column) -> Column:
 
 
 def sanitise_username(name: Column) -> Column:
-    # "+" to ":" is a range: it keeps + , - . / the digits and :
+    # Fixed value: "+" to ":" is a range, it keeps + , - . / the digits and :
     return F.regexp_replace(name, r"[^A-Za-z0-9_+-:]", "")
 
 

@@ -7,10 +7,13 @@ the smaller coordinates of two points is at least the overlap of their sets.
 
 The bound is used at two depths. In the finest groups, one for each token,
 sets whose rarest tokens are all different cannot overlap enough: so sets meet
-in cells, one for each of their rarest tokens. Within a cell the points of
-``GROUPS`` coarse groups are held in an R-tree of smallest and largest
-coordinates, and a search goes only into boxes whose bound and sizes allow a
-link. Pairs that survive are verified on the sets themselves.
+in cells, one for each of their rarest tokens. So many tokens are taken that
+linked sets must share a tenth of their size of cells; a set with fewer live
+cells has no link and leaves them all. Within a cell the points of ``GROUPS``
+coarse groups are held in an R-tree of smallest and largest coordinates, and a
+search goes only into boxes whose bound and sizes allow a link. Pairs that
+survive are verified on the sets themselves, in blocks: a set travels to the
+blocks that hold a candidate of it, not to each candidate.
 
 Equal sets are one point. Each set is first verified against one set of its
 cells (that with which it shares most cells, of the first in each), so a large
@@ -25,7 +28,7 @@ columns are not looked at. Sets and tokens are known by 64-bit hashes.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,14 @@ GROUPS = 128
 BROADCAST_ROWS = 500_000
 TILE = 4096
 LEAF = 16
+BLOCK_SETS = 256
+PRUNE_ROUNDS = 2
+SPARE = 10  # prefixes hold one token in so many more than one shared cell needs
+
+
+def spare(n):
+    """Cells that a set of this size shares with any linked set that is not smaller."""
+    return max(1, -(-n // SPARE))
 
 
 def set_id(tokens):
@@ -162,9 +173,9 @@ def likely_pairs(pairs: DataFrame, points: DataFrame, above: int, of: int) -> Da
 
 
 def cell_pairs(rows: DataFrame, above: int, of: int) -> DataFrame:
-    """Pairs of sets of different components that meet in a cell and that the tree does not exclude.
+    """Pairs of sets of different components that meet in a cell and that the tree does not exclude: bx, by, xs, ys.
 
-    rows: key, tile, sid, n, comp, point, own (whether the row belongs to the first tile of the pair of tiles), same (whether both are one).
+    rows: key, sid, n, comp, block, point. The pairs come as lists, one for each two blocks that a task meets.
     """
     def cell(sids, sizes, comps, points, own, same):
         if len(sids) <= LEAF:
@@ -189,25 +200,38 @@ def cell_pairs(rows: DataFrame, above: int, of: int) -> DataFrame:
             if len(found):
                 yield np.full(len(found), sids[i]), sids[found]
 
+    schema = T.StructType.fromDDL("bx long, by long, xs array<long>, ys array<long>")
+
     def run(batches):
-        held, names, seen = None, ["a", "b"], set()
+        held, seen = None, set()
+
         def done(part):
             keys, tiles = part.column("key").to_numpy(), part.column("tile").to_numpy()
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
             starts = np.append(np.flatnonzero(new), len(keys))
             sids, sizes, comps = (part.column(n).to_numpy() for n in ("sid", "n", "comp"))
             points, own, same = read_points(part.column("point")), part.column("own").to_numpy(), part.column("same").to_numpy()
+            home = dict(zip(sids.tolist(), part.column("block").to_pylist()))
             for s, e in zip(starts[:-1], starts[1:]):
                 for a, b in cell(sids[s:e], sizes[s:e], comps[s:e], points[s:e], own[s:e], bool(same[s])):
-                    yield from ((x, y) if x < y else (y, x) for x, y in zip(a.tolist(), b.tolist()))
+                    for x, y in zip(a.tolist(), b.tolist()):
+                        if (home[x], x) > (home[y], y):
+                            x, y = y, x
+                        if (x, y) not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add((x, y))
+                            yield home[x], home[y], x, y
 
         def send(pairs):
-            if len(seen) > 500_000:
-                seen.clear()
-            fresh = [p for p in dict.fromkeys(pairs) if p not in seen]
-            seen.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in (0, 1)], names=names)
+            out = {}
+            for bx, by, x, y in pairs:
+                xs, ys = out.setdefault((bx, by), ([], []))
+                xs.append(x)
+                ys.append(y)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
+                                                  *(pa.array([v[i] for v in out.values()], pa.list_(pa.int64())) for i in (0, 1))], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -227,11 +251,56 @@ def cell_pairs(rows: DataFrame, above: int, of: int) -> DataFrame:
     tiles = F.coalesce(F.ceil(F.col("count") / TILE).cast("int"), F.lit(1))
     dealt = rows.join(count, "key", "left").withColumn("_tiles", tiles).withColumn("_t", F.pmod(F.xxhash64("sid"), "_tiles").cast("int"))
     dealt = dealt.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.select("key", (F.least("_t", "_u") * F.col("_tiles") + F.greatest("_t", "_u")).cast("long").alias("tile"), "sid", "n", "comp", "point",
+    dealt = dealt.select("key", (F.least("_t", "_u") * F.col("_tiles") + F.greatest("_t", "_u")).cast("long").alias("tile"), "sid", "n", "comp", "block", "point",
                          (F.col("_t") <= F.col("_u")).alias("own"), (F.col("_t") == F.col("_u")).alias("same"))
     # a pair of one tile with itself holds only rows of that tile
     out = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
-    return out.mapInArrow(run, T.StructType.fromDDL("a long, b long")).distinct()
+    return out.mapInArrow(run, schema)
+
+
+def verified_blocks(pairs: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
+    """Links (a, b) that join the components of all linked pairs. pairs: bx, by, xs, ys; sets: sid, comp, block, tokens.
+
+    In each pair of blocks, pairs of sets that are connected already are passed over.
+    """
+    schema = T.StructType.fromDDL("a long, b long")
+
+    def run(batches):
+        now, sets_here, comps, parent = None, {}, {}, {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            out = []
+            tokens, xs, ys = batch.column("tokens"), batch.column("xs"), batch.column("ys")
+            for i, (bx, by, sid, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "sid", "comp")))):
+                if (bx, by) != now:
+                    now, sets_here, comps, parent = (bx, by), {}, {}, {}
+                if sid is not None:
+                    sets_here[sid], comps[sid] = np.frombuffer(tokens[i].as_py(), np.uint64), comp
+                    continue
+                for x, y in zip(xs[i].as_py(), ys[i].as_py()):
+                    p, q = find(comps[x]), find(comps[y])
+                    if p != q:
+                        s, t = sets_here[x], sets_here[y]
+                        factor, right = need(len(s), len(t), above, of)
+                        if factor * len(np.intersect1d(s, t, assume_unique=True)) >= right:
+                            parent[p] = q
+                            out.append((x, y))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=schema.names)
+
+    meets = pairs.select("bx", "by").distinct()
+    first = meets.join(sets.withColumnRenamed("block", "bx"), "bx")
+    second = meets.filter("bx <> by").join(sets.withColumnRenamed("block", "by"), "by")
+    nothing = F.lit(None).cast("array<long>")
+    rows = first.unionByName(second).withColumns({"xs": nothing, "ys": nothing})
+    lists = pairs.withColumns({"sid": F.lit(None).cast("long"), "comp": F.lit(None).cast("long"), "tokens": F.lit(None).cast("binary")})
+    dealt = rows.unionByName(lists).repartition("bx", "by").sortWithinPartitions("bx", "by", F.col("sid").asc_nulls_last())
+    return dealt.mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,39 +351,39 @@ def similar_links(docs: DataFrame, width: int = WIDTH, above: int = ABOVE, of: i
     sent = spark.sparkContext.broadcast(np.minimum(counts, 2 ** 32 - 1).astype(np.uint32))
 
     def prefix(sid, s):
-        k = len(s) - -(-above * len(s) // of) + 1
+        k = min(len(s), len(s) - -(-above * len(s) // of) + spare(len(s)))
         first = rarest(s, sent.value, k)
         return first.view(np.int64), np.full(k, sid), np.full(k, len(s))
 
-    rows = set_rows(texts, width, "key long, sid long, n long", prefix)
-    members = written(shared_cells(rows, ["sid"], ["sid"]), "cells")
+    members = shared_cells(set_rows(texts, width, "key long, sid long, n long", prefix), ["sid"], [])
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * above / of) / SPARE))
+    for turn in range(PRUNE_ROUNDS):
+        alive = F.count("*").over(Window.partitionBy("sid")) >= least
+        strong = written(members, "cells").withColumn("_ok", alive).filter("_ok").drop("_ok")
+        members = shared_cells(strong, ["sid"], ["sid"] if turn == PRUNE_ROUNDS - 1 else [])
+    members = written(members, "cells")
     named = written(members.select("sid").distinct(), "sids")
-
-    def wanted(ids):
-        ids = written(ids.select("sid").distinct(), "sids")
-        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-    points = set_rows(texts, width, "sid long, n long, point binary", lambda sid, s: ([sid], [len(s)], [point(s).tobytes()]))
-    points = written(points.join(wanted(named), "sid", "left_semi").dropDuplicates(["sid"]), "points")
-    all_sets = set_rows(texts, width, "sid long, tokens binary", lambda sid, s: ([sid], [s.tobytes()]))
-
-    def links_of(pairs):
-        pairs = written(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-        sets = written(all_sets.join(wanted(ids), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-        return written(verified(pairs, sets, above, of), "links")
+    wanted = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    sets = set_rows(texts, width, "sid long, n long, point binary, tokens binary",
+                    lambda sid, s: ([sid], [len(s)], [point(s).tobytes()], [s.tobytes()]))
+    sets = written(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
     shared = members.filter("sid <> first_sid").groupBy("sid", F.col("first_sid").alias("b")).count()
     star = shared.groupBy("sid").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.col("sid").alias("a"), "b")
     star = written(star, "stars")
-    first = links_of(likely_pairs(star, points, above, of))
-    home = written(components(first), "homes").withColumnsRenamed({"node": "sid", "component": "comp"})
-    rest = members.select("key", "sid").join(home, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    first = written(verified(likely_pairs(star, sets.drop("tokens"), above, of), sets, above, of), "links")
+    home = components(first).withColumnsRenamed({"node": "sid", "component": "comp"})
+    named = named.join(star.withColumnsRenamed({"a": "sid", "b": "_lead"}), "sid", "left").withColumn("_lead", F.coalesce("_lead", "sid"))
+    sizes = named.groupBy("_lead").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("_slots"))
+    block = F.xxhash64("_lead", F.pmod(F.xxhash64("sid"), "_slots"))
+    facts = named.join(sizes, "_lead").join(home, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), block.alias("block"))
+    facts = written(facts, "homes")
+    rest = members.select("key", "sid").join(facts, "sid")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    rest = written(rest.join(mixed, "key", "left_semi").join(points, "sid"), "mixed")
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = links_of(cell_pairs(rest, above, of).join(tested, ["a", "b"], "left_anti"))
-    return first.unionByName(second)
+    rest = written(rest.join(mixed, "key", "left_semi").join(sets.drop("tokens"), "sid"), "mixed")
+    pairs = written(cell_pairs(rest, above, of), "pairs")
+    second = verified_blocks(pairs, sets.select("sid", "tokens").join(facts, "sid"), above, of)
+    return first.unionByName(written(second, "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, above: int = ABOVE, of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chirpline.functions.times import MICROS, age_seconds, minus_seconds, moment
-from chirpline.operators.skew import salted_join
 from chirpline.operators.timeline import running_totals
 
 # Limits per feed (per minute, per hour, at once), and of any other feed.
@@ -26,9 +25,9 @@ def quota_table(spark, overrides: dict | None = None) -> DataFrame:
     return spark.createDataFrame([(f, *q) for f, q in rows.items()], "feed string, " + ", ".join(f"{n} int" for n in LIMITS))
 
 
-def with_limits(df: DataFrame, quotas: DataFrame, salt_by: list[str] | None = None) -> DataFrame:
+def with_limits(df: DataFrame, quotas: DataFrame) -> DataFrame:
     """Limits joined by feed; a feed without an entry gets the limits of any other feed."""
-    joined = salted_join(df, quotas, ["feed"], "left", salt_by) if salt_by else df.join(quotas, "feed", "left")
+    joined = df.join(quotas, "feed", "left")
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit(d)) for n, d in zip(LIMITS, OTHER_QUOTA)})
 
 
@@ -89,7 +88,7 @@ def _wait(now: Column) -> Column:
 
 def quota_windows(attempts: DataFrame, quotas: DataFrame) -> DataFrame:
     """Whether the quota allowed a request at each moment of the log, and how long it had to wait."""
-    return with_limits(request_load(attempts), quotas, salt_by=["ts"]).withColumns({
+    return with_limits(request_load(attempts), quotas).withColumns({
         "allowed": _allowed(), "wait_time": _wait(F.col("ts"))})
 
 
@@ -172,9 +171,9 @@ def failure_streaks(attempts: DataFrame, keys: list[str] = ("feed",), ok: Column
     log = attempts.select(*keys, "ts", good.alias("__ok"))
     last = log.groupBy(*keys).agg(F.max(F.when(F.col("__ok"), F.col("ts"))).alias("last_success"),
                                   F.max(F.when(~F.col("__ok"), F.col("ts"))).alias("last_failure"))
-    # a key may hold most of the log: equal failures are merged and the rest is spread over tasks
+    # a key may hold most of the log: equal failures are merged, and a large key is split by adaptive execution
     failures = log.filter(~F.col("__ok")).groupBy(*keys, "ts").agg(F.count("*").alias("__n"))
-    since = salted_join(failures, last.select(*keys, "last_success"), list(keys), "inner", ["ts"]) \
+    since = failures.join(last.select(*keys, "last_success"), list(keys)) \
         .filter(F.col("last_success").isNull() | (F.col("ts") > F.col("last_success"))) \
         .groupBy(*keys).agg(F.sum("__n").alias("consecutive_failures"))
     return last.join(since, list(keys), "left").withColumn(
@@ -239,7 +238,7 @@ def choose_feed(requests: DataFrame, state: DataFrame) -> DataFrame:
     best = best_feed(state).select("feed").scalar()
     usable = state.filter(_usable()).select(F.col("feed").alias("backend_preference"), F.lit(True).alias("__ok"))
     chosen = F.when(F.col("__ok"), F.col("backend_preference")).otherwise(best)
-    return salted_join(requests, usable, ["backend_preference"], "left", ["value", "created_at"]).withColumn(
+    return requests.join(usable, "backend_preference", "left").withColumn(
         "feed", chosen).drop("__ok")
 
 

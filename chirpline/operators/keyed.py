@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chirpline import schema
-from chirpline.operators.skew import first_n, salted_join
+from chirpline.operators.skew import first_n
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -68,9 +68,9 @@ def feed_winners(attempts: DataFrame, keys: list[str] = ("target",), feed: str =
 
 
 def winner_rows(rows: DataFrame, winners: DataFrame, keys: list[str] = ("target",), feed: str = "feed") -> DataFrame:
-    """Rows of the feed that won for their target; a target with many rows is spread over tasks."""
+    """Rows of the feed that won for their target. The winners are broadcast or, if many, joined by key, where adaptive execution splits large targets."""
     on = [*keys, feed]
-    return salted_join(rows, winners.filter("success").select(*on), on, "inner")
+    return rows.join(winners.filter("success").select(*on), on, "left_semi")
 
 
 def first_n_per_target(rows: DataFrame, n: int = 100, keys: list[str] = ("target",),

@@ -1,41 +1,22 @@
-"""Joins and rankings that keep their balance when one key holds much of the data."""
+"""Rankings that keep their balance when one key holds much of the data."""
 
 import functools
 import operator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
 ROUND = 1024
 TWO_ROUNDS_FROM = 50
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str] | None = None,
-                salts: int = SALTS) -> DataFrame:
-    """Join ``big`` to ``small``, spreading each key of ``big`` over ``salts`` tasks.
-
-    ``small`` has one row per key (it is the result of an aggregation, or a
-    list of settings), so repeating it costs little. The salt is a hash of the
-    ``salt_by`` values, or without them the number of the task a row comes
-    from, which spreads equal rows too. A retried task computes the same salt
-    either way. When ``small`` turns out to be below the broadcast limit,
-    adaptive execution broadcasts it instead.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt a {how} join")
-    mark = F.xxhash64(*salt_by) if salt_by else F.spark_partition_id().cast("long")
-    left = big.withColumn("__salt", F.pmod(mark, F.lit(salts).cast("long")))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
-
-
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group, by ``order``.
 
+    The form depends on ``n`` alone. For a small one a single round is enough:
     Spark cuts each map task's share to ``n`` rows per group before the
-    shuffle, which is enough for a small ``n``. For a larger one the shares of
-    all map tasks could still be too much for one task. There the shares meet
-    in two rounds: those of some map tasks each, then the survivors.
+    shuffle. From ``TWO_ROUNDS_FROM`` on, the shares of up to ``ROUND`` groups
+    of map tasks are cut in tasks of their own first, so that at most ``ROUND``
+    times ``n`` rows of a group meet in the second round.
     """
     if n >= TWO_ROUNDS_FROM:
         # rows of a map task stay together, or its share could not be cut before the shuffle

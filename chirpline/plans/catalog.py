@@ -504,6 +504,35 @@ def export_ledger(spark, sf):
     return table.exports().select("export_type", "row_count")
 
 
+@query(f"WITH {o.POSTS}, {o.RATED} SELECT 'parquet' AS kind, {o.COLS} FROM rated UNION ALL SELECT 'csv', {o.COLS} FROM rated WHERE content NOT LIKE '%\n%' "
+       f"UNION ALL SELECT 'json', {o.COLS} FROM rated WHERE sentiment_score IS NOT NULL")
+def export_content(spark, sf):
+    """Exports read back: every row and column as it was written."""
+    table, base = new_table(spark, sf), run_dir(spark, "export")
+    table.export_to_parquet(f"{base}/parquet")
+    table.export("csv", f"{base}/csv")
+    table.export("json", f"{base}/json", with_sentiment=True)
+    read = spark.read.schema(schema.POSTS)
+    parts = {"parquet": read.parquet(f"{base}/parquet"), "json": read.json(f"{base}/json"),
+             "csv": read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"{base}/csv").filter(~F.col("content").contains("\n"))}
+    return keyed.union_feeds(*[rows.select(F.lit(kind).alias("kind"), *COLUMNS) for kind, rows in parts.items()])
+
+
+@query(f"WITH {o.POSTS}, {o.RATED} SELECT {o.COLS} FROM rated WHERE timestamp BETWEEN '2024-01-01 06:00:00' AND '2024-01-02 12:00:00'")
+def store_query(spark, sf):
+    """The written table by time: only the folders of the days asked for are read."""
+    return new_table(spark, sf).query(start_time="2024-01-01T06:00:00Z", end_time="2024-01-02T12:00:00Z").select(*COLUMNS)
+
+
+@query(f"""WITH {o.POSTS} SELECT tweet_id, CASE WHEN is_retweet THEN 'fallback' ELSE username END AS username, content, likes, retweets, replies FROM posts WHERE content <> ''""")
+def feed_landed(spark, sf):
+    """The record feed written as JSON, as it lands, and read from there."""
+    path = run_dir(spark, "records")
+    records(spark, sf).write.json(path)
+    posts = validate.valid_posts(feeds.posts_from_records(feeds.read_records(spark, path), F.lit("fallback")))
+    return posts.select("tweet_id", "username", "content", "likes", "retweets", "replies")
+
+
 @query()
 def file_sizes(spark, sf):
     names = ("documents", "events", "pages")
@@ -832,8 +861,8 @@ def collection_run_summary(spark, sf):
 
 # ---- streams, run over what is there now ----
 
-def post_stream(spark, sf, also=()) -> DataFrame:
-    return wh.posts_of(wh.table(spark, sf, "documents"), wh.event_stream(spark, sf), also)
+def post_stream(spark, sf, also=(), in_order=False) -> DataFrame:
+    return wh.posts_of(wh.table(spark, sf, "documents"), wh.event_stream(spark, sf, in_order), also)
 
 
 @query(ORACLE["posts_scored"])
@@ -846,7 +875,7 @@ def stream_scored(spark, sf):
 @query(f"WITH {o.POSTS} SELECT tweet_id, username, timestamp FROM posts")
 def stream_dedup(spark, sf):
     """Every post lands twice and is kept once."""
-    twice = post_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = post_stream(spark, sf, in_order=True).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     out = streams.deduplicated(twice).select("tweet_id", "username", "timestamp")
     path = streams.stream_into(out, streams.to_table, "dedup")
     return spark.read.schema(out.schema).parquet(path)
@@ -870,7 +899,7 @@ def stream_upsert(spark, sf):
 @query(f"WITH {o.ATTEMPTS}, {o.EMA}, {o.STREAK} SELECT feed, n AS n_attempts, round(success_rate, 6) AS success_rate, round(avg_response_time, 6) AS avg_response_time, "
        "last_success, last_failure, consecutive_failures FROM ema JOIN streak USING (feed)")
 def stream_feed_health(spark, sf):
-    log = wh.attempts_of(wh.event_stream(spark, sf))
+    log = wh.attempts_of(wh.event_stream(spark, sf, in_order=True))
     start = lambda stream, path, checkpoint, once: streams.health_stream(stream, path, checkpoint, ["ts", "event_id"], once)
     path = streams.stream_into(log, start, "health")
     return rounded(streams.latest_health(spark, path), "success_rate", "avg_response_time")

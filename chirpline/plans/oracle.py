@@ -3,7 +3,7 @@
 from chirpline import schema
 from chirpline.functions.scoring import ScoreConfig
 
-# Whitespace and URLs, as the checking engine's regex spells them.
+# Whitespace and URLs, as the checking engine's regex spells them.
 WS = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 PUNCTUATION = "!?.,;:''\"()[]{}<>*_~#@&%$-"

@@ -201,7 +201,8 @@ class PostTable:
             raise ValueError(f"format must be one of {', '.join(FORMATS)}")
         target = target or f"{self.path}/tweets_export.{fmt}"
         rows = filters.get_posts(self.read(), with_sentiment=with_sentiment, ordered=ordered)
-        writer = rows.write.mode("overwrite")
+        # microseconds are kept in text formats too
+        writer = rows.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(target)
         count = filters.get_posts(self.read(), with_sentiment=with_sentiment).count()
         ledger_row(self.spark, fmt, target, count).write.mode("append").parquet(self.exports_path)

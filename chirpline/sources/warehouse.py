@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chirpline import schema
+from chirpline.session import run_dir
 from chirpline.functions import text as tx
 
 N_FEEDS = 3
@@ -12,10 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files."""
-    fields = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(fields).parquet(f"{sf_dir}/events.parquet*")
+def event_stream(spark: SparkSession, sf_dir: str, in_order: bool = False, files: int = 3) -> DataFrame:
+    """The events as a stream of files landed one after the other, one for each batch.
+
+    They are dealt to the files by hash, so that every batch after the first
+    brings late rows, or by time with ``in_order``.
+    """
+    events, landed = table(spark, sf_dir, "events"), run_dir(spark, "landed")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(files))
+    if in_order:
+        edges = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / files for k in range(1, files)])).first()[0] or []
+        part = sum(((F.unix_micros(F.col("ts").cast("timestamp")) > e).cast("int") for e in edges), F.lit(0))
+    for k in range(files):
+        events.filter(part == k).write.mode("append").parquet(landed)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
 def _name(user: Column) -> Column:

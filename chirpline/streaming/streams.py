@@ -10,7 +10,7 @@ from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.functions.times import utc_date
 from chirpline.operators import health
 from chirpline.operators.aggregate import rolling_cells, windows_of_cells
-from chirpline.operators.skew import SALTS, first_n
+from chirpline.operators.skew import first_n
 from chirpline.operators.validate import valid_posts
 from chirpline.schema import HEALTH
 from chirpline.session import run_dir
@@ -45,13 +45,8 @@ def upsert_stream(stream: DataFrame, table: PostTable, checkpoint: str, once: bo
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour", key: str = "tweet_id", at: str = "timestamp") -> DataFrame:
-    """Each id once within the delay. Opt-in: rows later than the watermark are dropped.
-
-    Copies of one id are thinned out where they arrive in the first step, so
-    that few of them meet in the second, which decides.
-    """
-    marked = stream.withWatermark(at, delay).withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return marked.dropDuplicatesWithinWatermark([key, "__part"]).drop("__part").dropDuplicatesWithinWatermark([key])
+    """Each id once within the delay. Opt-in: rows later than the watermark are dropped."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def scored(stream: DataFrame, scorer: Scorer | None = None) -> DataFrame:
@@ -79,7 +74,9 @@ def write_cells(cells: DataFrame, path: str, checkpoint: str, by: list[str] = ()
     on = ["cell", *by]
 
     def store(batch: DataFrame, number: int) -> None:
-        changed = batch.withColumn("day", utc_date(F.col("cell.start"))).persist()
+        staged = f"{path}_changed"
+        batch.withColumn("day", utc_date(F.col("cell.start"))).write.mode("overwrite").parquet(staged)
+        changed = spark.read.schema(fields).parquet(staged)
         days = [r[0] for r in changed.select("day").distinct().collect()]
         if number:
             old = spark.read.schema(fields).parquet(path).filter(F.col("day").isin(days))
@@ -87,7 +84,6 @@ def write_cells(cells: DataFrame, path: str, checkpoint: str, by: list[str] = ()
         else:
             kept = changed
         kept.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        changed.unpersist()
 
     return _start(cells.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint), once)
 
@@ -98,6 +94,9 @@ def rolling_from_cells(spark: SparkSession, path: str, fields: StructType, windo
     return windows_of_cells(spark.read.schema(fields).parquet(path), window, slide, by)
 
 
+LAST_HEALTH = StructType([*HEALTH.fields, StructField("batch", LongType())])
+
+
 def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
     """Health per feed after a further batch of attempts.
 
@@ -106,28 +105,30 @@ def fold_health(state: DataFrame, batch: DataFrame, order: list[str] = ("ts",))
     batch is reduced like any aggregation, and no feed's attempts have to pass
     through one task in order.
     """
-    streaks = health.failure_streaks(batch).select(
-        "feed", F.col("last_success").alias("ok"), F.col("last_failure").alias("bad"), F.col("consecutive_failures").alias("streak"))
+    last = batch.groupBy("feed").agg(F.max(F.when(F.col("success"), F.col("ts"))).alias("ok"), F.max(F.when(~F.col("success"), F.col("ts"))).alias("bad"))
     own = health.averages(batch, list(order)).select(
         "feed", F.col("n_attempts").alias("m"), F.col("success_rate").alias("rate"), F.col("avg_response_time").alias("seeded"),
         F.col("unseeded").alias("added"))
-    grown = own.join(streaks, "feed")
-    both = state.join(grown, "feed", "full_outer")
+    both = state.join(own.join(last, "feed"), "feed", "full_outer").withColumn("newest", F.greatest("last_success", "ok"))
+    # failures that come late, from before the last success, do not count
+    failures = batch.filter(~F.col("success")).groupBy("feed", "ts").agg(F.count("*").alias("k"))
+    since = failures.join(both.select("feed", "newest"), "feed").filter(F.col("newest").isNull() | (F.col("ts") > F.col("newest")))
+    both = both.join(since.groupBy("feed").agg(F.sum("k").alias("streak")), "feed", "left")
     n, m = F.coalesce("n_attempts", F.lit(0).cast("long")), F.coalesce("m", F.lit(0).cast("long"))
     old_rate, old_time = F.coalesce("success_rate", F.lit(1.0)), F.coalesce("avg_response_time", F.lit(0.0))
     faded = F.pow(F.lit(health.SUCCESS_DECAY), m)
     quiet = F.col("m").isNull()
-    streak = F.coalesce("consecutive_failures", F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    past = F.when(F.col("ok").isNotNull() & (F.col("last_success").isNull() | (F.col("ok") > F.col("last_success"))), zero)
     return both.select(
         "feed", (n + m).alias("n_attempts"),
         # the batch's own rate starts from 1.0: replace that start by the state
         F.when(quiet, old_rate).otherwise(F.col("rate") - faded + faded * old_rate).alias("success_rate"),
         F.when(quiet, old_time).when(old_time == 0, F.col("seeded")).otherwise(
             F.pow(F.lit(health.RESPONSE_DECAY), m) * old_time + F.col("added")).alias("avg_response_time"),
-        F.greatest("last_success", "ok").alias("last_success"),
+        F.col("newest").alias("last_success"),
         F.greatest("last_failure", "bad").alias("last_failure"),
-        F.when(quiet, streak).when(F.col("ok").isNull(), streak + F.col("streak")).otherwise(F.col("streak"))
-        .alias("consecutive_failures"))
+        (past.otherwise(F.coalesce("consecutive_failures", zero)) + F.coalesce("streak", zero)).alias("consecutive_failures"))
 
 
 def health_stream(attempts: DataFrame, path: str, checkpoint: str, order: list[str] = ("ts",), once: bool = False) -> StreamingQuery:
@@ -141,6 +142,8 @@ def health_stream(attempts: DataFrame, path: str, checkpoint: str, order: list[s
         staged = f"{path}/attempts"
         batch.write.mode("overwrite").parquet(staged)
         before = spark.read.schema(HEALTH).parquet(f"{path}/health/turn={1 - turn}") if number else spark.createDataFrame([], HEALTH)
+        if not number:  # what an earlier run left in the other folder must not look newer
+            spark.createDataFrame([], LAST_HEALTH).write.mode("overwrite").parquet(f"{path}/health/turn={1 - turn}")
         after = fold_health(before, spark.read.schema(batch.schema).parquet(staged), order)
         after.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/health/turn={turn}")
 
@@ -149,7 +152,7 @@ def health_stream(attempts: DataFrame, path: str, checkpoint: str, order: list[s
 
 def latest_health(spark: SparkSession, path: str) -> DataFrame:
     """The health table after the last batch."""
-    both = spark.read.schema(StructType([*HEALTH.fields, StructField("batch", LongType())])).parquet(f"{path}/health")
+    both = spark.read.schema(LAST_HEALTH).parquet(f"{path}/health")
     return first_n(both, ["feed"], [F.desc("batch")], 1).select(*HEALTH.names)
 
 
