@@ -9,10 +9,14 @@ expression that needs them.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, fields
 from typing import Protocol, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirpline.functions import text as tx
@@ -142,32 +146,39 @@ class KeywordScorer:
     name: str = "keyword"
 
     def _counted(self, df: DataFrame, text: str) -> DataFrame:
-        """Add ``__up``, ``__down`` and ``__n``: words that hit, and all words.
+        """Add ``__up``, ``__down`` and ``__n``: words that hit, and all words; with matches also ``__words``.
 
-        A word hits because it holds a core keyword or because it is a part of
-        one. The first kind is found by one regex pass over the whole text,
-        which gives each such word from its first core on; the rest of it still
-        holds every core of either list. The second is a set lookup per word,
-        among the parts that hold no core, so no word counts twice.
+        Words repeat, so each Arrow batch is dictionary-encoded and only its
+        different words are tested: a word hits because it holds a core keyword
+        or because it is a part of a keyword. Sums over the texts follow.
         """
-        lists = {"__up": self.config.positive, "__down": self.config.negative}
-        cores = {k: _cores(v) for k, v in lists.items()}
-        parts = {k: [p for p in _parts(v) if not any(c in p for c in cores[k])] for k, v in lists.items()}
-        some_core, some_part = sorted({*cores["__up"], *cores["__down"]}), sorted({*parts["__up"], *parts["__down"]})
-        none = F.array().cast("array<string>")
-        cut = df.withColumn("__spaced", tx.spaced(F.col(text), **self.config.switches)).withColumns({
-            "__words": tx.words_of(F.col("__spaced")),
-            "__tails": F.regexp_extract_all("__spaced", F.lit(_any_of(some_core) + "[^ ]*+"), F.lit(0)) if some_core else none,
-        }).withColumn("__small", F.filter("__words", lambda w: w.isin(some_part)))
-
-        def count(key):
-            small = F.size(F.filter("__small", lambda w: w.isin(parts[key])))
-            if not cores[key]:
-                return small
-            return small + F.size(F.filter("__tails", lambda t: F.rlike(t, F.lit(_any_of(cores[key])))))
-
-        return cut.withColumns({"__up": count("__up"), "__down": count("__down"), "__n": F.size("__words")}).drop(
-            "__spaced", "__tails", "__small")
+        lists = [self.config.positive, self.config.negative]
+        tests = [(_parts(k), "|".join(re.escape(c) for c in _cores(k))) for k in lists]
+
+        @F.pandas_udf("up int, down int, n int")
+        def count(texts: pd.Series) -> pd.DataFrame:
+            words = pc.split_pattern(pa.array(texts, pa.string(), from_pandas=True).fill_null(""), " ")
+            coded = pc.dictionary_encode(words.flatten())
+            different, place, ends = coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy()
+            real = np.asarray(pc.not_equal(different, ""))
+
+            def total(marks):
+                sums = np.concatenate([[0], np.cumsum(marks[place])])
+                return sums[ends[1:]] - sums[ends[:-1]]
+
+            out = []
+            for parts, cores in tests:
+                found = np.asarray(pc.is_in(different, pa.array(parts, pa.string())))
+                if cores:
+                    found = found | np.asarray(pc.match_substring_regex(different, cores))
+                out.append(total(found & real))
+            return pd.DataFrame({"up": out[0], "down": out[1], "n": total(real)})
+
+        cut = df.withColumn("__spaced", tx.spaced(F.col(text), **self.config.switches)).withColumn("__counts", count("__spaced"))
+        cut = cut.withColumns({"__up": F.col("__counts.up"), "__down": F.col("__counts.down"), "__n": F.col("__counts.n")})
+        if self.with_matches:
+            cut = cut.withColumn("__words", tx.words_of(F.col("__spaced")))
+        return cut.drop("__spaced", "__counts")
 
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         cfg = self.config
