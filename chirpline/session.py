@@ -26,3 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder name of the shared folder for one run."""
     return f"{shared_dir(spark)}/chirpline/{purpose}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there. The one place that goes past the DataFrame API."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove_runs(spark: SparkSession) -> bool:
+    """Delete the folders of all runs. For the caller, once nothing reads their results any more."""
+    fs, target = file_system(spark, f"{shared_dir(spark)}/chirpline")
+    return fs.delete(target, True)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from chirpline import schema
 from chirpline.functions.times import minus_seconds, moment, utc_date
 from chirpline.operators import aggregate, filters, keyed, validate
-from chirpline.session import run_dir
+from chirpline.session import file_system, run_dir
 
 PARTITION = "post_date"
 FORMATS = ("json", "csv", "parquet")
@@ -30,9 +30,7 @@ class PostTable:
                 spark.createDataFrame([], fields).write.parquet(folder)
 
     def _fs(self, folder: str):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+        return file_system(self.spark, folder)
 
     def _exists(self, folder: str) -> bool:
         fs, target = self._fs(folder)
