@@ -600,6 +600,33 @@ def feed_html(spark, sf):
         "source_instance", "timestamp_imputed")
 
 
+@query(f"WITH {o.POSTS} SELECT tweet_id, content FROM (SELECT tweet_id, replace(content, chr(10), ' ') AS content, event_type FROM posts) "
+       "WHERE content <> '' AND event_type NOT IN ('signup', 'purchase', 'click')")
+def crawl_posts(spark, sf):
+    """Two rounds over the pages of one crawl. Clicks stand in threads first, so they do not count as posts later."""
+    posts = wh.posts(spark, sf, also=["event_type"])
+    once = rendered.timeline_pages(posts.withColumn("event_type", F.when(F.col("event_type") == "click", "signup").otherwise(F.col("event_type"))))
+    rounds = [once.withColumn("page_no", F.col("page_id")), rendered.timeline_pages(posts).withColumn("page_no", F.col("page_id") + 1_000_000_000)]
+    pages_ = keyed.union_feeds(*rounds).withColumns({"crawl": F.lit("c"), "page_id": F.col("page_no")})
+    return validate.valid_posts(collect.html_posts(pages_, F.lit("m"), crawl=["crawl"], page_order="page_no")).select("tweet_id", "content")
+
+
+@query(f"""WITH {o.SCORED}, fed AS (SELECT s.*, CASE WHEN (tweet_id::BIGINT // 20) % 3 <> 0 THEN 'snscrape' WHEN (tweet_id::BIGINT // 20) % 2 = 0 THEN 'nitter:m' END AS feed FROM scored s)
+ SELECT tweet_id, feed AS source_instance, round(sentiment_score, 6) AS sentiment_score, sentiment_label FROM fed
+ WHERE content <> '' AND (feed = 'snscrape' OR feed = 'nitter:m' AND event_type NOT IN ('signup', 'purchase'))""")
+def run_pipeline(spark, sf):
+    """Records and saved pages of the same posts: one feed counts for each target, and what it brings is stored and scored."""
+    table, target = store.PostTable(spark, run_dir(spark, "table")), F.col("page_id").cast("string")
+    saved = saved_pages(spark, sf).withColumn("target", target)
+    landed = records(spark, sf).withColumn("target", F.floor(F.col("id") / 20).cast("string"))
+    page = F.col("target").cast("long")
+    tried = landed.select("target").distinct().select("target", F.inline(F.array(
+        F.struct(F.lit("snscrape").alias("feed"), F.lit(0).alias("priority"), (page % 3 != 0).alias("success")),
+        F.struct(F.lit("nitter").alias("feed"), F.lit(1).alias("priority"), (page % 2 == 0).alias("success")))))
+    collect.run_pipeline(table, landed, saved, tried, F.lit("m"))
+    return rounded(table.read().select("tweet_id", "source_instance", "sentiment_score", "sentiment_label"), "sentiment_score")
+
+
 @query(f"""WITH {o.POSTS} SELECT source_instance, count(*) AS n FROM (SELECT 'snscrape' AS source_instance FROM posts WHERE content <> '' UNION ALL
  SELECT 'nitter:' || source_instance FROM posts WHERE content <> '') GROUP BY 1""")
 def feed_union(spark, sf):

@@ -1,6 +1,6 @@
 """A collection run over landed feeds: convert, check, choose feeds, store, score."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chirpline.functions.scoring import Scorer, make_scorer, score_posts
 from chirpline.operators import keyed
@@ -33,6 +33,22 @@ def collect(table: PostTable, batches: list[DataFrame], scorer: Scorer | None =
     return out
 
 
+def run_pipeline(table: PostTable, records: DataFrame, saved: DataFrame, attempts: DataFrame, mirror: Column, scorer: Scorer | None = None,
+                 default_username: Column | None = None, now: Column | None = None, page_order: str = "page_id") -> dict:
+    """A whole run: each target's first feed that succeeded is converted, checked, stored and scored.
+
+    ``records`` and ``saved`` pages carry their ``target``; ``attempts`` say which feed (by its tag) succeeded for it.
+    """
+    winners = keyed.feed_winners(attempts).filter("success").select("target", "feed")
+
+    def won(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.join(winners.filter(F.col("feed") == tag), "target", "left_semi")
+
+    record = feeds.posts_from_records(won(records, feeds.RECORD_TAG), default_username, now)
+    html = html_posts(won(saved, feeds.HTML_TAG), mirror, default_username, now, ["target"], page_order)
+    return collect(table, [record, html], scorer)
+
+
 def fail_over(posts: DataFrame, attempts: DataFrame, keys: list[str] = ("target",)) -> DataFrame:
     """Posts of each target's winning feed; ``posts`` carries target and feed."""
     return keyed.winner_rows(posts, keyed.feed_winners(attempts, keys), keys)
