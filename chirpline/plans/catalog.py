@@ -661,7 +661,8 @@ def page_links(spark, sf):
 @query(f"""WITH {o.POSTS} SELECT CAST(page_id AS VARCHAR) AS page_id, id, link FROM (SELECT tweet_id::BIGINT // 20 AS page_id, tweet_id AS id,
  'https://twitter.com/' || username || '/status/' || tweet_id || '#m' AS link FROM posts WHERE tweet_id = '40')""")
 def post_lookup(spark, sf):
-    return pages.post_by_id(items(spark, sf), "40").select("page_id", "id", "link")
+    found = pages.timeline_items(pages.parse_pages(pages.holding(saved_pages(spark, sf), "40")))
+    return pages.post_by_id(found, "40").select("page_id", "id", "link")
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS page_id, 'https://pbs.twimg.com/profile_images/' || user_id || '/a.jpg' AS image, 'User ' || user_id AS name, '@user' || user_id AS username,

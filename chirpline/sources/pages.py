@@ -286,6 +286,11 @@ def timeline_items(parsed: DataFrame, keep: list[str] = ("page_id",)) -> DataFra
         *_decoded_media(F.col, encoded))
 
 
+def holding(saved: DataFrame, tweet_id: str) -> DataFrame:
+    """The saved pages that may show a post: the only ones worth parsing for it."""
+    return saved.filter(F.contains(F.col("html"), F.lit(f"/status/{tweet_id}")))
+
+
 def post_by_id(items: DataFrame, tweet_id: str) -> DataFrame:
     """The post a status page was saved for: its first item."""
     return items.filter((F.col("pos") == 0) & (F.col("id") == tweet_id))
