@@ -1,8 +1,8 @@
 """Removal of lines that are alike an earlier line, by an exact set-similarity join.
 
 A line's tokens are its distinct words (white space apart, A-Z lower-cased),
-ordered by rarity: the count of the token's group over all lines, then the
-hash. Two lines are alike if their token sets have a Jaccard similarity of
+ordered by rarity: the count of the token's group over all lines (in steps of a
+sixteenth of a doubling), then the hash. Two lines are alike if their token sets have a Jaccard similarity of
 ``ABOVE`` / ``OF`` at least. Such lines share one of their first tokens; where
 they first do, the places of it bound the overlap (positional filter), and the
 sizes do as well (length filter). A 64-bit parity map of the tokens bounds it
@@ -10,9 +10,10 @@ once more. Pairs that survive are verified on the token sets.
 
 A line goes if an equal set stands earlier, or if its set is alike a set that
 first stands earlier; earlier is by document id, then line. That is judged on
-the input. A set is first verified against the earliest line in each of its
-cells; only sets that this does not settle meet the other lines of their
-cells, so a line with thousands of variants costs as many pairs as variants.
+the input. A set is first verified against one candidate, that with which it
+shares most cells; only sets that this does not settle are verified against
+the others. In large cells a set first meets the earliest line alone. So a line
+with thousands of variants costs as many pairs as variants.
 
 Defined cases: lines of fewer distinct words than ``least_words`` stay; null
 texts are empty and have no lines; rows of one id count as one document, of
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chirpline.llm.cells import bucket, group_counts, shared_cells
+from chirpline.llm.cells import bucket, group_counts
 from chirpline.llm.frames import table, written
 from chirpline.llm.words import Splitter, mix, raw, text_slices, white_space_words
 
 ABOVE, OF = 9, 10
 LEAST_WORDS = 5
 BROADCAST_ROWS = 500_000
+WEIGHT_BITS = 9
+SMALL_CELL = 64
 
 
 def line_offsets(data, offsets):
@@ -49,7 +52,9 @@ class Lines:
     """Token sets of the lines of rows."""
 
     def __init__(self, least_words, counts=None):
-        self.least, self.counts, self.splitter = least_words, counts, Splitter(white_space_words(), True)
+        self.least, self.splitter = least_words, Splitter(white_space_words(), True)
+        # a fixed order needs no more than steps of a sixteenth of a doubling
+        self.weights = None if counts is None else np.minimum(np.log2(counts.astype(np.float64) + 1) * 16, 2 ** WEIGHT_BITS - 1).astype(np.uint64)
 
     def sets(self, data, offsets):
         """Tokens of all lines with enough words, line after line, the rarest first; sizes, rows and numbers of these lines."""
@@ -58,8 +63,13 @@ class Lines:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
         _, _, first, hashes = self.splitter.split(data, edges)
         line = np.repeat(np.arange(len(row)), np.diff(first))
-        weight = self.counts[bucket(hashes)] if self.counts is not None else np.zeros(len(hashes), np.uint32)
-        order = np.lexsort((hashes, weight, line))
+        # one key to sort by: the line, the weight of the token, the first bits of its hash
+        bits = max(1, int(len(row)).bit_length())
+        key = line.astype(np.uint64) << np.uint64(64 - bits)
+        if self.weights is not None:
+            key |= self.weights[bucket(hashes)] << np.uint64(64 - bits - WEIGHT_BITS)
+            bits += WEIGHT_BITS
+        order = np.argsort(key | hashes >> np.uint64(bits))
         hashes, line = hashes[order], line[order]
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -173,6 +183,82 @@ def token_sets(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, T.StructType.fromDDL("sid long, tokens binary"))
 
 
+def met_lines(rows: DataFrame, above: int, of: int) -> DataFrame:
+    """What the cells of ``prefix_rows`` hold: pairs (sid, other) that the filters admit, ``other`` standing earlier.
+
+    Of cells up to ``SMALL_CELL`` sets all pairs. Larger ones stream through: there each set meets the first, and all
+    sets come out with their key for a join of those that this does not settle.
+    """
+    id_type = rows.schema["doc_id"].dataType
+    schema = T.StructType([*T.StructType.fromDDL("sid long, other long, key long").fields, T.StructField("doc_id", id_type),
+                           *T.StructType.fromDDL("line int, n int, pos int, bits long").fields])
+
+    def admitted(n, m, p, q, x, y):
+        overlap = -(-((n + m) * above) // (of + above))
+        ok = (np.minimum(n, m) * of >= np.maximum(n, m) * above) & (1 + np.minimum(n - p - 1, m - q - 1) >= overlap)
+        ok[ok] = np.bitwise_count((x[ok] ^ y[ok]).view(np.uint64)) <= (n + m - 2 * overlap)[ok]
+        return ok
+
+    def run(batches):
+        held, large = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            part = (pa.concat_tables([held, part]) if held is not None else part).combine_chunks()
+            yield from step(part, large, False)
+            held, large = state.pop()
+        if held is not None:
+            yield from step(held, large, True)
+
+    state = []
+
+    def step(part, large, end):
+        keys, sids = part.column("key").to_numpy(), part.column("sid").to_numpy()
+        n, pos, bits = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "bits"))
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        run_of = np.repeat(np.arange(len(starts)), sizes)
+        big = sizes > SMALL_CELL
+        big[0] |= large
+        close = len(starts) if end or big[-1] else len(starts) - 1  # a small cell at the end waits for the next batch
+        order = np.lexsort((sids, run_of))
+        again = np.zeros(len(keys), bool)
+        again[order[1:]] = (sids[order[1:]] == sids[order[:-1]]) & (run_of[order[1:]] == run_of[order[:-1]])
+        live = np.flatnonzero(~again & (run_of < close))
+        out = {f: [] for f in ("sid", "other")}
+        small = live[~big[run_of[live]]]
+        width = int(sizes[~big].max()) if (~big).any() else 0
+        for d in range(1, width):
+            i, j = small[:-d], small[d:]
+            same = run_of[i] == run_of[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            ok = admitted(n[i], n[j], pos[i], pos[j], bits[i], bits[j])
+            out["sid"].append(sids[j[ok]])
+            out["other"].append(sids[i[ok]])
+        if out["sid"]:
+            pairs = np.unique(np.stack([np.concatenate(out["sid"]), np.concatenate(out["other"])]), axis=1)
+            if pairs.shape[1]:
+                nothing = [pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(pairs.shape[1], part.schema.field("doc_id").type),
+                           *(pa.nulls(pairs.shape[1], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *nothing], names=schema.names)
+        wide = live[big[run_of[live]]]
+        if len(wide):
+            lead = starts[run_of[wide]]
+            other = sids[lead].copy()
+            ok = (other != sids[wide])
+            ok[ok] = admitted(n[lead[ok]], n[wide[ok]], pos[lead[ok]], pos[wide[ok]], bits[lead[ok]], bits[wide[ok]])
+            rows_ = part.take(pa.array(wide))
+            yield pa.RecordBatch.from_arrays([pa.array(sids[wide]), pa.array(other, mask=~ok), pa.array(keys[wide])]
+                                             + [rows_.column(c).combine_chunks() for c in ("doc_id", "line", "n", "pos", "bits")], names=schema.names)
+        if not end:
+            state.append((part.slice(int(starts[-1]), 1), True) if big[-1] else (part.slice(int(starts[-1])), False))
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "line").mapInArrow(run, schema)
+
+
 def alike_earlier(docs: DataFrame, least_words: int, above: int, of: int) -> DataFrame:
     """sid of every set that is alike another set which first stands earlier. docs: doc_id and text."""
     def make_tokens():
@@ -181,8 +267,7 @@ def alike_earlier(docs: DataFrame, least_words: int, above: int, of: int) -> Dat
 
     counts = group_counts(docs, make_tokens)
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2 ** 32 - 1).astype(np.uint32))
-    rows = prefix_rows(docs, sent, least_words, above, of)
-    cells = written(shared_cells(rows, ["doc_id", "line"], ["sid", "n", "pos", "bits"]), "line-cells")
+    met = written(met_lines(prefix_rows(docs, sent, least_words, above, of), above, of), "line-cells")
 
     def settle(pairs):
         pairs = written(pairs, "line-pairs")
@@ -191,15 +276,16 @@ def alike_earlier(docs: DataFrame, least_words: int, above: int, of: int) -> Dat
         sets = written(token_sets(docs, least_words).join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "line-sets")
         return written(verified(pairs, sets, above, of).select("sid").distinct(), "line-alike")
 
-    star = cells.filter((F.col("sid") != F.col("first_sid")) & may_be_alike("", "first_", above, of))
-    done = settle(star.select("sid", F.col("first_sid").alias("other")).distinct())
+    pairs = written(met.filter("other is not null").groupBy("sid", "other").count(), "line-pairs")
+    best = pairs.groupBy("sid").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    done = settle(best)
+    rest = pairs.select("sid", "other").join(done, "sid", "left_anti").join(best, ["sid", "other"], "left_anti")
     place = F.struct("doc_id", "line")
-    least = cells.groupBy("key", "sid").agg(F.min(place).alias("at"), F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("bits").alias("bits"),
-                                            F.max((F.col("sid") == F.col("first_sid")).cast("int")).alias("is_first"))
-    open_ = least.filter("is_first = 0").drop("is_first").join(done, "sid", "left_anti")
-    other = least.filter("is_first = 0").select("key", *(F.col(c).alias(f"o_{c}") for c in ("sid", "at", "n", "pos", "bits")))
-    met = open_.join(other, "key").filter((F.col("o_at") < F.col("at")) & (F.col("o_sid") != F.col("sid")) & may_be_alike("", "o_", above, of))
-    return done.unionByName(settle(met.select("sid", F.col("o_sid").alias("other")).distinct())).distinct()
+    wide = met.filter("key is not null").groupBy("key", "sid").agg(F.min(place).alias("at"), *(F.min(c).alias(c) for c in ("n", "pos", "bits")))
+    other = wide.select("key", *(F.col(c).alias(f"o_{c}") for c in ("sid", "at", "n", "pos", "bits")))
+    more = wide.join(done, "sid", "left_anti").join(other, "key").filter((F.col("o_at") < F.col("at")) & may_be_alike("", "o_", above, of))
+    rest = rest.unionByName(more.select("sid", F.col("o_sid").alias("other"))).distinct()
+    return done.unionByName(settle(rest)).distinct()
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, above: int = ABOVE, of: int = OF) -> DataFrame:
