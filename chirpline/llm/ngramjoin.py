@@ -9,14 +9,14 @@ The bound is used at two depths. In the finest groups, one for each token,
 sets whose rarest tokens are all different cannot overlap enough: so sets meet
 in cells, one for each of their rarest tokens. So many tokens are taken that
 linked sets must share a tenth of their size of cells; a set with fewer live
-cells has no link and leaves them all. Within a cell the points of ``GROUPS``
-coarse groups are held in an R-tree of smallest and largest coordinates, and a
-search goes only into boxes whose bound and sizes allow a link. Pairs that
-survive are verified on the sets themselves, in blocks: a set travels to the
-blocks that hold a candidate of it, not to each candidate.
+cells has no link and leaves them all. Sets with the same lead (below) form
+blocks, and blocks that meet in a cell are joined: the points of ``GROUPS``
+coarse groups of one block are held in an R-tree of largest coordinates and
+ranges of sizes, and a search goes only into boxes whose bound and sizes allow
+a link. Pairs that survive are verified on the sets themselves, where they are.
 
 Equal sets are one point. Each set is first verified against one set of its
-cells (that with which it shares most cells, of the first in each), so a large
+cells (its lead, that with which it shares most cells, of the first in each), so a large
 group of near copies becomes one component with as many pairs as members;
 later only pairs of different components are looked at.
 
@@ -41,7 +41,6 @@ WIDTH = 5
 ABOVE, OF = 75, 100  # a link: OF * overlap >= ABOVE * union
 GROUPS = 128
 BROADCAST_ROWS = 500_000
-TILE = 4096
 LEAF = 16
 BLOCK_SETS = 256
 PRUNE_ROUNDS = 2
@@ -172,74 +171,42 @@ def likely_pairs(pairs: DataFrame, points: DataFrame, above: int, of: int) -> Da
     return both.select("a", "b", "_n", "_m", "_p", "_q").mapInArrow(run, T.StructType.fromDDL("a long, b long"))
 
 
-def cell_pairs(rows: DataFrame, above: int, of: int) -> DataFrame:
-    """Pairs of sets of different components that meet in a cell and that the tree does not exclude: bx, by, xs, ys.
-
-    rows: key, sid, n, comp, block, point. The pairs come as lists, one for each two blocks that a task meets.
-    """
-    def cell(sids, sizes, comps, points, own, same):
-        if len(sids) <= LEAF:
-            i, j = np.triu_indices(len(sids), 1)
-            ok = comps[i] != comps[j]
-            if not same:
-                ok &= own[i] != own[j]
-            i, j = i[ok], j[ok]
-            if len(i):
-                ok = likely(points[i], sizes[i], points[j], sizes[j], above, of)
-                yield sids[i[ok]], sids[j[ok]]
-            return
-        inside = np.flatnonzero(own)
-        if not len(inside):
-            return
-        tree = CountTree(points[inside], sizes[inside])
-        for i in range(len(sids)) if same else np.flatnonzero(~own):
-            found = inside[tree.search(points[i], sizes[i], above, of)]
-            found = found[comps[found] != comps[i]]
-            if same:
-                found = found[found < i]
-            if len(found):
-                yield np.full(len(found), sids[i]), sids[found]
-
-    schema = T.StructType.fromDDL("bx long, by long, xs array<long>, ys array<long>")
+def meeting_blocks(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks (bx, by) that meet in a cell with sets of different components. rows: key, block, least and most component."""
+    schema = T.StructType.fromDDL("bx long, by long")
 
     def run(batches):
         held, seen = None, set()
 
         def done(part):
-            keys, tiles = part.column("key").to_numpy(), part.column("tile").to_numpy()
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
-            starts = np.append(np.flatnonzero(new), len(keys))
-            sids, sizes, comps = (part.column(n).to_numpy() for n in ("sid", "n", "comp"))
-            points, own, same = read_points(part.column("point")), part.column("own").to_numpy(), part.column("same").to_numpy()
-            home = dict(zip(sids.tolist(), part.column("block").to_pylist()))
-            for s, e in zip(starts[:-1], starts[1:]):
-                for a, b in cell(sids[s:e], sizes[s:e], comps[s:e], points[s:e], own[s:e], bool(same[s])):
-                    for x, y in zip(a.tolist(), b.tolist()):
-                        if (home[x], x) > (home[y], y):
-                            x, y = y, x
-                        if (x, y) not in seen:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen.add((x, y))
-                            yield home[x], home[y], x, y
+            keys, blocks, least, most = (part.column(n).to_numpy() for n in ("key", "block", "least", "most"))
+            starts = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                own = blocks[s:e].tolist()
+                if least[s:e].min() == most[s:e].max():
+                    continue
+                for i, x in enumerate(own):
+                    if least[s + i] != most[s + i]:
+                        yield x, x
+                    for j in range(i + 1, len(own)):
+                        if least[s + i] != most[s + j] or most[s + i] != least[s + j]:
+                            yield x, own[j]
 
         def send(pairs):
-            out = {}
-            for bx, by, x, y in pairs:
-                xs, ys = out.setdefault((bx, by), ([], []))
-                xs.append(x)
-                ys.append(y)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
-                                                  *(pa.array([v[i] for v in out.values()], pa.list_(pa.int64())) for i in (0, 1))], names=schema.names)
+            fresh = [p for p in dict.fromkeys(pairs) if p not in seen]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in (0, 1)], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = pa.Table.from_batches([batch])
             part = (pa.concat_tables([held, part]) if held is not None else part).combine_chunks()
-            keys, tiles = part.column("key").to_numpy(), part.column("tile").to_numpy()
-            last = np.flatnonzero((keys != keys[-1]) | (tiles != tiles[-1]))
+            keys = part.column("key").to_numpy()
+            last = np.flatnonzero(keys != keys[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             held = part.slice(cut)
             if cut:
@@ -247,59 +214,70 @@ def cell_pairs(rows: DataFrame, above: int, of: int) -> DataFrame:
         if held is not None:
             yield from send(done(held.combine_chunks()))
 
-    count = rows.groupBy("key").count().filter(F.col("count") > TILE)
-    tiles = F.coalesce(F.ceil(F.col("count") / TILE).cast("int"), F.lit(1))
-    dealt = rows.join(count, "key", "left").withColumn("_tiles", tiles).withColumn("_t", F.pmod(F.xxhash64("sid"), "_tiles").cast("int"))
-    dealt = dealt.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.select("key", (F.least("_t", "_u") * F.col("_tiles") + F.greatest("_t", "_u")).cast("long").alias("tile"), "sid", "n", "comp", "block", "point",
-                         (F.col("_t") <= F.col("_u")).alias("own"), (F.col("_t") == F.col("_u")).alias("same"))
-    # a pair of one tile with itself holds only rows of that tile
-    out = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
-    return out.mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "block").mapInArrow(run, schema).distinct()
 
 
-def verified_blocks(pairs: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
-    """Links (a, b) that join the components of all linked pairs. pairs: bx, by, xs, ys; sets: sid, comp, block, tokens.
+class BlockPair:
+    """The sets of two blocks, or of one with itself."""
 
-    In each pair of blocks, pairs of sets that are connected already are passed over.
-    """
-    schema = T.StructType.fromDDL("a long, b long")
+    def __init__(self, bx, by):
+        self.blocks, self.rows = (bx, by), {}
 
-    def run(batches):
-        now, sets_here, comps, parent = None, {}, {}, {}
+    def add(self, block, sid, comp, point, tokens):
+        self.rows.setdefault(block, {})[sid] = (comp, np.frombuffer(point, np.uint16), np.frombuffer(tokens, np.uint64))
+
+    def links(self, above, of):
+        """Links between sets of different components. What is connected by then is passed over."""
+        parent = {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for batch in batches:
-            out = []
-            tokens, xs, ys = batch.column("tokens"), batch.column("xs"), batch.column("ys")
-            for i, (bx, by, sid, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "sid", "comp")))):
-                if (bx, by) != now:
-                    now, sets_here, comps, parent = (bx, by), {}, {}, {}
-                if sid is not None:
-                    sets_here[sid], comps[sid] = np.frombuffer(tokens[i].as_py(), np.uint64), comp
+        bx, by = self.blocks
+        first, second = self.rows.get(bx, {}), self.rows.get(by, {})
+        if not first or not second:
+            return
+        ids, held = list(second), list(second.values())
+        tree = CountTree(np.stack([h[1] for h in held]), np.array([len(h[2]) for h in held]))
+        for x, (comp, point, tokens) in first.items():
+            for k in tree.search(point, len(tokens), above, of).tolist():
+                if bx == by and ids[k] <= x:
                     continue
-                for x, y in zip(xs[i].as_py(), ys[i].as_py()):
-                    p, q = find(comps[x]), find(comps[y])
-                    if p != q:
-                        s, t = sets_here[x], sets_here[y]
-                        factor, right = need(len(s), len(t), above, of)
-                        if factor * len(np.intersect1d(s, t, assume_unique=True)) >= right:
-                            parent[p] = q
-                            out.append((x, y))
+                p, q = find(comp), find(held[k][0])
+                if p != q:
+                    factor, right = need(len(tokens), len(held[k][2]), above, of)
+                    if factor * len(np.intersect1d(tokens, held[k][2], assume_unique=True)) >= right:
+                        parent[p] = q
+                        yield x, ids[k]
+
+
+def verified_blocks(meets: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
+    """Links (a, b) that join the components of all linked pairs of these blocks. sets: sid, comp, block, point, tokens."""
+    schema = T.StructType.fromDDL("a long, b long")
+
+    def run(batches):
+        now = None
+
+        def send(pair):
+            out = list(pair.links(above, of)) if pair is not None else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=schema.names)
 
-    meets = pairs.select("bx", "by").distinct()
-    first = meets.join(sets.withColumnRenamed("block", "bx"), "bx")
-    second = meets.filter("bx <> by").join(sets.withColumnRenamed("block", "by"), "by")
-    nothing = F.lit(None).cast("array<long>")
-    rows = first.unionByName(second).withColumns({"xs": nothing, "ys": nothing})
-    lists = pairs.withColumns({"sid": F.lit(None).cast("long"), "comp": F.lit(None).cast("long"), "tokens": F.lit(None).cast("binary")})
-    dealt = rows.unionByName(lists).repartition("bx", "by").sortWithinPartitions("bx", "by", F.col("sid").asc_nulls_last())
+        for batch in batches:
+            points, tokens = batch.column("point"), batch.column("tokens")
+            for i, (bx, by, block, sid, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "block", "sid", "comp")))):
+                if now is None or now.blocks != (bx, by):
+                    yield from send(now)
+                    now = BlockPair(bx, by)
+                now.add(block, sid, comp, points[i].as_py(), tokens[i].as_py())
+        yield from send(now)
+
+    first = meets.join(sets.withColumn("bx", F.col("block")), "bx")
+    second = meets.filter("bx <> by").join(sets.withColumn("by", F.col("block")), "by")
+    names = ["bx", "by", "block", "sid", "comp", "point", "tokens"]
+    dealt = first.select(*names).unionByName(second.select(*names)).repartition("bx", "by").sortWithinPartitions("bx", "by", "block", "sid")
     return dealt.mapInArrow(run, schema)
 
 
@@ -378,11 +356,9 @@ def similar_links(docs: DataFrame, width: int = WIDTH, above: int = ABOVE, of: i
     block = F.xxhash64("_lead", F.pmod(F.xxhash64("sid"), "_slots"))
     facts = named.join(sizes, "_lead").join(home, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), block.alias("block"))
     facts = written(facts, "homes")
-    rest = members.select("key", "sid").join(facts, "sid")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    rest = written(rest.join(mixed, "key", "left_semi").join(sets.drop("tokens"), "sid"), "mixed")
-    pairs = written(cell_pairs(rest, above, of), "pairs")
-    second = verified_blocks(pairs, sets.select("sid", "tokens").join(facts, "sid"), above, of)
+    rest = members.select("key", "sid").join(facts, "sid").groupBy("key", "block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    meets = written(meeting_blocks(rest), "meets")
+    second = verified_blocks(meets, sets.join(facts, "sid"), above, of)
     return first.unionByName(written(second, "links"))
 
 
