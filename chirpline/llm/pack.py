@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of, written
-from chirpline.llm.units import UNIT, Memory, tokenizer_path
+from chirpline.llm.units import SPACE_CHARS, UNIT, Memory, tokenizer_path
 
 SEQUENCE = 2048
 CLOSING_ID = 0
@@ -47,11 +47,23 @@ class Encoder:
 
         self.tokenizer, self.remembered = Tokenizer.from_file(tokenizer_path(path)), Memory(remembered)
 
+    def learn(self, units):
+        """Encode new units. Those with white space before and not behind are encoded as one text, and cut where they start."""
+        joined = [u for u in units if u[0] in SPACE_CHARS and u[-1] not in SPACE_CHARS]
+        if joined:
+            found = self.tokenizer.encode("".join(joined), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.cumsum([len(u) for u in joined])
+            cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets]), ends)).tolist()
+            for u, a, b in zip(joined, [0, *cuts], cuts):
+                self.remembered.put(u, ids[a:b])
+        for u in set(units).difference(joined):
+            self.remembered.put(u, np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes())
+
     def ids(self, text):
         units = UNIT.findall(text)
         if missing := self.remembered.missing(units):
-            for u, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.remembered.put(u, np.array(found.ids, "<u4").tobytes())
+            self.learn(missing)
         known = self.remembered.new
         out = b"".join([known[u] for u in units])
         self.remembered.tidy()

@@ -13,6 +13,7 @@ from types import ModuleType
 
 # The characters of the White_Space property.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = frozenset(re.findall(f"[{SPACES}]", "".join(map(chr, range(0x3001)))))
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 DEFAULT_FILE = "byte_bpe_50k.json"
 
