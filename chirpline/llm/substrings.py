@@ -42,7 +42,7 @@ from chirpline.llm.words import Splitter, gram_rows, grams, mix, raw, text_slice
 
 WINDOW, ANCHOR = 13, 5
 SHARD_ROWS = 4000
-HOT_ROWS = 1000
+HOT_ROWS = 8000
 BROADCAST_ROWS = 2_000_000
 LAST_ID = 2 ** 63 - 1
 
@@ -115,16 +115,20 @@ def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 new = np.array([n not in had and not had.add(n) for n in names.tolist()])
                 row = np.searchsorted(first, place, "right") - 1
                 chosen = np.concatenate([[True], place[1:] != place[:-1]]) & new[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key[chosen].view(np.int64)), pa.array(names[row[chosen]])], names=["key", "sid"])
+                key, row = key[chosen], row[chosen]
+                order = np.lexsort((key, row))  # an anchor that a text repeats counts once
+                key, row = key[order], row[order]
+                once = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(names[row[once]])], names=["key", "sid"])
 
     return docs.select("text").mapInArrow(run, T.StructType.fromDDL("key long, sid long"))
 
 
-PASSAGES = "key long, doc_id long, tid long, start long, words binary"
+PASSAGES = "key long, doc_id long, tid long, starts array<long>, words binary"
 
 
 def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
-    """The windows of each anchor that may repeat, as one run of words: key, doc_id, tid, first word, word hashes.
+    """The windows of each anchor that may repeat, as one run of words: key, doc_id, tid, first words of its places, word hashes.
 
     ``known`` is a broadcast sorted array of anchors, or None if the rows bring their own in ``keys``. Of equal texts a task gives those with a smaller id than before.
     """
@@ -161,11 +165,13 @@ def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
                     continue
                 lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
                 last = np.append(lead[1:], len(at)) - 1
-                view = memoryview(hashes.tobytes())
-                words = [bytes(view[8 * a:8 * b]) for a, b in zip(at[lead].tolist(), (at[last] + window).tolist())]
-                rows = pa.array(row[lead] + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(signed[lead]), batch.column("doc_id").take(rows), batch.column("tid").take(rows),
-                                                  pa.array(at[lead] - first[row[lead]]), pa.array(words, pa.binary())], names=schema.names)
+                view, found = memoryview(hashes.tobytes()), {}
+                starts = (at[lead] - first[row[lead]]).tolist()
+                for a, b, k, r, start in zip(at[lead].tolist(), (at[last] + window).tolist(), signed[lead].tolist(), row[lead].tolist(), starts):
+                    found.setdefault((r, k, bytes(view[8 * a:8 * b])), []).append(start)  # a passage that a text repeats is one row
+                rows = pa.array([r + lo for r, _, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in found], pa.int64()), batch.column("doc_id").take(rows), batch.column("tid").take(rows),
+                                                  pa.array(list(found.values()), pa.list_(pa.int64())), pa.array([w for _, _, w in found], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -179,7 +185,7 @@ def shard_hits(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out = [[], [], [], []]
             words = batch.column("words")
-            for i, (s, d, tid, start) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("shard", "doc_id", "tid", "start")))):
+            for i, (s, d, tid, starts) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("shard", "doc_id", "tid", "starts")))):
                 if s != shard:
                     shard, doc, automaton, waiting = s, d, SuffixAutomaton(), []
                 elif d != doc:
@@ -187,27 +193,25 @@ def shard_hits(rows: DataFrame, window: int) -> DataFrame:
                         automaton.add(symbols)
                     doc, waiting = d, []
                 symbols = np.frombuffer(words[i].as_buffer(), np.int64).tolist()
-                begin = end = -1
-                full = False
+                spans, full = [], False
                 for k, (_, size) in enumerate(automaton.walk(symbols), 1):
                     if size >= window:
-                        if begin >= 0 and k - size <= end:
-                            end = k
+                        if spans and k - size <= spans[-1][1]:
+                            spans[-1][1] = k
                         else:
-                            if begin >= 0 and tid is not None:
-                                for column, v in zip(out, (d, tid, start + begin, start + end)):
-                                    column.append(v)
-                            begin, end = k - size, k
+                            spans.append([k - size, k])
                         full = size == len(symbols)
-                if begin >= 0 and tid is not None:
-                    for column, v in zip(out, (d, tid, start + begin, start + end)):
-                        column.append(v)
+                if tid is not None:
+                    for start in starts if spans else ():
+                        for begin, end in spans:
+                            for column, v in zip(out, (d, tid, start + begin, start + end)):
+                                column.append(v)
                 if not full:
                     waiting.append(symbols)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=schema.names)
 
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "tid", "start")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "tid", "starts")
     return dealt.mapInArrow(run, schema)
 
 
@@ -216,7 +220,9 @@ def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) ->
     cells = written(shared_cells(anchor_rows(docs, window, anchor), ["sid"], []), "anchors")
     counts = written(cells.groupBy("key").count(), "anchor-counts")
     n_keys, n_rows = counts.agg(F.count("*"), F.sum("count")).first()
-    hot = counts.filter(F.col("count") > HOT_ROWS)
+    hot = written(counts.filter(F.col("count") > HOT_ROWS), "hot-anchors")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     shards = max(1, -(-(n_rows or 0) // SHARD_ROWS))
     if n_keys <= BROADCAST_ROWS:
         keys = np.sort(np.array([r[0] for r in counts.select("key").toLocalIterator()], np.int64))
@@ -228,12 +234,12 @@ def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) ->
     salts = F.coalesce(F.ceil(F.col("count") / HOT_ROWS).cast("int"), F.lit(1))
     marked = found.join(hot, "key", "left").withColumn("_salts", salts)
     shard = F.pmod(F.xxhash64("key", "_salt"), F.lit(shards)).alias("shard")
-    columns = [shard, "doc_id", "tid", "start", "words"]
-    rows = marked.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tid", "start"), "_salts").cast("int")).select(*columns)
-    if not hot.isEmpty():
+    columns = [shard, "doc_id", "tid", "starts", "words"]
+    rows = marked.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tid", "starts"), "_salts").cast("int")).select(*columns)
+    if n_hot:
         firsts = marked.filter("_salts > 1").groupBy("key", "_salts", "words").agg(F.min("doc_id").alias("doc_id"))
         firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        rows = rows.unionByName(firsts.withColumns({"tid": F.lit(None).cast("long"), "start": F.lit(0).cast("long")}).select(*columns))
+        rows = rows.unionByName(firsts.withColumns({"tid": F.lit(None).cast("long"), "starts": F.array().cast("array<long>")}).select(*columns))
     hits = shard_hits(rows, window)
     return hits.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
