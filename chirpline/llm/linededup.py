@@ -15,8 +15,12 @@ shares most cells; only sets that this does not settle are verified against
 the others. In large cells a set first meets the earliest line alone. So a line
 with thousands of variants costs as many pairs as variants.
 
-Defined cases: lines of fewer distinct words than ``least_words`` stay; null
-texts are empty and have no lines; rows of one id count as one document, of
+A set so small that one token more or less takes it below the similarity is
+alike no other set. It goes by the equal set alone and enters no cell.
+
+Defined cases: lines of fewer distinct words than ``least_words`` stay (the
+query and the pipeline leave it at ``ANY_WORDS``, so only lines without words
+stay for that); null texts are empty and have no lines; rows of one id count as one document, of
 which no row removes another's line at the same place; null ids come first;
 other columns stay as they are. Tokens and sets are known by 64-bit hashes.
 """
@@ -33,6 +37,7 @@ from chirpline.llm.words import Splitter, mix, raw, text_slices, white_space_wor
 
 ABOVE, OF = 9, 10
 LEAST_WORDS = 5
+ANY_WORDS = 1
 BROADCAST_ROWS = 500_000
 WEIGHT_BITS = 9
 SMALL_CELL = 64
@@ -261,6 +266,7 @@ def met_lines(rows: DataFrame, above: int, of: int) -> DataFrame:
 
 def alike_earlier(docs: DataFrame, least_words: int, above: int, of: int) -> DataFrame:
     """sid of every set that is alike another set which first stands earlier. docs: doc_id and text."""
+    least_words = max(least_words, -(-above // max(1, of - above)))  # n tokens of n + 1 are the best that different sets reach
     def make_tokens():
         lines = Lines(least_words)
         return lambda data, offsets: lines.sets(data, offsets)[0]
@@ -317,6 +323,6 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, above: int = AB
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    found = dedup_lines(docs.withColumn("n_lines", n_lines), removed_col="gone")
+    found = dedup_lines(docs.withColumn("n_lines", n_lines), ANY_WORDS, removed_col="gone")
     return found.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"),
                         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are alike earlier ones; those of which nothing is left go."""
-    found = linededup.dedup_lines(docs, removed_col="_gone_lines")
+    found = linededup.dedup_lines(docs, linededup.ANY_WORDS, removed_col="_gone_lines")
     emptied = (F.size("_gone_lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
     return sized(found.filter(~emptied).drop("_gone_lines"))
 

@@ -81,6 +81,22 @@ def test_lines(docs):
     assert {d: (len(g), t or "") for d, (t, g) in got.items()} == {d: w[1:] for d, w in want.items()}
 
 
+def test_lines_of_few_words(spark, docs, tmp_path):
+    """Later repeats of short lines and of long lines of few words go as well, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    short = ["les.", "a b", "Yes yes YES", "w1 w2 w3 w4", "w1 w2 w3", "one two three four " * 250, " ".join(f"n{i}" for i in range(9)), " ".join(f"n{i}" for i in range(10)),
+             " ".join(f"n{i}" for i in range(8)), "", "  "]
+    texts = {i: "\n".join(rng.choice(short) for _ in range(rng.choice([1, 2, 6]))) for i in range(60)} | {90: None, 91: "seen once", 92: "new line\nles."}
+    want = plain.line_dedup(texts, least=1)
+    assert sum(w[1] for w in want.values()) > 100
+    got = by_id(linededup.op3_line_dedup(spark, saved(spark, tmp_path, documents=docs(texts))), "n_lines", "n_removed", "kept_sha256")
+    assert got == {d: (*w[:2], plain.sha(w[2])) for d, w in want.items()}
+    kept = by_id(corpus_pipeline.drop_repeated_lines(spark, docs(texts), ""), "text")
+    assert {d: t or "" for d, (t,) in kept.items()} == {d: w[2] for d, w in want.items() if not w[1] or w[2].strip()}
+
+
 def test_near_groups(docs):
     texts = variants(4, 500)
     assert by_id(ngramjoin.near_duplicates(docs(texts)), "n_shingles", "component_id") == plain.near_groups(texts)
