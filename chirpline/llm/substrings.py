@@ -14,17 +14,19 @@ long enough, and then joins the automaton.
 
 The automata are dealt out rather than broadcast: a shard needs only the
 passages that can match it, so the work grows with the input, where streaming
-all documents through all shards grows with its square. An anchor that very
-many texts hold is dealt to several shards, each with all its different
-passages at their first documents.
+all documents through all shards grows with its square. Passages of an anchor
+with very many places in the texts enter no automaton, which would hold them
+all: they are dealt as single windows by the hash of the window, and a window
+is known if the smallest id that holds it is smaller. That takes no memory for
+a group, whatever its size.
 
 Equal texts are one text, of which the copies after the first go as a whole.
 
 Defined cases: null texts and texts of fewer words than a window keep all
 words; rows of one id are one document and do not remove each other's words;
 rows without id come after all others; a table without documents gives no
-rows; other columns are not looked at. Words and texts are known by 64-bit
-hashes.
+rows; other columns are not looked at. Words, texts and the single windows of
+frequent anchors are known by 64-bit hashes.
 """
 
 import hashlib
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from chirpline.llm.automaton import SuffixAutomaton
 from chirpline.llm.cells import shared_cells
-from chirpline.llm.frames import table, written
+from chirpline.llm.frames import lists, table, written
 from chirpline.llm.words import Splitter, gram_rows, grams, mix, raw, text_slices, white_space_words
 
 WINDOW, ANCHOR = 13, 5
@@ -102,7 +104,7 @@ def text_facts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """key and sid: the anchors of each different text of a task."""
+    """key, sid and n: the anchors of each different text of a task, with the number of their places there."""
     def run(batches):
         own, had = Anchored(window, anchor), set()
         for batch in batches:
@@ -118,10 +120,11 @@ def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 key, row = key[chosen], row[chosen]
                 order = np.lexsort((key, row))  # an anchor that a text repeats counts once
                 key, row = key[order], row[order]
-                once = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(names[row[once]])], names=["key", "sid"])
+                once = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+                n = np.diff(np.append(once, len(key))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(names[row[once]]), pa.array(n)], names=["key", "sid", "n"])
 
-    return docs.select("text").mapInArrow(run, T.StructType.fromDDL("key long, sid long"))
+    return docs.select("text").mapInArrow(run, T.StructType.fromDDL("key long, sid long, n int"))
 
 
 PASSAGES = "key long, doc_id long, tid long, starts array<long>, words binary"
@@ -177,7 +180,7 @@ def passages(docs: DataFrame, window: int, anchor: int, known) -> DataFrame:
 
 
 def shard_hits(rows: DataFrame, window: int) -> DataFrame:
-    """Spans (doc_id, tid, start, end) of words known from earlier documents. rows: shard and the columns of passages; tid null for references."""
+    """Spans (doc_id, tid, start, end) of words known from earlier documents. rows: shard and the columns of passages."""
     schema = T.StructType.fromDDL("doc_id long, tid long, start long, end long")
 
     def run(batches):
@@ -201,11 +204,10 @@ def shard_hits(rows: DataFrame, window: int) -> DataFrame:
                         else:
                             spans.append([k - size, k])
                         full = size == len(symbols)
-                if tid is not None:
-                    for start in starts if spans else ():
-                        for begin, end in spans:
-                            for column, v in zip(out, (d, tid, start + begin, start + end)):
-                                column.append(v)
+                for start in starts if spans else ():
+                    for begin, end in spans:
+                        for column, v in zip(out, (d, tid, start + begin, start + end)):
+                            column.append(v)
                 if not full:
                     waiting.append(symbols)
             if out[0]:
@@ -215,12 +217,47 @@ def shard_hits(rows: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def window_rows(rows: DataFrame, window: int) -> DataFrame:
+    """Each window of passages by its hash: key, doc_id, tid and first words of its places. rows: passages."""
+    schema = T.StructType.fromDDL("key long, doc_id long, tid long, starts array<long>")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, places = batch.column("words").to_pylist(), batch.column("starts")
+            sizes, n_places = np.array([len(w) // 8 for w in words]), places.value_lengths().to_numpy()
+            n = sizes - window + 1
+            row = np.repeat(np.arange(len(words)), n)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            key = grams(np.frombuffer(b"".join(words), np.uint64), window)[np.repeat(np.cumsum(sizes) - sizes, n) + inside]
+            at = pa.array(row)
+            starts = places.take(at).flatten().to_numpy() + np.repeat(inside, n_places[row])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("tid").take(at),
+                                              lists(starts, n_places[row], pa.int64())], names=schema.names)
+
+    return rows.select("doc_id", "tid", "starts", "words").mapInArrow(run, schema)
+
+
+def window_hits(rows: DataFrame, window: int) -> DataFrame:
+    """Spans (doc_id, tid, start, end) of the windows that an earlier document holds too. rows: passages with all windows of their anchors."""
+    spots = written(window_rows(rows, window), "hot-windows")
+    held = spots.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n"))
+    held = written(held.filter("_first < _last"), "hot-window-firsts")
+    often = held.filter(F.col("_n") > HOT_ROWS).select("key", "_first")
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    seldom = held.filter(F.col("_n") <= HOT_ROWS).select("key", "_first")
+    found = spots.join(often, "key").unionByName(spots.join(often.select("key"), "key", "left_anti").join(seldom, "key"))
+    found = found.filter(F.col("doc_id") > F.col("_first")).select("doc_id", "tid", F.explode("starts").alias("start"))
+    return found.withColumn("end", F.col("start") + F.lit(window).cast("long"))
+
+
 def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) -> DataFrame:
     """doc_id, tid and spans (sorted structs of start and end) that a smaller id holds too. docs: keyed; facts: text_facts, written."""
     cells = written(shared_cells(anchor_rows(docs, window, anchor), ["sid"], []), "anchors")
-    counts = written(cells.groupBy("key").count(), "anchor-counts")
+    counts = written(cells.groupBy("key").agg(F.sum("n").alias("count")), "anchor-counts")
     n_keys, n_rows = counts.agg(F.count("*"), F.sum("count")).first()
-    hot = written(counts.filter(F.col("count") > HOT_ROWS), "hot-anchors")
+    hot = written(counts.filter(F.col("count") > HOT_ROWS).select("key"), "hot-anchors")
     n_hot = hot.count()
     hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     shards = max(1, -(-(n_rows or 0) // SHARD_ROWS))
@@ -231,16 +268,11 @@ def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) ->
         lists = cells.withColumnRenamed("sid", "name").join(facts.select("doc_id", "tid", "name").distinct(), "name")
         lists = lists.groupBy("doc_id", "tid").agg(F.collect_set("key").alias("keys"))
         found = passages(docs.join(lists, ["doc_id", "tid"]), window, anchor, None)
-    salts = F.coalesce(F.ceil(F.col("count") / HOT_ROWS).cast("int"), F.lit(1))
-    marked = found.join(hot, "key", "left").withColumn("_salts", salts)
-    shard = F.pmod(F.xxhash64("key", "_salt"), F.lit(shards)).alias("shard")
-    columns = [shard, "doc_id", "tid", "starts", "words"]
-    rows = marked.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tid", "starts"), "_salts").cast("int")).select(*columns)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    few = found.join(hot, "key", "left_anti") if n_hot else found
+    hits = shard_hits(few.select(shard, "doc_id", "tid", "starts", "words"), window)
     if n_hot:
-        firsts = marked.filter("_salts > 1").groupBy("key", "_salts", "words").agg(F.min("doc_id").alias("doc_id"))
-        firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        rows = rows.unionByName(firsts.withColumns({"tid": F.lit(None).cast("long"), "starts": F.array().cast("array<long>")}).select(*columns))
-    hits = shard_hits(rows, window)
+        hits = hits.unionByName(window_hits(found.join(hot, "key", "left_semi"), window))
     return hits.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 

@@ -180,6 +180,33 @@ def test_substrings(docs, monkeypatch):
     assert by_id(substrings.dedup_substrings(docs(texts)), *columns) == want
 
 
+def test_frequent_anchor_is_not_held_by_one_shard(docs, monkeypatch):
+    """Passages of one frequent anchor in ever different contexts: no shard holds the group, and what repeats is found."""
+    rng, own = random.Random(9), substrings.Anchored()
+
+    def hash_of(words):
+        text = " ".join(words).encode()
+        _, _, _, hashes = own.splitter.split(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        return int(substrings.grams(hashes, substrings.ANCHOR)[0])
+
+    phrase = min(([f"p{i}{j}" for j in range(5)] for i in range(500)), key=hash_of)
+    again = [f"r{i}" for i in range(8)] + phrase + [f"s{i}" for i in range(8)]
+    texts = {i: " ".join([f"x{rng.random()}" for _ in range(8)] + phrase + [f"y{rng.random()}" for _ in range(8)]) for i in range(200)}
+    texts |= {300 + i: " ".join(again[i % 3:] + [f"z{i}"] + again[:18]) for i in range(20)} | {400: " ".join(phrase * 30), 401: " ".join(phrase * 12)}
+    most, plain_hits = [], substrings.shard_hits
+
+    def watched(rows, window):
+        most.append(max([r["count"] for r in rows.groupBy("shard").count().collect()], default=0))
+        return plain_hits(rows, window)
+
+    monkeypatch.setattr(substrings, "shard_hits", watched)
+    monkeypatch.setattr(substrings, "HOT_ROWS", 20)
+    monkeypatch.setattr(substrings, "SHARD_ROWS", 20)
+    columns = ("n_words", "n_removed", "kept_sha256")
+    assert by_id(substrings.dedup_substrings(docs(texts)), *columns) == plain.substrings(texts)
+    assert max(most) <= 100
+
+
 def test_private_spans(spark, docs, tmp_path):
     rng = random.Random(2)
     parts = ["1", "2", "255", "300", ".", "@", "a", "b%", "-", " ", "+", "(", ")", "4111111111111111", "a@b.c", "é🎉", "\n", "+1 (555) 123-4567", "1.2.3.4", "(at)", "00"]
