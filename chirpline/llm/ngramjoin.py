@@ -83,8 +83,13 @@ def need(a, b, above=ABOVE, of=OF):
 
 
 def point(tokens):
+    """Exact group counts, in 16 bits each where they fit and else in 32; ``read_point`` tells them by their size."""
     counts = np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, 65535).astype(np.uint16)
+    return counts.astype(np.uint16 if counts.max() <= 65535 else np.uint32)
+
+
+def read_point(data):
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * GROUPS else np.uint32)
 
 
 class CountTree:
@@ -134,7 +139,10 @@ def likely(q, size, points, sizes, above=ABOVE, of=OF):
 
 
 def read_points(column):
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+    rows = column.to_pylist()
+    if all(len(r) == 2 * GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS)
+    return np.stack([read_point(r) for r in rows])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
@@ -224,7 +232,7 @@ class BlockPair:
         self.blocks, self.rows = (bx, by), {}
 
     def add(self, block, sid, comp, point, tokens):
-        self.rows.setdefault(block, {})[sid] = (comp, np.frombuffer(point, np.uint16), np.frombuffer(tokens, np.uint64))
+        self.rows.setdefault(block, {})[sid] = (comp, read_point(point), np.frombuffer(tokens, np.uint64))
 
     def links(self, above, of):
         """Links between sets of different components. What is connected by then is passed over."""

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,21 @@ def test_tree_finds_all_that_the_bound_allows():
         assert sorted(tree.search(points[i], sizes[i], ngramjoin.ABOVE, ngramjoin.OF).tolist()) == want.tolist()
 
 
+def test_group_counts_beyond_16_bits_reject_no_link():
+    whole = np.arange(200_000, dtype=np.uint64) * np.uint64(ngramjoin.GROUPS)  # all in one group
+    sets = [whole, whole[20_000:], whole[:100_000], np.arange(500, dtype=np.uint64)]
+    stored = [ngramjoin.point(s).tobytes() for s in sets]
+    points, sizes = ngramjoin.read_points(pa.array(stored, pa.binary())), np.array([len(s) for s in sets])
+    assert points.sum(axis=1, dtype=np.int64).tolist() == sizes.tolist()
+    assert ngramjoin.likely(points[0], sizes[0], points, sizes).tolist() == [True, True, False, False]
+    tree = ngramjoin.CountTree(points, sizes)
+    assert sorted(tree.search(points[0], sizes[0], ngramjoin.ABOVE, ngramjoin.OF).tolist()) == [0, 1]
+    pair = ngramjoin.BlockPair(1, 2)
+    for k, s in enumerate(sets):
+        pair.add(1 + k % 2, k, k, stored[k], s.tobytes())
+    assert list(pair.links(ngramjoin.ABOVE, ngramjoin.OF)) == [(0, 1)]
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres, rows = rng.standard_normal((5, 20)), []
