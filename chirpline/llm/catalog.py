@@ -7,6 +7,7 @@ from chirpline.llm.ngramjoin import op4_ngram_join
 from chirpline.llm.pack import op1_pack
 from chirpline.llm.pii import op8_pii
 from chirpline.llm.quality import op10_quality
+from chirpline.llm.sentencepieces import op12_sentencepiece
 from chirpline.llm.substrings import op7_substring_dedup
 from chirpline.llm.tokencount import op6_token_counts
 from chirpline.llm.vectors import op5_vectors
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 ORACLE = {}

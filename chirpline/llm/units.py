@@ -59,3 +59,27 @@ class Memory:
     def tidy(self):
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
+
+
+class Recent:
+    """Values of keys, the older half of which is forgotten beyond ``most`` new ones."""
+
+    def __init__(self, most):
+        self.most, self.new, self.old = most, {}, {}
+
+    def values(self, keys, make):
+        """The value of every key; ``make(keys)`` gives those of a list of unknown ones."""
+        found = list(map(self.new.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            missing = dict.fromkeys(keys[i] for i in gaps)
+            for k in missing:
+                missing[k] = self.old.get(k)
+            fresh = [k for k, v in missing.items() if v is None]
+            missing.update(zip(fresh, make(fresh)))
+            for i in gaps:
+                found[i] = missing[keys[i]]
+            self.new.update(missing)
+            if len(self.new) > self.most:
+                self.old, self.new = self.new, {}
+        return found
