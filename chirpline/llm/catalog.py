@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from chirpline.llm.alignment import op13_alignment
 from chirpline.llm.decontaminate import op2_decontaminate
 from chirpline.llm.licenses import op9_licenses
 from chirpline.llm.linededup import op3_line_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {}

@@ -21,9 +21,6 @@ rows that repeat are each encoded; further columns are not looked at; no rows
 give no rows.
 """
 
-import re
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +29,13 @@ from pyspark.sql import types as T
 
 from chirpline.llm.frames import arrow_map, doc_schema, lists, table, texts_of
 from chirpline.llm.merging import NEVER, BacktrackEncoder
-from chirpline.llm.units import Recent, kept_in_process
-from chirpline.llm.words import raw, text_slices
+from chirpline.llm.units import Cutter, Recent, kept_in_process, row_sums, take_rows
+from chirpline.llm.words import text_slices
 
 DEFAULT_FILE = "piece_bpe_32k.model"
 REMEMBERED = 300_000
+#: Bytes of texts that are encoded at once.
+SLICE = 1 << 22
 SPACE, LINE, MARK = " ", "\n", "▁"
 UNKNOWN_SURFACE = " ⁇ "
 CONTROL, WORD, BYTE = 0, 1, 2
@@ -68,7 +67,7 @@ class PieceModel:
             raise ValueError("only models with byte pieces and an end piece")
         scores, NONE = {p: -model.get_score(i) for p, i in self.pieces.items()}, NEVER
         self.encoder = BacktrackEncoder(self.pieces, lambda a, b: scores.get(a + b, NONE))
-        self.unit = self.units_of(self.pieces)
+        self.cutter = self.cutter_of(self.pieces)
         self.kind = np.array(kind, np.int8)
         surface = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, SPACE).encode() if k == WORD else b"" for p, k in zip(pieces, kind)]
         surface[model.unk_id()] = UNKNOWN_SURFACE.encode()
@@ -78,14 +77,12 @@ class PieceModel:
         self.memory = Recent(remembered)
 
     @staticmethod
-    def units_of(pieces):
-        """A pattern of parts that encode apart from each other."""
+    def cutter_of(pieces):
+        """Cuts texts into parts that encode apart from each other."""
         long = [p for p in pieces if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):
-            return re.compile("(?s).+")
-        if any(LINE in p for p in long):
-            return re.compile(f"(?s){MARK}*[^{MARK}]+|{MARK}+")
-        return re.compile(f"{LINE}|{MARK}*[^{MARK}{LINE}]+|{MARK}+")
+            return Cutter("")
+        return Cutter(SPACE, MARK, "" if any(LINE in p for p in long) else LINE)
 
     def encode_units(self, units):
         """Ids of strings whose spaces are marked, and how many each has."""
@@ -103,17 +100,15 @@ class PieceModel:
         return ids.astype(np.int32), counts
 
     def ids(self, texts):
-        """Ids of many texts with the end id, and how many each has."""
-        units = [self.unit.findall(MARK + t.replace(SPACE, MARK)) if t else [] for t in texts]
-        flat = list(chain.from_iterable(units))
-        found = self.memory.values(flat, self.encoded)
-        ends = np.cumsum([len(own) for own in units]).tolist()
-        end = np.array([self.end], np.int32).tobytes()
-        rows = [b"".join([*found[x:y], end]) for x, y in zip([0, *ends], ends)]
-        return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
+        """Ids of an Arrow column of texts with the end id, and how many each row has."""
+        unit, first, distinct = self.cutter.units(texts)
+        found = self.memory.values(distinct, self.encoded)
+        ids, sizes = take_rows(np.frombuffer(b"".join(found), np.int32), np.array([len(f) // 4 for f in found], np.int64), unit)
+        counts = row_sums(sizes, first)
+        return np.insert(ids, np.cumsum(counts), self.end), counts + 1
 
     def encoded(self, units):
-        ids, counts = self.encode_units(units)
+        ids, counts = self.encode_units([u.replace(SPACE, MARK) for u in units])
         data, at = ids.tobytes(), [0, *np.cumsum(4 * counts).tolist()]
         return [data[x:y] for x, y in zip(at, at[1:])]
 
@@ -188,8 +183,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
         def step(batch):
             texts = batch.column("text")
-            for lo, hi in text_slices(texts):
-                ids, counts = model.ids(texts[lo:hi].to_pylist())
+            for lo, hi in text_slices(texts, SLICE):
+                ids, counts = model.ids(texts[lo:hi])
                 out = {"doc_id": batch.column("doc_id")[lo:hi], "ids": lists(ids, counts, pa.int32())}
                 if decoded:
                     out["decoded"] = pa.array(model.text_bytes(ids, np.concatenate([[0], np.cumsum(counts)])), pa.binary()).cast(pa.string())

@@ -11,6 +11,11 @@ import re
 import sys
 from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+
+from chirpline.llm.words import raw
+
 # The characters of the White_Space property.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CHARS = frozenset(re.findall(f"[{SPACES}]", "".join(map(chr, range(0x3001)))))
@@ -83,3 +88,60 @@ class Recent:
             if len(self.new) > self.most:
                 self.old, self.new = self.new, {}
         return found
+
+
+class Cutter:
+    """Cuts texts, each with a space put in front, into units, and names equal units by one number.
+
+    A cut is before each byte of ``before`` that follows anything but these
+    bytes or a character of ``joined``, and on both sides of each byte of
+    ``alone``. All of them are ASCII, but for ``joined``.
+    """
+
+    def __init__(self, before: str, joined: str = "", alone: str = ""):
+        self.before, self.alone, self.run = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+        self.before[list(before.encode())] = self.alone[list(alone.encode())] = True
+        self.run[[ord(c) for c in before + joined if c < "\x80"]] = True
+        self.joined = [np.frombuffer(c.encode(), np.uint8) for c in joined if c >= "\x80"]
+
+    def units(self, texts):
+        """Number of each unit, first unit of each row and the end, and the distinct units. Empty rows have none."""
+        data, offsets = raw(texts)
+        base, rows = int(offsets[0]), offsets - offsets[0]
+        filled = np.diff(rows) > 0
+        text = np.insert(data[base:int(offsets[-1])], rows[:-1][filled], 32)
+        rows = rows + np.concatenate([[0], np.cumsum(filled)])
+        if not len(text):
+            return np.zeros(0, np.int64), rows, []
+        cut = np.zeros(len(text), bool)
+        at = np.flatnonzero(self.before[text[1:]] & ~self.run[text[:-1]]) + 1
+        wide = np.flatnonzero(text[at - 1] >= 0x80)
+        hold = np.zeros(len(at), bool)
+        for c in self.joined:
+            ends = at[wide] - 1
+            same = ends >= len(c) - 1
+            for j in range(len(c)):
+                same &= text[ends - j] == c[-1 - j]
+            hold[wide[same]] = True
+        cut[at[~hold]] = True
+        lone = np.flatnonzero(self.alone[text])
+        cut[lone] = True
+        cut[lone[lone + 1 < len(text)] + 1] = True
+        cut[rows[:-1][filled]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts, len(text)).astype(np.int64)
+        column = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(text)).dictionary_encode()
+        return column.indices.to_numpy().astype(np.int64), np.searchsorted(starts, rows), column.dictionary.to_pylist()
+
+
+def take_rows(values, counts, rows):
+    """The values of some rows of a ragged array, and how many each has."""
+    starts = np.cumsum(counts) - counts
+    sizes = counts[rows]
+    ends = np.cumsum(sizes)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[rows] - (ends - sizes), sizes)], sizes
+
+
+def row_sums(values, first):
+    """Sums of the values between consecutive places of ``first``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[first])
