@@ -11,6 +11,7 @@ from chirpline.llm.quality import op10_quality
 from chirpline.llm.sentencepieces import op12_sentencepiece
 from chirpline.llm.substrings import op7_substring_dedup
 from chirpline.llm.tokencount import op6_token_counts
+from chirpline.llm.variants import op11_variants
 from chirpline.llm.vectors import op5_vectors
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_variants": op11_variants,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_alignment": op13_alignment,
 }

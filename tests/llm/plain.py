@@ -168,3 +168,84 @@ def vectors(rows, cosine=0.95):
             count[y] += 1
             groups.join(x, y)
     return {i: (count[i], groups.find(i), groups.find(i) == i) for i, _ in rows}
+
+
+def one_edit(a, b):
+    """Whether one inserted, deleted or replaced code point makes b of a."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelling_variants(counts, factor=10):
+    near = {w: [v for v in counts if v != w and one_edit(w, v)] for w in counts}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= factor * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (counts[w], len(near[w]), form[w], counts.get(form[w]), root)
+    return out
+
+
+def marred_words(docs, every=31, length=7, count=2):
+    import zlib
+
+    found = collections.Counter()
+    for doc, text in docs.items():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % every == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= length and n >= count}
+
+
+def pieces(docs, model):
+    """With the library itself: number of ids, digests of ids and of the decoded text."""
+    out = {}
+    for doc, text in docs.items():
+        ids = model.encode(text or "", add_eos=True)
+        out[doc] = (len(ids), sha(" ".join(map(str, ids))), sha(model.decode(ids)))
+    return out
+
+
+def alignment(docs, byte_model, byte_of, piece_model):
+    """With the libraries themselves. ``byte_of`` gives the byte of each letter of the first vocabulary."""
+    tokens, links, groups = {}, {}, {}
+    for doc, text in docs.items():
+        if not text:
+            continue
+        a, b = byte_model.encode(" " + text, add_special_tokens=False).ids, piece_model.encode(text)
+        spelled_a = [bytes(byte_of[c] for c in byte_model.id_to_token(t)) for t in a]
+        names = [piece_model.id_to_piece(t) for t in b]
+        spelled_b = [bytes([int(p[3:5], 16)]) if piece_model.is_byte(t) else p.replace("▁", " ").encode() for t, p in zip(b, names)]
+        if not b"".join(spelled_a) == b"".join(spelled_b) == (" " + text).encode():
+            continue
+        places = []
+        for spelled in (spelled_a, spelled_b):
+            ends = [0]
+            for s in spelled:
+                ends.append(ends[-1] + len(s))
+            places.append(list(zip(ends, ends[1:])))
+        owner = [j for j, (s, e) in enumerate(places[1]) for _ in range(s, e)]
+        tokens[doc] = a, b
+        links[doc] = [(a[i], b[j]) for i, (s, e) in enumerate(places[0]) for j in range(owner[s], owner[e - 1] + 1)]
+        cuts, at, own = {e for _, e in places[0]} & {e for _, e in places[1]}, 0, []
+        for cut in sorted(cuts):
+            own.append("|".join(",".join(str(t) for t, (s, _) in zip(ids, spans) if at <= s < cut) for ids, spans in zip((a, b), places)))
+            at = cut
+        groups[doc] = own
+    held = collections.Counter(p for own in links.values() for p in set(own))
+    top = {}
+    for (a, _), n in held.items():
+        top[a] = max(top.get(a, 0), n)
+    return {doc: (len(tokens[doc][0]), len(tokens[doc][1]), len(groups[doc]), len(links[doc]), sum(held[p] == top[p[0]] for p in links[doc]),
+                  sum(held[p] for p in links[doc]), sha(";".join(groups[doc]))) if doc in tokens else (0,) * 6 + ("",) for doc in docs}
