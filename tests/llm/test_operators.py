@@ -381,7 +381,7 @@ def test_pipeline(spark):
             score = {i: net.probabilities(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for i, t in texts.items()}
             want = {i: t for i, t in kept.items() if score[i] >= quality.THRESHOLD}
         elif name == "line_dedup":
-            want = {i: t for i, (n, gone, t) in plain.line_dedup(kept).items() if not gone or t.strip()}
+            want = {i: t for i, (n, gone, t) in plain.line_dedup(kept, least=1).items() if not gone or t.strip()}
         elif name == "ngram_jaccard_join":
             want = {i: kept[i] for i, (_, c) in plain.near_groups(kept).items() if c == i}
         else:
