@@ -8,6 +8,7 @@ expression that needs them.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, fields
@@ -314,14 +315,91 @@ def rate_words(text: str, valence: dict, rules: LexiconRules, known: dict | None
     return compound, up / whole, -down / whole, flat / whole
 
 
+def _word_facts(words: pa.Array, tokens: pa.Array, valence: np.ndarray, rules: LexiconRules) -> dict[str, np.ndarray]:
+    """What the rules ask of different words. Arrow folds ASCII words, Python the others, whose cases are not one letter for one."""
+    bare = pc.utf8_trim(words, EDGES)
+    words = pc.if_else(pc.greater(pc.utf8_length(bare), 1), bare, words)
+    low, plain, upper = (np.array(x.to_pylist(), object) for x in (
+        pc.ascii_lower(words), pc.replace_substring(pc.ascii_lower(words), "'", ""), pc.ascii_is_upper(words)))
+    for i in np.flatnonzero(~np.asarray(pc.string_is_ascii(words))):
+        low[i], plain[i], upper[i] = _spoken(words[int(i)].as_py())
+    low, plain = pa.array(low, pa.string()), pa.array(plain, pa.string())
+
+    def among(column, some):
+        return np.asarray(pc.is_in(column, pa.array(sorted(some), pa.string())))
+
+    more, less = among(low, rules.boosters), among(low, rules.dampers)
+    at = np.asarray(pc.fill_null(pc.index_in(low, tokens), -1))
+    value = np.where(at >= 0, valence[at], 0.0) if len(valence) else np.zeros(len(at))
+    denies = among(plain, rules.negations)
+    if rules.negations:
+        denies |= np.asarray(pc.or_(pc.ends_with(low, "n't"), pc.ends_with(low, "n\u2019t")))
+    return {"value": np.where(more | less, 0.0, value), "step": rules.boost * more - rules.boost * (less & ~more), "denies": denies,
+            "upper": upper.astype(bool), "turns": np.asarray(pc.equal(low, "but"))}
+
+
+def rate_texts(texts: pa.Array, tokens: pa.Array, valence: np.ndarray, rules: LexiconRules) -> np.ndarray:
+    """``rate_words`` for many texts at once, a row each; null texts rate as empty ones.
+
+    Each different word is looked up once. Rules that look at the words before
+    a rated one shift the array of word codes; sums run over the words of a text.
+    """
+    many = len(texts)
+    filled = pc.fill_null(texts, "")
+    split = pc.utf8_split_whitespace(filled)
+    coded = pc.dictionary_encode(split.flatten())
+    ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+    real = np.asarray(pc.not_equal(coded.dictionary, ""))[coded.indices.to_numpy()] if len(coded.dictionary) else np.zeros(0, bool)
+    code = coded.indices.to_numpy()[real]
+    first = np.concatenate([[0], np.cumsum(real)])[ends]
+    n = np.diff(first)
+    of = np.repeat(np.arange(many), n)
+    fact = _word_facts(coded.dictionary, tokens, valence, rules)
+    upper = fact["upper"][code]
+    capitals = np.bincount(of, upper, many)
+    shouting = (capitals > 0) & (capitals < n)
+    at = np.flatnonzero(fact["value"][code] != 0)
+    v, text = fact["value"][code[at]], of[at]
+    sign, place = np.sign(v), at - first[:-1][text]
+    v = v + np.where(shouting[text] & upper[at], sign * rules.caps, 0.0)
+    denied = np.zeros(len(at), bool)
+    for k in range(1, 4):
+        before = np.where(place >= k, at - k, at)
+        step = np.where(place >= k, fact["step"][code[before]], 0.0)
+        if k <= len(rules.fade):
+            loud = (step != 0) & shouting[text] & upper[before]
+            v = v + sign * np.where(loud, step + np.sign(step) * rules.caps, step) * rules.fade[k - 1]
+        denied |= (place >= k) & fact["denies"][code[before]]
+    v = np.where(denied, v * rules.negation, v)
+    turning = np.flatnonzero(fact["turns"][code])[::-1]
+    turn = np.full(many, -1)
+    turn[of[turning]] = turning
+    late = turn[text]
+    v = np.where((late < 0) | (at == late), v, np.where(at < late, v * rules.before_but, v * rules.after_but))
+    marks = np.asarray(pc.count_substring(filled, "?"))
+    emphasis = np.minimum(np.asarray(pc.count_substring(filled, "!")), 4) * rules.exclamation
+    emphasis = emphasis + np.where(marks > 1, np.where(marks <= 3, marks * rules.question, rules.many_questions), 0.0)
+    total = np.bincount(text, v, many)
+    total = total + np.sign(total) * emphasis
+    compound = np.clip(total / np.sqrt(total * total + rules.alpha), -1.0, 1.0)
+    up, down = np.bincount(text, np.where(v > 0, v + 1, 0.0), many), np.bincount(text, np.where(v < 0, v - 1, 0.0), many)
+    flat = n - np.bincount(text, v != 0, many)
+    rising, falling = up > -down, up < -down
+    up, down = up + np.where(rising, emphasis, 0.0), down - np.where(falling, emphasis, 0.0)
+    whole = up - down + flat
+    whole = np.where(whole == 0, 1.0, whole)
+    return np.stack([compound, up / whole, -down / whole, flat / whole], axis=1)
+
+
 @dataclass(frozen=True)
 class LexiconScorer:
     """Valence scorer over a lexicon table ``(token string, valence double)``.
 
     A lexicon of at most ``max_broadcast`` bytes goes to the tasks as one
-    broadcast dictionary. A larger one is joined to the distinct words of the
+    broadcast table. A larger one is joined to the distinct words of the
     distinct texts instead. A rating depends on nothing but the text, so both
-    give every row the same, whatever its ids.
+    give every row the same, whatever its ids. The lexicon is read once for a
+    scorer, however many frames it scores.
     """
 
     lexicon: DataFrame
@@ -329,34 +407,46 @@ class LexiconScorer:
     max_broadcast: int = 16 << 20
     name: str = "lexicon"
 
+    @functools.cached_property
+    def _known(self) -> DataFrame:
+        return self.lexicon.filter("token is not null and valence is not null").groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
+
+    @functools.cached_property
+    def _sent(self):
+        """The lexicon as a broadcast, or nothing if it is too large."""
+        if (self._known.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0) > self.max_broadcast:
+            return None
+        found = self._known.toArrow().combine_chunks()
+        return self.lexicon.sparkSession.sparkContext.broadcast(
+            (found.column("token").combine_chunks().cast(pa.string()), found.column("valence").to_numpy()))
+
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        known = self.lexicon.filter("token is not null and valence is not null").groupBy("token").agg(
-            F.max("valence").alias("valence"))
-        size = known.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0
-        rules = self.rules
-        if size <= self.max_broadcast:
-            table = df.sparkSession.sparkContext.broadcast({r["token"]: float(r["valence"]) for r in known.toLocalIterator()})
+        rules, sent = self.rules, self._sent
+
+        def rows(texts: pd.Series, tokens, valence) -> pd.DataFrame:
+            column = pa.array(texts, pa.string(), from_pandas=True)
+            rated = pd.DataFrame(rate_texts(column, tokens, valence, rules), columns=_RATING.names)
+            rated.loc[np.asarray(column.is_null())] = np.nan
+            return rated
 
+        if sent is not None:
             @F.pandas_udf(_RATING)
             def rate(texts: pd.Series) -> pd.DataFrame:
-                lookup, known = table.value, {}
-                rows = [(None,) * 4 if t is None else rate_words(t, lookup, rules, known) for t in texts]
-                return pd.DataFrame(rows, columns=_RATING.names)
+                return rows(texts, *sent.value)
 
             rated = df.withColumn("__rate", rate(F.col(text)))
         else:
             @F.pandas_udf(_RATING)
             def rate_found(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-                rows = [(None,) * 4 if t is None else rate_words(t, dict(f) if f is not None else {}, rules)
-                        for t, f in zip(texts, found)]
-                return pd.DataFrame(rows, columns=_RATING.names)
+                known = {token: value for own in found if own is not None for token, value in dict(own).items()}
+                return rows(texts, pa.array(list(known), pa.string()), np.array(list(known.values()), float))
 
             words = F.array_distinct(F.transform(
                 tx.tokens(F.col(text), remove_urls=False),
                 lambda w: F.when(F.length(F.btrim(w, F.lit(EDGES))) < 2, w).otherwise(F.btrim(w, F.lit(EDGES)))))
             used = df.select(F.md5(F.col(text)).alias("__key"), words.alias("__words")).filter("__key is not null").dropDuplicates(["__key"])
             used = used.select("__key", F.explode("__words").alias("token"))
-            found = used.join(known, "token").groupBy("__key").agg(
+            found = used.join(self._known, "token").groupBy("__key").agg(
                 F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__found"))
             rated = df.withColumn("__key", F.md5(F.col(text))).join(found, "__key", "left").withColumn(
                 "__rate", rate_found(F.col(text), F.col("__found"))).drop("__found", "__key")

@@ -1,9 +1,8 @@
 """Load, averages, status and ranking of feeds, computed from their attempt log."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chirpline.functions.times import MICROS, age_seconds, minus_seconds, moment
-from chirpline.operators.timeline import running_totals
 
 # Limits per feed (per minute, per hour, at once), and of any other feed.
 DEFAULT_QUOTAS = {"snscrape": (100, 3000, 10), "nitter": (30, 1000, 5)}
@@ -38,40 +37,47 @@ def request_load(attempts: DataFrame, windows: dict | None = None) -> DataFrame:
     count, and whether one exactly that old still does. The result has
     ``<name>_count`` and ``<name>_oldest`` for each, the number of requests
     still ``active``, and ``n_requests`` starting at that very moment.
+
+    The log of a feed is cut into buckets as long as the longest window. Each
+    start is also shown to the bucket after its own, so all that a window looks
+    back on lies in one bucket; what still runs at a bucket's beginning is a sum
+    over the buckets before. No task holds more of a feed than two buckets.
     """
     windows = {"minute": (60, True), "hour": (3600, True)} if windows is None else windows
+    names, shifts = list(windows), [sec * MICROS - (0 if inclusive else 1) for sec, inclusive in windows.values()]
+    size = max([sec for sec, _ in windows.values()], default=3600) * MICROS
     start = F.unix_micros("ts")
-    took = F.round(F.coalesce(F.col("response_time"), F.lit(0.0)) * MICROS).cast("long")
-    starts = attempts.groupBy("feed", start.alias("at")).agg(F.count("*").alias("n"))
     # one microsecond early, as "ended by now" is to be found by "strictly before now"
-    ends = attempts.groupBy("feed", (start + F.greatest(took - 1, F.lit(0))).alias("at")).agg(F.count("*").alias("n"))
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-
-    def probe(kind, shift, started):
-        return F.struct(F.lit(kind).alias("kind"), (F.col("at") - F.lit(shift)).alias("at"),
-                        started.alias("started"), zero.alias("ended"), F.col("at").alias("origin"))
-
-    names = list(windows)
-    shifts = [sec * MICROS - (0 if inclusive else 1) for sec, inclusive in windows.values()]
-    marks = starts.select("feed", F.inline(F.array(
-        probe(0, 0, F.col("n")), *[probe(i + 1, s, zero) for i, s in enumerate(shifts)])))
-    done = ends.select("feed", F.lit(-1).alias("kind"), "at", zero.alias("started"), F.col("n").alias("ended"),
-                       none.alias("origin"))
-    totals = running_totals(marks.unionByName(done), ["feed"], "at", ["started", "ended"],
-                            next_of="started" if names else None)
+    end = start + F.greatest(F.round(F.coalesce(F.col("response_time"), F.lit(0.0)) * MICROS).cast("long") - 1, F.lit(0))
+    bucket = F.floor(start / F.lit(size))
+
+    def mark(kind, bucket, at, started, own, ended, origin=None):
+        return F.struct(F.lit(kind).alias("kind"), bucket.alias("bucket"), at.alias("at"), F.lit(started).alias("started"), F.lit(own).alias("own"),
+                        F.lit(ended).alias("ended"), (F.lit(None).cast("long") if origin is None else origin).alias("origin"))
+
+    marks = attempts.select("feed", F.inline(F.array(
+        mark(0, bucket, start, 1, 1, 0, start), mark(-1, bucket + 1, start, 1, 0, 0), mark(-2, F.floor(end / F.lit(size)), end, 0, 0, 1),
+        *[mark(i + 1, bucket, start - s, 0, 0, 0, start) for i, s in enumerate(shifts)])))
+    bases = marks.groupBy("feed", "bucket").agg((F.sum("own") - F.sum("ended")).alias("__more"))
+    along = Window.partitionBy("feed").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bases.select("feed", "bucket", F.coalesce(F.sum("__more").over(along), F.lit(0)).alias("__running"))
+    before = Window.partitionBy("feed", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("feed", "bucket").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = marks.withColumns({f"__{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("started", "own", "ended")})
+    if names:
+        seen = seen.withColumn("__next", F.min(F.when(F.col("started") > 0, F.col("at"))).over(after))
 
     def of(kind, column):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    now = of(0, "started_before")
-    parts = [of(0, "started").alias("n_requests"), F.greatest(now - of(0, "ended_before"), zero).alias("active")]
+    parts = [F.sum(F.when(F.col("kind") == 0, F.col("own"))).alias("n_requests"), (of(0, "__own") - of(0, "__ended")).alias("__here")]
     for i, name in enumerate(names):
-        count = now - of(i + 1, "started_before")
-        parts += [count.alias(f"{name}_count"),
-                  F.when(count > 0, F.timestamp_micros(of(i + 1, "next_at"))).alias(f"{name}_oldest")]
-    return totals.filter("kind >= 0").groupBy("feed", "origin").agg(*parts).select(
-        "feed", F.timestamp_micros("origin").alias("ts"), "n_requests",
-        *[f"{n}_{c}" for n in names for c in ("count", "oldest")], "active")
+        count = of(0, "__started") - of(i + 1, "__started")
+        parts += [count.alias(f"{name}_count"), F.when(count > 0, F.timestamp_micros(of(i + 1, "__next"))).alias(f"{name}_oldest")]
+    load = seen.filter("origin IS NOT NULL").groupBy("feed", "bucket", "origin").agg(*parts)
+    return load.join(bases, ["feed", "bucket"]).select(
+        "feed", F.timestamp_micros("origin").alias("ts"), "n_requests", *[f"{n}_{c}" for n in names for c in ("count", "oldest")],
+        F.greatest(F.col("__here") + F.col("__running"), F.lit(0).cast("long")).alias("active"))
 
 
 def _allowed() -> Column:
@@ -103,39 +109,32 @@ def _folded(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     """What the values of each key add to moving averages, over all rows: ``n`` and, for each name, ``<name>_added`` and ``<name>_seed``.
 
     ``values`` maps a name to a column and its decay. A row weighs its decay to
-    the power of the rows after it. These are counted within the minute, within
-    the day and within the key, so that no task holds more than a minute's
-    rows, a day's minutes or a key's days. ``<name>_seed`` is the weight that
-    the first value that is not zero has beyond that of other rows.
+    the power of the rows after it. Rows are dealt by range of key and order,
+    whatever type the order has, into blocks that a large key and even one
+    moment of it share. A block is reduced to its number of rows, its faded sum
+    and its first value that is not zero; blocks are combined in their order,
+    as many as there are tasks. ``<name>_seed`` is the weight that the first
+    value that is not zero has beyond that of other rows.
     """
-    by_time = isinstance(rows.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
-    cell = F.date_trunc("minute", order[0]) if by_time else F.lit(0)
-    day = F.date_trunc("day", order[0]) if by_time else F.lit(0)
-    last_first = [F.desc(c) for c in order]
-    aged = rows.withColumns({"__day": day, "__cell": cell}).withColumn(
-        "__age", F.row_number().over(Window.partitionBy(*keys, "__day", "__cell").orderBy(*last_first)) - 1)
+    dealt = rows.withColumn("__spread", F.xxhash64(*rows.columns)).repartitionByRange(*keys, *order, "__spread")
+    dealt = dealt.withColumn("__block", F.spark_partition_id())
+    inside = Window.partitionBy(*keys, "__block").orderBy(*[F.desc(c) for c in order], F.desc("__spread"))
+    aged = dealt.withColumn("__age", F.row_number().over(inside) - 1)
     parts = []
     for name, (column, decay) in values.items():
         faded = F.col(column) * F.pow(F.lit(decay), F.col("__age"))
         some = F.col(column) != 0
         parts += [F.sum(faded).alias(f"__{name}"), F.max_by(F.when(some, faded), F.when(some, F.col("__age"))).alias(f"__{name}_first")]
-    cells = aged.groupBy(*keys, "__day", "__cell").agg(F.count("*").alias("__n"), *parts)
-    for level in (["__day"], []):
-        key, at = [*keys, *level], "__cell" if level else "__day"
-        later = Window.partitionBy(*key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
-        cells = cells.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0)))
-        parts = []
-        for name, (_, decay) in values.items():
-            fade = F.pow(F.lit(decay), F.col("__after"))
-            first = F.col(f"__{name}_first")
-            parts += [F.sum(F.col(f"__{name}") * fade).alias(f"__{name}"),
-                      F.min_by(first * fade, F.when(first.isNotNull(), F.col(at))).alias(f"__{name}_first")]
-        cells = cells.groupBy(*key).agg(F.sum("__n").alias("__n"), *parts)
-    out = [F.col("__n").alias("n")]
+    blocks = aged.groupBy(*keys, "__block").agg(F.count("*").alias("__n"), *parts)
+    later = Window.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+    out = [F.sum("__n").alias("n")]
     for name, (_, decay) in values.items():
-        out += [(F.col(f"__{name}") * (1.0 - decay)).alias(f"{name}_added"),
-                (F.coalesce(f"__{name}_first", F.lit(0.0)) * decay).alias(f"{name}_seed")]
-    return cells.select(*keys, *out)
+        fade, first = F.pow(F.lit(decay), F.col("__after")), F.col(f"__{name}_first")
+        seed = F.min_by(first * fade, F.when(first.isNotNull(), F.col("__block")))
+        out += [(F.sum(F.col(f"__{name}") * fade) * (1.0 - decay)).alias(f"{name}_added"),
+                (F.coalesce(seed, F.lit(0.0)) * decay).alias(f"{name}_seed")]
+    return blocks.groupBy(*keys).agg(*out)
 
 
 def seeded_average(rows: DataFrame, keys: list[str], order: list[str], value: str, decay: float,

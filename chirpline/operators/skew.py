@@ -5,6 +5,8 @@ import operator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chirpline.session import stored
+
 ROUND = 1024
 TWO_ROUNDS_FROM = 50
 
@@ -28,5 +30,24 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
     return out if rank else out.drop(name)
 
 
+def totals_before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the total of ``value`` over the rows of a key that stand before a row. No two rows of a key share a place.
+
+    The rows are dealt by range of key and place and stay where they are dealt,
+    so a key of any size is shared by many tasks; each task adds up its own
+    rows, and the tasks' totals, one for each task a key reaches, are added up
+    over the tasks.
+    """
+    dealt = stored(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    earlier = (Window.unboundedPreceding, -1)
+    over_parts = Window.partitionBy(*keys).orderBy("__part").rowsBetween(*earlier)
+    base = dealt.groupBy(*keys, "__part").agg(F.sum(value).alias("__sum")).select(
+        *keys, "__part", F.coalesce(F.sum("__sum").over(over_parts), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(*earlier)
+    summed = dealt.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = functools.reduce(operator.and_, [summed[c].eqNullSafe(base[c]) for c in [*keys, "__part"]])
+    return summed.join(base, same).select(*[summed[c] for c in rows.columns], (F.col("__base") + F.col("__inside")).alias(name))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.and_, conditions, F.lit(True))

@@ -297,7 +297,8 @@ def lexicon_duplicates(spark, sf):
     return scorer.score(rows, "content", "s").select("tweet_id", r6("s.score", "score"))
 
 
-@query()
+@query(f"""WITH {o.POSTS}, {o.LEXICON}, {o.RULED} SELECT tweet_id, round(compound, 6) AS score, round(least(abs(compound) + 0.1, 1.0), 6) AS confidence,
+ CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label, round(up / whole, 6) AS pos, round(down / whole, 6) AS neg, round(flat / whole, 6) AS neu FROM ruled""")
 def lexicon_rules(spark, sf):
     out = scoring.LexiconScorer(lexicon(spark, sf)).score(wh.posts(spark, sf), "content", "s")
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label",
@@ -611,6 +612,18 @@ def crawl_posts(spark, sf):
     return validate.valid_posts(collect.html_posts(pages_, F.lit("m"), crawl=["crawl"], page_order="page_no")).select("tweet_id", "content")
 
 
+@query(f"""WITH {o.POSTS}, i AS (SELECT tweet_id, content, event_type, tweet_id::BIGINT AS num, (tweet_id::BIGINT // 20) % 3 AS crawl, tweet_id::BIGINT // 20 AS page FROM posts),
+ c AS (SELECT *, coalesce(sum((event_type <> 'signup')::INTEGER) OVER (PARTITION BY crawl ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM i),
+ e AS (SELECT *, coalesce(max((event_type NOT IN ('signup', 'purchase') AND had >= 29)::INTEGER) OVER (PARTITION BY crawl ORDER BY num), 0) AS ended,
+ min(had) OVER (PARTITION BY page) AS at_page FROM c)
+ SELECT crawl, tweet_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'thread' ELSE 'post' END AS kind FROM e WHERE ended = 0 AND at_page < 29""")
+def html_first_n(spark, sf):
+    """The first 29 posts and threads of three crawls over the saved pages."""
+    saved = saved_pages(spark, sf).withColumns({"crawl": F.col("page_id") % 3, "page_no": F.col("page_id")})
+    found = pages.timeline_items(pages.parse_pages(saved, ["crawl", "page_no"]), ["page_id", "crawl", "page_no"])
+    return feeds.first_items(found, 29, ["crawl"], "page_no").select("crawl", F.col("id").alias("tweet_id"), "kind")
+
+
 @query(f"""WITH {o.SCORED}, fed AS (SELECT s.*, CASE WHEN (tweet_id::BIGINT // 20) % 3 <> 0 THEN 'snscrape' WHEN (tweet_id::BIGINT // 20) % 2 = 0 THEN 'nitter:m' END AS feed FROM scored s)
  SELECT tweet_id, feed AS source_instance, round(sentiment_score, 6) AS sentiment_score, sentiment_label FROM fed
  WHERE content <> '' AND (feed = 'snscrape' OR feed = 'nitter:m' AND event_type NOT IN ('signup', 'purchase'))""")

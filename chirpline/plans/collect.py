@@ -9,13 +9,15 @@ from chirpline.sources.store import PostTable
 
 
 def html_posts(saved: DataFrame, mirror: Column, default_username: Column | None = None, now: Column | None = None,
-               crawl: list[str] = (), page_order: str = "page_id") -> DataFrame:
+               crawl: list[str] = (), page_order: str = "page_id", number: int = -1, since: Column | None = None) -> DataFrame:
     """Saved pages to posts, each link once per crawl, the first in page order.
 
-    ``crawl`` and ``page_order`` are columns of the pages.
+    ``crawl`` and ``page_order`` are columns of the pages, and ``since`` is made
+    of the former. With ``number`` a crawl ends when it has so many posts and threads.
     """
     carry = [c for c in (*crawl, page_order) if c != "page_id"]
     items = pages.timeline_items(pages.parse_pages(saved, carry), keep=["page_id", *carry])
+    items = feeds.first_items(items, number, list(crawl), page_order, since)
     # posts and threads share what has been seen
     single = keyed.first_by_key(items, [*crawl, "link"], [page_order, "pos"]).filter("kind = 'post'")
     return feeds.posts_from_html(single, mirror, default_username, now, [page_order, "pos"])
@@ -34,18 +36,20 @@ def collect(table: PostTable, batches: list[DataFrame], scorer: Scorer | None =
 
 
 def run_pipeline(table: PostTable, records: DataFrame, saved: DataFrame, attempts: DataFrame, mirror: Column, scorer: Scorer | None = None,
-                 default_username: Column | None = None, now: Column | None = None, page_order: str = "page_id") -> dict:
+                 default_username: Column | None = None, now: Column | None = None, page_order: str = "page_id", number: int = -1) -> dict:
     """A whole run: each target's first feed that succeeded is converted, checked, stored and scored.
 
     ``records`` and ``saved`` pages carry their ``target``; ``attempts`` say which feed (by its tag) succeeded for it.
+    ``number`` limits what is taken of a target: records before any is converted, posts and threads of its pages.
     """
     winners = keyed.feed_winners(attempts).filter("success").select("target", "feed")
 
     def won(rows: DataFrame, tag: str) -> DataFrame:
         return rows.join(winners.filter(F.col("feed") == tag), "target", "left_semi")
 
-    record = feeds.posts_from_records(won(records, feeds.RECORD_TAG), default_username, now)
-    html = html_posts(won(saved, feeds.HTML_TAG), mirror, default_username, now, ["target"], page_order)
+    landed = won(records, feeds.RECORD_TAG)
+    record = feeds.posts_from_records(landed if number == -1 else feeds.first_records(landed, number), default_username, now)
+    html = html_posts(won(saved, feeds.HTML_TAG), mirror, default_username, now, ["target"], page_order, number)
     return collect(table, [record, html], scorer)
 
 

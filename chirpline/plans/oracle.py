@@ -1,7 +1,7 @@
 """SQL building blocks of the checks, written independently of the Spark plans."""
 
 from chirpline import schema
-from chirpline.functions.scoring import ScoreConfig
+from chirpline.functions.scoring import LexiconRules, ScoreConfig
 
 # Whitespace and URLs, as the checking engine's regex spells them.
 WS = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -68,6 +68,30 @@ LEXICON = f"""lexicon AS (SELECT DISTINCT token, CAST(length(token) % 9 - 4 AS D
  spoken AS (SELECT tweet_id, unnest(string_split_regex(content, '{WS}+')) AS w FROM posts),
  rating AS (SELECT tweet_id, sum(valence) AS total FROM (SELECT tweet_id, lower(CASE WHEN length(trim(w, '{PUNCTUATION}')) < 2 THEN w ELSE trim(w, '{PUNCTUATION}') END) AS token FROM spoken) JOIN lexicon USING (token) GROUP BY tweet_id),
  lexed AS (SELECT tweet_id, coalesce(total / sqrt(total * total + 15), 0.0::DOUBLE) AS compound FROM posts LEFT JOIN rating USING (tweet_id))"""
+_RULES = LexiconRules()
+_MORE, _LESS, _DENY = (_list(sorted(w)) for w in (_RULES.boosters, _RULES.dampers, _RULES.negations))
+# the lexicon's rules word by word; the shares count rated words, so sums start from them
+RULED = f"""said AS (SELECT tweet_id, content, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT tweet_id, content, list_filter(string_split_regex(content, '{WS}+'), lambda x: x <> '') AS ws FROM posts)),
+ bared AS (SELECT *, CASE WHEN length(trim(w, '{PUNCTUATION}')) < 2 THEN w ELSE trim(w, '{PUNCTUATION}') END AS b FROM said),
+ marked_words AS (SELECT tweet_id, i, lower(b) AS low, (regexp_matches(b, '\\p{{Lu}}') AND NOT regexp_matches(b, '\\p{{Ll}}'))::INTEGER AS u,
+  CASE WHEN list_contains({_MORE}, lower(b)) THEN {_RULES.boost}::DOUBLE WHEN list_contains({_LESS}, lower(b)) THEN -{_RULES.boost}::DOUBLE ELSE 0.0::DOUBLE END AS step,
+  (list_contains({_DENY}, replace(replace(lower(b), '''', ''), '’', '')) OR lower(b) LIKE '%n''t' OR lower(b) LIKE '%n’t')::INTEGER AS d FROM bared),
+ around AS (SELECT *, sum(u) OVER t AS capitals, count(*) OVER t AS n, min(CASE WHEN low = 'but' THEN i END) OVER t AS turn,
+  lag(step, 1, 0.0::DOUBLE) OVER o AS s1, lag(step, 2, 0.0::DOUBLE) OVER o AS s2, lag(step, 3, 0.0::DOUBLE) OVER o AS s3, lag(u, 1, 0) OVER o AS u1, lag(u, 2, 0) OVER o AS u2, lag(u, 3, 0) OVER o AS u3,
+  greatest(lag(d, 1, 0) OVER o, lag(d, 2, 0) OVER o, lag(d, 3, 0) OVER o) AS denied FROM marked_words WINDOW t AS (PARTITION BY tweet_id), o AS (PARTITION BY tweet_id ORDER BY i)),
+ pushed AS (SELECT a.tweet_id, i, turn, denied, valence, sign(valence) AS g, capitals > 0 AND capitals < n AS loud, u, s1, s2, s3, u1, u2, u3
+  FROM around a JOIN lexicon ON token = low WHERE valence <> 0 AND step = 0),
+ valued AS (SELECT tweet_id, (valence + g * CASE WHEN loud AND u = 1 THEN {_RULES.caps} ELSE 0 END
+  + g * ((s1 + sign(s1) * CASE WHEN loud AND u1 = 1 THEN {_RULES.caps} ELSE 0 END) * {_RULES.fade[0]} + (s2 + sign(s2) * CASE WHEN loud AND u2 = 1 THEN {_RULES.caps} ELSE 0 END) * {_RULES.fade[1]}
+  + (s3 + sign(s3) * CASE WHEN loud AND u3 = 1 THEN {_RULES.caps} ELSE 0 END) * {_RULES.fade[2]})) * CASE WHEN denied = 1 THEN {_RULES.negation} ELSE 1 END
+  * CASE WHEN turn IS NULL OR i = turn THEN 1 WHEN i < turn THEN {_RULES.before_but} ELSE {_RULES.after_but} END AS v FROM pushed),
+ summed AS (SELECT tweet_id, sum(v)::DOUBLE AS total, coalesce(sum(v + 1) FILTER (v > 0), 0)::DOUBLE AS up, -coalesce(sum(v - 1) FILTER (v < 0), 0)::DOUBLE AS down, count_if(v <> 0) AS rated FROM valued GROUP BY tweet_id),
+ sized AS (SELECT tweet_id, count(*) AS n FROM said GROUP BY tweet_id),
+ pressed AS (SELECT p.tweet_id, coalesce(total, 0.0::DOUBLE) AS total, coalesce(up, 0.0::DOUBLE) AS up, coalesce(down, 0.0::DOUBLE) AS down, coalesce(n, 0) - coalesce(rated, 0) AS flat,
+  least(length(content) - length(replace(content, '!', '')), 4) * {_RULES.exclamation} + CASE WHEN q <= 1 THEN 0 WHEN q <= 3 THEN q * {_RULES.question} ELSE {_RULES.many_questions} END AS e
+  FROM (SELECT *, length(content) - length(replace(content, '?', '')) AS q FROM posts) p LEFT JOIN summed USING (tweet_id) LEFT JOIN sized USING (tweet_id)),
+ shared AS (SELECT tweet_id, total + sign(total) * e AS total, up + CASE WHEN up > down THEN e ELSE 0 END AS up, down + CASE WHEN up < down THEN e ELSE 0 END AS down, flat FROM pressed),
+ ruled AS (SELECT *, total / sqrt(total * total + {_RULES.alpha}) AS compound, CASE WHEN up + down + flat = 0 THEN 1 ELSE up + down + flat END AS whole FROM shared)"""
 SCORED = f"""{POSTS}, {WORDS}, {HITS}, {KEYWORD}, scored AS (SELECT p.* EXCLUDE (sentiment_score, sentiment_label, sentiment_confidence),
  CASE WHEN p.content <> '' THEN k.score END AS sentiment_score, CASE WHEN p.content <> '' THEN CASE WHEN k.confidence < 0.3 THEN 'neutral' ELSE k.label END END AS sentiment_label,
  CASE WHEN p.content <> '' THEN k.confidence END AS sentiment_confidence FROM posts p JOIN keyword k USING (tweet_id))"""

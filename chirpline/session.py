@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings worth having on a cluster. None of them is needed for right results.
 RECOMMENDED_CONF = {
@@ -28,6 +28,13 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/chirpline/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder. It is worked out once, and what a task of it decided stays so."""
+    path = run_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path there. The one place that goes past the DataFrame API."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,10 +1,10 @@
 """Landed feeds, and their conversion to posts."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chirpline import schema
 from chirpline.functions import text as tx
-from chirpline.operators.skew import first_n
+from chirpline.operators.skew import all_of, first_n, totals_before
 
 # Tags under which the feeds are stored.
 RECORD_TAG, HTML_TAG, UNKNOWN = "snscrape", "nitter", "unknown"
@@ -27,6 +27,46 @@ def first_records(records: DataFrame, max_rows: int = 100) -> DataFrame:
     return first_n(records, ["target"], [F.asc("feed_pos")], max_rows)
 
 
+def first_items(items: DataFrame, n: int = 100, crawl: list[str] = (), page_order: str = "page_id", since: Column | None = None) -> DataFrame:
+    """What a crawl reads of its timeline items until it has ``n`` posts and threads together; -1 reads all.
+
+    A post counts when its link is new to the crawl, a thread with its closing
+    item. Reading ends at the first post that finds ``n`` reached, and with the
+    page on which they are reached, unless ``since`` holds for the crawl. Items
+    of threads are not cut: those before that post stay, whatever the count.
+
+    Counts run over pages within a crawl and over items within a page. A page
+    is the largest group that one task holds.
+    """
+    if n == -1:
+        return items
+    if n < 1:
+        raise ValueError("n must be -1 or at least 1")
+    page = [*crawl, page_order]
+    own = [F.col(c) for c in page]
+    known = F.col("kind").isin("post", "thread")
+    first = items.filter(known).groupBy(*crawl, "link").agg(F.min(F.struct(F.col(page_order).alias("page"), F.col("pos"))).alias("at"))
+    new = first.groupBy(*[F.col(c).alias(f"__{c}") for c in crawl], F.col("at.page").alias(f"__{page_order}")).agg(F.collect_list("at.pos").alias("__new"))
+
+    def with_page(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, all_of([c.eqNullSafe(F.col(f"__{name}")) for c, name in zip(own, page)]), "left").drop(*[f"__{c}" for c in page])
+
+    counts = (F.col("kind") == "post") & F.array_contains("__new", F.col("pos")) | F.col("is_thread_end")
+    rows = with_page(items, new).withColumn("__counts", F.coalesce(counts, F.lit(False)).cast("long")).drop("__new")
+    pages = totals_before(rows.groupBy(*page).agg(F.sum("__counts").alias("__n")), list(crawl), [page_order], "__n", "__before")
+    rows = with_page(rows, pages.select(*[F.col(c).alias(f"__{c}") for c in page], "__before"))
+    along = Window.partitionBy(*page).orderBy("pos")
+    so_far = F.col("__before") + F.coalesce(F.sum("__counts").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = (F.col("kind") == "post") & (F.col("__so_far") >= n)
+    rows = rows.withColumn("__so_far", so_far).withColumn("__ended", F.max(ends).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    open_page = F.col("__before") < n
+    if since is not None:
+        last = rows.filter("__ended").groupBy(*[F.col(c).alias(f"__{c}") for c in crawl]).agg(F.min(page_order).alias("__last"))
+        rows = rows.join(last, all_of([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in crawl]), "left")
+        open_page = open_page | (since & (F.col("__last").isNull() | (F.col(page_order) <= F.col("__last"))))
+    return rows.filter(open_page & ~F.col("__ended")).select(*items.columns)
+
+
 def feed_place(rows: DataFrame, place: list[str] = ("feed_pos",)) -> list[Column]:
     """``feed_pos``, which orders the rows of a feed, if the rows have what makes it."""
     known = [c for c in place if c in rows.columns]

@@ -1,6 +1,8 @@
-"""The posts table as date-partitioned Parquet, and its export ledger."""
+"""The posts table as date-partitioned Parquet with snapshots and an index of ids, and its export ledger."""
 
+import uuid
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -8,26 +10,40 @@ from chirpline import schema
 from chirpline.functions.times import minus_seconds, moment, utc_date
 from chirpline.operators import aggregate, filters, keyed, validate
 from chirpline.session import file_system, run_dir
+from chirpline.sources.snapshots import Snapshot, SnapshotLog
 
 PARTITION = "post_date"
 FORMATS = ("json", "csv", "parquet")
 STORED = T.StructType([*schema.POSTS.fields, T.StructField(PARTITION, T.DateType())])
+INDEX = T.StructType([T.StructField("tweet_id", T.StringType()), T.StructField("day", T.DateType()),
+                      T.StructField("since", T.LongType()), T.StructField("bucket", T.IntegerType())])
+#: Buckets of the index at first, entries of one from which on their number doubles, and runs of one after which they become one.
+BUCKETS, BUCKET_ENTRIES, BUCKET_RUNS = 64, 1_000_000, 8
 
 
 class PostTable:
-    """Posts under ``path/posts`` (one folder per UTC day) and exports under ``path/exports``.
+    """Posts under ``path/posts`` (a folder per UTC day and run), their snapshots and index, and exports under ``path/exports``.
 
-    A change rewrites the days it touches and no others. Spark writes the new
-    days aside and swaps them in when the job commits, so a failed job leaves
-    the table as it was. The table has one writer at a time.
+    A change writes the days it touches anew, into a folder of its own, and
+    then publishes a snapshot that names it. What reads the table sees whole
+    changes only, and a change that fails leaves the table as it was. The table
+    has one writer at a time. Folders that no snapshot names go with ``vacuum``.
+
+    The index says on which day an id lies. It is dealt into buckets by hash; a
+    change reads the buckets of its own ids and adds a file to each. An id's
+    last entry counts, and one for a day without the id costs no more than a
+    look at that day.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, bucket_entries: int = BUCKET_ENTRIES):
         self.spark, self.path = spark, path.rstrip("/")
-        self.posts_path, self.exports_path = f"{self.path}/posts", f"{self.path}/exports"
-        for folder, fields in ((self.posts_path, schema.POSTS), (self.exports_path, schema.EXPORTS)):
-            if not self._exists(folder):
-                spark.createDataFrame([], fields).write.parquet(folder)
+        self.posts_path, self.ids_path, self.exports_path = (f"{self.path}/{n}" for n in ("posts", "ids", "exports"))
+        self.buckets, self.bucket_entries = buckets, bucket_entries
+        self.log = SnapshotLog(spark, f"{self.path}/snapshots")
+        if self.log.read() is None:
+            self.log.publish(Snapshot(1, buckets=buckets))
+        if not self._exists(self.exports_path):
+            spark.createDataFrame([], schema.EXPORTS).write.parquet(self.exports_path)
 
     def _fs(self, folder: str):
         return file_system(self.spark, folder)
@@ -36,8 +52,15 @@ class PostTable:
         fs, target = self._fs(folder)
         return fs.exists(target)
 
-    def _days(self) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(self.posts_path)
+    def _folders(self, at: Snapshot, days=None) -> list[str]:
+        return [f"{self.posts_path}/run={at.days[d]}/{PARTITION}={d}" for d in (at.days if days is None else days) if d in at.days]
+
+    def _days(self, at: Snapshot | None = None, days=None) -> DataFrame:
+        """The rows of a snapshot (the last one), of some of its days or of all."""
+        found = self._folders(at or self.log.read(), days)
+        if not found:
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).option("basePath", self.posts_path).parquet(*found).select(*STORED.names)
 
     def read(self) -> DataFrame:
         """All posts."""
@@ -55,22 +78,91 @@ class PostTable:
     def exports(self) -> DataFrame:
         return self.spark.read.schema(schema.EXPORTS).parquet(self.exports_path)
 
-    def _swap(self, rows: DataFrame) -> None:
-        """Write ``rows`` in the place of the days they lie in."""
+    def _written(self, rows: DataFrame) -> dict[str, str]:
+        """Write rows by day into a run of their own: its days and the run."""
+        run = f"r{uuid.uuid4().hex}"
+        folder = f"{self.posts_path}/run={run}"
         dated = rows.select(*schema.POSTS.names, utc_date(F.col("timestamp")).alias(PARTITION))
         # adaptive execution splits the large days and joins the small ones
-        dated.hint("rebalance", PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(PARTITION).parquet(self.posts_path)
-
-    def _drop_days(self, days) -> None:
-        for day in days:
-            fs, target = self._fs(f"{self.posts_path}/{PARTITION}={day.isoformat()}")
-            fs.delete(target, True)
+        dated.hint("rebalance", PARTITION).write.partitionBy(PARTITION).parquet(folder)
+        fs, target = self._fs(folder)
+        names = [f.getPath().getName() for f in fs.listStatus(target)]
+        return {n.partition("=")[2]: run for n in names if n.startswith(f"{PARTITION}=")}
+
+    def _bucket(self, count: int):
+        return F.pmod(F.xxhash64("tweet_id"), F.lit(count)).cast("int")
+
+    def _index(self, at: Snapshot, buckets=None) -> DataFrame:
+        """Entries of some buckets, or of all."""
+        folders = [f"{self.ids_path}/run={r}/bucket={b}" for b in (at.ids if buckets is None else buckets) for r in at.ids.get(b, ())]
+        if not folders:
+            return self.spark.createDataFrame([], INDEX)
+        return self.spark.read.schema(INDEX).option("basePath", self.ids_path).parquet(*folders).select(*INDEX.names)
+
+    def _days_of(self, ids: DataFrame, at: Snapshot) -> list[str]:
+        """The days on which ids may lie, by the buckets of these ids alone."""
+        touched = [r[0] for r in ids.select(self._bucket(at.buckets).alias("b")).distinct().collect()]
+        last = self._index(at, touched).join(ids, "tweet_id", "left_semi").groupBy("tweet_id").agg(F.max_by("day", "since").alias("day"))
+        return [d for d in (str(r[0]) for r in last.select("day").distinct().collect()) if d in at.days]
+
+    def _indexed(self, added: DataFrame, at: Snapshot, number: int) -> dict:
+        """The index with entries for the rows added (tweet_id, day): what of a snapshot changes with it."""
+        def store(entries: DataFrame, count: int) -> dict[int, str]:
+            run = f"r{uuid.uuid4().hex}"
+            folder = f"{self.ids_path}/run={run}"
+            entries.withColumn("bucket", self._bucket(count)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+            fs, target = self._fs(folder)
+            names = [f.getPath().getName() for f in fs.listStatus(target)]
+            return {int(n.partition("=")[2]): run for n in names if n.startswith("bucket=")}
+
+        fresh = added.select("tweet_id", "day", F.lit(number).cast("long").alias("since"))
+        ids = {b: list(runs) for b, runs in at.ids.items()}
+        for b, run in store(fresh, at.buckets).items():
+            ids.setdefault(b, []).append(run)
+        count = at.n_ids + added.count()
+        with_new = replace(at, ids=ids, n_ids=count)
+        # few buckets grow long at a time; all are dealt anew when their number doubles
+        many = at.buckets
+        while count > many * self.bucket_entries:
+            many *= 2
+        long = list(ids) if many > at.buckets else [b for b, runs in ids.items() if len(runs) > BUCKET_RUNS]
+        if long:
+            last = self._index(with_new, long).groupBy("tweet_id").agg(F.max_by(F.struct("day", "since"), "since").alias("e")).select("tweet_id", "e.day", "e.since")
+            ids = {b: runs for b, runs in ids.items() if b not in long}
+            ids.update({b: [run] for b, run in store(last, many).items()})
+            if many > at.buckets:
+                count = self._index(replace(at, ids=ids)).count()
+        return {"ids": ids, "n_ids": count, "buckets": many}
+
+    def _replace(self, at: Snapshot, touched, rows: DataFrame | None, **index) -> None:
+        """Publish a snapshot with ``rows`` in the place of some days."""
+        days = {d: run for d, run in at.days.items() if d not in set(touched)}
+        if rows is not None:
+            days.update(self._written(rows))
+        self.log.publish(replace(at, number=at.number + 1, days=days, **index))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove folders that none of the last ``keep`` snapshots names; returns how many. Not while older ones are being read."""
+        alive = self.log.forget(keep)
+        named = {f for at in alive for f in self._folders(at)} | {
+            f"{self.ids_path}/run={r}/bucket={b}" for at in alive for b, runs in at.ids.items() for r in runs}
+        gone = 0
+        for root in (self.posts_path, self.ids_path):
+            if self._exists(root):
+                fs, target = self._fs(root)
+                for run in fs.listStatus(target):
+                    folder = f"{root}/{run.getPath().getName()}"
+                    parts = [f"{folder}/{p.getPath().getName()}" for p in fs.listStatus(run.getPath()) if "=" in p.getPath().getName()]
+                    dead = [p for p in parts if p not in named]
+                    for path in ([folder] if len(dead) == len(parts) else dead):
+                        fs.delete(self._fs(path)[1], True)
+                    gone += len(dead)
+        return gone
 
     @staticmethod
-    def _day_list(dates: DataFrame) -> list:
+    def _day_list(dates: DataFrame) -> list[str]:
         """The distinct days of a frame: one value per day, whatever its number of rows."""
-        return [r[0] for r in dates.distinct().collect()]
+        return [str(r[0]) for r in dates.distinct().collect()]
 
     @contextmanager
     def _staged(self, rows: DataFrame, purpose: str):
@@ -106,82 +198,72 @@ class PostTable:
         submitted = checked.count()
         if not submitted:
             return 0
-        days = self._days()
+        at = self.log.read()
         ids = checked.select("tweet_id").distinct()
-        old = self._day_list(days.select("tweet_id", PARTITION).join(ids, "tweet_id", "left_semi").select(PARTITION))
         new = self._day_list(checked.select(utc_date(F.col("timestamp"))))
-        part = days.filter(F.col(PARTITION).isin(sorted({*old, *new}))).select(*schema.POSTS.names)
-        self._swap(keyed.upsert(part, checked, list(order), mode))
-        # a day whose posts all moved elsewhere has nothing to overwrite it
-        self._drop_days(self._moved_away(old, new, ids))
+        touched = sorted({*self._days_of(ids, at), *new})
+        part = self._days(at, touched).select(*schema.POSTS.names)
+        last = keyed.latest_by_key(checked, ["tweet_id"], list(order)).select("tweet_id", utc_date(F.col("timestamp")).alias("day"))
+        self._replace(at, touched, keyed.upsert(part, checked, list(order), mode), **self._indexed(last, at, at.number + 1))
         return submitted
 
-    def _moved_away(self, old, new, ids) -> list:
-        emptied = [d for d in old if d not in new]
-        if not emptied:
-            return []
-        kept = self._days().filter(F.col(PARTITION).isin(emptied)).join(ids, "tweet_id", "left_anti")
-        alive = set(self._day_list(kept.select(PARTITION)))
-        return [d for d in emptied if d not in alive]
-
     def apply_scores(self, scores: DataFrame, order: list[str] = ()) -> None:
         """Write scores ``(tweet_id, score, label, confidence)`` by id."""
         with self._staged(scores, "scores") as fixed:
             self._decided(fixed, ["tweet_id"], list(order))
-            days = self._days()
-            touched = self._day_list(days.select("tweet_id", PARTITION).join(
-                fixed.select("tweet_id").distinct(), "tweet_id", "left_semi").select(PARTITION))
+            at = self.log.read()
+            touched = self._days_of(fixed.select("tweet_id").distinct(), at)
             if touched:
-                part = days.filter(F.col(PARTITION).isin(touched)).select(*schema.POSTS.names)
-                self._swap(keyed.apply_scores(part, fixed, order))
+                part = self._days(at, touched).select(*schema.POSTS.names)
+                self._replace(at, touched, keyed.apply_scores(part, fixed, order))
 
     def rescore(self, score, only_missing: bool = True) -> dict:
         """Score posts with ``score(df) -> df`` in place; returns the run's counters.
 
         Rows are scored where they lie: no join, and days without work stay.
         """
-        days = self._days()
-        per_day = filters.unscored(days, only_missing).groupBy(PARTITION).agg(F.count("*").alias("n")).collect()
-        touched, processed = [r[PARTITION] for r in per_day], sum(r["n"] for r in per_day)
+        at = self.log.read()
+        per_day = filters.unscored(self._days(at), only_missing).groupBy(PARTITION).agg(F.count("*").alias("n")).collect()
+        touched, processed = [str(r[PARTITION]) for r in per_day], sum(r["n"] for r in per_day)
         left = 0
         if touched:
-            part = days.filter(F.col(PARTITION).isin(touched)).select(*schema.POSTS.names)
+            part = self._days(at, touched).select(*schema.POSTS.names)
             due = F.col("__due")
             marked = score(part.withColumns({
                 "__due": F.col("sentiment_score").isNull() if only_missing else F.lit(True),
                 **{f"__{c}": F.col(c) for c in schema.SENTIMENT}}))
-            self._swap(marked.select(*[
+            self._replace(at, touched, marked.select(*[
                 F.when(due, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) if c in schema.SENTIMENT else F.col(c)
                 for c in schema.POSTS.names]))
-            left = self._days().filter(F.col(PARTITION).isin(touched) & F.col("sentiment_score").isNull()).count()
+            left = self._days(days=touched).filter(F.col("sentiment_score").isNull()).count()
         return {"tweets_processed": processed, "tweets_updated": processed - left, "errors": left,
                 "success_rate": (processed - left) / max(processed, 1)}
 
     def cleanup_old_data(self, days: float, as_of=None) -> int:
         """Remove posts older than so many days; returns how many.
 
-        Days that lie wholly before the cutoff are dropped as folders. Only
-        the day of the cutoff is rewritten.
+        Days that lie wholly before the cutoff leave the snapshot unread. Only
+        the day of the cutoff is written anew. Files go with ``vacuum``.
         """
         now = moment(as_of) if as_of is not None else F.current_timestamp()
         cutoff = self.spark.range(1).select(minus_seconds(now, days * 86_400).alias("c")).select(
             F.unix_micros("c").alias("us"), utc_date(F.col("c")).alias("d")).first()
-        at, edge = F.timestamp_micros(F.lit(cutoff["us"])), cutoff["d"]
-        day = F.col(PARTITION)
+        limit, edge, at = F.timestamp_micros(F.lit(cutoff["us"])), str(cutoff["d"]), self.log.read()
+        before = [d for d in at.days if d < edge]
         # counting whole days takes no column at all
-        before = {r[0]: r[1] for r in self._days().filter(day < F.lit(edge)).groupBy(PARTITION).count().collect()}
-        last = self._days().filter(day == F.lit(edge))
-        old, n = last.agg(F.count_if(F.col("timestamp") < at), F.count("*")).first()
-        if 0 < old < n:
-            self._swap(keyed.retained(last, at))
-        self._drop_days([*before, *([edge] if 0 < old == n else [])])
-        return sum(before.values()) + old
+        gone = self._days(at, before).count()
+        last = self._days(at, [edge])
+        old, n = last.agg(F.count_if(F.col("timestamp") < limit), F.count("*")).first()
+        if gone + old:
+            self._replace(at, [*before, *([edge] if old else [])], keyed.retained(last, limit) if 0 < old < n else None)
+        return gone + old
 
     def clear(self, confirm: bool = False) -> int:
         """Empty the table; returns how many posts went. Does nothing unless confirmed."""
-        count = self.read().count()
+        at = self.log.read()
+        count = self._days(at).count()
         if confirm:
-            self.spark.createDataFrame([], schema.POSTS).write.mode("overwrite").parquet(self.posts_path)
+            self._replace(at, at.days, None, ids={}, n_ids=0)
         return count
 
     def export_to_parquet(self, target: str) -> bool:
@@ -210,7 +292,7 @@ class PostTable:
         return aggregate.table_stats(self.read())
 
     def size_mb(self) -> DataFrame:
-        return file_sizes(self.spark, self.posts_path)
+        return file_sizes(self.spark, self._folders(self.log.read()))
 
 
 def ledger_row(spark: SparkSession, export_type: str, target: str, n: int, checksum: str | None = None) -> DataFrame:
@@ -220,7 +302,9 @@ def ledger_row(spark: SparkSession, export_type: str, target: str, n: int, check
         F.lit(checksum).cast("string").alias("checksum"))
 
 
-def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Megabytes of the Parquet files under a path: one row per file is looked at, and no content."""
+def file_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Megabytes of the Parquet files under a path or several: one row per file is looked at, and no content."""
+    if not path:
+        return spark.range(1).select(F.lit(0.0).alias("size_mb"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
     return files.agg((F.coalesce(F.sum("length"), F.lit(0)) / (1024.0 * 1024.0)).alias("size_mb"))

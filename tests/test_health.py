@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chirpline.operators import backlog, health
-from chirpline.operators.timeline import running_totals
 from tests.conftest import at, naive
 
 LOG = "feed string, target string, ts timestamp, success boolean, response_time double, event_id long"
@@ -33,17 +32,6 @@ def us(ts):
     return round((ts - at()).total_seconds() * 1_000_000)
 
 
-def test_running_totals(spark):
-    rng = random.Random(1)
-    data = [(rng.choice("ab"), rng.choice([0, 5, 999_999, 1_000_000, 86_399_999_999, 86_400_000_000, 2 * 86_400_000_000 + 7]) + rng.randrange(2), rng.randrange(3), 1)
-            for _ in range(120)]
-    df = spark.createDataFrame(data, "k string, t long, a int, b int")
-    for r in running_totals(df, ["k"], "t", ["a", "b"], next_of="a").collect():
-        before = [d for d in data if d[0] == r["k"] and d[1] < r["t"]]
-        assert (r["a_before"], r["b_before"]) == (sum(d[2] for d in before), len(before))
-        assert r["next_at"] == min((d[1] for d in data if d[0] == r["k"] and d[1] >= r["t"] and d[2] > 0), default=None)
-
-
 def test_request_load(spark, dense):
     got = health.request_load(log(spark, dense), {"minute": (60, True), "strict": (60, False), "hour": (3600, True)}).collect()
     assert len(got) == len({(r[0], r[2]) for r in dense})
@@ -59,6 +47,13 @@ def test_request_load(spark, dense):
         assert r["active"] == sum(s < now < e for s, e in mine)
 
 
+def test_load_takes_few_exchanges(spark, dense):
+    out = health.quota_windows(log(spark, dense), health.quota_table(spark))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") <= 4
+
+
 def test_quota_and_wait(spark):
     quotas = health.quota_table(spark, {"f": {"requests_per_minute": 2, "requests_per_hour": 10, "concurrent_requests": 5}})
     rows = [("f", "t", at(seconds=s), True, 0.1) for s in (0, 10, 20, 75)]
@@ -97,6 +92,21 @@ def test_averages(spark, dense):
         assert got[feed]["avg_response_time"] == pytest.approx(avg, abs=1e-9) and got[feed]["success_rate"] == pytest.approx(rate, abs=1e-12)
 
 
+def test_averages_of_one_moment_and_of_orders_that_are_no_times(spark):
+    """A hot key within one moment is shared by tasks and still folds in order."""
+    rng = random.Random(8)
+    rows = [("hot", "same", i, float(rng.randrange(4))) for i in range(6000)] + [(f"k{i % 5}", f"o{i:04d}", 0, float(rng.randrange(3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o string, i int, v double").repartition(8)
+    got = {r["k"]: r["average"] for r in health.seeded_average(df, ["k"], ["o", "i"], "v", 0.9).collect()}
+    for k in {r[0] for r in rows}:
+        avg = 0.0
+        for _, _, _, v in sorted(r for r in rows if r[0] == k):
+            avg = v if avg == 0 else 0.9 * avg + 0.1 * v
+        assert got[k] == pytest.approx(avg, abs=1e-9)
+    plan = health._folded(df, ["k"], ["o", "i"], {"v": ("v", 0.9)})._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan
+
+
 def test_asserted_averages_and_status(spark):
     def state(rows, now=at(60)):
         return health.feed_state(log(spark, rows), now, health.quota_table(spark), ["ts", "event_id"]).first()

@@ -1,11 +1,13 @@
 """Extraction from saved pages, and conversion of both feeds."""
 
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chirpline.operators import keyed, threads, validate
+from chirpline.operators.skew import totals_before
 from chirpline.plans import collect
 from chirpline.sources import feeds, pages
 from tests.conftest import at, naive
@@ -156,3 +158,48 @@ def test_targets_file(spark, tmp_path):
     rows = [tuple(r) for r in feeds.load_targets(spark, str(path)).collect()]
     assert sorted(rows) == [("search", "a b", 1.2, ""), ("user", "u1", 1.0, ""), ("user", "u2", 0.8, "d")]
     assert feeds.load_targets(spark, str(tmp_path / "none.yml")).count() == 0
+
+
+def read_until(crawl, n, since):
+    """What a crawl keeps, one item after the other; ``crawl`` is a list of pages of (kind, closes, link)."""
+    kept, seen, had = [], set(), 0
+    for p, page in enumerate(crawl):
+        for pos, (kind, closes, link) in enumerate(page):
+            if kind == "post":
+                if had >= n:
+                    return kept
+                had += link not in seen
+            if kind != "other":
+                seen.add(link)
+            had += closes
+            kept.append((p, pos))
+        if not since and had >= n:
+            return kept
+    return kept
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, -1])
+def test_a_crawl_ends_at_its_number_of_posts_and_threads(spark, n):
+    rng = random.Random(n)
+    kinds = [("post", False), ("post", False), ("thread", False), ("thread", True), ("other", False)]
+    crawls = {c: [[(*rng.choice(kinds), f"l{rng.randrange(12)}") for _ in range(rng.randrange(6))] for _ in range(rng.randrange(1, 9))] for c in range(40)}
+    crawls[40] = [[("thread", False, "a")], [("post", False, f"p{i}") for i in range(n - 1)] + [("thread", False, "t"), ("thread", True, "u")],
+                  [("thread", False, "v"), ("thread", True, "w"), ("post", False, "x"), ("thread", True, "y")]]
+    rows = [(c, c % 2 == 0, p, pos, *item) for c, own in crawls.items() for p, page in enumerate(own) for pos, item in enumerate(page)]
+    df = spark.createDataFrame(rows, "crawl int, dated boolean, page_id int, pos int, kind string, is_thread_end boolean, link string").repartition(5)
+    got = {}
+    for since in (None, F.col("dated")):
+        found = feeds.first_items(df.drop("dated") if since is None else df, n, ["crawl", "dated"] if since is not None else ["crawl"], since=since)
+        for r in found.collect():
+            got.setdefault((since is not None, r["crawl"]), []).append((r["page_id"], r["pos"]))
+    for with_dates in (False, True):
+        for c, own in crawls.items():
+            want = read_until(own, n if n > 0 else 10 ** 9, with_dates and c % 2 == 0)
+            assert sorted(got.get((with_dates, c), [])) == want, (with_dates, c)
+
+
+def test_totals_before_of_a_large_key(spark):
+    rows = [("hot", i, i % 3) for i in range(2000)] + [("small", 5, 7), ("small", 2, 1), (None, 1, 4), (None, 2, 4)]
+    df = spark.createDataFrame(rows, "k string, at int, v int").repartition(7)
+    got = {(r["k"], r["at"]): r["b"] for r in totals_before(df, ["k"], ["at"], "v", "b").collect()}
+    assert got == {(k, i): sum(x[2] for x in rows if x[0] == k and x[1] < i) for k, i, _ in rows}

@@ -1,8 +1,13 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chirpline.functions import scoring
-from chirpline.functions.scoring import EnsembleScorer, KeywordScorer, LexiconRules, LexiconScorer, ScoreConfig, make_scorer, score_posts
+from chirpline.functions.scoring import (
+    EnsembleScorer, KeywordScorer, LexiconRules, LexiconScorer, ScoreConfig, make_scorer, rate_texts, rate_words, score_posts)
 from tests.conftest import post
 
 # words, positive, negative, score, confidence, label
@@ -133,6 +138,20 @@ def test_lexicon_rules(spark):
     assert rate(spark, ["good morning to you"])[0]["details"]["neu"] > 0.5
 
 
+@pytest.mark.parametrize("rules", [LexiconRules(), LexiconRules.plain()])
+def test_texts_are_rated_like_one_word_after_the_other(rules):
+    rng = random.Random(3)
+    words = ["good", "GOOD", "Great!", "bad", "(love)", "very", "VERY", "barely", "so", "not", "isn't", "ISN’T", "n't", "but", "BUT", "it", "a", "A",
+             "É", "İ", "Über", "ß", "!!!", "?", "'", "x?"]
+    gaps = [" ", " ", "  ", "\n", "\x1c", "　", "\x85"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", " ", "but"]
+    lex = dict(LEXICON) | {"very": 1.0, "über": 2.0, "a": 0.5, "?": -1.0, "i̇": 1.5, "zero": 0.0}
+    got = rate_texts(pa.array([*texts, None]), pa.array(list(lex)), np.array(list(lex.values())), rules)
+    for text, row in zip([*texts, ""], got):
+        assert row == pytest.approx(rate_words(text, lex, rules), abs=1e-12), text
+    assert rate_texts(pa.array(["good"]), pa.array([], pa.string()), np.zeros(0), rules).tolist() == [[0, 0, 0, 1]]
+
+
 def test_a_large_lexicon_is_joined_with_the_same_result(spark):
     texts = ["very good, (great) things!", "I LOVE it but it was horrible", "", "no 'good' at all, no GREAT", "plain"]
     joined = rate(spark, texts, max_broadcast=2)

@@ -153,3 +153,81 @@ def test_health_folds_over_batches(spark, tmp_path):
         assert g["n_attempts"] == 20 and g["consecutive_failures"] == w["consecutive_failures"]
         assert (g["last_success"], g["last_failure"]) == (w["last_success"], w["last_failure"])
         assert g["success_rate"] == pytest.approx(w["success_rate"]) and g["avg_response_time"] == pytest.approx(w["avg_response_time"])
+
+
+def test_an_upsert_reads_the_buckets_and_days_of_its_ids(spark, posts):
+    """Files read for one id do not grow with the table."""
+    table, seen = PostTable(spark, run_dir(spark, "table"), buckets=16), []
+    for wave in range(3):
+        table.upsert(posts(*[post(f"{wave}-{i}", when=at(i % 64 * DAY)) for i in range(128)]))
+        before = table.log.read()
+        one = spark.createDataFrame([("0-5",)], "tweet_id string")
+        touched = table._days_of(one, before)
+        bucket = one.select(table._bucket(before.buckets)).first()[0]
+        seen.append((len(touched), len(table._index(before, [bucket]).inputFiles()) - len(before.ids[bucket]), len(table._days(before, touched).inputFiles())))
+        table.upsert(posts(post("0-5", f"wave {wave}", when=at(5 * DAY))))
+        after = table.log.read()
+        assert [d for d in after.days if after.days[d] != before.days[d]] == ["2025-06-03"]
+        assert {b for b in after.ids if after.ids[b] != before.ids.get(b)} == {bucket}
+        assert content(table)["0-5"] == f"wave {wave}" and table.read().count() == 128 * (wave + 1)
+    assert seen == [(1, 0, 1)] * 3
+
+
+def test_the_index_stays_small_and_right(spark, posts):
+    table = PostTable(spark, run_dir(spark, "table"), buckets=2, bucket_entries=20)
+    for wave in range(12):
+        table.upsert(posts(*[post(i, f"{wave}", when=at((i + wave) % 3 * DAY)) for i in range(wave, wave + 10)]))
+    snapshot = table.log.read()
+    assert snapshot.buckets == 8 or snapshot.buckets == 4
+    assert max(len(runs) for runs in snapshot.ids.values()) <= 9
+    got = {r["tweet_id"]: (r["content"], r["timestamp"]) for r in table.read().collect()}
+    assert len(got) == 21 and table.read().count() == 21
+    for i in range(21):
+        wave = min(i, 11)
+        assert got[str(i)] == (str(wave), naive(at((i + wave) % 3 * DAY)))
+    table.apply_scores(spark.createDataFrame([("3", 0.5, "positive", 0.9)], "tweet_id string, score double, label string, confidence double"))
+    assert {r["tweet_id"] for r in table.read().filter("sentiment_score = 0.5").collect()} == {"3"}
+
+
+class Stopped(Exception):
+    pass
+
+
+def by_id(df):
+    return sorted(df.collect(), key=lambda r: r["tweet_id"])
+
+
+@pytest.mark.parametrize("change", [
+    lambda t, p: t.upsert(p(post(1, "new", when=at(DAY)), post(3, "new"))),
+    lambda t, p: t.rescore(lambda df: score_posts(df, make_scorer())),
+    lambda t, p: t.cleanup_old_data(1, at(DAY + 1)),
+    lambda t, p: t.clear(confirm=True)])
+def test_a_run_that_stops_before_it_publishes_changes_nothing(spark, table, posts, monkeypatch, change):
+    table.upsert(posts(post(1, "old"), post(2, "old", when=at(DAY))))
+    reader, old = table.read(), by_id(table.read())
+
+    def stop(snapshot):
+        raise Stopped
+
+    with monkeypatch.context() as m:
+        m.setattr(table.log, "publish", stop)
+        with pytest.raises(Stopped):
+            change(table, posts)
+    again = PostTable(spark, table.path)
+    assert by_id(again.read()) == old
+    change(again, posts)
+    assert by_id(reader) == old and by_id(again.read()) != old
+    ids = [r[0] for r in again.read().select("tweet_id").collect()]
+    assert len(ids) == len(set(ids))
+    now = by_id(again.read())
+    assert again.vacuum() > 0 and by_id(again.read()) == now and again.vacuum() == 0
+    again.upsert(posts(post(1, "newest", when=at(2 * DAY))))
+    assert content(again)["1"] == "newest"
+
+
+def test_a_second_writer_is_refused(spark, table, posts):
+    table.upsert(posts(post(1)))
+    snapshot = table.log.read()
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.log.publish(snapshot)
+    assert table.log.read() == snapshot
