@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from typing import Protocol, Sequence
 
@@ -21,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirpline.functions import text as tx
+from chirpline.functions.keywords import KeywordIndex
 
 # Default keyword lists.
 POSITIVE = (
@@ -140,11 +142,42 @@ def hits(keywords: Sequence[str]):
     return test
 
 
+#: Letters of the keyword lists from which on they travel to the tasks as a broadcast instead of within the plan.
+LARGE_LISTS = 20_000
+
+
 @dataclass(frozen=True)
 class KeywordScorer:
+    """Share of words that hit a keyword. Short lists are part of the plan; of long ones each task builds an index from a broadcast."""
+
     config: ScoreConfig = ScoreConfig()
     with_matches: bool = False
     name: str = "keyword"
+    large: int = LARGE_LISTS
+
+    def _indexed(self, df: DataFrame, text: str) -> DataFrame:
+        """``_counted`` for large lists; with matches also ``__hits``."""
+        sent, shown = df.sparkSession.sparkContext.broadcast((self.config.positive, self.config.negative)), self.with_matches
+        fields = "up int, down int, n int" + (", hits array<string>" if shown else "")
+
+        @F.pandas_udf(fields)
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            lists = [KeywordIndex(k) for k in sent.value]
+            for texts in batches:
+                words = pc.split_pattern(pa.array(texts, pa.string(), from_pandas=True).fill_null(""), " ")
+                coded = pc.dictionary_encode(words.flatten())
+                different, place, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy()
+                first = [k.firsts(different) for k in lists]
+                total = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks[place])])[ends])
+                out = {"up": total(first[0] >= 0), "down": total(first[1] >= 0), "n": total(np.array([w != "" for w in different], bool))}
+                if shown:
+                    marks = [[sign + k.keywords[i] for sign, k, i in (("+", lists[0], a), ("-", lists[1], b)) if i >= 0] for a, b in zip(*first)]
+                    out["hits"] = [[m for w in place[x:y].tolist() for m in marks[w]] for x, y in zip(ends, ends[1:])]
+                yield pd.DataFrame(out)
+
+        cut = df.withColumn("__counts", count(tx.spaced(F.col(text), **self.config.switches)))
+        names = {"__up": "up", "__down": "down", "__n": "n", **({"__hits": "hits"} if shown else {})}
+        return cut.withColumns({c: F.col(f"__counts.{n}") for c, n in names.items()}).drop("__counts")
 
     def _counted(self, df: DataFrame, text: str) -> DataFrame:
         """Add ``__up``, ``__down`` and ``__n``: words that hit, and all words; with matches also ``__words``.
@@ -183,8 +216,13 @@ class KeywordScorer:
 
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         cfg = self.config
-        matched = self._matches(F.col("__words")) if self.with_matches else F.lit(None).cast("array<string>")
-        counted = self._counted(df, text).withColumn("__hits", matched)
+        if sum(map(len, [*cfg.positive, *cfg.negative])) > self.large:
+            counted = self._indexed(df, text)
+        else:
+            counted = self._counted(df, text)
+            counted = counted.withColumn("__hits", self._matches(F.col("__words"))) if self.with_matches else counted
+        if not self.with_matches:
+            counted = counted.withColumn("__hits", F.lit(None).cast("array<string>"))
         p, n, size = F.col("__up"), F.col("__down"), F.greatest(F.col("__n"), F.lit(1))
         none = (p + n) == 0
         value = F.when(none, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (p - n) / size * 2)))

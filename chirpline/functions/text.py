@@ -70,9 +70,14 @@ def preview(text: Column, length: int = 50) -> Column:
     return F.concat(F.substring(text, 1, length), F.lit("..."))
 
 
+MOST = 2 ** 31 - 1
+
+
 def count_from_text(text: Column) -> Column:
-    """``"1,234"`` to 1234; empty, missing or unreadable text is 0."""
-    return F.coalesce(strip(F.translate(text, ",", "")).try_cast("int"), F.lit(0))
+    """``"1,234"`` to 1234; empty, missing or unreadable text is 0. A count that no integer column holds is the largest that one holds."""
+    number = strip(F.translate(text, ",", "")).try_cast("long")
+    held = F.when(number > MOST, MOST).when(number < -MOST - 1, -MOST - 1).otherwise(number)
+    return F.coalesce(held.cast("int"), F.lit(0))
 
 
 def sanitise_username(name: Column) -> Column:

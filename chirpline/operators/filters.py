@@ -3,7 +3,7 @@
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirpline.functions import text as tx
 from chirpline.functions.times import moment
@@ -87,8 +87,8 @@ def content_flag(df: DataFrame, name: str) -> Column:
     """Whether a post passes one content filter, from the columns at hand."""
     if name not in CONTENT_FILTERS:
         raise ValueError(f"invalid filter '{name}'; valid filters are: {', '.join(CONTENT_FILTERS)}")
-    if _has(df, name) and name != "replies":
-        # "replies" is also the name of the reply counter
+    if _has(df, name) and name != "replies" and not isinstance(df.schema[name].dataType, T.ArrayType):
+        # "replies" is also the name of the reply counter, "videos" that of a list of them
         return F.coalesce(F.col(name).cast("boolean"), F.lit(False))
     filled = [c for c in ("pictures", "videos", "gifs") if _has(df, c)]
 

@@ -173,6 +173,24 @@ def search_flags(spark, sf):
     return filters.search_posts(wh.posts(spark, sf), "A", filters=["nativeretweets"], exclude=["links"]).select("tweet_id")
 
 
+FLAGS = {"nativeretweets": "is_retweet", "media": "likes % 2 = 0 OR likes % 3 = 0 OR likes % 5 = 0", "videos": "likes % 3 = 0 OR likes % 5 = 0", "news": "replies = 1",
+         "verified": "replies = 2", "native_video": "likes % 3 = 0 OR likes % 5 = 0", "replies": "is_reply", "links": "regexp_matches(content, 'https?://') OR likes % 7 = 0",
+         "images": "likes % 2 = 0", "safe": "replies <> 3", "quote": "likes % 11 = 0", "pro_video": "replies = 4"}
+
+
+@query(f"WITH {o.POSTS} " + " UNION ALL ".join(f"SELECT '{n}' AS flag, count_if({t}) AS n, count_if(NOT ({t})) AS n_without FROM posts" for n, t in FLAGS.items()))
+def content_flags(spark, sf):
+    """Every content flag, asked for and excluded."""
+    some = lambda k, v: F.when(F.col("likes") % k == 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    posts = wh.posts(spark, sf).withColumns({
+        "pictures": some(2, "p"), "videos": some(3, "v"), "gifs": some(5, "g"), "external_link": F.when(F.col("likes") % 7 == 0, "http://x").otherwise(""),
+        "quoted_post": F.when(F.col("likes") % 11 == 0, F.struct("lang")), "news": F.col("replies") == 1, "verified": F.col("replies") == 2,
+        "safe": F.col("replies") != 3, "pro_video": F.col("replies") == 4})
+    flags = {n: filters.content_flag(posts, n) for n in filters.CONTENT_FILTERS}
+    sums = posts.agg(*[F.count_if(c).alias(n) for n, c in flags.items()], *[F.count_if(~c).alias(f"no_{n}") for n, c in flags.items()])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("flag"), F.col(n).alias("n"), F.col(f"no_{n}").alias("n_without")) for n in flags])))
+
+
 @query(f"""WITH {o.POSTS} SELECT tweet_id, lang FROM posts WHERE contains(lower(content), 'e') AND lang = 'en'
  AND timestamp >= '2024-01-01' AND timestamp < '2024-01-02'""")
 def search_dated(spark, sf):
@@ -315,6 +333,17 @@ def ensemble_score(spark, sf):
     return out.select("tweet_id", r6("s.score", "score"), r6("s.confidence", "confidence"), "s.label")
 
 
+@query(ORACLE["ensemble_score"].replace("0.6::DOUBLE", "0.25::DOUBLE").replace("0.4::DOUBLE", "0.75::DOUBLE").replace("< 0.1 ", "< 0.02 ").replace("c < 0.3 ", "c < 0.2 "))
+def ensemble_options(spark, sf):
+    """Own weights and thresholds, and scores out of range refused."""
+    options = {"lexicon_weight": 1.0, "keyword_weight": 3.0, "neutral_threshold": 0.02, "confidence_threshold": 0.2}
+    scorer = scoring.make_scorer(options, lexicon(spark, sf), scoring.LexiconRules.plain())
+    out = scoring.score_posts(wh.posts(spark, sf), scorer, strict=True)
+    filled = F.col("content") != ""
+    return out.select("tweet_id", r6(F.when(filled, F.col("sentiment_score")).otherwise(0.0), "score"), r6(F.when(filled, F.col("sentiment_confidence")).otherwise(0.0), "confidence"),
+                      F.coalesce("sentiment_label", F.lit("neutral")).alias("label"))
+
+
 @query(f"WITH {o.SCORED} SELECT tweet_id, username, round(sentiment_score, 6) AS sentiment_score, sentiment_label, "
        "round(sentiment_confidence, 6) AS sentiment_confidence FROM scored")
 def posts_scored(spark, sf):
@@ -525,6 +554,16 @@ def store_query(spark, sf):
     return new_table(spark, sf).query(start_time="2024-01-01T06:00:00Z", end_time="2024-01-02T12:00:00Z").select(*COLUMNS)
 
 
+@query(f"WITH {o.POSTS}, {o.RATED} SELECT {o.COLS} FROM rated WHERE tweet_id IN ('40', '77')")
+def store_lookup(spark, sf):
+    """Two posts of the written table by id, one of them after it moved to another day and back."""
+    table, day = new_table(spark, sf), F.make_dt_interval(days=F.lit(40))
+    one = wh.rated_posts(spark, sf).filter("tweet_id = '77'")
+    table.upsert(one.withColumn("timestamp", F.col("timestamp") + day))
+    table.upsert(one)
+    return table.query(tweet_id="40").unionByName(table.query(tweet_id="77")).select(*COLUMNS)
+
+
 @query(f"""WITH {o.POSTS} SELECT tweet_id, CASE WHEN is_retweet THEN 'fallback' ELSE username END AS username, content, likes, retweets, replies FROM posts WHERE content <> ''""")
 def feed_landed(spark, sf):
     """The record feed written as JSON, as it lands, and read from there."""
@@ -663,10 +702,32 @@ def page_status(spark, sf):
     return pages.page_status(wh.table(spark, sf, "pages")).select("page_id", "reason", "valid", "content_reason", "n_bytes")
 
 
+@query(f"""WITH {o.POSTS}, p AS (SELECT *, tweet_id::BIGINT % 7 AS k FROM posts)
+ SELECT tweet_id AS page_id, CASE WHEN k = 6 THEN 'HTTP error' WHEN k = 2 THEN 'Response too small' WHEN k = 0 THEN 'Error: No ' || user_id WHEN k = 1 THEN 'Protected account'
+ WHEN k = 3 AND NOT is_reply THEN 'No timeline content' END AS reason, CASE k WHEN 0 THEN 'Fetching error: No ' || user_id WHEN 1 THEN 'Account is protected'
+ WHEN 2 THEN 'Empty page' WHEN 3 THEN 'Empty page' END AS content_reason, CAST(k >= 4 AS INTEGER) AS n_items FROM p""")
+def page_reasons(spark, sf):
+    """A saved page for every reason for which a page is refused."""
+    saved = rendered.failed_pages(wh.posts(spark, sf))
+    return pages.page_status(saved).select("page_id", "reason", "content_reason", "n_items")
+
+
+@query(f"""WITH {o.POSTS}, p AS (SELECT *, tweet_id::BIGINT % 2 = 0 AS enc, tweet_id::BIGINT % 3 = 0 AS gone FROM posts)
+ SELECT tweet_id AS id, 'see https://site.example/' || user_id || '?a=1&b=2 and @u' AS text, 'https://pbs.twimg.com/media/' || tweet_id || '.jpg' AS picture,
+ 'https://v.example/' || tweet_id || '.m3u8' AS video, user_id AS profile_id, CASE WHEN gone THEN '' ELSE 'https://twitter.com/q/status/' || user_id END AS quote_link,
+ CASE WHEN gone THEN '' ELSE 'quoted' END AS quote_text, CASE WHEN NOT gone THEN '@q' END AS quote_user FROM p""")
+def page_odd_items(spark, sf):
+    """Encoded media, quotes that are gone, and links to other sites."""
+    found = pages.timeline_items(pages.parse_pages(rendered.odd_pages(wh.posts(spark, sf))))
+    quote = F.col("quoted_post")
+    return found.select("id", "text", F.get("pictures", F.lit(0)).alias("picture"), F.get("videos", F.lit(0)).alias("video"), "user.profile_id",
+                        quote["link"].alias("quote_link"), quote["text"].alias("quote_text"), quote["user"]["username"].alias("quote_user"))
+
+
 @query(f"""WITH {o.POSTS} SELECT DISTINCT CAST(tweet_id::BIGINT // 20 AS VARCHAR) AS page_id, '/search?cursor=' || tweet_id::BIGINT // 20 AS search_next,
  '/u?cursor=' || tweet_id::BIGINT // 20 AS user_next FROM posts""")
 def page_links(spark, sf):
-    parsed = pages.parse_pages(saved_pages(spark, sf)).drop("items")
+    parsed = pages.page_signs(saved_pages(spark, sf))
     both = pages.next_url(parsed, F.lit("term"), F.lit("u"), F.lit(False)).withColumnRenamed("next_url", "search_next")
     return pages.next_url(both, F.lit("user"), F.lit("u"), F.lit(False)).select("page_id", "search_next", F.col("next_url").alias("user_next"))
 
@@ -743,6 +804,19 @@ def target_list(spark, sf):
     return rounded(wh.targets(spark, sf).select("target_type", "value", "weight"), "weight")
 
 
+@query("""SELECT 'user' AS target_type, 'user' || user_id AS value, CASE WHEN user_id % 3 > 0 THEN round(1.0 + (user_id % 3) * 0.1, 6)::DOUBLE ELSE 1.0::DOUBLE END AS weight, '' AS description
+ FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT 'search', source, 1.0::DOUBLE, 'source' FROM (SELECT DISTINCT source FROM documents)""")
+def target_file(spark, sf):
+    """The targets written as an accounts file, and read from it. Weights of 1 and empty descriptions are left out, as a reader fills them in."""
+    path, t = run_dir(spark, "accounts"), wh.targets(spark, sf)
+    weight, text = F.nullif(F.round("weight", 6), F.lit(1.0)), F.nullif("description", F.lit(""))
+    one = F.struct(F.when(F.col("target_type") == "user", F.col("value")).alias("name"), F.when(F.col("target_type") == "search", F.col("value")).alias("query"),
+                   weight.alias("weight"), text.alias("description"))
+    kinds = {"users": "user", "terms": "search"}
+    t.agg(*[F.collect_list(F.when(F.col("target_type") == k, one)).alias(n) for n, k in kinds.items()]).write.json(path)
+    return feeds.read_targets(spark, path)
+
+
 # ---- feed health ----
 
 TIGHT = {"feed0": {"requests_per_minute": 1, "requests_per_hour": 5, "concurrent_requests": 2}, "feed1": {"requests_per_hour": 3}}

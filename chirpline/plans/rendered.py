@@ -78,3 +78,43 @@ def follow_pages(edges: DataFrame) -> DataFrame:
     return grouped.select(
         F.concat_ws("/", "username", "page_no").alias("page_id"), F.concat(F.lit("/"), "username", F.lit("/following")).alias("url"),
         _page(F.col("body")).alias("html"), "username", F.lit("following").alias("direction"), "page_no")
+
+
+def failed_pages(posts: DataFrame) -> DataFrame:
+    """A page for each post, which shows what the number of the post asks for: an error, a protected account, too little, nothing, or a post."""
+    number = F.col("tweet_id").cast("long") % 7
+    status = F.concat(F.lit("/u/status/"), F.col("tweet_id"))
+    post = F.concat(F.lit("<div class=\"timeline-item\"><div class=\"tweet-body\"><span class=\"tweet-date\"><a href=\""), status,
+                    F.lit("\" title=\"x\">1h</a></span></div></div>"))
+    body = (F.when(number == 0, F.concat(F.lit("<div class=\"error-panel\"><span> No "), F.col("user_id"), F.lit(" </span></div>")))
+            .when(number == 1, F.lit("<div class=\"timeline-header timeline-protected\"><h2>protected</h2></div>"))
+            .when(number == 2, F.lit("<p>short</p>"))
+            .when(number == 3, F.lit("<p>nothing here</p>"))
+            .when(number == 4, F.lit("<div class=\"timeline&#45;item\">written with an entity</div>"))
+            .otherwise(post))
+    padding = F.when(number == 2, F.lit("")).otherwise(F.concat(F.lit("<!--"), F.repeat(F.lit("x"), 2000), F.lit("-->")))
+    url = F.when(F.col("is_reply"), "https://mirror.example/search?q=x").otherwise("https://mirror.example/u")
+    return posts.select(F.col("tweet_id").alias("page_id"), url.alias("url"), _page(F.concat(body, padding)).alias("html"),
+                        (number != 6).alias("http_ok"))
+
+
+def odd_pages(posts: DataFrame) -> DataFrame:
+    """A page for each post with what few pages have: encoded media, quotes that are gone, links to other sites, videos and gifs."""
+    number = F.col("tweet_id").cast("long")
+    encoded = number % 2 == 0
+    coded = lambda text: F.base64(F.encode(text, "utf-8"))
+    picture = F.when(encoded, F.concat(F.lit("/pic/enc/"), coded(F.concat(F.lit("media/"), F.col("tweet_id"), F.lit(".jpg"))))).otherwise(
+        F.concat(F.lit("/pic/media%2F"), F.col("tweet_id"), F.lit(".jpg%3Fname%3Dsmall")))
+    avatar = F.when(encoded, F.concat(F.lit("/pic/enc/"), coded(F.concat(F.lit("profile_images/"), F.col("user_id"), F.lit("/a.jpg"))))).otherwise(
+        F.concat(F.lit("/pic/profile_images%2F"), F.col("user_id"), F.lit("%2Fa.jpg")))
+    video = F.when(encoded, F.concat(F.lit("/video/enc/F/"), coded(F.concat(F.lit("https://v.example/"), F.col("tweet_id"), F.lit(".m3u8"))))).otherwise(
+        F.concat(F.lit("/video/1/https%3A%2F%2Fv.example%2F"), F.col("tweet_id"), F.lit(".m3u8")))
+    quote = F.when(number % 3 == 0, F.lit("<div class=\"quote unavailable\">gone</div>")).otherwise(F.concat(
+        F.lit("<div class=\"quote\"><a class=\"fullname\" href=\"/q\">Q</a><a class=\"username\" href=\"/q\">@q</a><span class=\"tweet-date\"><a href=\"/q/status/"),
+        F.col("user_id"), F.lit("\" title=\"x\">1h</a></span><div class=\"quote-text\">quoted</div></div>")))
+    body = F.concat(
+        F.lit("<div class=\"timeline-item\"><div class=\"tweet-body\"><img class=\"avatar\" src=\""), avatar, F.lit("\"><span class=\"tweet-date\"><a href=\"/u/status/"),
+        F.col("tweet_id"), F.lit("\" title=\"x\">1h</a></span><div class=\"tweet-content media-body\">see <a href=\"https://site.example/"), F.col("user_id"),
+        F.lit("?a=1&amp;b=2\">site.example/…</a> and <a href=\"/u\">@u</a></div><div class=\"attachments\"><img src=\""), picture,
+        F.lit("\"><video data-url=\""), video, F.lit("\"></video></div>"), quote, F.lit("</div></div>"))
+    return posts.select(F.col("tweet_id").alias("page_id"), F.lit("https://mirror.example/u").alias("url"), _page(body).alias("html"))

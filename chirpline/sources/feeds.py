@@ -135,6 +135,19 @@ def targets_from(spark: SparkSession, accounts: dict) -> DataFrame:
     return users.unionByName(spark.createDataFrame(rows("terms", "search", "query"), schema.TARGETS))
 
 
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Targets of a JSON accounts file with lists of ``users`` and ``terms``, in any store that Spark reads. Entries without a name are left out."""
+    entry = "struct<name:string,query:string,weight:double,description:string>"
+    found = spark.read.schema(f"users array<{entry}>, terms array<{entry}>").option("multiLine", True).json(path)
+
+    def section(name, kind, key):
+        one = found.select(F.explode(name).alias("t")).filter(F.col(f"t.{key}").isNotNull())
+        return one.select(F.lit(kind).alias("target_type"), F.col(f"t.{key}").alias("value"), F.coalesce("t.weight", F.lit(1.0)).alias("weight"),
+                          F.coalesce("t.description", F.lit("")).alias("description"))
+
+    return section("users", "user", "name").unionByName(section("terms", "search", "query"))
+
+
 def load_targets(spark: SparkSession, path: str) -> DataFrame:
     """Targets of a YAML file; a missing or unreadable file gives none."""
     try:

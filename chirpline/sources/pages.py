@@ -200,14 +200,31 @@ def parse_pages(pages: DataFrame, carry: list[str] = ()) -> DataFrame:
     return _extract(pages, _page, _PAGE, {n: F.col(n) for n in carry})
 
 
+#: Every sign of a page stands in one of these texts, or in a class that is written with entities.
+MARKERS = ("error-panel", "timeline-", "show-more", "/enc/", "&#", "/enc&")
+ENTITY_CLASS = r"class\s*=\s*[\"']?[^\"'>]*&"
+
+
+def page_signs(pages: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Each page's error signs, numbers of items and paging link; items are not extracted.
+
+    Pages that hold none of the texts that make a sign are settled by that:
+    their markup is not sent to Python.
+    """
+    html = F.col("html")
+    marked = F.rlike(html, F.lit("|".join([*MARKERS, ENTITY_CLASS])))
+    return _extract(pages.withColumn("html", F.when(marked, html)), _page_signs, _PAGE_SIGNS, carry)
+
+
 def page_status(pages: DataFrame, min_bytes: int = MIN_PAGE_BYTES) -> DataFrame:
     """Which pages can be used, and why the others cannot.
 
     ``http_ok`` may be a column of ``pages``. ``valid`` is the request check,
     ``has_content`` the extractor's own; each comes with its reason.
     """
-    found = _extract(pages, _page_signs, _PAGE_SIGNS, {
-        "n_bytes": F.octet_length("html"), "http_ok": F.col("http_ok") if "http_ok" in pages.columns else F.lit(True)})
+    ok = F.col("http_ok") if "http_ok" in pages.columns else F.lit(True)
+    sized = pages.withColumns({"__bytes": F.octet_length("html"), "__ok": ok})
+    found = page_signs(sized, {"n_bytes": F.col("__bytes"), "http_ok": F.col("__ok")})
     search = F.contains(F.col("url"), F.lit("/search?"))
     reason = (F.when(~F.col("http_ok"), "HTTP error").when(F.col("n_bytes") < min_bytes, "Response too small")
               .when(F.col("has_error_panel"), F.concat(F.lit("Error: "), F.coalesce(tx.strip(F.col("error_text")), F.lit(""))))

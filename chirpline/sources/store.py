@@ -66,14 +66,19 @@ class PostTable:
         """All posts."""
         return self._days().select(*schema.POSTS.names)
 
-    def query(self, start_time=None, end_time=None, **rest) -> DataFrame:
-        """Filtered posts; time bounds also prune the days."""
-        days = self._days()
+    def query(self, start_time=None, end_time=None, tweet_id: str | None = None, **rest) -> DataFrame:
+        """Filtered posts; time bounds prune the days, and an id is looked up in the index.
+
+        Rows of a day lie in the order of their ids, and its files carry Bloom
+        filters of them, so that most of a day is skipped for an id.
+        """
+        at = self.log.read()
+        days = self._days(at, self._days_of(self.spark.range(1).select(F.lit(tweet_id).alias("tweet_id")), at) if tweet_id else None)
         if start_time is not None:
             days = days.filter(F.col(PARTITION) >= utc_date(moment(start_time)))
         if end_time is not None:
             days = days.filter(F.col(PARTITION) <= utc_date(moment(end_time)))
-        return filters.get_posts(days.select(*schema.POSTS.names), start_time=start_time, end_time=end_time, **rest)
+        return filters.get_posts(days.select(*schema.POSTS.names), start_time=start_time, end_time=end_time, tweet_id=tweet_id, **rest)
 
     def exports(self) -> DataFrame:
         return self.spark.read.schema(schema.EXPORTS).parquet(self.exports_path)
@@ -84,7 +89,8 @@ class PostTable:
         folder = f"{self.posts_path}/run={run}"
         dated = rows.select(*schema.POSTS.names, utc_date(F.col("timestamp")).alias(PARTITION))
         # adaptive execution splits the large days and joins the small ones
-        dated.hint("rebalance", PARTITION).write.partitionBy(PARTITION).parquet(folder)
+        sorted_ = dated.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, "tweet_id")
+        sorted_.write.options(**{"parquet.bloom.filter.enabled#tweet_id": "true"}).partitionBy(PARTITION).parquet(folder)
         fs, target = self._fs(folder)
         names = [f.getPath().getName() for f in fs.listStatus(target)]
         return {n.partition("=")[2]: run for n in names if n.startswith(f"{PARTITION}=")}

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chirpline.functions import text as tx
 from chirpline.operators import keyed, threads, validate
 from chirpline.operators.skew import totals_before
 from chirpline.plans import collect
@@ -203,3 +204,24 @@ def test_totals_before_of_a_large_key(spark):
     df = spark.createDataFrame(rows, "k string, at int, v int").repartition(7)
     got = {(r["k"], r["at"]): r["b"] for r in totals_before(df, ["k"], ["at"], "v", "b").collect()}
     assert got == {(k, i): sum(x[2] for x in rows if x[0] == k and x[1] < i) for k, i, _ in rows}
+
+
+def test_pages_without_marks_are_settled_like_others(spark):
+    bodies = ["", "plain text", '<div class="error-panel"><span> gone </span></div>', '<div class="timeline&#45;item">x</div>', "<div class='a &amp; b timeline-item'>y</div>",
+              '<div class="timeline-header timeline-protected"></div>', '<a class="profile-card-avatar"><img src="/pic/enc/x"></a>', '<img class="avatar" src="/pic/&#101;nc/x">',
+              '<div class="show-more"><a href="?cursor=1">more</a></div>', '<div class="show&#x2d;more"><a href="?c">more</a></div>', "talk of timelines & more"]
+    df = frame(spark, *bodies).unionByName(spark.createDataFrame([("none", "u", None)], "page_id string, url string, html string"))
+    columns = ["page_id", "error_text", "has_error_panel", "is_protected", "n_items", "n_plain_items", "is_encoded", "next_href"]
+    whole = {r["page_id"]: tuple(r) for r in pages.parse_pages(df).select(*columns).collect()}
+    assert {r["page_id"]: tuple(r) for r in pages.page_signs(df).select(*columns).collect()} == whole
+
+
+def test_counts_beyond_integers(spark):
+    rows = [("1,234", 1234), ("9,876,543,210", 2 ** 31 - 1), ("-9876543210", -2 ** 31), ("", 0), ("x", 0), (None, 0)]
+    df = spark.createDataFrame(rows, "t string, want int")
+    assert all(r["n"] == r["want"] for r in df.select("want", tx.count_from_text(F.col("t")).alias("n")).collect())
+
+
+def test_targets_of_a_json_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"users": [{"name": "al", "weight": 2}, {"weight": 3}],\n "terms": [{"query": "q", "description": "d"}]}')
+    assert [tuple(r) for r in feeds.read_targets(spark, str(tmp_path / "a.json")).collect()] == [("user", "al", 2.0, ""), ("search", "q", 1.0, "d")]

@@ -163,3 +163,26 @@ def test_lexicon_and_keywords_together(spark):
     out = make_scorer(lexicon=lex).score(frame(spark, ["good news"]), "content", "s").select("s.score", "s.details").first()
     lexical, keyword = out["details"]["lexicon"]["score"], out["details"]["keyword"]["score"]
     assert out["score"] == pytest.approx(0.6 * lexical + 0.4 * keyword)
+
+
+def test_large_keyword_lists(spark):
+    """50,000 keywords in an index, and short lists in either form, count like a loop over all of them."""
+    rng = random.Random(4)
+    words = lambda n, k: ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, k))) for _ in range(n)]
+    for size, longest in ((25_000, 12), (15, 5)):
+        lists = {"positive_keywords": words(size, longest) + ["two words", "dup", "dup"], "negative_keywords": words(size, longest), "market_positive": (), "market_negative": ()}
+        texts = [" ".join(words(rng.randrange(5), 9) + rng.choice([[], ["two"], ["xyz"]])) for _ in range(30)] + ["", None]
+        config = ScoreConfig(**lists)
+        out = KeywordScorer(config, with_matches=True, large=0).score(frame(spark, texts), "content", "s").select("content", "s.*").collect()
+        plain = KeywordScorer(config, large=0).score(frame(spark, texts), "content", "s").select("content", "s.*").collect()
+        short = KeywordScorer(config, with_matches=True, large=1 << 30).score(frame(spark, texts), "content", "s").select("content", "s.*").collect() if size < 100 else out
+        first = lambda keys, w: next((k for k in keys if k in w or w in k), None)
+        for r, bare, other in zip(out, plain, short):
+            if r["content"] is None:
+                assert r["score"] is None and r["details"] is None
+                continue
+            found = [(first(config.positive, w), first(config.negative, w)) for w in r["content"].split()]
+            assert r["details"]["positive"] == sum(p is not None for p, _ in found) and r["details"]["negative"] == sum(n is not None for _, n in found)
+            assert r["details"]["matched"] == [s + k for p, n in found for s, k in (("+", p), ("-", n)) if k is not None]
+            assert r["details"]["words"] == len(found) and (r["score"], r["confidence"]) == (bare["score"], bare["confidence"])
+            assert (r["score"], r["details"]["matched"]) == (other["score"], other["details"]["matched"])

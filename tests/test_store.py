@@ -231,3 +231,19 @@ def test_a_second_writer_is_refused(spark, table, posts):
     with pytest.raises(RuntimeError, match="another writer"):
         table.log.publish(snapshot)
     assert table.log.read() == snapshot
+
+
+def test_a_look_up_skips_most_of_a_day(spark, table):
+    """The index leads to the day, and within it the order of ids lets the reader skip."""
+    rows = spark.range(70_000).select(*[(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")) if f.name == "tweet_id" else F.lit("u") if f.name in ("user_id", "username")
+                                         else F.lit("text") if f.name == "content" else F.lit(at()) if f.name in ("timestamp", "scraped_at") else F.lit(0) if f.name in ("likes", "retweets", "replies")
+                                         else F.lit(False) if f.name in ("is_reply", "is_retweet") else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.POSTS.fields])
+    table.upsert(rows)
+    table.upsert(rows.limit(1).withColumns({"tweet_id": F.lit("other"), "timestamp": F.lit(at(3 * DAY))}))
+    found = table.query(tweet_id="n031234")
+    assert [r["tweet_id"] for r in found.collect()] == ["n031234"] and "2025-06-01" not in str(found.inputFiles())
+    plan = found._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert 0 < plan.metrics().apply("numOutputRows").value() <= 25_000
+    assert table.query(tweet_id="nobody").collect() == [] and table.query(tweet_id="other").count() == 1
