@@ -178,7 +178,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
     spans cover a larger share than ``max_coverage`` goes as a whole. All other columns stay.
     """
     shards = item_shards(items)
-    least = min(max_span, window)
 
     def cut(batches):
         splitter, built = Splitter(letter_words(), True), {}
@@ -208,7 +207,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
                     hit = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
                     at, parts = int(offsets[lo + row]), []
                     for x, y in zip(hit[::2], hit[1::2]):
-                        if y - x >= least or window > y - x:
+                        if y - x >= max_span or y - x < window:
                             parts.append(data[at:starts[s + x]].tobytes())
                             at = int(ends[s + y - 1])
                     parts.append(data[at:offsets[lo + row + 1]].tobytes())
