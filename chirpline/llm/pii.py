@@ -8,7 +8,11 @@ labeler is for each kind from the counts of the vote patterns, and the
 posteriors it gives train a logistic span classifier, which decides on what
 the base rules do not take. Base spans always stay.
 
-The counts are one aggregation over all candidates into at most 4 kinds x 16
+Secrets are a kind without base rules: long runs of hex digits or of letters
+and digits together, known by what they begin with, by words such as "token ="
+before them, and by their layout.
+
+The counts are one aggregation over all candidates into at most 5 kinds x 16
 votes x 4 sizes; these few rows are all the driver sees.
 
 Places are found without Python: the lengths of the gaps between the matches
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from chirpline.llm.frames import table, texts_of, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4
 LOCAL = "[A-Za-z0-9._%+-]"
 # Each pattern finds what the plain form in the contract finds, without looking twice at a long run.
 BASE = {
@@ -40,27 +45,31 @@ LOOSE = {
     "email": rf"(?<!{LOCAL}){LOCAL}{{2,64}}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{{1,63}}){{1,4}}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![0-9A-Za-z_+/=-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{20,}+(?![+/=])",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # What a text must hold to be searched at all.
-GUARDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]+:", "card": r"[0-9][0-9\x20-]{12}", "phone": r"\+[0-9]|[0-9][-.)]"}
+GUARDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]+:", "card": r"[0-9][0-9\x20-]{12}", "phone": r"\+[0-9]|[0-9][-.)]", "secret": "[0-9A-Za-z_-]{20}"}
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot[)\]] ?)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|us)$",
     "ip": r"^(?:10|127|172|192|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+(?:1|33|34|44|49)[^0-9]|^\(?[2-9][0-9]{2}[).-]",
+    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk[-_]|xox[abp]-|eyJ|AIza|glpat-)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$",
 }
 CUES = {
     "email": r"(?i)(?:mail|contact|write|reach|kontakt|correo|courriel)[^.\n]{0,24}$",
     "ip": r"(?i)(?:\bip\b|address|host|server|client|from)[^.\n]{0,24}$",
     "card": r"(?i)(?:card|visa|master|payment|tarjeta|carte|karte)[^.\n]{0,24}$",
     "phone": r"(?i)(?:phone|call|tel|fax|mobile|telefon|llame)[^.\n]{0,24}$",
+    "secret": r"(?i)(?:token|secret|passw|pwd|key|auth|bearer|credential)[^.\n]{0,16}$",
 }
 LAYOUT = {
     "email": r"^[A-Za-z]",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|:",
     "card": r"^(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}$",
+    "secret": r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$",
 }
 LABELERS = ("strict", "gazetteer", "cue", "layout")
 CHUNK = 128
@@ -213,4 +222,6 @@ def joined(spans: str) -> Column:
 def op8_pii(spark, sf_dir):
     found = find_private(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *(count(k) for k in range(len(KINDS))), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    more = lambda s: s["kind"] >= BASE_KINDS
+    return found.select("doc_id", *(count(k) for k in range(BASE_KINDS)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+                        F.size(F.filter("spans", more)).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
