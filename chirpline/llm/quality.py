@@ -27,6 +27,8 @@ from chirpline.llm.words import raw, text_slices
 WIDTH, STEP, BLOCK, FILTERS = 8, 2, 128, 16
 SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS = 3000, 32_768, 12
 THRESHOLD = 0.3
+#: Blocks of which the responses are held at once.
+SPAN = 2048
 FOLDS = 5
 
 
@@ -60,17 +62,28 @@ class ByteConvNet:
         return out
 
     def chunks(self, x, first, places=False):
-        """Largest response of each filter in each chunk, and on demand where. A chunk starts at each block of its row but the last."""
-        of_position = self.responses(x).reshape(-1, BLOCK // STEP, FILTERS)
-        block = of_position.max(axis=1)
-        last = np.zeros(len(block), bool)
+        """Largest response of each filter in each chunk, and on demand where. A chunk starts at each block of its row but the last.
+
+        Responses are taken for some blocks at a time. In a row's last block, positions that reach beyond it lie in padding;
+        they respond like the last position within it, not to the row behind.
+        """
+        many, whole = int(first[-1]), (BLOCK - WIDTH) // STEP
+        block, at = np.empty((many, FILTERS), np.float32), np.empty((many, FILTERS), np.int64)
+        last = np.zeros(many, bool)
         last[first[1:] - 1] = True
+        for lo in range(0, many, SPAN):
+            hi = min(many, lo + SPAN)
+            found = self.responses(x[lo * BLOCK:hi * BLOCK + WIDTH]).reshape(-1, BLOCK // STEP, FILTERS)
+            ends = np.flatnonzero(last[lo:hi])
+            found[ends, whole + 1:] = found[ends, whole:whole + 1]
+            block[lo:hi] = found.max(axis=1)
+            if places:
+                at[lo:hi] = found.argmax(axis=1) + np.arange(lo, hi)[:, None] * (BLOCK // STEP)
         following = np.concatenate([block[1:], block[-1:]])
         following[last] = block[last]
         best = np.maximum(block, following)
         if not places:
             return best
-        at = of_position.argmax(axis=1) + np.arange(len(block))[:, None] * (BLOCK // STEP)
         after = np.concatenate([at[1:], at[-1:]])
         return best, np.where(following > block, after, at)
 
