@@ -5,6 +5,7 @@ from chirpline.llm.decontaminate import op2_decontaminate
 from chirpline.llm.licenses import op9_licenses
 from chirpline.llm.linededup import op3_line_dedup
 from chirpline.llm.ngramjoin import op4_ngram_join
+from chirpline.llm.oracle import ORACLE  # noqa: F401
 from chirpline.llm.pack import op1_pack
 from chirpline.llm.pii import op8_pii
 from chirpline.llm.quality import op10_quality
@@ -29,4 +30,3 @@ QUERIES = {
     "op12_sentencepiece": op12_sentencepiece,
     "op13_alignment": op13_alignment,
 }
-ORACLE = {}

@@ -249,3 +249,28 @@ def alignment(docs, byte_model, byte_of, piece_model):
         top[a] = max(top.get(a, 0), n)
     return {doc: (len(tokens[doc][0]), len(tokens[doc][1]), len(groups[doc]), len(links[doc]), sum(held[p] == top[p[0]] for p in links[doc]),
                   sum(held[p] for p in links[doc]), sha(";".join(groups[doc]))) if doc in tokens else (0,) * 6 + ("",) for doc in docs}
+
+
+def quality(net, text, width=8, step=2, block=128):
+    """A network's probability for one byte string, byte by byte."""
+    import math
+
+    blocks = max(1, -(-(len(text) + width) // block))
+    data = text + bytes(blocks * block + width - len(text))
+    features = []
+    for c in range(max(1, blocks - 1)):
+        ends = min(blocks, c + 2) * block
+        best = None
+        for p in range(c * block, ends, step):
+            response = sum(net.filters[j][data[p + j]].astype(float) for j in range(width))
+            best = response if best is None else [max(a, b) for a, b in zip(best, response)]
+        features.append([max(0.0, b) for b in best])
+    if blocks > 1:
+        # the last block is a chunk of its own too
+        features.append([max(0.0, max(sum(float(net.filters[j][data[p + j]][f]) for j in range(width)) for p in range((blocks - 1) * block, blocks * block, step)))
+                         for f in range(len(features[0]))])
+    logit = float(net.bias[0])
+    for f in range(len(features[0])):
+        own = [x[f] for x in features]
+        logit += max(own) * net.weights[0][f] + sum(own) / len(own) * net.weights[1][f] + min(own) * net.weights[2][f]
+    return 1 / (1 + math.exp(-logit))

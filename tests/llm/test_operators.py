@@ -72,6 +72,17 @@ def test_decontaminated_texts_keep_the_rest(spark, docs):
     assert "x0" not in plain.low(got[1][0]) and got[1][0].startswith("before before") and got[1][0].endswith(" after.")
 
 
+def test_spans_below_the_length_limit_stay(spark, docs):
+    item = " ".join(f"x{i}" for i in range(30))
+    items = spark.createDataFrame([(1, item), (2, "y1 y2 y3")], "item_id long, text string")
+    before, after = "before " * 60, " after" * 60
+    texts = {n: before + " ".join(f"x{i}" for i in range(n)) + after for n in (9, 10, 24, 25, 30)} | {1: before + "y1 y2 y3" + after}
+    got = by_id(decontaminate.decontaminate(docs(texts), items, max_span=25), "text")
+    for n in texts:
+        cut = n in (25, 30, 1)
+        assert (got[n][0] == texts[n]) == (not cut) and (not cut or got[n][0] == before + after)
+
+
 def test_lines(docs):
     rng = random.Random(3)
     lines = [t for t in variants(2, 60, words=80, sizes=(4, 12, 25, 40)).values() if t]
@@ -246,6 +257,35 @@ def test_a_labeler_that_errs_is_trusted_less():
     assert score[0] > 0.8 and score[2] < 0.2 and score[4] > score[1]
 
 
+def test_notices_in_windows_are_those_of_whole_texts():
+    rng, search = random.Random(7), licenses.NoticeSearch()
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            notice = list(rng.choice(licenses.NOTICES)[0] if rng.random() < 0.7 else "some other words here")
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(notice))
+                notice[at:at + rng.randrange(2)] = rng.choice(["", "x", "e", " ", "mit"])
+            parts.append("".join(notice))
+        text = " ".join("".join(rng.choice(["", "the ", "x"]) + p + rng.choice(["", "s", " are", "ship is"]) for p in parts).split())
+        found = search.find(text)[0]
+        assert {m[2] for m in found} == {label for _, label, _, rule in search.notices if rule.search(text)}, text
+        for start, end, _, edits, size in found:
+            assert edits <= max(1, size // 10) and (not start or " " in text[start - 1:start + 1]) and (end == len(text) or " " in text[end - 1:end + 1])
+    assert search.find("mit licensees are")[0] == [] and search.find("the mit licenseship is")[0] == []
+
+
+def test_many_notices_in_one_text(docs):
+    import time
+
+    start = time.process_time()
+    found, places = licenses.NoticeSearch().find(" ".join(["mit license"] * 80_000))
+    assert len(places) == 80_000 and time.process_time() - start < 60
+    text = "Mit\nLicense. " * 20_000
+    got = by_id(licenses.license_scan(docs({1: text})), "n_words", "n_base", "first_word", "last_word")
+    assert got[1] == (40_000, 20_000, 0, 39_998)
+
+
 def test_licences(spark, docs, tmp_path):
     texts = {1: "Under the MIT License. mit license!", 2: "The Apache\nLicense and the GNU General-Public License", 3: "mit licens e", 4: None, 5: "",
              6: "released under the genral publc license today", 7: "general public", 8: "permission is hereby granted, free of charge"}
@@ -393,3 +433,35 @@ def test_pipeline(spark):
         assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
         kept = got
     packed(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect(), kept)
+
+
+def test_quality_is_that_of_the_text_alone(monkeypatch):
+    """Scores equal a loop over bytes, whatever stands in the rows around and however many blocks are taken at once."""
+    rng = np.random.default_rng(1)
+    net = quality.ByteConvNet()
+    net.filters, net.weights = rng.normal(0, 1, net.filters.shape).astype(np.float32), rng.normal(0, 0.05, net.weights.shape).astype(np.float32)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (0, 1, 7, 118, 119, 120, 121, 128, 130, 240, 250, 256, 300, 700)]
+    want = [plain.quality(net, t) for t in texts]
+    for span in (1, 3, quality.SPAN):
+        monkeypatch.setattr(quality, "SPAN", span)
+        for order in (range(len(texts)), rng.permutation(len(texts))):
+            own = [texts[i] for i in order]
+            got = net.probabilities(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]))
+            assert got == pytest.approx([want[i] for i in order], abs=1e-4)
+
+
+def test_secrets_are_found(docs):
+    """Recall and precision over planted keys, in prose with long words, numbers and addresses."""
+    rng = random.Random(12)
+    prose = lambda: " ".join(rng.choice(["the", "internationalisation", "donaudampfschifffahrt", "of", "1234567890", "a-long-hyphenated-word-list", "https://x.example/a/b"]) for _ in range(30))
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    forms = [lambda: "token = " + key("0123456789abcdef", 40), lambda: "api_key: AKIA" + key("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 8) + key("0123456789", 8),
+             lambda: "Authorization bearer ghp_" + key("abcdefghijkABCDEFGHIJK0123456789", 36)]
+    texts, planted = {}, set()
+    for i in range(120):
+        texts[i] = prose()
+        if i % 3 == 0:
+            planted.add(i)
+            texts[i] += " " + rng.choice(forms)() + "\n" + prose()
+    found = {r["doc_id"] for r in pii.find_private(docs(texts)).filter("exists(spans, s -> s.kind = 4)").collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and not found - planted
