@@ -18,7 +18,6 @@ give no rows; ties are broken by the order of the written pieces; other
 columns are not looked at.
 """
 
-import os
 import zlib
 
 import numpy as np
@@ -27,47 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chirpline.llm.bytepairs import ByteModel
 from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of, written
-from chirpline.llm.units import SPACE_CHARS, UNIT, Memory, tokenizer_path
+from chirpline.llm.units import SPACE_CHARS, Cutter, Recent, kept_in_process, row_sums, take_rows
+from chirpline.llm.words import text_slices
 
 SEQUENCE = 2048
 CLOSING_ID = 0
 BLOCK_ITEMS = 4096
 ISLANDS = 3
 EPOCHS = 2
-REMEMBERED = 100_000
+REMEMBERED = 300_000
+SLICE = 1 << 22
 
 
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers, encoded once for each distinct unit."""
 
     def __init__(self, path=None, remembered=REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.remembered = Tokenizer.from_file(tokenizer_path(path)), Memory(remembered)
+        self.model, self.remembered = ByteModel(path, specials=True), Recent(remembered)
+        # letters and digits never go on into these marks
+        marks = "".join(c for c in ",.;:!?)" if not any(c in s for s in self.model.special))
+        self.cutter = Cutter("".join(c for c in SPACE_CHARS if c < "\x80"), "".join(SPACE_CHARS), lead=False, after_word=marks)
 
     def learn(self, units):
-        """Encode new units. Those with white space before and not behind are encoded as one text, and cut where they start."""
-        joined = [u for u in units if u[0] in SPACE_CHARS and u[-1] not in SPACE_CHARS]
-        if joined:
-            found = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.cumsum([len(u) for u in joined])
-            cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets]), ends)).tolist()
-            for u, a, b in zip(joined, [0, *cuts], cuts):
-                self.remembered.put(u, ids[a:b])
-        for u in set(units).difference(joined):
-            self.remembered.put(u, np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes())
-
-    def ids(self, text):
-        units = UNIT.findall(text)
-        if missing := self.remembered.missing(units):
-            self.learn(missing)
-        known = self.remembered.new
-        out = b"".join([known[u] for u in units])
-        self.remembered.tidy()
-        return out
+        ids, counts = self.model.encode_units(units)
+        data, ends = ids.astype("<u4").tobytes(), [0, *np.cumsum(4 * counts).tolist()]
+        return [data[x:y] for x, y in zip(ends, ends[1:])]
+
+    def ids(self, texts):
+        """Ids of an Arrow column of texts, and how many each row has."""
+        unit, first, distinct = self.cutter.units(texts)
+        found = self.remembered.values(distinct, self.learn)
+        ids, sizes = take_rows(np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64), unit)
+        return ids, row_sums(sizes, first)
 
 
 def token_pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, closing_id: int = CLOSING_ID,
@@ -75,28 +67,29 @@ def token_pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = Non
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 and, on demand, the ids themselves."""
     fields = [("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")] + [("ids", "binary")] * with_ids
     schema = doc_schema(*fields, id_type=docs.schema[id_col].dataType)
-    closing = np.array([closing_id], "<u4").tobytes()
 
     def make():
-        encoder = Encoder(path)
+        encoder = kept_in_process(("encoder", path), lambda: Encoder(path))
 
         def step(batch):
-            out, rows = {n: [] for n, _ in fields}, []
-            for row, text in enumerate(batch.column("text")):
-                ids = encoder.ids(text.as_py() or "") + closing
-                total = len(ids) // 4
-                count = -(-total // length)
-                end = total - (count - 1) * length
-                start = 0
-                for piece in range(count):
-                    part = ids[4 * start:4 * end]
-                    for n, v in (("piece", piece), ("start", start), ("length", end - start), ("ids_crc32", zlib.crc32(part))):
-                        out[n].append(v)
-                    if with_ids:
-                        out["ids"].append(part)
-                    rows.append(row)
-                    start, end = end, end + length
-            yield {"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), **out}
+            for lo, hi in text_slices(batch.column("text"), SLICE):
+                found, counts = encoder.ids(batch.column("text")[lo:hi])
+                data = memoryview(np.insert(found, np.cumsum(counts), closing_id).astype("<u4").tobytes())
+                out, rows, base = {n: [] for n, _ in fields}, [], 0
+                for row, total in enumerate((counts + 1).tolist()):
+                    count = -(-total // length)
+                    end = total - (count - 1) * length
+                    start = 0
+                    for piece in range(count):
+                        part = data[base + 4 * start:base + 4 * end]
+                        for n, v in (("piece", piece), ("start", start), ("length", end - start), ("ids_crc32", zlib.crc32(part))):
+                            out[n].append(v)
+                        if with_ids:
+                            out["ids"].append(bytes(part))
+                        rows.append(row)
+                        start, end = end, end + length
+                    base += 4 * total
+                yield {"doc_id": batch.column("doc_id")[lo:hi].take(pa.array(rows, pa.int64())), **out}
 
         return step
 

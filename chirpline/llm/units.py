@@ -91,14 +91,17 @@ class Recent:
 
 
 class Cutter:
-    """Cuts texts, each with a space put in front, into units, and names equal units by one number.
+    """Cuts texts, each with a space put in front if there is a ``lead``, into units, and names equal units by one number.
 
     A cut is before each byte of ``before`` that follows anything but these
     bytes or a character of ``joined``, and on both sides of each byte of
-    ``alone``. All of them are ASCII, but for ``joined``.
+    ``alone``; so is one before each byte of ``after_word`` that follows an
+    ASCII letter or digit. All of them are ASCII, but for ``joined``.
     """
 
-    def __init__(self, before: str, joined: str = "", alone: str = ""):
+    def __init__(self, before: str, joined: str = "", alone: str = "", lead: bool = True, after_word: str = ""):
+        self.lead, self.ends, self.word = lead, np.zeros(256, bool), np.zeros(256, bool)
+        self.ends[list(after_word.encode())] = self.word[[b for b in range(128) if chr(b).isalnum()]] = True
         self.before, self.alone, self.run = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
         self.before[list(before.encode())] = self.alone[list(alone.encode())] = True
         self.run[[ord(c) for c in before + joined if c < "\x80"]] = True
@@ -109,8 +112,10 @@ class Cutter:
         data, offsets = raw(texts)
         base, rows = int(offsets[0]), offsets - offsets[0]
         filled = np.diff(rows) > 0
-        text = np.insert(data[base:int(offsets[-1])], rows[:-1][filled], 32)
-        rows = rows + np.concatenate([[0], np.cumsum(filled)])
+        text = data[base:int(offsets[-1])]
+        if self.lead:
+            text = np.insert(text, rows[:-1][filled], 32)
+            rows = rows + np.concatenate([[0], np.cumsum(filled)])
         if not len(text):
             return np.zeros(0, np.int64), rows, []
         cut = np.zeros(len(text), bool)
@@ -124,6 +129,7 @@ class Cutter:
                 same &= text[ends - j] == c[-1 - j]
             hold[wide[same]] = True
         cut[at[~hold]] = True
+        cut[1:] |= self.ends[text[1:]] & self.word[text[:-1]]
         lone = np.flatnonzero(self.alone[text])
         cut[lone] = True
         cut[lone[lone + 1 < len(text)] + 1] = True
