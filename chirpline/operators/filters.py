@@ -7,13 +7,37 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chirpline.functions import text as tx
 from chirpline.functions.times import moment
-from chirpline.operators.skew import all_of
+from chirpline.operators.skew import all_of, first_n, totals_before
+
+
+#: Rows up to which a limit is a top-k that ends in one task.
+TOP_ROWS = 100_000
 
 
 def newest_first(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Latest posts first; with a limit this is a top-k, not a sort."""
-    out = df.orderBy(F.desc("timestamp"), F.asc("tweet_id"))
-    return out.limit(limit) if limit else out
+    """Latest posts first.
+
+    A small limit is a top-k. A large one is a cut: rows are counted by moment,
+    counts are added up from the newest moment on in many tasks, and the rows
+    of the moments that fit stay, of the moment on the limit those that come
+    first by id. The rest is a sort by range.
+    """
+    order = [F.desc("timestamp"), F.asc("tweet_id")]
+    if not limit:
+        return df.orderBy(*order)
+    if limit <= TOP_ROWS:
+        return df.orderBy(*order).limit(limit)
+    # moments count down from now on; posts without a time come last, as in a sort
+    back = F.coalesce(-F.unix_micros("timestamp"), F.lit((1 << 63) - 1))
+    moments = df.groupBy(back.alias("__back")).agg(F.count("*").alias("__n")).withColumn("__all", F.lit(0))
+    placed = totals_before(moments, ["__all"], ["__back"], "__n", "__before")
+    whole = placed.filter(F.col("__before") + F.col("__n") <= limit).select("__back")
+    edge = placed.filter((F.col("__before") < limit) & (F.col("__before") + F.col("__n") > limit)).first()
+    marked = df.withColumn("__back", back)
+    kept = marked.join(whole, "__back", "left_semi")
+    if edge is not None:
+        kept = kept.unionByName(first_n(marked.filter(F.col("__back") == edge["__back"]), ["__back"], [F.asc("tweet_id")], limit - edge["__before"]))
+    return kept.select(*df.columns).orderBy(*order)
 
 
 def get_posts(posts: DataFrame, username: str | None = None, tweet_id: str | None = None, start_time=None,

@@ -1,5 +1,7 @@
 """Validation, filters, summaries, signals and keyed updates on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -184,3 +186,13 @@ def test_first_n_of_a_large_group(spark, n):
     got = keyed.first_n_per_target(df, n).collect()
     assert {t: sorted(r["pos"] for r in got if r["target"] == t) for t in want} == want
     assert keyed.first_n_per_target(df, -1).count() == 5000
+
+
+@pytest.mark.parametrize("limit", [1, 7, 30, 59, 60, 61, 500])
+def test_large_limits_cut_like_small_ones(posts, monkeypatch, limit):
+    rng = random.Random(2)
+    df = posts(*[post(i, when=at(rng.randrange(6)) if i % 9 else None) for i in range(60)]).withColumn(
+        "timestamp", F.when(F.col("tweet_id").cast("int") % 9 != 0, F.col("timestamp")))
+    want = [r["tweet_id"] for r in filters.newest_first(df, limit).collect()]
+    monkeypatch.setattr(filters, "TOP_ROWS", 0)
+    assert [r["tweet_id"] for r in filters.newest_first(df, limit).collect()] == want and len(want) == min(limit, 60)
