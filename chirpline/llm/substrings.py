@@ -240,7 +240,7 @@ def window_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def window_hits(rows: DataFrame, window: int) -> DataFrame:
-    """Spans (doc_id, tid, start, end) of the windows that an earlier document holds too. rows: passages with all windows of their anchors."""
+    """doc_id, tid and spans of the windows that an earlier document holds too. rows: passages with all windows of their anchors."""
     spots = written(window_rows(rows, window), "hot-windows")
     held = spots.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n"))
     held = written(held.filter("_first < _last"), "hot-window-firsts")
@@ -248,8 +248,9 @@ def window_hits(rows: DataFrame, window: int) -> DataFrame:
     often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
     seldom = held.filter(F.col("_n") <= HOT_ROWS).select("key", "_first")
     found = spots.join(often, "key").unionByName(spots.join(often.select("key"), "key", "left_anti").join(seldom, "key"))
-    found = found.filter(F.col("doc_id") > F.col("_first")).select("doc_id", "tid", F.explode("starts").alias("start"))
-    return found.withColumn("end", F.col("start") + F.lit(window).cast("long"))
+    starts = found.filter(F.col("doc_id") > F.col("_first")).groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    span = lambda x: F.struct(x.alias("start"), (x + F.lit(window).cast("long")).alias("end"))
+    return starts.select("doc_id", "tid", F.transform(F.array_distinct("starts"), span).alias("spans"))
 
 
 def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -271,9 +272,11 @@ def known_spans(docs: DataFrame, facts: DataFrame, window: int, anchor: int) ->
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     few = found.join(hot, "key", "left_anti") if n_hot else found
     hits = shard_hits(few.select(shard, "doc_id", "tid", "starts", "words"), window)
+    spans = hits.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     if n_hot:
-        hits = hits.unionByName(window_hits(found.join(hot, "key", "left_semi"), window))
-    return hits.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        spans = spans.unionByName(window_hits(found.join(hot, "key", "left_semi"), window))
+        spans = spans.groupBy("doc_id", "tid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return spans.withColumn("spans", F.array_sort("spans"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
