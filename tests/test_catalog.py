@@ -20,7 +20,6 @@ def con():
 
 # Without SQL, and what holds them instead.
 ELSEWHERE = {
-    "lexicon_rules": "tests/test_scoring.py",
     "trading_signal_reasons": "test_reasons",
     "file_sizes": "test_file_sizes",
 }
