@@ -20,7 +20,8 @@ class ByteModel:
     def __init__(self, path=None, specials=False):
         from tokenizers import Tokenizer
 
-        with open(path := tokenizer_path(path), encoding="utf-8") as f:
+        self.path = path = tokenizer_path(path)
+        with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of = {c: chr(b) for b, c in byte_letters().items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}

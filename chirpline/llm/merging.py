@@ -73,6 +73,11 @@ class TokenAutomaton:
         return out
 
 
+def judged_pairs():
+    """An empty table of pairs and whether they fit."""
+    return np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
+
+
 class BacktrackEncoder:
     """Encodes strings of symbols under tokens (string -> id) and ``rank(left, right)``, lower first, NEVER for no merge.
 
@@ -88,8 +93,15 @@ class BacktrackEncoder:
         for s, i in tokens.items():
             self.shorter[i], self.sizes[i] = self.automaton.shorter[i], len(s)
         self.single = {ord(s): i for s, i in tokens.items() if len(s) == 1}
+        self.forget()
+
+    def forget(self, table=None):
+        """Start anew with what is judged and traced; ``table`` is a table of judged pairs to go on with."""
         self.traces, self.fitting = {}, {}
-        self.pairs, self.judged = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
+        self.pairs, self.judged = table or judged_pairs()
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("traces", "fitting", "pairs", "judged")}
 
     def text(self, token):
         return self.text_of.get(token) or chr(token - self.virtual)

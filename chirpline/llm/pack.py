@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from chirpline.llm.bytepairs import ByteModel
 from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of, written
+from chirpline.llm.merging import judged_pairs
 from chirpline.llm.units import SPACE_CHARS, Cutter, Recent, kept_in_process, row_sums, take_rows
 from chirpline.llm.words import text_slices
 
@@ -36,15 +37,19 @@ CLOSING_ID = 0
 BLOCK_ITEMS = 4096
 ISLANDS = 3
 EPOCHS = 2
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 SLICE = 1 << 22
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers, encoded once for each distinct unit."""
+    """Ids of texts, as little-endian unsigned 32-bit integers, encoded once for each distinct unit.
 
-    def __init__(self, path=None, remembered=REMEMBERED):
-        self.model, self.remembered = ByteModel(path, specials=True), Recent(remembered)
+    Units are remembered for a task; only the small table of judged pairs of tokens stays with the process.
+    """
+
+    def __init__(self, model: ByteModel, remembered=REMEMBERED):
+        self.model, self.remembered = model, Recent(remembered)
+        self.model.encoder.forget(kept_in_process(("judged pairs", model.path), judged_pairs))
         # letters and digits never go on into these marks
         marks = "".join(c for c in ",.;:!?)" if not any(c in s for s in self.model.special))
         self.cutter = Cutter("".join(c for c in SPACE_CHARS if c < "\x80"), "".join(SPACE_CHARS), lead=False, after_word=marks)
@@ -68,8 +73,10 @@ def token_pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = Non
     fields = [("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")] + [("ids", "binary")] * with_ids
     schema = doc_schema(*fields, id_type=docs.schema[id_col].dataType)
 
+    model = ByteModel(path, specials=True)
+
     def make():
-        encoder = kept_in_process(("encoder", path), lambda: Encoder(path))
+        encoder = Encoder(model)
 
         def step(batch):
             for lo, hi in text_slices(batch.column("text"), SLICE):
