@@ -49,5 +49,15 @@ def totals_before(rows: DataFrame, keys: list[str], order: list[str], value: str
     return summed.join(base, same).select(*[summed[c] for c in rows.columns], (F.col("__base") + F.col("__inside")).alias(name))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by the values of columns over as many tasks as a shuffle has, for work that costs more than the bytes it reads.
+
+    Files of few row groups, and small partitions that adaptive execution
+    joins, would leave such work to a few tasks. A number that is given stays.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.and_, conditions, F.lit(True))

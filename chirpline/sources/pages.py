@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chirpline.functions import text as tx
+from chirpline.operators.skew import spread
 from chirpline.sources.markup import Node, parse
 
 MIN_PAGE_BYTES = 2000
@@ -70,17 +71,10 @@ def _post(node: Node, box: Node | None) -> dict:
     }
 
 
-def _links_to_text(node: Node) -> None:
-    """Anchors to another site are shown as their address."""
-    for parent in [node, *(n for n in node.walk() if isinstance(n, Node))]:
-        parent.inside = [
-            n.attrs["href"] if isinstance(n, Node) and n.tag == "a" and "https" in (n.attrs.get("href") or "") else n
-            for n in parent.inside]
-
-
 def _item(pos: int, node: Node) -> dict:
     card = _attr(node.first("a", "card-container"), "href")
-    _links_to_text(node)
+    # anchors to another site are shown as their address
+    node.links_to_text(lambda href: "https" in href)
     quote = node.first("div", "quote")
     body = node.first("div", "tweet-body")
     own = [n for n in body.inside if isinstance(n, Node) and n.tag == "div" and n.is_a("attachments")] if body is not None else []
@@ -192,7 +186,8 @@ def _extract(pages: DataFrame, read, fields: T.StructType, carry: dict[str, Colu
                 rows = [{**r, **{n: p[n] for n in names}} for r, p in found if r is not None]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return slim.mapInArrow(run, out)
+    # markup costs far more to walk than to read
+    return spread(slim, "page_id", "url", "html").mapInArrow(run, out)
 
 
 def parse_pages(pages: DataFrame, carry: list[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from chirpline.functions import text as tx
 from chirpline.operators import keyed, threads, validate
 from chirpline.operators.skew import totals_before
 from chirpline.plans import collect
-from chirpline.sources import feeds, pages
+from chirpline.sources import feeds, markup, pages
 from tests.conftest import at, naive
 
 
@@ -225,3 +225,22 @@ def test_counts_beyond_integers(spark):
 def test_targets_of_a_json_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"users": [{"name": "al", "weight": 2}, {"weight": 3}],\n "terms": [{"query": "q", "description": "d"}]}')
     assert [tuple(r) for r in feeds.read_targets(spark, str(tmp_path / "a.json")).collect()] == [("user", "al", 2.0, ""), ("search", "q", 1.0, "d")]
+
+
+def test_pages_of_one_file_are_read_by_many_tasks(spark):
+    one = frame(spark, *[item(n) for n in range(12)]).coalesce(1)
+    for read in (pages.parse_pages(one), pages.page_signs(one), pages.profiles(one)):
+        assert read.rdd.getNumPartitions() >= 4
+    assert sorted(r.id for r in pages.timeline_items(pages.parse_pages(one)).collect()) == sorted(str(n) for n in range(12))
+
+
+def test_searches_below_an_element_share_one_walk(monkeypatch):
+    walks, walk = [], markup.Node.walk
+    monkeypatch.setattr(markup.Node, "walk", lambda self: walks.append(self) or walk(self))
+    page = markup.parse('<div class="a"><a href="https://x.example">see <b>x</b></a><p>one <i>two</i></p></div>')
+    box = page.first("div", "a")
+    walks.clear()
+    assert [box.first("a").attrs["href"], len(box.all("i")), box.first("video"), box.first("p").text()] == ["https://x.example", 1, None, "one two"]
+    assert walks.count(box) == 1
+    box.links_to_text(lambda href: "https" in href)
+    assert box.first("a") is None and box.first("b") is None and box.text() == "https://x.exampleone two"
