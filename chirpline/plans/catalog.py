@@ -659,7 +659,8 @@ def crawl_posts(spark, sf):
 def html_first_n(spark, sf):
     """The first 29 posts and threads of three crawls over the saved pages."""
     saved = saved_pages(spark, sf).withColumns({"crawl": F.col("page_id") % 3, "page_no": F.col("page_id")})
-    found = pages.timeline_items(pages.parse_pages(saved, ["crawl", "page_no"]), ["page_id", "crawl", "page_no"])
+    found = pages.timeline_items(pages.parse_pages(saved, ["crawl", "page_no"]), ["page_id", "crawl", "page_no"]).select(
+        "crawl", "page_no", "pos", "kind", "is_thread_end", "id", "link")
     return feeds.first_items(found, 29, ["crawl"], "page_no").select("crawl", F.col("id").alias("tweet_id"), "kind")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from chirpline import schema
 from chirpline.functions import text as tx
 from chirpline.operators.skew import all_of, first_n, totals_before
+from chirpline.session import stored
 
 # Tags under which the feeds are stored.
 RECORD_TAG, HTML_TAG, UNKNOWN = "snscrape", "nitter", "unknown"
@@ -36,12 +37,15 @@ def first_items(items: DataFrame, n: int = 100, crawl: list[str] = (), page_orde
     of threads are not cut: those before that post stay, whatever the count.
 
     Counts run over pages within a crawl and over items within a page. A page
-    is the largest group that one task holds.
+    is the largest group that one task holds. The items are written once,
+    because they are read several times and pages are dear to parse; pass only
+    the columns that are needed.
     """
     if n == -1:
         return items
     if n < 1:
         raise ValueError("n must be -1 or at least 1")
+    items = stored(items, "items")
     page = [*crawl, page_order]
     own = [F.col(c) for c in page]
     known = F.col("kind").isin("post", "thread")

@@ -244,3 +244,17 @@ def test_searches_below_an_element_share_one_walk(monkeypatch):
     assert walks.count(box) == 1
     box.links_to_text(lambda href: "https" in href)
     assert box.first("a") is None and box.first("b") is None and box.text() == "https://x.exampleone two"
+
+
+def test_a_crawl_with_a_limit_reads_its_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(link):
+        seen.add(1)
+        return link
+
+    rows = [("c", p, k, "post", False, f"l{p}{k}") for p in range(3) for k in range(4)]
+    made = spark.createDataFrame(rows, "crawl string, page_no int, pos int, kind string, is_thread_end boolean, link string")
+    found = feeds.first_items(made.withColumn("link", read.asNondeterministic()("link")), 6, ["crawl"], "page_no").collect()
+    assert sorted((r.page_no, r.pos) for r in found) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)] and seen.value == len(rows)
