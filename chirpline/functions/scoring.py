@@ -16,7 +16,6 @@ from dataclasses import dataclass, fields
 from typing import Protocol, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -98,6 +97,30 @@ def _clipped(value: Column, low: float, high: float) -> Column:
     return F.when(value < low, low).when(value > high, high).otherwise(value)
 
 
+#: Bytes of text that a task takes apart at a time, whatever the rows of its Arrow batches.
+TEXT_BYTES = 1 << 22
+
+
+def _slices(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """Runs of consecutive texts of at most so many bytes, or one longer text; together they are the column. None at all gives one empty run."""
+    most = TEXT_BYTES if most is None else most
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    start = 0
+    while True:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + most, "right")) - 1)
+        yield texts.slice(start, end - start)
+        start = end
+        if start >= len(texts):
+            return
+
+
+def _rows_of(columns: dict[str, np.ndarray], kinds: pa.StructType, missing: pa.Array | None = None) -> pa.Array:
+    """A struct column of arrays; rows marked as missing hold nulls."""
+    mask = None if missing is None else np.asarray(missing)
+    return pa.StructArray.from_arrays([pa.array(columns[f.name], f.type, mask=mask if f.name in columns and isinstance(columns[f.name], np.ndarray) else None)
+                                       for f in kinds], fields=list(kinds))
+
+
 class Scorer(Protocol):
     """Anything that can score a text column."""
 
@@ -159,21 +182,25 @@ class KeywordScorer:
         """``_counted`` for large lists; with matches also ``__hits``."""
         sent, shown = df.sparkSession.sparkContext.broadcast((self.config.positive, self.config.negative)), self.with_matches
         fields = "up int, down int, n int" + (", hits array<string>" if shown else "")
+        kinds = pa.struct([("up", pa.int32()), ("down", pa.int32()), ("n", pa.int32()), *([("hits", pa.list_(pa.string()))] if shown else [])])
 
-        @F.pandas_udf(fields)
-        def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def counted(texts, lists):
+            words = pc.split_pattern(pc.fill_null(texts, ""), " ")
+            coded = pc.dictionary_encode(words.flatten())
+            different, place, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+            first = [k.firsts(different) for k in lists]
+            total = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks[place])])[ends])
+            out = {"up": total(first[0] >= 0), "down": total(first[1] >= 0), "n": total(np.array([w != "" for w in different], bool))}
+            if shown:
+                marks = [[sign + k.keywords[i] for sign, k, i in (("+", lists[0], a), ("-", lists[1], b)) if i >= 0] for a, b in zip(*first)]
+                out["hits"] = [[m for w in place[x:y].tolist() for m in marks[w]] for x, y in zip(ends, ends[1:])]
+            return _rows_of(out, kinds)
+
+        @F.arrow_udf(fields)
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             lists = [KeywordIndex(k) for k in sent.value]
             for texts in batches:
-                words = pc.split_pattern(pa.array(texts, pa.string(), from_pandas=True).fill_null(""), " ")
-                coded = pc.dictionary_encode(words.flatten())
-                different, place, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy()
-                first = [k.firsts(different) for k in lists]
-                total = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks[place])])[ends])
-                out = {"up": total(first[0] >= 0), "down": total(first[1] >= 0), "n": total(np.array([w != "" for w in different], bool))}
-                if shown:
-                    marks = [[sign + k.keywords[i] for sign, k, i in (("+", lists[0], a), ("-", lists[1], b)) if i >= 0] for a, b in zip(*first)]
-                    out["hits"] = [[m for w in place[x:y].tolist() for m in marks[w]] for x, y in zip(ends, ends[1:])]
-                yield pd.DataFrame(out)
+                yield pa.concat_arrays([counted(part, lists) for part in _slices(texts)])
 
         cut = df.withColumn("__counts", count(tx.spaced(F.col(text), **self.config.switches)))
         names = {"__up": "up", "__down": "down", "__n": "n", **({"__hits": "hits"} if shown else {})}
@@ -182,18 +209,19 @@ class KeywordScorer:
     def _counted(self, df: DataFrame, text: str) -> DataFrame:
         """Add ``__up``, ``__down`` and ``__n``: words that hit, and all words; with matches also ``__words``.
 
-        Words repeat, so each Arrow batch is dictionary-encoded and only its
-        different words are tested: a word hits because it holds a core keyword
+        Words repeat, so the words of a slice of texts are dictionary-encoded
+        and only the different ones are tested: a word hits because it holds a core keyword
         or because it is a part of a keyword. Sums over the texts follow.
         """
         lists = [self.config.positive, self.config.negative]
         tests = [(_parts(k), "|".join(re.escape(c) for c in _cores(k))) for k in lists]
 
-        @F.pandas_udf("up int, down int, n int")
-        def count(texts: pd.Series) -> pd.DataFrame:
-            words = pc.split_pattern(pa.array(texts, pa.string(), from_pandas=True).fill_null(""), " ")
+        kinds = pa.struct([("up", pa.int32()), ("down", pa.int32()), ("n", pa.int32())])
+
+        def counted(texts):
+            words = pc.split_pattern(pc.fill_null(texts, ""), " ")
             coded = pc.dictionary_encode(words.flatten())
-            different, place, ends = coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy()
+            different, place, ends = coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
             real = np.asarray(pc.not_equal(different, ""))
 
             def total(marks):
@@ -206,7 +234,11 @@ class KeywordScorer:
                 if cores:
                     found = found | np.asarray(pc.match_substring_regex(different, cores))
                 out.append(total(found & real))
-            return pd.DataFrame({"up": out[0], "down": out[1], "n": total(real)})
+            return _rows_of({"up": out[0], "down": out[1], "n": total(real)}, kinds)
+
+        @F.arrow_udf("up int, down int, n int")
+        def count(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([counted(part) for part in _slices(texts)])
 
         cut = df.withColumn("__spaced", tx.spaced(F.col(text), **self.config.switches)).withColumn("__counts", count("__spaced"))
         cut = cut.withColumns({"__up": F.col("__counts.up"), "__down": F.col("__counts.down"), "__n": F.col("__counts.n")})
@@ -353,10 +385,30 @@ def rate_words(text: str, valence: dict, rules: LexiconRules, known: dict | None
     return compound, up / whole, -down / whole, flat / whole
 
 
+def _trimmed(words: pa.Array) -> pa.Array:
+    bare = pc.utf8_trim(words, EDGES)
+    return pc.if_else(pc.greater(pc.utf8_length(bare), 1), bare, words)
+
+
+def spoken_words(texts: pa.Array) -> pa.Array:
+    """The different words of each text as ``rate_texts`` looks them up; null texts have none."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = pc.dictionary_encode(split.flatten())
+    many, words = len(texts), _trimmed(coded.dictionary)
+    low = np.array(pc.ascii_lower(words).to_pylist(), object)
+    for i in np.flatnonzero(~np.asarray(pc.string_is_ascii(words))):
+        low[i] = _spoken(words[int(i)].as_py())[0]
+    low = pc.dictionary_encode(pa.array(low, pa.string()))
+    n, of = len(low.dictionary), np.repeat(np.arange(many), np.diff(split.offsets.to_numpy()))
+    held = np.unique(of * max(n, 1) + low.indices.to_numpy()[coded.indices.to_numpy()])
+    held = held[np.asarray(pc.not_equal(low.dictionary, ""))[held % max(n, 1)]] if n else held
+    ends = np.searchsorted(held, np.arange(many + 1) * max(n, 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), low.dictionary.take(pa.array(held % max(n, 1))))
+
+
 def _word_facts(words: pa.Array, tokens: pa.Array, valence: np.ndarray, rules: LexiconRules) -> dict[str, np.ndarray]:
     """What the rules ask of different words. Arrow folds ASCII words, Python the others, whose cases are not one letter for one."""
-    bare = pc.utf8_trim(words, EDGES)
-    words = pc.if_else(pc.greater(pc.utf8_length(bare), 1), bare, words)
+    words = _trimmed(words)
     low, plain, upper = (np.array(x.to_pylist(), object) for x in (
         pc.ascii_lower(words), pc.replace_substring(pc.ascii_lower(words), "'", ""), pc.ascii_is_upper(words)))
     for i in np.flatnonzero(~np.asarray(pc.string_is_ascii(words))):
@@ -461,31 +513,38 @@ class LexiconScorer:
     def score(self, df: DataFrame, text: str, out: str) -> DataFrame:
         rules, sent = self.rules, self._sent
 
-        def rows(texts: pd.Series, tokens, valence) -> pd.DataFrame:
-            column = pa.array(texts, pa.string(), from_pandas=True)
-            rated = pd.DataFrame(rate_texts(column, tokens, valence, rules), columns=_RATING.names)
-            rated.loc[np.asarray(column.is_null())] = np.nan
-            return rated
+        kinds = pa.struct([(n, pa.float64()) for n in _RATING.names])
+
+        def rows(texts: pa.Array, tokens, valence) -> pa.Array:
+            rated = rate_texts(texts, tokens, valence, rules)
+            return _rows_of({n: np.ascontiguousarray(rated[:, k]) for k, n in enumerate(_RATING.names)}, kinds, texts.is_null())
 
         if sent is not None:
-            @F.pandas_udf(_RATING)
-            def rate(texts: pd.Series) -> pd.DataFrame:
-                return rows(texts, *sent.value)
+            @F.arrow_udf(_RATING)
+            def rate(texts: pa.Array) -> pa.Array:
+                return pa.concat_arrays([rows(part, *sent.value) for part in _slices(texts)])
 
             rated = df.withColumn("__rate", rate(F.col(text)))
         else:
-            @F.pandas_udf(_RATING)
-            def rate_found(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-                known = {token: value for own in found if own is not None for token, value in dict(own).items()}
-                return rows(texts, pa.array(list(known), pa.string()), np.array(list(known.values()), float))
-
-            words = F.array_distinct(F.transform(
-                tx.tokens(F.col(text), remove_urls=False),
-                lambda w: F.when(F.length(F.btrim(w, F.lit(EDGES))) < 2, w).otherwise(F.btrim(w, F.lit(EDGES)))))
-            used = df.select(F.md5(F.col(text)).alias("__key"), words.alias("__words")).filter("__key is not null").dropDuplicates(["__key"])
+            @F.arrow_udf("array<string>")
+            def spoken(texts: pa.Array) -> pa.Array:
+                return pa.concat_arrays([spoken_words(part) for part in _slices(texts)])
+
+            @F.arrow_udf(_RATING)
+            def rate_found(texts: pa.Array, found: pa.Array) -> pa.Array:
+                out, start = [], 0
+                for part in _slices(texts):
+                    pairs = found.slice(start, len(part)).flatten()
+                    start += len(part)
+                    tokens = pc.dictionary_encode(pairs.field("token"))
+                    valence = np.zeros(len(tokens.dictionary))
+                    valence[tokens.indices.to_numpy()] = pairs.field("valence").to_numpy(zero_copy_only=False)
+                    out.append(rows(part, tokens.dictionary, valence))
+                return pa.concat_arrays(out)
+
+            used = df.select(F.md5(F.col(text)).alias("__key"), spoken(F.col(text)).alias("__words")).filter("__key is not null").dropDuplicates(["__key"])
             used = used.select("__key", F.explode("__words").alias("token"))
-            found = used.join(self._known, "token").groupBy("__key").agg(
-                F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("__found"))
+            found = used.join(self._known, "token").groupBy("__key").agg(F.collect_list(F.struct("token", "valence")).alias("__found"))
             rated = df.withColumn("__key", F.md5(F.col(text))).join(found, "__key", "left").withColumn(
                 "__rate", rate_found(F.col(text), F.col("__found"))).drop("__found", "__key")
         value = F.col("__rate.compound")

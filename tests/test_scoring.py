@@ -186,3 +186,38 @@ def test_large_keyword_lists(spark):
             assert r["details"]["matched"] == [s + k for p, n in found for s, k in (("+", p), ("-", n)) if k is not None]
             assert r["details"]["words"] == len(found) and (r["score"], r["confidence"]) == (bare["score"], bare["confidence"])
             assert (r["score"], r["details"]["matched"]) == (other["score"], other["details"]["matched"])
+
+
+ODD_TEXTS = ["", None, "  ", "Good GOOD good!! but n't bad", "İstanbul É É 'moon' don’t", "a b ((gain)) ?? x", "loss " * 50, "!", None, "buy-sell buy"]
+
+
+def test_texts_are_taken_apart_in_slices(monkeypatch):
+    column = pa.array(ODD_TEXTS, pa.string())
+    for most in (1, 30, 10_000):
+        parts = list(scoring._slices(column, most))
+        assert pa.concat_arrays(parts) == column
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= most for p in parts)
+    assert [len(p) for p in scoring._slices(column.slice(3, 0), 5)] == [0]
+    assert [p.to_pylist() for p in scoring._slices(column.slice(3, 2), 1)] == [[ODD_TEXTS[3]], [ODD_TEXTS[4]]]
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_scores_do_not_depend_on_slices(spark, monkeypatch, most):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.5), ("gain", 1.0), ("é", 3.0), ("i̇stanbul", 1.5)], "token string, valence double")
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "n int, content string").coalesce(1)
+    scorers = [scoring.KeywordScorer(), scoring.KeywordScorer(large=0, with_matches=True), scoring.LexiconScorer(lexicon), scoring.LexiconScorer(lexicon, max_broadcast=0)]
+
+    def all_scores():
+        return [sorted(map(str, s.score(posts, "content", "s").collect())) for s in scorers]
+
+    whole = all_scores()
+    slices, parts = scoring._slices, spark.sparkContext.accumulator(0)
+
+    def small(texts, ignored=None):
+        for part in slices(texts, most):
+            parts.add(1)
+            yield part
+
+    monkeypatch.setattr(scoring, "_slices", small)
+    assert all_scores() == whole and whole[2] == whole[3]
+    assert parts.value > len(scorers)
