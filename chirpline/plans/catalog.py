@@ -496,7 +496,7 @@ def store_upsert_ties(spark, sf):
     table = store.PostTable(spark, run_dir(spark, "table"))
     first = wh.posts(spark, sf).withColumn("feed_pos", F.lit(0))
     batch = seen_again(spark, sf).withColumnRenamed("seq", "feed_pos").unionByName(first).withColumn("scraped_at", F.col("timestamp"))
-    table.upsert(batch.repartition(3, F.rand(1)))
+    table.upsert(batch.repartition(F.rand(1)))
     return table.read()
 
 
