@@ -16,18 +16,19 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_n(df, keys, [F.asc(c) for c in order], 1)
 
 
-def upsert(existing: DataFrame, batch: DataFrame, order: list[str], mode: str = "replace") -> DataFrame:
+def upsert(existing: DataFrame, batch: DataFrame, order: list[str], mode: str = "replace", single: bool = False) -> DataFrame:
     """The table after a batch: a known id is replaced as a whole, a new one is added.
 
     ``existing`` has one row per id, so it needs no deduplication of its own:
     it only loses the ids of the batch. A small batch is broadcast for that,
     and the table is not shuffled. ``mode="preserve_scores"`` keeps the
-    sentiment of a replaced post when the batch brings none.
+    sentiment of a replaced post when the batch brings none. ``single`` says
+    that the batch names no id twice.
     """
     if mode not in ("replace", "preserve_scores"):
         raise ValueError("mode must be 'replace' or 'preserve_scores'")
     columns = existing.columns
-    fresh = latest_by_key(batch, ["tweet_id"], order).select(*columns)
+    fresh = (batch if single else latest_by_key(batch, ["tweet_id"], order)).select(*columns)
     kept = existing.join(fresh.select("tweet_id"), "tweet_id", "left_anti")
     if mode == "preserve_scores":
         old = existing.select("tweet_id", *[F.col(c).alias(f"__{c}") for c in schema.SENTIMENT])

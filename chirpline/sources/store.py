@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from chirpline import schema
 from chirpline.functions.times import minus_seconds, moment, utc_date
 from chirpline.operators import aggregate, filters, keyed, validate
+from chirpline.operators.skew import all_of
 from chirpline.session import file_system, run_dir
 from chirpline.sources.snapshots import Snapshot, SnapshotLog
 
@@ -195,9 +196,12 @@ class PostTable:
 
     @staticmethod
     def _decided(rows: DataFrame, keys: list[str], order: list[str]) -> None:
+        # whole rows are compared only where a place is taken twice
+        shared = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in (*keys, *order)]).agg(F.count("*").alias("__n")).filter("__n > 1")
+        same = all_of([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, *order)])
         values = F.struct(*[c for c in rows.columns if c not in keys])
-        places = rows.groupBy(*keys, *order).agg(F.min(values).alias("a"), F.max(values).alias("b"))
-        if not places.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+        places = rows.join(shared, same, "left_semi").groupBy(*keys, *order).agg(F.min(values).alias("a"), F.max(values).alias("b"))
+        if not shared.isEmpty() and not places.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
             raise ValueError(f"the order ({', '.join(order) or 'none'}) does not decide between rows of one id; add a column that does")
 
     def _upsert(self, checked: DataFrame, order: list[str], mode: str) -> int:
@@ -206,11 +210,13 @@ class PostTable:
             return 0
         at = self.log.read()
         ids = checked.select("tweet_id").distinct()
+        # a batch that names no id twice is taken as it is: its texts need no shuffle to find the last of each id
+        single = ids.count() == submitted
         new = self._day_list(checked.select(utc_date(F.col("timestamp"))))
         touched = sorted({*self._days_of(ids, at), *new})
         part = self._days(at, touched).select(*schema.POSTS.names)
-        last = keyed.latest_by_key(checked, ["tweet_id"], list(order)).select("tweet_id", utc_date(F.col("timestamp")).alias("day"))
-        self._replace(at, touched, keyed.upsert(part, checked, list(order), mode), **self._indexed(last, at, at.number + 1))
+        last = (checked if single else keyed.latest_by_key(checked, ["tweet_id"], list(order))).select("tweet_id", utc_date(F.col("timestamp")).alias("day"))
+        self._replace(at, touched, keyed.upsert(part, checked, list(order), mode, single), **self._indexed(last, at, at.number + 1))
         return submitted
 
     def apply_scores(self, scores: DataFrame, order: list[str] = ()) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chirpline import schema
 from chirpline.functions.scoring import make_scorer, score_posts
-from chirpline.operators import health
+from chirpline.operators import health, keyed
 from chirpline.plans import collect
 from chirpline.plans.scoring import live_signal, scoring_run
 from chirpline.session import RECOMMENDED_CONF, run_dir, shared_dir
@@ -247,3 +247,40 @@ def test_a_look_up_skips_most_of_a_day(spark, table):
         plan = plan.children().apply(0)
     assert 0 < plan.metrics().apply("numOutputRows").value() <= 25_000
     assert table.query(tweet_id="nobody").collect() == [] and table.query(tweet_id="other").count() == 1
+
+
+def test_a_batch_without_repeats_is_not_ranked(spark, posts):
+    before, batch = posts(post(1), post(2)), posts(post(2, "new"), post(3))
+    ranked, plain = (keyed.upsert(before, batch, ["scraped_at"], single=s) for s in (False, True))
+    assert "Window" in ranked._jdf.queryExecution().toString() and "Window" not in plain._jdf.queryExecution().toString()
+    assert sorted(map(str, ranked.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_only_a_batch_with_repeats_is_ranked_by_the_store(spark, posts, tmp_path, monkeypatch, repeated):
+    said, upsert = [], keyed.upsert
+    monkeypatch.setattr(keyed, "upsert", lambda *a: said.append(a[4]) or upsert(*a))
+    table = PostTable(spark, str(tmp_path / "t"))
+    rows = [post(1, "old"), post(2)] + [post(1, "late", scraped_at=at(5))] * repeated
+    assert table.upsert(posts(*rows)) == len(rows) and said == [not repeated]
+    assert {r.tweet_id: r.content for r in table.read().collect()} == {"1": "late" if repeated else "old", "2": "a post"}
+
+
+def test_batch_of_the_ties_is_dealt_by_size(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from chirpline.plans import catalog
+
+    day = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(n, f"text {n}", "en", "s") for n in range(9)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, day, n, "click", 5.0) for n in range(9)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    parts, upsert = [], PostTable.upsert
+    monkeypatch.setattr(PostTable, "upsert", lambda self, batch: parts.append(batch.rdd.getNumPartitions()) or upsert(self, batch))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        assert {r.likes for r in catalog.store_upsert_ties(spark, str(tmp_path)).collect()} == {7}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert parts == [11]
