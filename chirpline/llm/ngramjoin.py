@@ -10,10 +10,11 @@ sets whose rarest tokens are all different cannot overlap enough: so sets meet
 in cells, one for each of their rarest tokens. So many tokens are taken that
 linked sets must share a tenth of their size of cells; a set with fewer live
 cells has no link and leaves them all. Sets with the same lead (below) form
-blocks, and blocks that meet in a cell are joined: the points of ``GROUPS``
+blocks, and blocks that meet in as many cells as their smallest sets would
+share if they were linked are joined: the points of ``GROUPS``
 coarse groups of one block are held in an R-tree of largest coordinates and
 ranges of sizes, and a search goes only into boxes whose bound and sizes allow
-a link. Pairs that survive are verified on the sets themselves, where they are.
+a link. Only sets of pairs that survive go on to be verified on the sets themselves.
 
 Equal sets are one point. Each set is first verified against one set of its
 cells (its lead, that with which it shares most cells, of the first in each), so a large
@@ -26,6 +27,8 @@ any kind are broken by hashes; a table without documents gives no rows; other
 columns are not looked at. Sets and tokens are known by 64-bit hashes.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +47,7 @@ BROADCAST_ROWS = 500_000
 LEAF = 16
 BLOCK_SETS = 256
 PRUNE_ROUNDS = 2
+COUNTED_PAIRS = 100_000
 SPARE = 10  # prefixes hold one token in so many more than one shared cell needs
 
 
@@ -180,13 +184,13 @@ def likely_pairs(pairs: DataFrame, points: DataFrame, above: int, of: int) -> Da
 
 
 def meeting_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs of blocks (bx, by) that meet in a cell with sets of different components. rows: key, block, least and most component."""
-    schema = T.StructType.fromDDL("bx long, by long")
+    """Pairs of blocks (bx, by) that meet with sets of different components, and in how many cells. rows: key, block, least and most component."""
+    schema = T.StructType.fromDDL("bx long, by long, cells long")
 
     def run(batches):
-        held, seen = None, set()
+        held, counted = None, Counter()
 
-        def done(part):
+        def pairs(part):
             keys, blocks, least, most = (part.column(n).to_numpy() for n in ("key", "block", "least", "most"))
             starts = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -200,13 +204,17 @@ def meeting_blocks(rows: DataFrame) -> DataFrame:
                         if least[s + i] != most[s + j] or most[s + i] != least[s + j]:
                             yield x, own[j]
 
-        def send(pairs):
-            fresh = [p for p in dict.fromkeys(pairs) if p not in seen]
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in (0, 1)], names=schema.names)
+        def sums():
+            if counted:
+                found = [*zip(*counted), counted.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in found], names=schema.names)
+                counted.clear()
+
+        def add(part):
+            for pair in pairs(part):
+                counted[pair] += 1
+                if len(counted) >= COUNTED_PAIRS:
+                    yield from sums()
 
         for batch in batches:
             if not batch.num_rows:
@@ -218,11 +226,21 @@ def meeting_blocks(rows: DataFrame) -> DataFrame:
             cut = int(last[-1]) + 1 if len(last) else 0
             held = part.slice(cut)
             if cut:
-                yield from send(done(part.slice(0, cut).combine_chunks()))
+                yield from add(part.slice(0, cut).combine_chunks())
         if held is not None:
-            yield from send(done(held.combine_chunks()))
+            yield from add(held.combine_chunks())
+        yield from sums()
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, schema).groupBy("bx", "by").agg(F.sum("cells").alias("cells"))
 
-    return rows.repartition("key").sortWithinPartitions("key", "block").mapInArrow(run, schema).distinct()
+
+def often_enough(meets: DataFrame, smallest: DataFrame, above: int, of: int) -> DataFrame:
+    """The block pairs that meet in as many cells as their sets share if they are linked. smallest: block, n (least size of its sets)."""
+    both = (meets.join(smallest.select(F.col("block").alias("bx"), F.col("n").alias("_n")), "bx")
+            .join(smallest.select(F.col("block").alias("by"), F.col("n").alias("_m")), "by"))
+    n = F.greatest(F.least("_n", "_m"), F.ceil(F.greatest("_n", "_m") * above / of))
+    return both.filter(F.col("cells") >= F.greatest(F.lit(1), F.ceil(n / SPARE))).select("bx", "by")
 
 
 class BlockPair:
@@ -231,9 +249,28 @@ class BlockPair:
     def __init__(self, bx, by):
         self.blocks, self.rows = (bx, by), {}
 
-    def add(self, block, sid, comp, point, tokens):
+    def add(self, block, sid, comp, point, tokens=b""):
         self.rows.setdefault(block, {})[sid] = (comp, read_point(point), np.frombuffer(tokens, np.uint64))
 
+    def likely(self, above, of):
+        """Pairs of sets of different components that sizes and group counts allow to be linked."""
+        bx, by = self.blocks
+        first, second = self.rows.get(bx, {}), self.rows.get(by, {})
+        if not first or not second:
+            return
+        ids, held = list(second), list(second.values())
+        points = np.stack([h[1] for h in held])
+        tree = CountTree(points, points.sum(axis=1, dtype=np.int64))
+        for x, (comp, point, _) in first.items():
+            for k in tree.search(point, int(point.sum(dtype=np.int64)), above, of).tolist():
+                if comp != held[k][0] and (bx != by or ids[k] > x):
+                    yield x, ids[k]
+
+    def wanted(self, above, of):
+        """Block and id of the sets that some likely pair needs."""
+        bx, by = self.blocks
+        return list(dict.fromkeys(r for x, y in self.likely(above, of) for r in ((bx, x), (by, y))))
+
     def links(self, above, of):
         """Links between sets of different components. What is connected by then is passed over."""
         parent = {}
@@ -244,49 +281,58 @@ class BlockPair:
             return x
 
         bx, by = self.blocks
-        first, second = self.rows.get(bx, {}), self.rows.get(by, {})
-        if not first or not second:
-            return
-        ids, held = list(second), list(second.values())
-        tree = CountTree(np.stack([h[1] for h in held]), np.array([len(h[2]) for h in held]))
-        for x, (comp, point, tokens) in first.items():
-            for k in tree.search(point, len(tokens), above, of).tolist():
-                if bx == by and ids[k] <= x:
-                    continue
-                p, q = find(comp), find(held[k][0])
-                if p != q:
-                    factor, right = need(len(tokens), len(held[k][2]), above, of)
-                    if factor * len(np.intersect1d(tokens, held[k][2], assume_unique=True)) >= right:
-                        parent[p] = q
-                        yield x, ids[k]
-
-
-def verified_blocks(meets: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
-    """Links (a, b) that join the components of all linked pairs of these blocks. sets: sid, comp, block, point, tokens."""
-    schema = T.StructType.fromDDL("a long, b long")
+        for x, y in self.likely(above, of):
+            (one, _, tokens), (other, _, others) = self.rows[bx][x], self.rows[by][y]
+            p, q = find(one), find(other)
+            if p != q:
+                factor, right = need(len(tokens), len(others), above, of)
+                if factor * len(np.intersect1d(tokens, others, assume_unique=True)) >= right:
+                    parent[p] = q
+                    yield x, y
+
+
+def by_block_pair(rows: DataFrame, result, fields: str) -> DataFrame:
+    """``result(pair)``, a list of rows, of every pair of blocks. rows: bx, by, block, sid, comp, point and perhaps tokens."""
+    schema = T.StructType.fromDDL(fields)
 
     def run(batches):
         now = None
 
         def send(pair):
-            out = list(pair.links(above, of)) if pair is not None else []
+            out = result(pair) if pair is not None else []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=schema.names)
+                names = {"bx": [pair.blocks[0]] * len(out), "by": [pair.blocks[1]] * len(out)}
+                own = [n for n in schema.names if n not in names]
+                names |= {n: [r[k] for r in out] for k, n in enumerate(own)}
+                yield pa.RecordBatch.from_arrays([pa.array(names[n], pa.int64()) for n in schema.names], names=schema.names)
 
         for batch in batches:
-            points, tokens = batch.column("point"), batch.column("tokens")
+            data = [batch.column(n) for n in ("point", "tokens") if n in batch.schema.names]
             for i, (bx, by, block, sid, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "block", "sid", "comp")))):
                 if now is None or now.blocks != (bx, by):
                     yield from send(now)
                     now = BlockPair(bx, by)
-                now.add(block, sid, comp, points[i].as_py(), tokens[i].as_py())
+                now.add(block, sid, comp, *(d[i].as_py() for d in data))
         yield from send(now)
 
-    first = meets.join(sets.withColumn("bx", F.col("block")), "bx")
-    second = meets.filter("bx <> by").join(sets.withColumn("by", F.col("block")), "by")
-    names = ["bx", "by", "block", "sid", "comp", "point", "tokens"]
-    dealt = first.select(*names).unionByName(second.select(*names)).repartition("bx", "by").sortWithinPartitions("bx", "by", "block", "sid")
-    return dealt.mapInArrow(run, schema)
+    return rows.repartition("bx", "by").sortWithinPartitions("bx", "by", "block", "sid").mapInArrow(run, schema)
+
+
+def verified_blocks(meets: DataFrame, sets: DataFrame, above: int, of: int) -> DataFrame:
+    """Links (a, b) that join the components of all linked pairs of these blocks. sets: sid, comp, block, point, tokens.
+
+    Points alone go to every pair of blocks. Token sets follow only where a likely pair needs them.
+    """
+    points = sets.drop("tokens")
+    first = meets.join(points.withColumn("bx", F.col("block")), "bx")
+    second = meets.filter("bx <> by").join(points.withColumn("by", F.col("block")), "by")
+    names = ["bx", "by", "block", "sid", "comp", "point"]
+    likely = by_block_pair(first.select(*names).unionByName(second.select(*names)), lambda pair: pair.wanted(above, of), "bx long, by long, block long, sid long")
+    likely = written(likely, "likely")
+    used = written(likely.select("sid").distinct(), "sids")
+    used = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
+    held = sets.join(used, "sid", "left_semi").drop("block")
+    return by_block_pair(likely.join(held, "sid").select(*names, "tokens"), lambda pair: list(pair.links(above, of)), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,13 +405,16 @@ def similar_links(docs: DataFrame, width: int = WIDTH, above: int = ABOVE, of: i
     star = written(star, "stars")
     first = written(verified(likely_pairs(star, sets.drop("tokens"), above, of), sets, above, of), "links")
     home = components(first).withColumnsRenamed({"node": "sid", "component": "comp"})
-    named = named.join(star.withColumnsRenamed({"a": "sid", "b": "_lead"}), "sid", "left").withColumn("_lead", F.coalesce("_lead", "sid"))
+    named = sets.select("sid", "n").join(star.withColumnsRenamed({"a": "sid", "b": "_lead"}), "sid", "left").withColumn("_lead", F.coalesce("_lead", "sid"))
     sizes = named.groupBy("_lead").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("_slots"))
     block = F.xxhash64("_lead", F.pmod(F.xxhash64("sid"), "_slots"))
-    facts = named.join(sizes, "_lead").join(home, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), block.alias("block"))
+    facts = named.join(sizes, "_lead").join(home, "sid", "left").select("sid", "n", F.coalesce("comp", "sid").alias("comp"), block.alias("block"))
     facts = written(facts, "homes")
-    rest = members.select("key", "sid").join(facts, "sid").groupBy("key", "block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    meets = written(meeting_blocks(rest), "meets")
+    smallest = facts.groupBy("block").agg(F.min("n").alias("n"))
+    facts = facts.drop("n")
+    home = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
+    rest = members.select("key", "sid").join(home, "sid").groupBy("key", "block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    meets = written(often_enough(meeting_blocks(rest), smallest, above, of), "meets")
     second = verified_blocks(meets, sets.join(facts, "sid"), above, of)
     return first.unionByName(written(second, "links"))
 

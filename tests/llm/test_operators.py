@@ -141,6 +141,30 @@ def test_group_counts_beyond_16_bits_reject_no_link():
     assert list(pair.links(ngramjoin.ABOVE, ngramjoin.OF)) == [(0, 1)]
 
 
+def test_blocks_meet_in_as_many_cells_as_linked_sets_share(spark, monkeypatch):
+    rows = [(k, b, b, b) for k in range(6) for b in (10, 20)] + [(9, 20, 20, 20), (9, 30, 30, 30), (9, 40, 1, 2), (11, 50, 7, 7), (11, 60, 7, 7)]
+    frame = spark.createDataFrame(rows, "key long, block long, least long, most long").repartition(3)
+    meets = ngramjoin.meeting_blocks(frame)
+    want = {(10, 20): 6, (20, 30): 1, (20, 40): 1, (30, 40): 1, (40, 40): 1}
+    assert {(r["bx"], r["by"]): r["cells"] for r in meets.collect()} == want
+    smallest = spark.createDataFrame([(10, 40), (20, 60), (30, 9), (40, 10)], "block long, n long")
+    left = ngramjoin.often_enough(meets, smallest, ngramjoin.ABOVE, ngramjoin.OF)
+    assert {(r["bx"], r["by"]) for r in left.collect()} == {(10, 20), (30, 40), (40, 40)}
+
+
+def test_token_sets_follow_only_likely_pairs():
+    rng = np.random.default_rng(2)
+    base, other, far = (np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64)) for _ in range(3))
+    sets = {1: (1, base), 2: (2, base[:390]), 3: (2, other), 4: (1, far), 5: (2, base[:380])}
+    pair, full = ngramjoin.BlockPair(1, 2), ngramjoin.BlockPair(1, 2)
+    for sid, (block, tokens) in sets.items():
+        comp = 1 if sid == 5 else sid  # already one component with set 1
+        pair.add(block, sid, comp, ngramjoin.point(tokens).tobytes())
+        full.add(block, sid, comp, ngramjoin.point(tokens).tobytes(), tokens.tobytes())
+    assert sorted(pair.wanted(ngramjoin.ABOVE, ngramjoin.OF)) == [(1, 1), (2, 2)]
+    assert list(full.links(ngramjoin.ABOVE, ngramjoin.OF)) == [(1, 2)]
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres, rows = rng.standard_normal((5, 20)), []
