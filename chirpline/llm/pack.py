@@ -38,7 +38,7 @@ BLOCK_ITEMS = 4096
 ISLANDS = 3
 EPOCHS = 2
 REMEMBERED = 120_000
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 class Encoder:

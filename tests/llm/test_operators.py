@@ -1,6 +1,7 @@
 """The dealt operators against plain versions, on random and awkward inputs."""
 
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -165,6 +166,18 @@ def test_token_sets_follow_only_likely_pairs():
     assert list(full.links(ngramjoin.ABOVE, ngramjoin.OF)) == [(1, 2)]
 
 
+def test_texts_are_encoded_in_bounded_slices(docs, monkeypatch):
+    monkeypatch.setattr(pack, "arrow_map", lambda df, make, schema: make)
+    step, rows = pack.token_pieces(docs({1: "x"}))(), ["some plain words, again and again. " * 700] * 240
+    tracemalloc.start()
+    try:
+        found = sum(len(part["piece"]) for part in step(pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert found >= 240 and peak < 38, peak
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres, rows = rng.standard_normal((5, 20)), []
