@@ -1,5 +1,6 @@
 """Piece encoding, alignment of tokenizers and spelling variants against plain versions and the libraries."""
 
+import pickle
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chirpline.llm import alignment, catalog, merging, sentencepieces, variants
+from chirpline.llm import alignment, bytepairs, catalog, merging, sentencepieces, variants
 from chirpline.llm.tokencount import byte_letters
 from tests.llm import plain
 
@@ -105,6 +106,24 @@ def test_backtracking_is_merging():
     assert stepped_back
 
 
+def test_models_travel_small_and_encode_as_before(models):
+    """An automaton leaves its plain tables behind and makes them again where a long string needs them."""
+    model = bytepairs.ByteModel()
+    data = pickle.dumps(model.encoder.automaton)
+    assert len(data) < 4_500_000
+    there = pickle.loads(data)
+    assert there.moves is None
+    there.for_single_steps()
+    assert (there.moves, there.fail, there.token) == (model.encoder.automaton.moves, model.encoder.automaton.fail, model.encoder.automaton.token)
+    model.encoder.automaton = pickle.loads(data)
+    rng = random.Random(8)
+    units = list(dict.fromkeys(rng.choice(["", " ", "\xa0", "  "]) + "".join(rng.choice(["a", "Ing", "ß", "ª", "ɏ", "ɐ", "日", "7", "'ll", ",", "́"])
+                               for _ in range(rng.randrange(1, 6))) for _ in range(500))) + ["ab" * 3000, "é" * 1200]
+    ids, counts = model.encode_units(units)
+    want = [models[0].encode(u, add_special_tokens=False).ids for u in units]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_alignment_like_the_libraries(spark, models, tmp_path, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE", 3000)
     texts = odd_texts(4, 600)
