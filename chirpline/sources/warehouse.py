@@ -7,6 +7,7 @@ from chirpline.session import run_dir
 from chirpline.functions import text as tx
 
 N_FEEDS = 3
+FILE_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +18,19 @@ def event_stream(spark: SparkSession, sf_dir: str, in_order: bool = False, files
     """The events as a stream of files landed one after the other, one for each batch.
 
     They are dealt to the files by hash, so that every batch after the first
-    brings late rows, or by time with ``in_order``.
+    brings late rows, or by time with ``in_order``. A large batch is as many
+    files as every other one, about one for ``FILE_ROWS`` rows, so that the
+    number of batches does not grow with the table.
     """
     events, landed = table(spark, sf_dir, "events"), run_dir(spark, "landed")
+    size = max(1, events.count() // (files * FILE_ROWS))
     part = F.pmod(F.xxhash64("event_id"), F.lit(files))
     if in_order:
         edges = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / files for k in range(1, files)])).first()[0] or []
         part = sum(((F.unix_micros(F.col("ts").cast("timestamp")) > e).cast("int") for e in edges), F.lit(0))
     for k in range(files):
-        events.filter(part == k).write.mode("append").parquet(landed)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        events.filter(part == k).repartition(size).write.mode("append").parquet(landed)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", size).parquet(landed)
 
 
 def _name(user: Column) -> Column:

@@ -11,6 +11,7 @@ from chirpline.operators import health, keyed
 from chirpline.plans import collect
 from chirpline.plans.scoring import live_signal, scoring_run
 from chirpline.session import RECOMMENDED_CONF, run_dir, shared_dir
+from chirpline.sources import warehouse
 from chirpline.sources.store import PostTable
 from chirpline.streaming import streams
 from tests.conftest import at, naive, post
@@ -121,6 +122,21 @@ def land(df, folder, part):
     df.write.mode("append").parquet(f"{folder}/part={part}")
 
 
+@pytest.mark.parametrize(("rows", "in_order"), [(1_000_000, False), (1_000_000, True), (40, False), (40, True)])
+def test_batches_of_events_do_not_grow_with_their_files(spark, tmp_path, monkeypatch, rows, in_order):
+    """Events in many files land as three batches, in order of time where asked for."""
+    monkeypatch.setattr(warehouse, "FILE_ROWS", rows)
+    events = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"))
+    events.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = warehouse.event_stream(spark, str(tmp_path), in_order)
+    start = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check"))
+    streams.run_to_end(start.foreachBatch(lambda batch, _: seen.append([r[0] for r in batch.select("event_id").collect()])).start())
+    assert len(seen) == 3 and sorted(x for own in seen for x in own) == list(range(600))
+    if in_order:
+        assert max(seen[0]) < min(seen[1]) and max(seen[1]) < min(seen[2])
+
+
 def test_streams_in_several_batches(spark, table, posts, tmp_path):
     source = str(tmp_path / "in")
     waves = [posts(post(1, "good"), post(2, "bad")), posts(post(1, "good again", when=at(1)), post(3, ""), post(4, "good", when=at(7)))]
