@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.llm.automaton import SuffixAutomaton
-from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of
+from chirpline.llm.frames import arrow_map, doc_schema, give_back, table, texts_of
 from chirpline.llm.words import Splitter, letter_words, raw, text_slices
 
 WINDOW = 10
@@ -181,11 +181,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
 
     def cut(batches):
         splitter, built = Splitter(letter_words(), True), {}
+        give_back()  # what earlier steps of this process have left
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            i = batch.schema.get_field_index(text_col)
+            texts = batch.column(i)
             data, offsets = raw(texts)
-            keep, new = [], []
             for lo, hi in text_slices(texts):
+                keep, new = [], []
                 starts, ends, first, hashes = splitter.split(data, offsets[lo:hi + 1])
                 marks = np.zeros(len(hashes) + 1, np.int32)
                 for k in range(len(shards)):
@@ -212,9 +214,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
                             at = int(ends[s + y - 1])
                     parts.append(data[at:offsets[lo + row + 1]].tobytes())
                     new.append(b"".join(parts).decode())
-            i = batch.schema.get_field_index(text_col)
-            batch = batch.set_column(i, batch.schema.field(i), pa.array(new, texts.type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(lo, hi - lo)
+                yield part.set_column(i, part.schema.field(i), pa.array(new, texts.type)).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(cut, docs.schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chirpline.llm.bytepairs import ByteModel
-from chirpline.llm.frames import arrow_map, doc_schema, table, texts_of, written
+from chirpline.llm.frames import arrow_map, doc_schema, give_back, table, texts_of, written
 from chirpline.llm.merging import judged_pairs
 from chirpline.llm.units import SPACE_CHARS, Cutter, Recent, kept_in_process, row_sums, take_rows
 from chirpline.llm.words import text_slices
@@ -97,6 +97,8 @@ def token_pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = Non
                         start, end = end, end + length
                     base += 4 * total
                 yield {"doc_id": batch.column("doc_id")[lo:hi].take(pa.array(rows, pa.int64())), **out}
+                del found, counts, data, out, rows
+                give_back()
 
         return step
 

@@ -195,10 +195,9 @@ def keep_good(docs: DataFrame, net: ByteConvNet | None, threshold: float = THRES
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             data, offsets = raw(texts)
-            if own is not None and batch.num_rows:
-                score = np.concatenate([own.probabilities(data, offsets[lo:hi + 1]) for lo, hi in text_slices(texts, 1 << 18)])
-                batch = batch.filter(pa.array(score >= threshold))
-            yield batch
+            for lo, hi in text_slices(texts, 1 << 18):
+                part = batch.slice(lo, hi - lo)
+                yield part if own is None else part.filter(pa.array(own.probabilities(data, offsets[lo:hi + 1]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

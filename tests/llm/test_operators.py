@@ -1,6 +1,8 @@
 """The dealt operators against plain versions, on random and awkward inputs."""
 
+import ctypes
 import random
+import re
 import tracemalloc
 import zlib
 from pathlib import Path
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chirpline.llm import (
-    catalog, decontaminate, licenses, linededup, ngramjoin, pack, pii, quality, substrings, tokencount, vectors)
+    catalog, decontaminate, frames, licenses, linededup, ngramjoin, pack, pii, quality, substrings, tokencount, vectors, words)
 from tests.llm import plain
 
 SMALL = "/root/testdata/sf0.001"
@@ -178,6 +180,55 @@ def test_texts_are_encoded_in_bounded_slices(docs, monkeypatch):
     assert found >= 240 and peak < 38, peak
 
 
+class Captured:
+    """Stands for a frame of one batch and shows what a stage's function makes of it."""
+
+    def __init__(self, spark, batch, schema):
+        self.sparkSession, self.batch, self.schema = spark, batch, schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+@pytest.fixture
+def large_batch(spark):
+    texts = [f"{i} " + "the cat sat on a mat and " * 30_000 for i in range(3)] + [None, "", "one two three four five six seven eight nine ten"]
+    schema = spark.createDataFrame([], "doc_id long, text string").schema
+    return Captured(spark, pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())}), schema)
+
+
+def test_stages_hand_on_large_batches_in_slices(spark, large_batch):
+    item = spark.createDataFrame([("i", "zero one two three four five six seven eight nine ten")], "item_id string, text string")
+    before = large_batch.batch.to_pylist()
+    for kept, rows in ((decontaminate.decontaminate(large_batch, item), before[:-1]), (quality.keep_good(large_batch, None), before),
+                       (quality.keep_good(large_batch, quality.ByteConvNet(), 0.0), before), (quality.keep_good(large_batch, quality.ByteConvNet(), 1.1), [])):
+        assert [r for b in kept for r in b.to_pylist()] == rows
+        assert len(kept) > 1 and all(b.num_rows == 1 or b.nbytes < 1 << 21 for b in kept)
+
+
+def test_packing_gives_memory_back_after_each_slice(large_batch, monkeypatch):
+    given = []
+    monkeypatch.setattr(pack, "give_back", lambda: given.append(1))
+    made = pack.token_pieces(large_batch)
+    assert len(given) == len(made) == len(list(words.text_slices(large_batch.batch.column("text"), pack.SLICE))) > 1
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the memory allocator has no such call")
+def test_freed_memory_goes_back():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    blocks = [bytes(1000) for _ in range(200_000)]
+    last = blocks[::100]
+    del blocks
+    before = held()
+    frames.give_back()
+    assert held() < before - 100 and len(last) == 2000
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres, rows = rng.standard_normal((5, 20)), []
