@@ -55,6 +55,18 @@ def test_reasons(spark):
     assert numbers
 
 
+def test_exports_hold_texts_with_line_breaks(spark, tmp_path):
+    texts = ["one line", "two\nlines", 'a "quoted"\n\nline, and more', "carriage\r\nreturn", "back\\\n\\slash\\", "x\ry"]
+    n = len(texts)
+    spark.range(n).selectExpr("id AS doc_id", f"element_at(array({', '.join(map(repr, texts))}), int(id) + 1) AS text", "'en' AS lang", "'web' AS source",
+                              ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(n).selectExpr("id AS event_id", "id AS user_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "20D AS value",
+                              "if(id < 2, 'view', 'click') AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    found = entry.queries()["export_content"](spark, str(tmp_path)).collect()
+    got = {kind: sorted(r["content"] for r in found if r["kind"] == kind) for kind in ("parquet", "csv", "json")}
+    assert got == {"parquet": sorted(texts), "csv": sorted(texts), "json": sorted(texts[2:])}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
