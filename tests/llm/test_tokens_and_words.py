@@ -1,14 +1,16 @@
 """Piece encoding, alignment of tokenizers and spelling variants against plain versions and the libraries."""
 
+import gc
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chirpline.llm import alignment, bytepairs, catalog, merging, sentencepieces, variants
+from chirpline.llm import alignment, bytepairs, catalog, merging, sentencepieces, units, variants
 from chirpline.llm.tokencount import byte_letters
 from tests.llm import plain
 
@@ -124,6 +126,50 @@ def test_models_travel_small_and_encode_as_before(models):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_aligner_holds_little_for_each_unit():
+    both = alignment.Aligner(remembered=4000)
+    rng, words = random.Random(3), set()
+    while len(words) < 12_000:
+        words.add("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)))
+    texts = [pa.array([" ".join(list(words)[lo:lo + 1000])]) for lo in range(0, 12_000, 1000)]
+    first = both.aligned(texts[0])
+    both.start()
+    tracemalloc.start()
+    try:
+        for text in texts[:4]:
+            both.aligned(text)
+        both.start()
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 250 * 4000
+    for text in texts:
+        both.aligned(text)
+        assert len(both.memory) <= 2 * 5000
+    assert all(np.array_equal(x, y) for x, y in zip(both.aligned(texts[0])[3], first[3]))
+
+
+def test_shelf_finds_records_of_equal_hashes():
+    shelf, asked = units.Shelf(3), []
+
+    def ask(names, keys):
+        flat, sizes = np.frombuffer(b"".join(keys), np.uint8), np.array([len(k) for k in keys], np.int32)
+
+        def make(places):
+            asked.append([keys[p] for p in places])
+            own = [keys[p] * 2 for p in places]
+            return [(np.frombuffer(b"".join(own), np.uint8), np.array([len(o) for o in own], np.int32))]
+
+        return units.split_rows(*shelf.records(np.array(names, np.uint64), (flat, sizes), make)[0])
+
+    assert ask([7, 9], [b"a", b"bb"]) == [b"aa", b"bbbb"]
+    assert ask([9, 7, 5], [b"bb", b"c", b""]) == [b"bbbb", b"cc", b""] and asked[1] == [b"c", b""]
+    assert shelf.new is None and len(shelf) == 4
+    assert ask([1, 9], [b"d", b"bb"]) == [b"dd", b"bbbb"] and asked[2] == [b"d"]
+    assert ask([], []) == []
+
+
 def test_alignment_like_the_libraries(spark, models, tmp_path, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE", 3000)
     texts = odd_texts(4, 600)
