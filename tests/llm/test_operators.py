@@ -243,6 +243,35 @@ def test_vectors(spark, monkeypatch):
     assert by_id(vectors.near_vectors(frame), "n_links", "component_id", "kept", key="vec_id") == want
 
 
+def test_vectors_meet_without_copies(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    near = [(centre + rng.standard_normal(64) * rng.choice([0.05, 0.2, 0.26])).astype(np.float32) for _ in range(150)]
+    rows = [(i, v.tolist()) for i, v in enumerate([*near, *rng.standard_normal((150, 64)).astype(np.float32)])]
+    frame = spark.createDataFrame(rows, "sid long, vector array<float>").withColumns({"copies": F.lit(1).cast("long"), "dims": F.size("vector")})
+    tiles = vectors.packed(frame, 32).collect()
+    assert sorted(i for t in tiles for i in np.frombuffer(t["sid"], np.int64)) == list(range(300)) and len({t["no"] for t in tiles}) == len(tiles)
+    assert max(len(t["vector"]) for t in tiles) == 32 * 64 * 4
+    found = vectors.vector_links(frame, tile_rows=32)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    counts = {r["sid"]: r["n"] for r in found.groupBy("sid").agg(F.sum("links").alias("n")).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    links = unit @ unit.T >= vectors.COSINE
+    want = links.sum(axis=1) - 1
+    assert {i: n for i, n in counts.items() if n} == {i: int(n) for i, n in enumerate(want) if n} and want.max() > 30
+
+
+def test_vectors_that_are_equal(spark):
+    v, w, x = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, -0.0, 0.1]
+    rows = [(1, v), (1, v), (1, w), (2, [1.0, -0.0, 0.0]), (3, x), (4, w), (None, v)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    # an id with two vectors stands for both
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in got) == [
+        ("1", 2, 1), ("1", 2, 1), ("1", 2, 1), ("2", 2, 1), ("3", 2, 1), ("4", 2, 1), ("None", 0, None)]
+
+
 AWKWARD = ["a   b  \n\n c's we're 're '' 'r !!'s x\x85y  z \x1c\x1d a\x1fb", "foo <|endoftext|> bar!!<|endoftext|><|endoftext|>x  <|endoftext|>  ",
            "日本語 テスト한국어 é́ １２３ ½   　x", "aaaa'veb 'll 'l 1234567890123 ____---- \t\t\tq", " " * 70 + "x" + "-" * 140 + "\n" * 5, ""]
 
